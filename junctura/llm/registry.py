@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, quality_rules
+from . import bpe, decontaminate, jaccard_join, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_bpe": bpe.op9_bpe,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op5_jaccard_join": jaccard_join.OP5_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
 }
