@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, quality_rules
+from . import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_bpe": bpe.op9_bpe,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
