@@ -3,10 +3,11 @@
 Folding lower-cases, strips accents, maps homoglyphs (Cyrillic, Greek, full width) and digit or
 symbol substitutions to letters and everything else to blanks; ``l``, ``i``, ``1`` and ``|`` fold
 alike, so ``1d1ot`` and ``idiot`` are one. The lexicon is learned from labelled rows: words and
-word beginnings (stems, which catch inflected forms) whose share of toxic documents is high get their
-smoothed log odds as weight. The terms found in a document add up, each term counting up to
-``REPEATS`` times, except inside an exception phrase; the sum is normalised by the logarithm of the
-length and mapped to a score by a logistic curve fitted on the same rows.
+word beginnings (stems, which catch inflected forms) that are over-represented in toxic documents
+are its terms, and a ridge logistic regression on their counts gives the weights, none below 0. The
+terms found in a document add up, each counting up to ``REPEATS`` times, except inside an exception
+phrase; the sum is normalised by the logarithm of the length and mapped to a score by a logistic
+curve fitted on the same rows.
 
 The labelled rows are bounded by ``max_rows`` (those of the smallest hash of doc_id).
 
@@ -28,9 +29,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import text as tx
 
 MAX_ROWS = 20_000
-MAX_TERMS = 5_000
-MIN_DOCS = 3
-MIN_SHARE = 0.8
+MAX_TERMS = 400
+MIN_DOCS = 4
+MIN_ODDS = 1.2
 STEM = 4
 REPEATS = 3
 #: Phrases in which a term is not meant as an insult.
@@ -83,27 +84,55 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string()), pa.array([toxic] * len(found), pa.int32())], names=["term", "toxic"])
 
 
-def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Term (a leading blank marks the beginning of a word) to weight; ``train`` has text and toxic."""
+def candidate_terms(train: DataFrame) -> list[str]:
+    """Terms with a leading blank, of which a chain of beginnings with like counts keeps one; at most ``MAX_TERMS``."""
     total = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not total.t or total.t == total.n:
-        return {}
+        return []
     counted = train.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_terms, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     odds = F.log((F.col("t") + 0.5) / (total.t + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (total.n - total.t + 1))
-    good = counted.filter((F.col("t") >= MIN_DOCS) & (F.col("t") >= MIN_SHARE * F.col("n"))).select("term", "t", "n", odds.alias("w")).filter("w > 2.0")
-    rows = {r.term: r for r in good.sort(F.desc("t"), "term").limit(20 * MAX_TERMS).collect()}
-    # of a chain of beginnings that the same documents share, the longest stands for all
-    chosen: dict[str, float] = {}
-    for term in sorted(rows, key=lambda x: (-rows[x].t, -len(x), x)):
-        stem = term.rstrip()
-        if any(stem[:n] in chosen or f"{stem[:n]} " in chosen for n in range(STEM, len(stem) + 1)):
+    good = counted.filter(F.col("t") >= MIN_DOCS).select("term", "t", odds.alias("w")).filter(F.col("w") >= MIN_ODDS)
+    rows = {r.term: r for r in good.sort(F.desc(F.col("t") * F.col("w")), "term").limit(20 * MAX_TERMS).collect()}
+    chosen: list[str] = []
+    for term in sorted(rows, key=lambda x: (-round(rows[x].t * rows[x].w, 6), -len(x), x)):
+        stem, own = term.rstrip(), rows[term]
+        # a longer term must be a good deal surer than a chosen beginning of it, a shorter one reach many more documents
+        if any(stem.startswith(c.rstrip()) and own.w < rows[c].w + 1.0 or c.startswith(stem) and own.t < 1.25 * rows[c].t for c in chosen):
             continue
-        if any(c.rstrip().startswith(stem) and rows[c].t >= 0.8 * rows[term].t for c in chosen):
-            continue
-        chosen[term] = rows[term].w
+        chosen.append(term)
         if len(chosen) >= MAX_TERMS:
             break
-    return {f" {k}": v for k, v in chosen.items()}
+    return [f" {c}" for c in chosen]
+
+
+def learn_lexicon(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> dict[str, float]:
+    """Term (a leading blank marks the beginning of a word) to weight; ``train`` has text and toxic."""
+    terms = sorted(candidate_terms(train))
+    if not terms:
+        return {}
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(dict.fromkeys(terms, 1.0), exceptions)
+        for batch in batches:
+            found = [found_terms(machine, t or "") for t in batch.column("text").to_pylist()]
+            at, n = [list(x[0]) for x in found], [[v / math.log2(4 + x[1]) for v in x[0].values()] for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["toxic", "at", "n"])
+
+    seen = train.mapInArrow(counts, "toxic int, at array<int>, n array<float>").toPandas()  # as many rows as the sample has
+    x = np.zeros((len(seen), len(terms) + 1))
+    x[:, -1] = 1
+    for i, (at, n) in enumerate(zip(seen["at"], seen["n"], strict=True)):
+        x[i, np.asarray(at, int)] = n
+    y, w = seen.toxic.to_numpy(float), np.zeros(len(terms) + 1)
+    ridge = np.full(len(w), 0.05)
+    ridge[-1] = 1e-6
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return {t: float(v) for t, v in zip(terms, w, strict=False) if v > 1e-3}
 
 
 def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
@@ -119,24 +148,26 @@ def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTION
     return out
 
 
-def matched(machine, text: str) -> tuple[float, int]:
-    """Sum of the weights found, and the number of words."""
+def found_terms(machine, text: str) -> tuple[dict[int, int], int]:
+    """How often each term was found, ``REPEATS`` at most, and the number of words."""
     folded = fold(text)
     times: dict[int, int] = {}
-    total = 0.0
     spans, hits = [], []
-    for end, (i, weight, size) in machine.iter(folded):
+    for end, (i, _, size) in machine.iter(folded):
         if i < 0:
             spans.append((end - size + 1, end))
         else:
-            hits.append((end, i, weight, size))
-    for end, i, weight, size in hits:
-        if any(a <= end - size + 1 and end <= b + 1 for a, b in spans):
-            continue
-        times[i] = times.get(i, 0) + 1
-        if times[i] <= REPEATS:
-            total += weight
-    return total, folded.count(" ")
+            hits.append((end, i, size))
+    for end, i, size in hits:
+        if not any(a <= end - size + 1 and end <= b for a, b in spans):
+            times[i] = min(times.get(i, 0) + 1, REPEATS)
+    return times, folded.count(" ")
+
+
+def matched(machine, weights: list[float], text: str) -> tuple[float, int]:
+    """Sum of the weights found, and the number of words."""
+    times, words = found_terms(machine, text)
+    return sum(weights[i] * n for i, n in times.items()), words
 
 
 def _normal(total: float, words: int) -> float:
@@ -173,12 +204,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, excep
     """doc_id, held_out, score, predicted."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = tx.written(training_rows(docs, labels, "toxic", max_rows).select("text", "toxic"), "toxicity-train")
-    lexicon = learn_lexicon(train)
+    lexicon = learn_lexicon(train, exceptions)
+    weights = [w for _, w in sorted(lexicon.items())]
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(lexicon, exceptions)
         for batch in batches:
-            x = [_normal(*matched(machine, t or "")) for t in batch.column("text").to_pylist()]
+            x = [_normal(*matched(machine, weights, t or "")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.float64())], names=["toxic", "x"])
 
     seen = train.mapInArrow(values, "toxic int, x double").toPandas()  # max_rows at most
@@ -187,7 +219,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, excep
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(lexicon, exceptions)
         for batch in batches:
-            x = np.array([_normal(*matched(machine, t or "")) for t in batch.column("text").to_pylist()])
+            x = np.array([_normal(*matched(machine, weights, t or "")) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(a + b * x, -500, 500))))], names=["doc_id", "score"])
 
     return docs.mapInArrow(scores, "doc_id long, score double").select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
