@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, toxicity
+from . import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontaminate": decontaminate.op7_decontaminate,
