@@ -151,6 +151,8 @@ def _entries(buckets: int):
                 if not len(v):
                     continue
                 marker = not known and bool(several[pick].any())
+                if marker:  # it has the number of chunks in the place of a document
+                    d = np.bincount(group)[group[pick]]
                 b = (d.view(np.uint64) if known else v) % np.uint64(buckets)
                 order = np.argsort(b, kind="stable")
                 b, v, t, d = b[order], v[order], t[order], d[order]
@@ -171,7 +173,7 @@ def _entries(buckets: int):
 
 
 def _shared(buckets: int, frequent: int):
-    """doc_id and minimiser of the entries whose minimiser occurs in two chunks at least."""
+    """doc_id and minimiser of the entries whose minimiser occurs in two chunks at least; frequent minimisers also in a row of their own."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -190,13 +192,17 @@ def _shared(buckets: int, frequent: int):
             head = np.append(True, cut[1:] != cut[:-1])
             group = np.cumsum(head) - 1
             fresh = head | np.append(True, tag[1:] != tag[:-1])
-            n = np.bincount(group, weights=fresh) + np.bincount(group, weights=marker)
+            n = np.bincount(group, weights=fresh) + np.bincount(group, weights=np.where(marker, doc - np.uint64(1), 0))
             keep = (n[group] > 1) & ~marker
             low = np.uint64(table.column("bucket")[0].as_py())
             docs.append(doc[keep])
             # the six bytes that were sent do not hold the whole value; what was cut off only adds candidates
-            values.append((cut[keep] * np.uint64(buckets) + low) & np.uint64((1 << 44) - 1))
-            many.append(n[group][keep] > frequent)
+            values.append(cut[keep] * np.uint64(buckets) + low)
+            many.append(np.zeros(keep.sum(), bool))
+            often = head & (n[group] > frequent)
+            docs.append(np.zeros(often.sum(), np.uint64))
+            values.append(cut[often] * np.uint64(buckets) + low)
+            many.append(np.ones(often.sum(), bool))
         doc = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
         value = np.concatenate(values) if values else np.zeros(0, np.uint64)
         return pa.table({"doc_id": pa.array(doc.view(np.int64)), "value": pa.array((value & np.uint64((1 << 44) - 1)).astype(np.int64)), "frequent": pa.array(np.concatenate(many) if many else np.zeros(0, bool))})
@@ -244,9 +250,11 @@ def _settle(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tuple[
         j = best.get(p)
         if j is None or docs[i] < docs[j]:
             best[p] = i
-    covered, left = [], sorted(best.values())
+    covered, left = [], []
     for i, p in enumerate(pieces):
-        if docs[i] > docs[best[p]]:
+        if docs[i] == docs[best[p]]:  # all places of a piece in its first document share their fate
+            left.append(i)
+        else:
             covered.append((int(docs[i]), int(starts[i]), int(starts[i]) + len(p) - SPAN + 1))
     if len(left) > 1:
         text = np.frombuffer(b"".join(pieces[i] for i in left) + b"\0" * 8, np.uint8)
@@ -380,8 +388,11 @@ def repeated_spans(docs: DataFrame, with_text: bool = False, frequent: int = FRE
     whole = profile.join(later, "doc_id").filter(F.size("covered") == F.size("chunks")).select("doc_id").distinct()
 
     entries = docs.mapInArrow(_entries(buckets), "bucket long, kind int, wide int, value binary, tag binary, doc binary")
-    shared = entries.groupBy("bucket").applyInArrow(_shared(buckets, frequent), "doc_id long, value long, frequent boolean")
-    open_values = shared.join(whole, "doc_id", "left_anti").groupBy("doc_id", "value").agg(F.max("frequent").alias("frequent"))
+    shared = tx.written(entries.groupBy("bucket").applyInArrow(_shared(buckets, frequent), "doc_id long, value long, frequent boolean").distinct(), "shared")
+    often = shared.filter("frequent").select("value").distinct().withColumn("frequent", F.lit(True))
+    asked = shared.filter("not frequent").select("doc_id", "value").join(whole, "doc_id", "left_anti")
+    # one value for FREQUENT chunks and more at most, so few; Spark broadcasts them where its own threshold allows
+    open_values = asked.join(often, "value", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
     by_doc = tx.written(open_values.groupBy("doc_id").agg(F.collect_list("value").alias("value"), F.collect_list("frequent").alias("frequent")), "shared-minimisers")
 
     asked = _only(docs, by_doc.select("doc_id")).dropDuplicates(["doc_id"]).join(by_doc, "doc_id").join(later, "doc_id", "left")
