@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
