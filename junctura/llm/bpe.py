@@ -185,7 +185,7 @@ def encode_decode(docs: DataFrame, path: str, words_apart: bool = True) -> DataF
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, found in units(batches):
-            ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(u[0]) // 4 for u in found)]), pa.array(np.frombuffer(b"".join(u[0] for u in found), "<i4")))
+            ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(u[0]) // 4 for u in found)]).astype(np.int32), pa.array(np.frombuffer(b"".join(u[0] for u in found), "<i4")))
             yield pa.RecordBatch.from_arrays([doc_id, ids, pa.array([u[1] for u in found], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(out, "doc_id long, ids array<int>, decoded string")
@@ -205,6 +205,19 @@ def encoding_digests(docs: DataFrame, path: str, words_apart: bool = True) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(out, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded_documents(docs: DataFrame, path: str, words_apart: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids, and a digest of the text that the ids decode to."""
+    units = _units(path, words_apart)
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, found in units(batches):
+            sizes = [len(u[0]) // 4 for u in found]
+            ids = pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), pa.array(np.frombuffer(b"".join(u[0] for u in found), "<i4")))
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(sizes, pa.int64()), ids, pa.array([hashlib.sha256(u[1].encode()).hexdigest() for u in found], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(out, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
