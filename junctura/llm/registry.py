@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_html_extraction": html_text.op3_html_extraction,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_pii": pii.op8_pii,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
