@@ -283,7 +283,7 @@ def _open_pieces(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[int, list[tuple[int, int, bytes, bool]]] = {}
+            found: list[tuple[int, int, int, bytes, bool]] = []
             for first, end, data, bounds in tx.text_slices(batch.column("text")):
                 s, raw = Slice(data, bounds), data.tobytes()
                 rows = batch.slice(first, end - first)
@@ -292,25 +292,25 @@ def _open_pieces(buckets: int):
                     if idx:
                         covered[s.chunk_first[r] + np.array(idx)] = True
                 least, a, b, chunk = s.runs(~covered)
-                low = (least & np.uint64((1 << 44) - 1)).astype(np.int64)
                 row = s.chunk_row[chunk]
-                at = np.searchsorted(row, np.arange(end - first + 1))
-                ids = rows.column("doc_id").to_pylist()
-                for r, (values, frequent) in enumerate(zip(rows.column("value").to_pylist(), rows.column("frequent").to_pylist(), strict=True)):
-                    if not values:
-                        continue
-                    often = dict(zip(values, frequent, strict=True))
-                    x, y = at[r], at[r + 1]
-                    for k in np.flatnonzero(np.isin(low[x:y], np.array(values))) + x:
-                        v = int(low[k])
-                        found.setdefault(v, []).append((ids[r], int(a[k] - bounds[r]), raw[a[k] : b[k] + SPAN - 1], often[v]))
+                # the minimisers asked for, as (row, value) pairs, against those of the runs
+                asked, often = rows.column("value"), rows.column("frequent")
+                counts = np.diff(asked.offsets.to_numpy())
+                values = asked.flatten().to_numpy(zero_copy_only=False)
+                wanted = _pair(np.repeat(np.arange(end - first), counts), values)
+                order = np.argsort(wanted)
+                have = _pair(row, (least & np.uint64((1 << 44) - 1)).astype(np.int64))
+                at = np.minimum(np.searchsorted(wanted[order], have), max(len(wanted) - 1, 0))
+                hit = np.flatnonzero(wanted[order][at] == have) if len(wanted) else np.zeros(0, np.int64)
+                many = often.flatten().to_numpy(zero_copy_only=False)[order][at[hit]] if len(hit) else []
+                ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+                found += zip((least[hit] & np.uint64((1 << 44) - 1)).tolist(), ids[row[hit]].tolist(), (a[hit] - bounds[row[hit]]).tolist(), [raw[x : y + SPAN - 1] for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True)], list(many), strict=True)
             out = []
-            for v, items in found.items():
-                docs, starts = np.array([i[0] for i in items]), np.array([i[1] for i in items])
-                left, covered = _settle(docs, starts, [i[2] for i in items])
+            if found:
+                left, covered = _settle(np.array([i[1] for i in found]), np.array([i[2] for i in found]), [i[3] for i in found])
                 out += [(None, None, d, x, y - x, None) for d, x, y in covered]
                 for i in left:
-                    d, x, p, often = items[i]
+                    v, d, x, p, often = found[i]
                     if often:
                         out += [(int(_piece_hash(p[j : j + SPAN]) % buckets), v, d, x + j, 1, p[j : j + SPAN]) for j in range(len(p) - SPAN + 1)]
                     else:
@@ -322,6 +322,11 @@ def _open_pieces(buckets: int):
     return run
 
 
+def _pair(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """One number for a row of a slice and a 44-bit value; rows of a slice are below 2 ** 20."""
+    return row.astype(np.int64) << 44 | value
+
+
 def _piece_hash(piece: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(piece, digest_size=7).digest(), "little")
 
