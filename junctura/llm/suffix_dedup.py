@@ -38,6 +38,8 @@ CHUNK_MASK = np.uint64(127)
 #: A minimiser of more chunks than this is dealt window by window.
 FREQUENT = 20_000
 BUCKET_BYTES = 16 << 20
+#: Windows that a task sorts at a time, and pieces that it holds.
+SORTED_WINDOWS, HELD_PIECES = 300_000, 100_000
 BROADCAST_IDS = 1_000_000
 
 
@@ -240,7 +242,7 @@ def _previous_factors(text: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.n
     return out
 
 
-def _settle(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tuple[list[int], list[tuple[int, int, int]]]:
+def _settle(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], values: np.ndarray) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Indices of the pieces that stay open, and (doc, first window, end window) found to be covered.
 
     Equal pieces are settled by their smallest document; the windows of the distinct ones by their suffixes.
@@ -256,25 +258,42 @@ def _settle(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tuple[
             left.append(i)
         else:
             covered.append((int(docs[i]), int(starts[i]), int(starts[i]) + len(p) - SPAN + 1))
-    if len(left) > 1:
-        text = np.frombuffer(b"".join(pieces[i] for i in left) + b"\0" * 8, np.uint8)
-        sizes = np.array([len(pieces[i]) for i in left])
-        offset = np.cumsum(sizes) - sizes
-        count = sizes - SPAN + 1
-        owner = np.repeat(np.arange(len(left)), count)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        hit = _previous_factors(text, offset[owner] + within, docs[left][owner])
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (hit & True).astype(np.int8), [0]])) != 0)
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            while a < b:  # a stretch may go on into the next piece
-                o = owner[a]
-                end = min(b, int(np.searchsorted(owner, o, "right")))
-                i = left[o]
-                covered.append((int(docs[i]), int(starts[i] + within[a]), int(starts[i] + within[a]) + end - a))
-                a = end
+    # equal windows have equal minimisers, so the minimisers are sorted apart, some at a time
+    order = np.array(left, np.int64)[np.argsort(values[left], kind="stable")] if left else np.zeros(0, np.int64)
+    count = np.array([len(pieces[i]) - SPAN + 1 for i in order], np.int64)
+    head = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1])[: len(order)])
+    groups = np.append(head, len(order))
+    upto, first = np.concatenate([[0], np.cumsum(count)]), 0
+    for g in range(len(head)):
+        if upto[groups[g + 1]] - upto[groups[first]] >= SORTED_WINDOWS or g == len(head) - 1:
+            block = order[groups[first] : groups[g + 1]]
+            first = g + 1
+            if len(block) > 1 and max(len(pieces[i]) for i in block) > SPAN:  # single windows are settled by the pieces
+                covered += _settled_windows(docs[block], starts[block], [pieces[i] for i in block])
     return left, covered
 
 
+def _settled_windows(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> list[tuple[int, int, int]]:
+    """(doc, first window, end window) of the windows that an earlier document of these has."""
+    text = np.frombuffer(b"".join(pieces) + b"\0" * 8, np.uint8)
+    sizes = np.array([len(p) for p in pieces])
+    offset = np.cumsum(sizes) - sizes
+    count = sizes - SPAN + 1
+    owner = np.repeat(np.arange(len(pieces)), count)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    hit = _previous_factors(text, offset[owner] + within, docs[owner])
+    flags = np.concatenate([[0], hit.astype(np.int8), [0]])
+    edge = np.flatnonzero(flags[1:] != flags[:-1])
+    out = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        while a < b:  # a stretch may go on into the next piece
+            o = owner[a]
+            end = min(b, int(np.searchsorted(owner, o, "right")))
+            out.append((int(docs[o]), int(starts[o] + within[a]), int(starts[o] + within[a]) + end - a))
+            a = end
+    return out
+
+
 PIECES = "bucket long, value long, doc_id long, start int, n_windows int, piece binary"
 
 
@@ -305,23 +324,29 @@ def _open_pieces(buckets: int):
                 many = often.flatten().to_numpy(zero_copy_only=False)[order][at[hit]] if len(hit) else []
                 ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
                 found += zip((least[hit] & np.uint64((1 << 44) - 1)).tolist(), ids[row[hit]].tolist(), (a[hit] - bounds[row[hit]]).tolist(), [raw[x : y + SPAN - 1] for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True)], list(many), strict=True)
-            out = []
+                if len(found) >= HELD_PIECES:
+                    yield from _emitted(found, buckets)
+                    found = []
             if found:
-                left, covered = _settle(np.array([i[1] for i in found]), np.array([i[2] for i in found]), [i[3] for i in found])
-                out += [(None, None, d, x, y - x, None) for d, x, y in covered]
-                for i in left:
-                    v, d, x, p, often = found[i]
-                    if often:
-                        out += [(int(_piece_hash(p[j : j + SPAN]) % buckets), v, d, x + j, 1, p[j : j + SPAN]) for j in range(len(p) - SPAN + 1)]
-                    else:
-                        out.append((v % buckets, v, d, x, len(p) - SPAN + 1, p))
-            for k in range(0, len(out), 50_000):
-                cols = list(zip(*out[k : k + 50_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], names=["bucket", "value", "doc_id", "start", "n_windows", "piece"])
+                yield from _emitted(found, buckets)
 
     return run
 
 
+def _emitted(found: list[tuple[int, int, int, bytes, bool]], buckets: int) -> Iterator[pa.RecordBatch]:
+    left, covered = _settle(np.array([i[1] for i in found]), np.array([i[2] for i in found]), [i[3] for i in found], np.array([i[0] for i in found]))
+    out = [(None, None, d, x, y - x, None) for d, x, y in covered]
+    for i in left:
+        v, d, x, p, often = found[i]
+        if often:
+            out += [(int(_piece_hash(p[j : j + SPAN]) % buckets), v, d, x + j, 1, p[j : j + SPAN]) for j in range(len(p) - SPAN + 1)]
+        else:
+            out.append((v % buckets, v, d, x, len(p) - SPAN + 1, p))
+    for k in range(0, len(out), 50_000):
+        cols = list(zip(*out[k : k + 50_000], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], names=["bucket", "value", "doc_id", "start", "n_windows", "piece"])
+
+
 def _pair(row: np.ndarray, value: np.ndarray) -> np.ndarray:
     """One number for a row of a slice and a 44-bit value; rows of a slice are below 2 ** 20."""
     return row.astype(np.int64) << 44 | value
@@ -335,7 +360,7 @@ def _covered(table: pa.Table) -> pa.Table:
     docs, starts = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
     if table.column("piece").null_count:
         return pa.table({"doc_id": pa.array(docs), "start": pa.array(starts), "n_windows": table.column("n_windows")})
-    _, out = _settle(docs, starts, table.column("piece").to_pylist())
+    _, out = _settle(docs, starts, table.column("piece").to_pylist(), table.column("value").to_numpy())
     cols = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int32()), "n_windows": pa.array([b - a for a, b in zip(cols[1], cols[2], strict=True)], pa.int32())})
 
