@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import splicing
+
+QUERIES: dict = {**splicing.QUERIES}
+ORACLE_SQL: dict[str, str] = {**splicing.ORACLE_SQL}
