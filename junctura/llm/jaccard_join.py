@@ -12,9 +12,11 @@ is common to many sets without a reason.
 
 Candidates are pruned exactly: a set whose shingles that no other candidate has outnumber what a partner
 may lack can have no partner. The rest is compared with the smallest doc_id of each signature group
-(a star, linear in the group); where links leave a group in more than one component, pairs
-across components whose sizes and private shingles allow a link are compared too. Comparison is the
-exact intersection of sets of 64-bit shingle hashes.
+(a star, linear in the group), which also yields what each set has inside and outside that leader.
+Where links leave a group in more than one component, a pair across components is compared only
+if its common part can be large enough: at most the smaller part inside the leader and, if the two share anything
+outside it, the smaller public part there. Comparison is the exact intersection of sets of 64-bit
+shingle hashes.
 
 Defined cases: null or wordless text has an empty set and links with nothing; rows that repeat a
 doc_id count as one document if their texts agree; extra columns are ignored; empty tables give an empty result.
@@ -34,6 +36,8 @@ from .graph import components
 LEVELS = 3
 #: Ids of candidates are broadcast up to this number, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Shingles of the corpus for each bucket of signatures.
+BUCKET_SHINGLES = 3_000_000
 
 
 def bands(top: int, num: int, den: int) -> np.ndarray:
@@ -91,21 +95,78 @@ def _set_key(rows: np.ndarray, hashes: np.ndarray, n: int, seed: int) -> np.ndar
     return tx.mix(out)
 
 
-def _signed(width: int, num: int, den: int):
+def _profiled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, bounds in tx.text_slices(batch.column("text")):
                 n = end - first
                 rows, hashes = tx.distinct_shingles(data, bounds, width)
-                sizes = np.bincount(rows, minlength=n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), pa.array(sizes, pa.int64()), pa.array(_set_key(rows, hashes, n, 11).view(np.int64)), pa.array(_set_key(rows, hashes, n, 17).view(np.int64)), _lists(*_signatures(rows, hashes, sizes, num, den), n)],
-                    names=["doc_id", "n_shingles", "key1", "key2", "sigs"],
+                    [batch.column("doc_id").slice(first, n), pa.array(np.bincount(rows, minlength=n), pa.int64()), pa.array(_set_key(rows, hashes, n, 11).view(np.int64)), pa.array(_set_key(rows, hashes, n, 17).view(np.int64))],
+                    names=["doc_id", "n_shingles", "key1", "key2"],
                 )
 
     return run
 
 
+def _dealt(width: int, num: int, den: int, buckets: int):
+    """Signatures in packed rows by bucket. A signature of two documents of the batch goes out once as a mark; its documents are dealt by their id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, docs = [], []
+            for first, end, data, bounds in tx.text_slices(batch.column("text")):
+                rows, hashes = tx.distinct_shingles(data, bounds, width)
+                r, g = _signatures(rows, hashes, np.bincount(rows, minlength=end - first), num, den)
+                sigs.append(g)
+                docs.append(batch.column("doc_id").slice(first, end - first).to_numpy(zero_copy_only=False)[r])
+            if not sigs:
+                continue
+            sig, doc = np.concatenate(sigs), np.concatenate(docs)
+            order = np.lexsort((doc, sig))
+            sig, doc = sig[order], doc[order]
+            new = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))[: len(sig)]
+            sig, doc = sig[new], doc[new]
+            head = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
+            several = np.bincount(np.cumsum(head) - 1, minlength=1)[np.cumsum(head) - 1] > 1
+            for kind, pick in ((0, ~several), (1, several & head), (2, several)):
+                g, d = sig[pick], doc[pick]
+                b = (d.view(np.uint64) if kind == 2 else g) % np.uint64(buckets)
+                order = np.argsort(b, kind="stable")
+                b, g, d = b[order], g[order], d[order]
+                at = np.flatnonzero(np.append(True, b[1:] != b[:-1])[: len(b)])
+                ends = np.append(at[1:], len(b))[: len(at)]
+                small = len(d) > 0 and 0 <= d.min() and d.max() < 2**32
+                d = d.astype("<u4" if small else "<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(b[at].astype(np.int64)), pa.array(np.full(len(at), kind), pa.int32()), pa.array(np.full(len(at), small), pa.bool_()),
+                        pa.array([g[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()), pa.array([b"" if kind == 1 else d[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
+                    ],
+                    names=["bucket", "kind", "small", "sigs", "docs"],
+                )
+
+    return run
+
+
+def _meeting(table: pa.Table) -> pa.Table:
+    """sig and doc_id of the signatures that more than one document has."""
+    sig, doc, kind = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for r in table.to_pylist():
+        g = np.frombuffer(r["sigs"], "<u8")
+        sig.append(g)
+        doc.append(np.zeros(len(g), np.int64) if r["kind"] == 1 else np.frombuffer(r["docs"], "<u4" if r["small"] else "<i8").astype(np.int64))
+        kind.append(np.full(len(g), r["kind"], np.int32))
+    sig, doc, kind = np.concatenate(sig), np.concatenate(doc), np.concatenate(kind)
+    order = np.argsort(sig, kind="stable")
+    order = order[kind[order] < 2]
+    s = sig[order]
+    head = np.append(True, s[1:] != s[:-1])[: len(s)]
+    n = np.bincount(np.cumsum(head) - 1, minlength=1)[np.cumsum(head) - 1] if len(s) else np.zeros(0, int)
+    keep = np.concatenate([order[(n > 1) & (kind[order] == 0)], np.flatnonzero(kind == 2)])
+    return pa.table({"sig": pa.array(sig[keep].view(np.int64)), "doc_id": pa.array(doc[keep])})
+
+
 def _shingle_lists(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,23 +176,24 @@ def _shingle_lists(width: int):
     return run
 
 
-def _similar(num: int, den: int):
-    """Keeps the pairs whose sets are similar; both lists are sorted and distinct."""
+def _compared(num: int, den: int):
+    """Adds the size of the intersection, what a has outside b, and whether the sets are similar; lists are sorted and distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
+            common, outside, similar = [], [], []
             a, b = batch.column("a_set"), batch.column("b_set")
             ao, bo = a.offsets.to_numpy(), b.offsets.to_numpy()
             av, bv = a.values.to_numpy(), b.values.to_numpy()
             for i in range(len(batch)):
                 x, y = av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = den * common >= num * (len(x) + len(y) - common) and common > 0
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+                out = x[~np.isin(x, y, assume_unique=True, kind="sort")]
+                n = len(x) - len(out)
+                common.append(n)
+                outside.append(out)
+                similar.append(n > 0 and den * n >= num * (len(x) + len(y) - n))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, outside)]).astype(np.int32), pa.array(np.concatenate([*outside, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), lists, pa.array(similar, pa.bool_())], names=["a", "b", "common", "outside", "similar"])
 
     return run
 
@@ -139,14 +201,16 @@ def _similar(num: int, den: int):
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (documents of the same set)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = tx.written(docs.mapInArrow(_signed(width, num, den), "doc_id long, n_shingles long, key1 long, key2 long, sigs array<long>"), "signed")
+    signed = tx.written(docs.mapInArrow(_profiled(width), "doc_id long, n_shingles long, key1 long, key2 long"), "signed")
     one = signed.filter("n_shingles > 0")
     classes = one.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    member = tx.written(one.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["n_shingles", "key1", "key2"]).select("doc_id", "n_shingles", "rep", "n_copies"), "members")
-    reps = member.filter("doc_id = rep").select("doc_id").distinct()
-    rows = signed.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("sigs").alias("sig"))
-    groups = rows.groupBy("sig").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").select("sig", "leader")
-    shared = tx.written(rows.join(groups, "sig").select("sig", "leader", "doc_id").distinct(), "shared")
+    member = tx.written(one.join(classes, ["n_shingles", "key1", "key2"]).select("doc_id", "n_shingles", "rep", "n_copies"), "members")
+    copies = member.filter("doc_id <> rep").select("doc_id").distinct()
+    originals = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
+    shingles = one.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(24, int(shingles) // BUCKET_SHINGLES)
+    dealt = originals.mapInArrow(_dealt(width, num, den, buckets), "bucket long, kind int, small boolean, sigs binary, docs binary")
+    shared = tx.written(dealt.groupBy("bucket").applyInArrow(_meeting, "sig long, doc_id long"), "shared")
 
     candidates = tx.written(shared.select("doc_id").distinct(), "candidates")
     n = candidates.count()
@@ -161,32 +225,29 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         "able",
     )
     facts = able.select("doc_id", "n", "public")
-    live = tx.written(shared.select("sig", "doc_id").join(facts, "doc_id"), "live")
-
-    def may_link(a: str, b: str):
-        """The shared part is at most what is public in either, and at least num / (num + den) of both sizes."""
-        most = F.least(F.col(f"{a}.public"), F.col(f"{b}.public"))
-        return most * (num + den) >= num * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    live = tx.written(shared.distinct().join(facts, "doc_id"), "live")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         a = able.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set"))
         b = able.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar(num, den), "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(_compared(num, den), "a long, b long, common long, outside array<long>, similar boolean")
 
-    head = live.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "public")).alias("x")).select("sig", F.col("x.doc_id").alias("doc_id"), F.col("x.n").alias("n"), F.col("x.public").alias("public"))
-    star = live.alias("m").join(head.alias("h"), "sig").filter("m.doc_id <> h.doc_id").filter(may_link("m", "h")).select(F.col("m.doc_id").alias("a"), F.col("h.doc_id").alias("b")).distinct()
-    first = tx.written(linked(star), "links")
+    head = live.groupBy("sig").agg(F.min("doc_id").alias("head"))
+    led = live.join(head, "sig")
+    star = tx.written(compared(led.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()), "star")
+    first = star.filter("similar").select("a", "b")
     label = tx.written(components(first), "labels")
 
     # groups whose members do not all lie in one component yet
-    named = tx.written(live.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "named")
-    open_groups = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("head")).filter("lo < hi").select("sig", "head")
-    rest = named.join(open_groups, "sig").filter("doc_id <> head")
+    named = tx.written(led.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "named")
+    mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
+    rest = named.filter("doc_id <> head").join(mixed, "sig").join(star.select(F.col("a").alias("doc_id"), F.col("b").alias("head"), "common", "outside"), ["doc_id", "head"]).withColumn("beyond", F.col("public") - F.col("common"))
     x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & may_link("x", "y"))
-    pairs = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    second = tx.written(linked(pairs), "links")
-    links = first.unionByName(second)
+    need, inside = num * (F.col("x.n") + F.col("y.n")), F.least("x.common", "y.common")
+    may_link = (inside * (num + den) >= need) | (((inside + F.least("x.beyond", "y.beyond")) * (num + den) >= need) & F.arrays_overlap("x.outside", "y.outside"))
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & may_link)
+    second = compared(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()).filter("similar").select("a", "b")
+    links = tx.written(first.unionByName(second), "links")
     final = components(links)
     classed = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "n_copies")
     empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
