@@ -27,84 +27,102 @@ from . import text as tx
 
 NUM, DEN = 4, 5
 MIN_WORDS = 5
-BITS = 16
+BITS = 18
+#: A line's number is doc_id * 2 ** PLACE_BITS + place, so numbers are ordered as lines are.
+PLACE_BITS = 21
 BROADCAST_IDS = 1_000_000
+_LOW = (1 << 56) - 1
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+def _plain_blanks(text: str) -> Column:
+    """The text with other white space of a line as blanks; most texts have none and are not copied."""
+    odd = ["\t", "\r", "\x0b", "\x0c"]
+    has = F.contains(text, F.lit(odd[0]))
+    for c in odd[1:]:
+        has |= F.contains(text, F.lit(c))
+    return F.when(has, F.translate(text, "".join(odd), "    ")).otherwise(F.col(text))
 
 
-def _words(line: str) -> Column:
-    return F.split(F.trim(F.translate(F.lower(line), "\t\r\x0b\x0c", "    ")), " +")
+def _lines(docs: DataFrame) -> DataFrame:
+    """id and line; a place beyond 2 ** PLACE_BITS stops the job rather than mix up lines."""
+    rows = docs.select("doc_id", F.posexplode(F.split(F.lower(_plain_blanks("text")), "\n")).alias("place", "line"))
+    fits = F.assert_true((F.col("place") < (1 << PLACE_BITS)) & (F.abs("doc_id") < (1 << (62 - PLACE_BITS))), "a document of too many lines, or a doc_id out of range")
+    return rows.select((F.col("doc_id") * (1 << PLACE_BITS) + F.col("place") + F.coalesce(fits.cast("long"), F.lit(0))).alias("id"), "line")
 
 
 def _levels(docs: DataFrame) -> Column:
-    """The rarity level of each counter, as one literal array."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[ \t\r\n\x0b\x0c]+")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(1 << BITS)).cast("int").alias("slot")).agg(F.floor(4 * F.log2(F.count(F.lit(1)))).cast("int").alias("level"))
-    found = [0] * (1 << BITS)
-    for r in counts.collect():  # 2 ** BITS rows at most
-        found[r.slot] = min(r.level, 126)
-    return F.split(F.lit(",".join(map(str, found))), ",").cast("array<bigint>")
+    """The rarity level of each counter, as one literal array of 2 ** BITS numbers."""
+    words = docs.select(F.explode(F.split(F.translate(F.lower(_plain_blanks("text")), "\n", " "), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("slot")).agg(F.least(F.lit(120), 1 + F.floor(4 * F.log2(F.count(F.lit(1))))).cast("int").alias("level"))
+    # 2 ** BITS rows at most, packed by the JVM; a counter without words is never looked up
+    some = counts.groupBy((F.col("slot") / 4096).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "level"))).alias("m"))
+    parts = some.select("part", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.coalesce(F.try_element_at("m", (i + F.col("part") * 4096).cast("int")), F.lit(0)).cast("string")), ",").alias("levels"))
+    found = {r.part: r.levels for r in parts.collect()}
+    none = ",".join(["0"] * 4096)
+    text = ",".join(found.get(i, none) for i in range((1 << BITS) // 4096))
+    return F.split(F.lit(text), ",").cast("array<bigint>")
 
 
 def _keys(line: str, levels: Column) -> Column:
     """The distinct words of a line as numbers, the rarest first."""
-    hashes = F.transform(F.filter(_words(line), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.element_at(levels, (F.pmod(h, F.lit(1 << BITS)) + 1).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    slot = lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, slot(h)), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
 
 
 def _parity(keys: str) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", k, F.lit(32)).bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def similar_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, place) of the lines that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     levels = _levels(docs)
-    keyed = _lines(docs).select("doc_id", "place", _keys("line", levels).alias("keys")).filter(F.size("keys") >= min_words)
+    keyed = _lines(docs).select("id", _keys("line", levels).alias("keys")).filter(F.size("keys") >= min_words)
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * num / F.lit(float(den)) - 1e-9).cast("int") + 1)
-    facts = keyed.select(F.xxhash64("keys").alias("set"), n.alias("n"), F.struct("doc_id", "place").alias("at"), prefix.alias("prefix"), _parity("keys").alias("parity"))
-    members = facts.select("set", "n", "at")
-    classes = facts.groupBy("set", "n").agg(F.min(F.struct("at", "parity", "prefix")).alias("x"))
-    rows = classes.select("set", "n", F.col("x.at").alias("at"), F.col("x.parity").alias("parity"), F.posexplode("x.prefix").alias("i", "word"))
+    # in a prefix a word is known by 32 bits: words that fall together only add candidates
+    short = F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    facts = tx.written(keyed.select("id", F.xxhash64("keys").alias("set"), n.alias("n"), _parity("keys").alias("parity"), short.alias("prefix")), "lines")
+    classes = facts.groupBy("set", "n").agg(F.min(F.struct("id", "parity", "prefix")).alias("x"))
+    rows = classes.select(F.col("x.id").alias("id"), "n", F.col("x.parity").alias("parity"), F.posexplode("x.prefix").alias("i", "word"))
     group = Window.partitionBy("word")
-    met = rows.withColumn("size", F.count(F.lit(1)).over(group)).withColumn("lead", F.min(F.struct("at", "set", "n", "parity", "i")).over(group)).filter("size > 1")
-    met = tx.written(met, "met")
+    met = rows.withColumn("size", F.count(F.lit(1)).over(group)).withColumn("lead", F.min(F.struct("id", "n", "parity", "i")).over(group)).filter("size > 1")
+    met = tx.written(met.select("word", "id", "n", "parity", "i", (F.col("size") > 2).alias("more"), "lead"), "met")
 
     def may_match(x: str, y: str) -> Column:
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
-        need = num * (nx + ny)
-        left = 1 + F.least(nx - F.col(f"{x}i"), ny - F.col(f"{y}i")) - 1
+        left = F.least(nx - F.col(f"{x}i"), ny - F.col(f"{y}i"))
         differ = F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity")))
         # symmetric difference <= (nx + ny) (den - num) / (den + num)
-        return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (left * (num + den) >= need) & (differ * (num + den) <= (den - num) * (nx + ny))
+        return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (left * (num + den) >= num * (nx + ny)) & (differ * (num + den) <= (den - num) * (nx + ny))
 
-    first = tx.written(met.filter(F.col("set") != F.col("lead.set")).filter(may_match("", "lead.")).select("set", "at", F.col("lead.set").alias("other"), F.col("lead.at").alias("other_at")).distinct(), "line-pairs")
+    first = tx.written(met.filter(F.col("id") != F.col("lead.id")).filter(may_match("", "lead.")).select("id", F.col("lead.id").alias("other")).distinct(), "line-pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The classes of ``set`` that are similar to ``other``."""
-        wanted = tx.written(pairs.select("set", "at").unionByName(pairs.select(F.col("other").alias("set"), F.col("other_at").alias("at"))).distinct().select("set", "at.doc_id", "at.place"), "wanted")
-        ids = wanted.select("doc_id").distinct()
+        """The lines of ``id`` that are similar to their ``other``."""
+        wanted = tx.written(pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "wanted")
+        ids = tx.written(wanted.select(F.floor(F.col("id") / (1 << PLACE_BITS)).cast("long").alias("doc_id")).distinct(), "wanted-documents")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        again = _lines(docs.join(ids, "doc_id", "left_semi")).join(wanted, ["doc_id", "place"]).select("set", _keys("line", levels).alias("keys")).dropDuplicates(["set"])
+        lines = _lines(docs.join(ids, "doc_id", "left_semi"))
+        again = lines.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi").select("id", _keys("line", levels).alias("keys"))
         sets = tx.written(again, "line-sets")
-        a, b = sets.withColumnsRenamed({"keys": "a"}), sets.withColumnsRenamed({"set": "other", "keys": "b"})
+        a, b = sets.withColumnsRenamed({"keys": "a"}), sets.withColumnsRenamed({"id": "other", "keys": "b"})
         both = F.size(F.array_intersect("a", "b"))
-        return pairs.select("set", "other").join(a, "set").join(b, "other").filter(both * (num + den) >= num * (F.size("a") + F.size("b"))).select("set").distinct()
-
-    settled = tx.written(verified(first), "settled")
-    rest = met.filter("size > 2").join(settled, "set", "left_anti").filter(F.col("set") != F.col("lead.set")).select("word", *[F.col(c).alias(f"x_{c}") for c in ("set", "at", "n", "parity", "i")])
-    others = met.filter("size > 2").filter(F.col("set") != F.col("lead.set")).select("word", *[F.col(c).alias(f"y_{c}") for c in ("set", "at", "n", "parity", "i")])
-    second = rest.join(others, "word").filter((F.col("y_at") < F.col("x_at")) & may_match("x_", "y_")).select(F.col("x_set").alias("set"), F.col("x_at").alias("at"), F.col("y_set").alias("other"), F.col("y_at").alias("other_at")).distinct()
-    second = tx.written(second, "line-pairs")
-    gone = tx.written(settled.unionByName(verified(second)).distinct().withColumn("gone", F.lit(True)), "gone")
+        return pairs.join(a, "id").join(b, "other").filter(both * (num + den) >= num * (F.size("a") + F.size("b"))).select("id").distinct()
+
+    settled = tx.written(verified(first), "settled").withColumn("done", F.lit(True))
+    rest = met.filter(F.col("more") & (F.col("id") != F.col("lead.id"))).drop("lead", "more")
+    rest = rest.join(F.broadcast(settled) if settled.count() <= BROADCAST_IDS else settled, "id", "left")
+    x, y = rest.alias("x"), rest.alias("y")
+    second = x.join(y, (F.col("x.word") == F.col("y.word")) & F.col("x.done").isNull() & (F.col("y.id") < F.col("x.id")) & may_match("x.", "y."))
+    second = tx.written(second.select(F.col("x.id").alias("id"), F.col("y.id").alias("other")).distinct(), "line-pairs")
+    gone = settled.select("id").unionByName(verified(second)).distinct().select(F.col("id").alias("head"), F.lit(True).alias("gone"))
     # every later member of a class goes, and the first one, too, if the class is similar to an earlier one
-    heads = members.groupBy("set", "n").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("members"))
-    touched = heads.join(gone, "set", "left").filter((F.col("members") > 1) | F.col("gone"))
-    return members.join(touched, ["set", "n"]).filter((F.col("at") > F.col("head")) | F.col("gone")).select("at.doc_id", "at.place")
+    heads = facts.groupBy("set", "n").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members"))
+    touched = tx.written(heads.join(gone, "head", "left").filter((F.col("members") > 1) | F.col("gone")), "touched")
+    drop = facts.select("id", "set", "n").join(touched, ["set", "n"]).filter((F.col("id") > F.col("head")) | F.col("gone"))
+    return drop.select(F.floor(F.col("id") / (1 << PLACE_BITS)).cast("long").alias("doc_id"), F.pmod("id", F.lit(1 << PLACE_BITS)).cast("int").alias("place"))
 
 
 def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
