@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import text as tx
 
 SPAN = 50
-GRAM = 16
+GRAM = 22
 CHUNK_MASK = np.uint64(127)
 #: A minimiser of more chunks than this is dealt window by window.
 FREQUENT = 20_000
