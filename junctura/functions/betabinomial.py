@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
 
@@ -89,16 +89,14 @@ def _valid(*columns: pd.Series) -> np.ndarray:
     return ~np.any([c.isna().to_numpy() for c in columns], axis=0)
 
 
-@F.pandas_udf("double")
-def bb_p_value(k: pd.Series, n: pd.Series, mu: pd.Series, rho: pd.Series) -> pd.Series:
+def _bb_p_value(k: pd.Series, n: pd.Series, mu: pd.Series, rho: pd.Series) -> pd.Series:
     ok = _valid(k, n, mu, rho)
     out = np.full(len(k), np.nan)
     out[ok] = two_sided(*(x.to_numpy(float)[ok] for x in (k, n, mu, rho)))
     return pd.Series(out)  # NaN becomes NULL
 
 
-@F.pandas_udf("double")
-def binomial_p_value(k: pd.Series, n: pd.Series, mu: pd.Series) -> pd.Series:
+def _binomial_p_value(k: pd.Series, n: pd.Series, mu: pd.Series) -> pd.Series:
     """The same test with a binomial, the limit of no over-dispersion."""
     ok = _valid(k, n, mu)
     out = np.full(len(k), np.nan)
@@ -117,8 +115,7 @@ def binomial_p_value(k: pd.Series, n: pd.Series, mu: pd.Series) -> pd.Series:
     return pd.Series(out)  # NaN becomes NULL
 
 
-@F.pandas_udf("double")
-def normal_p_value(z: pd.Series) -> pd.Series:
+def _normal_p_value(z: pd.Series) -> pd.Series:
     """Two-sided p-value of a standard normal."""
     return z.astype(float).map(lambda v: math.nan if v != v else math.erfc(abs(v) / math.sqrt(2)))
 
@@ -144,3 +141,16 @@ def fit_rho(k: np.ndarray, n: np.ndarray, mu: np.ndarray, low: float = -30, high
         c, d = b - g * (b - a), a + g * (b - a)
         fc, fd = loss(c), loss(d)
     return 1 / (1 + np.exp(-(a + b) / 2))
+
+
+def bb_p_value(*columns) -> Column:
+    """Two-sided beta-binomial p-value of columns k, n, mu, rho."""
+    return F.pandas_udf(_bb_p_value, "double")(*columns)
+
+
+def binomial_p_value(*columns) -> Column:
+    return F.pandas_udf(_binomial_p_value, "double")(*columns)
+
+
+def normal_p_value(z) -> Column:
+    return F.pandas_udf(_normal_p_value, "double")(z)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import splicing
+from . import annotated, fits, splicing
 
-QUERIES: dict = {**splicing.QUERIES}
-ORACLE_SQL: dict[str, str] = {**splicing.ORACLE_SQL}
+QUERIES: dict = {**splicing.QUERIES, **annotated.QUERIES, **fits.QUERIES}
+ORACLE_SQL: dict[str, str] = {**splicing.ORACLE_SQL, **annotated.ORACLE_SQL}

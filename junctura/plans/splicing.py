@@ -175,7 +175,7 @@ t AS (SELECT junction_id, sample_id, start_id, end_id, strand, seqname, start, "
 ab AS (SELECT *, mu * (1 - rho) / rho AS a, (1 - mu) * (1 - rho) / rho AS b FROM t),
 pm AS (SELECT junction_id, sample_id, k, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + lgamma(i + a) + lgamma(n - i + b) - lgamma(n + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b)) AS f FROM ab, unnest(generate_series(0::BIGINT, k::BIGINT)) AS u(i) WHERE mu > 0 AND mu < 1),
 pc AS (SELECT junction_id, sample_id, sum(f) AS cdf, sum(f) FILTER (i = k) AS f FROM pm GROUP BY ALL),
-pv AS (SELECT t.*, round(2 * least(least(cdf, 1), 1 - cdf + f, 0.5), 9) AS p FROM t LEFT JOIN pc USING (junction_id, sample_id)),
+pv AS (SELECT t.*, round(2 * least(least(cdf, 1), 1 - cdf + f, 0.5), 6) AS p FROM t LEFT JOIN pc USING (junction_id, sample_id)),
 five AS (SELECT *, CASE WHEN strand = '-' THEN end_id ELSE start_id END AS index FROM pv),
 fw AS (SELECT *, CASE WHEN count(p) OVER w > 0 THEN least(1.0, count(p) OVER w * min(p) OVER w) END AS p_site FROM five WINDOW w AS (PARTITION BY sample_id, index)),
 gene AS (SELECT junction_id, 'g' || (start_id % 8) AS gene FROM junctions UNION SELECT junction_id, 'h' || (end_id % 5) FROM junctions)"""
@@ -194,7 +194,7 @@ def tested(spark, sf_dir):
     mu = cells.groupBy("junction_id").agg(metrics.ratio(F.sum("k"), F.sum("n_jaccard")).alias("mu"))
     cells = cells.join(mu, "junction_id").withColumn("rho", F.lit(0.02) + F.col("junction_id") % 7 * 0.01).withColumnRenamed("n_jaccard", "n")
     inside = (F.col("mu") > 0) & (F.col("mu") < 1)
-    return cells.withColumn("p", F.round(F.when(inside, bb.bb_p_value("k", "n", "mu", "rho")), 9))
+    return cells.withColumn("p", F.round(F.when(inside, bb.bb_p_value("k", "n", "mu", "rho")), 6))
 
 
 def five_prime(spark, sf_dir):
@@ -212,13 +212,13 @@ def beta_binomial_p_values(spark, sf_dir):
 
 
 @query(
-    """SELECT junction_id, sample_id, round(2 * least(least(c, 1), 1 - c + f, 0.5), 9) AS p FROM t LEFT JOIN (SELECT junction_id, sample_id, sum(f) AS c, sum(f) FILTER (i = k) AS f FROM
+    """SELECT junction_id, sample_id, round(2 * least(least(c, 1), 1 - c + f, 0.5), 6) AS p FROM t LEFT JOIN (SELECT junction_id, sample_id, sum(f) AS c, sum(f) FILTER (i = k) AS f FROM
 (SELECT junction_id, sample_id, k, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(mu) + (n - i) * ln(1 - mu)) AS f FROM t, unnest(generate_series(0::BIGINT, k::BIGINT)) AS u(i) WHERE mu > 0 AND mu < 1) GROUP BY ALL) USING (junction_id, sample_id)""",
     TEST_SQL,
 )
 def binomial_p_values(spark, sf_dir):
     cells = tested(spark, sf_dir)
-    return cells.select("junction_id", "sample_id", F.round(F.when((F.col("mu") > 0) & (F.col("mu") < 1), bb.binomial_p_value("k", "n", "mu")), 9).alias("p"))
+    return cells.select("junction_id", "sample_id", F.round(F.when((F.col("mu") > 0) & (F.col("mu") < 1), bb.binomial_p_value("k", "n", "mu")), 6).alias("p"))
 
 
 ZSQL = "SELECT junction_id, sample_id, round((r - avg(r) OVER (PARTITION BY junction_id)) / nullif(stddev_samp(r) OVER (PARTITION BY junction_id), 0), 7) AS z FROM (SELECT *, ln((k + 0.1) / (n - k + 0.1)) - ln(mu / (1 - mu)) AS r FROM t WHERE mu > 0 AND mu < 1)"
