@@ -141,7 +141,7 @@ def _dealt(width: int, num: int, den: int, buckets: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(b[at].astype(np.int64)), pa.array(np.full(len(at), kind), pa.int32()), pa.array(np.full(len(at), small), pa.bool_()),
-                        pa.array([g[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()), pa.array([b"" if kind == 1 else d[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
+                        pa.array([_five(g[x:y] // np.uint64(buckets)) for x, y in zip(at, ends, strict=True)] if kind < 2 else [_five(g[x:y] // np.uint64(buckets)) + (g[x:y] % np.uint64(buckets)).astype("<u4").tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()), pa.array([b"" if kind == 1 else d[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
                     ],
                     names=["bucket", "kind", "small", "sigs", "docs"],
                 )
@@ -149,11 +149,21 @@ def _dealt(width: int, num: int, den: int, buckets: int):
     return run
 
 
+def _five(values: np.ndarray) -> bytes:
+    """Five bytes of each number: signatures that fall together by that only add candidates."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
 def _meeting(table: pa.Table) -> pa.Table:
-    """sig and doc_id of the signatures that more than one document has."""
+    """sig and doc_id of the signatures that more than one document has; sig is the bucket and five bytes."""
+    own = np.uint64(table.column("bucket")[0].as_py()) if len(table) else np.uint64(0)
     sig, doc, kind = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for r in table.to_pylist():
-        g = np.frombuffer(r["sigs"], "<u8")
+        raw, n = r["sigs"], len(r["sigs"]) // (9 if r["kind"] == 2 else 5)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(raw[: 5 * n], np.uint8).reshape(-1, 5)
+        bucket = np.frombuffer(raw[5 * n :], "<u4").astype(np.uint64) if r["kind"] == 2 else own
+        g = wide.view("<u8").ravel() | bucket << np.uint64(40)
         sig.append(g)
         doc.append(np.zeros(len(g), np.int64) if r["kind"] == 1 else np.frombuffer(r["docs"], "<u4" if r["small"] else "<i8").astype(np.int64))
         kind.append(np.full(len(g), r["kind"], np.int32))
@@ -200,6 +210,11 @@ def _compared(num: int, den: int):
 
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (documents of the same set)."""
+    with tx.scratch():
+        return tx.written(_components(docs, width, num, den), "components", keep=True)
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = tx.written(docs.mapInArrow(_profiled(width), "doc_id long, n_shingles long, key1 long, key2 long"), "signed")
     one = signed.filter("n_shingles > 0")

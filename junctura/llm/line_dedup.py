@@ -76,6 +76,11 @@ def _parity(keys: str) -> Column:
 
 def similar_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, place) of the lines that go."""
+    with tx.scratch():
+        return tx.written(_similar_lines(docs, num, den, min_words), "similar-lines", keep=True)
+
+
+def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     levels = _levels(docs)
     keyed = _lines(docs).select("id", _keys("line", levels).alias("keys")).filter(F.size("keys") >= min_words)
