@@ -54,12 +54,14 @@ def _levels(docs: DataFrame) -> Column:
     """The rarity level of each counter, as one literal array of 2 ** BITS numbers."""
     words = docs.select(F.explode(F.split(F.translate(F.lower(_plain_blanks("text")), "\n", " "), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("slot")).agg(F.least(F.lit(120), 1 + F.floor(4 * F.log2(F.count(F.lit(1))))).cast("int").alias("level"))
-    # 2 ** BITS rows at most, packed by the JVM; a counter without words is never looked up
-    some = counts.groupBy((F.col("slot") / 4096).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "level"))).alias("m"))
-    parts = some.select("part", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.coalesce(F.try_element_at("m", (i + F.col("part") * 4096).cast("int")), F.lit(0)).cast("string")), ",").alias("levels"))
-    found = {r.part: r.levels for r in parts.collect()}
-    none = ",".join(["0"] * 4096)
-    text = ",".join(found.get(i, none) for i in range((1 << BITS) // 4096))
+    # 2 ** BITS pairs at most, packed into a few strings by the JVM
+    packed = counts.groupBy((F.col("slot") / 4096).cast("int").alias("part")).agg(F.array_join(F.collect_list(F.concat_ws(":", "slot", "level")), ",").alias("levels"))
+    found = ["0"] * (1 << BITS)
+    for r in packed.collect():
+        for pair in r.levels.split(","):
+            slot, _, level = pair.partition(":")
+            found[int(slot)] = level
+    text = ",".join(found)
     return F.split(F.lit(text), ",").cast("array<bigint>")
 
 
