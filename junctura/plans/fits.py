@@ -31,3 +31,21 @@ def injected_outliers(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (pca_fit, pca_p_values, beta_binomial_fit, injected_outliers)}
+
+
+def junction_impact(spark, sf_dir):
+    """Impact labels of the junctions of one sample, with every third junction as a known intron and genes and exons from the cohort's tables."""
+    from ..operators import annotation
+    from .annotated import gene_table
+
+    ds = cohort(spark, sf_dir)
+    cells = metrics.delta_median(metrics.intron_jaccard(ds), "jaccard").filter("sample_id = 3")
+    known = ds.junctions.filter("junction_id % 3 = 0").select("seqname", "start", "end", "strand")
+    use = ds.grid().groupBy("junction_id").agg(F.median("k").alias("median_count")).join(ds.junctions.filter("junction_id % 3 = 0"), "junction_id").select("seqname", "start", "end", "median_count")
+    genes = gene_table(spark, sf_dir).dropDuplicates(["gene_id"])
+    exons = gene_table(spark, sf_dir).select("seqname", "start", (F.col("start") + 120).alias("end"), "strand")
+    rows = cells.select("junction_id", "seqname", "start", "end", "strand", F.round("delta_median_jaccard", 9).alias("delta")).join(annotation.reference_overlap(ds.junctions, known).select("junction_id", "annotated"), "junction_id")
+    return annotation.impact(rows, use, exons, genes.withColumn("gene_id", F.col("gene_id").cast("string")))
+
+
+QUERIES["junction_impact"] = junction_impact
