@@ -1,8 +1,9 @@
 """Removal of lines that are similar to an earlier line: an exact set-similarity join in DataFrame operations.
 
 A line is the set of its lower-cased words. Of two lines with Jaccard similarity of at least NUM/DEN the
-later one, by (doc_id, place), goes; lines are judged on the input. Lines of fewer than ``MIN_WORDS`` distinct words
-carry no evidence and stay.
+later one, by (doc_id, place), goes; lines are judged on the input. Lines of fewer than ``min_words`` distinct words
+stay: with 1, which the pipeline uses, every line that has a word is judged; the registered query and its SQL
+take ``MIN_WORDS``.
 
 Words are 56-bit hashes with the rarity of the word in the bits above, so the natural order of the numbers
 is an order by rarity. Rarity is the logarithm of the word's count in a table of ``2 ** BITS`` hashed counters, whose size does not
@@ -10,7 +11,8 @@ depend on the corpus. Lines with equal sets fold into one class. Two similar set
 ``n - ceil(n NUM / DEN) + 1`` rarest words of each (prefix filter); on that word the classes meet, and a
 pair goes on only if the sizes (length filter), the places of the word (positional filter) and a
 64-bit parity map, whose differing bits bound the symmetric difference, allow the
-similarity. First each class meets the earliest class of its words only, which is linear in a word's
+similarity. Sets so small that only equal ones are similar (up to 3 words at 4/5) are settled by their class and
+have no prefix. First each class meets the earliest class of its words only, which is linear in a word's
 group; only classes that this does not settle meet the others. The pairs left are verified
 by the intersection of the full sets.
 
@@ -87,7 +89,9 @@ def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataF
     levels = _levels(docs)
     keyed = _lines(docs).select("id", _keys("line", levels).alias("keys")).filter(F.size("keys") >= min_words)
     n = F.size("keys")
-    prefix = F.slice("keys", 1, n - F.ceil(n * num / F.lit(float(den)) - 1e-9).cast("int") + 1)
+    # a set of n words can be similar to one of n + 1 only if den n >= num (n + 1); smaller ones match equal sets alone
+    small = n * (den - num) < num
+    prefix = F.when(small, F.array().cast("array<bigint>")).otherwise(F.slice("keys", 1, n - F.ceil(n * num / F.lit(float(den)) - 1e-9).cast("int") + 1))
     # in a prefix a word is known by 32 bits: words that fall together only add candidates
     short = F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     facts = tx.written(keyed.select("id", F.xxhash64("keys").alias("set"), n.alias("n"), _parity("keys").alias("parity"), short.alias("prefix")), "lines")

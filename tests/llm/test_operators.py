@@ -95,6 +95,21 @@ def test_lines_against_brute_force(spark, texts):
     assert kept[0] == rows[0] and kept[12] == "" and kept[len(texts) - 1].startswith("One.\nOne.")
 
 
+def test_short_lines_against_brute_force(spark, texts):
+    import corpus_pipeline as pipeline
+
+    rows = [*texts, "Home\nHOME\nhome page\nHome", "a b c d\na b c d e\na b c\nb a", "a a a b b c\n\nc b a\ne d c b a", "Kind regards\nd c b x\nx b c d y\nkind  regards"]
+    lines = [(d, p, frozenset(x for x in re.split(r"[ \t\r\f\v]+", line.lower()) if x)) for d, t in enumerate(rows) if t is not None for p, line in enumerate(t.split("\n"))]
+    lines = [x for x in lines if x[2]]
+    want = {(d, p) for i, (d, p, s) in enumerate(lines) if any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:i])}
+    docs = frame(spark, rows)
+    assert {(r.doc_id, r.place) for r in line_dedup.similar_lines(docs, min_words=1).collect()} == want
+    # the stage of the pipeline judges them, too
+    kept = {r.doc_id: r.text for r in pipeline.distinct_lines(spark, docs, "").collect()}
+    assert kept == {d: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in want) for d, t in enumerate(rows)}
+    assert kept[len(texts)] == "Home\nhome page" and kept[len(texts) + 3] == "Kind regards\nd c b x"
+
+
 def test_encoding_equals_the_library(spark, texts):
     from tokenizers import Tokenizer
 
