@@ -7,8 +7,10 @@ of the same case and script, a name of the same gender; punctuation, length, cou
 domain and check digits stay valid. A domain keeps one surrogate domain in all addresses.
 
 Surrogates are checked over the whole corpus: no two values of a type share one, and none is itself a
-value that occurs. A value that fails is tried again with the next attempt, until none is left;
-only attempts above 0 are handed to the replacing pass, with the documents they concern.
+value that occurs. A value that fails is tried again with the next attempt, until none is left; every
+``GROW`` attempts names gain a syllable and emails, secrets, phone numbers and names of other scripts a character, so a
+small space cannot run out. Cards, accounts and addresses have a fixed length; if a value is
+still left after ``MAX_ATTEMPTS``, the job fails rather than give a surrogate twice. Only attempts above 0 are handed to the replacing pass, with the documents they concern.
 
 Defined cases: null text stays null with no entities; without entities a text stays as it is; repeated rows are
 treated alike; extra columns are ignored; an empty table gives an empty result.
@@ -29,6 +31,7 @@ from . import text as tx
 
 KEY = b"surrogate-key"
 MAX_ATTEMPTS = 60
+GROW = 4
 BROADCAST_ROWS = 200_000
 
 EMAIL = re.compile(r"[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -126,18 +129,19 @@ def _script(text: str) -> str:
 
 def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     """The canonical surrogate of a canonical value."""
-    s = _Stream(key, kind, value, attempt)
+    s, grown = _Stream(key, kind, value, attempt), attempt // GROW
     if kind == "email":
         local, _, domain = value.rpartition("@")
         *labels, top = domain.split(".")
         d = _Stream(key, "domain", domain)
-        return f"{_like(local, s)}@{'.'.join(_like(x, d) if x not in ('example', 'www', 'mail') else x for x in labels)}.{top}"
+        return f"{_like(local + 'a' * grown, s)}@{'.'.join(_like(x, d) if x not in ('example', 'www', 'mail') else x for x in labels)}.{top}"
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "card":
         body = value[0] + "".join(str(s.below(10)) for _ in value[1:-1])
         return next(body + str(d) for d in range(10) if luhn(body + str(d)) == luhn(value))
     if kind == "phone":
+        value += "0" * grown
         return value[:2] + "".join(str(s.below(10)) for _ in value[2:]) if value.startswith("+") else "".join(str(s.below(10)) for _ in value)
     if kind == "iban":
         body = _like(value[4:], s)
@@ -145,13 +149,14 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         return f"{value[:2]}{check:02d}{body}"
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+", value):
-            return "".join("0123456789abcdef"[s.below(16)] for _ in value)
-        return _like(value, s)
+            return "".join("0123456789abcdef"[s.below(16)] for _ in range(len(value) + grown))
+        # a secret without a letter or digit has nothing to replace
+        return _like((value if any(map(str.isalnum, value)) else "a" * len(value)) + "a" * grown, s)
     script, gender = _script(value), kind[-1]
     if not script:
-        return _like(value, s)
+        return _like(value + value[-1] * grown, s)
     words = value.split(" ")
-    last = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3)) + ENDS[script, gender]
+    last = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + grown)) + ENDS[script, gender]
     return (f"{GIVEN[script, gender][s.below(len(GIVEN[script, gender]))].casefold()} {last}") if len(words) > 1 else last
 
 
@@ -159,7 +164,7 @@ def formatted(kind: str, surface: str, value: str) -> str:
     """A canonical surrogate in the format of the surface that it replaces."""
     if kind in ("phone", "card", "iban"):
         chars = iter(value)
-        return "".join(next(chars, c) if c.isalnum() or c == "+" else c for c in surface)
+        return "".join(next(chars, c) if c.isalnum() or c == "+" else c for c in surface) + "".join(chars)
     if kind == "email" and surface != surface.lower():
         return value.upper() if surface.isupper() else "".join(v.upper() if s.isupper() else v for s, v in zip(surface, value, strict=False)) if len(surface) == len(value) else value
     if kind.startswith("name"):
@@ -204,6 +209,8 @@ def attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             break
         again = judged.filter("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_surrogates(key), schema)
         made = tx.written(judged.filter("not bad").drop("bad").unionByName(again), "surrogates")
+    else:
+        raise RuntimeError(f"values without a surrogate of their own after {MAX_ATTEMPTS} attempts")
     return made.filter("attempt > 0").select("kind", "value", "attempt")
 
 

@@ -151,6 +151,28 @@ def test_surrogates_are_distinct_and_alike(spark):
     assert re.fullmatch(r"Mrs\. \w+ \w+ met Herr \w+ and MRS\. nobody", got[61].text) and "Smith" not in got[61].text
 
 
+def test_surrogates_outgrow_a_small_space(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabet = "αβγδεζηθικλμνξοπρστυφχψω"
+    names = ["Ω" + alphabet[i // 576 % 24] + alphabet[i // 24 % 24] + alphabet[i % 24] for i in range(4500)]
+    rows = [*[f"write to {c}@example.com" for c in letters], "\n".join(f"Herr {x}." for x in names), "token: !!!!!!!!"]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(frame(spark, rows)).collect()}
+    emails = {got[i].split()[-1] for i in range(26)}
+    assert len(emails) == 26 and not emails & {f"{c}@example.com" for c in letters}
+    made = [x[5:-1] for x in got[26].split("\n")]
+    assert len(set(made)) == len(names) > 16**3 and not set(made) & set(names)
+    assert "!" not in got[27]
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 1)
+    with pytest.raises(RuntimeError, match="surrogate"):
+        pii.attempts(frame(spark, rows[:26]))
+
+
+def test_grown_surrogates_keep_their_format():
+    assert pii.formatted("phone", "(030) 123-4567", pii.surrogate("phone", "0301234567", pii.GROW)).startswith("(") and len(pii.surrogate("phone", "0301234567", pii.GROW)) == 11
+    assert len(pii.formatted("phone", "030 123-4567", "03012345678")) == len("030 123-4567") + 1
+    assert len(pii.surrogate("secret", "abcdef01", 2 * pii.GROW)) == 10 and len(pii.surrogate("name_m", "王", pii.GROW)) == 2
+
+
 def test_card_surrogates_keep_the_check_digit():
     assert pii.luhn("4111111111111111") and pii.luhn(pii.surrogate("card", "4111111111111111", 0))
     assert pii.surrogate("card", "4111111111111111", 0) != pii.surrogate("card", "4111111111111111", 1)
