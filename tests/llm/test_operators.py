@@ -186,6 +186,34 @@ def test_pages():
     assert html_text.render("<p style='display:none'>a<p>b") == "b"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p>", "so x=1 holds"),
+        ("<svg><title/><defs><text>no</text></defs>no<text>Jan</text><g><text>Feb</text></g></svg><p>after", "Jan\nFeb\n\nafter"),
+        ("<i>a<svg viewBox='0'/>b</i>", "ab"),
+        ("<svg><path d='M0'><p>out of it", "out of it"),
+        ("<p>Land: <select><option>A<option selected>B &amp; C<option>D</select> end", "Land: B & C end"),
+        ("<p>x <select><option disabled>no<option>first<option>no</select>", "x first"),
+        ("<select><option hidden selected>Choose<option>no</select>", "Choose"),
+        ("<select multiple><optgroup label=G><option>A<option label=L>B</select>z", "G\nA\nL\nz"),
+        ("a<textarea>\n1 <b>\n  2 &lt;</textarea>b", "a\n1 <b>\n  2 <\nb"),
+        ("a<xmp>x <b>&amp;</b></xmp>b", "a\n\nx <b>&amp;</b>\n\nb"),
+        ("a <i aria-hidden=true>b</i>", "a b"),
+        ("<object>shown</object><object data=x>not</object>", "shown"),
+        ('<div class="a"">Visible text</div><p>more</p>', "Visible text\n\nmore"),
+        ("<div title=don't>one</div><p>it's</p>", "one\n\nit's"),
+        ('<a title="x > y" href=\'>\'>z</a><i a = "<b>">q</i>', "zq"),
+        ("<details>no<summary>Head</summary>no<p>no<summary>no</summary></details>x", "Head\nx"),
+        ("<details open><summary>Head</summary>yes</details>x", "Head\nyes\nx"),
+        ("<div hidden><details><summary>no</summary></details></div>a<details><p>no</details>b", "a\nb"),
+        ("<details><summary>A</summary><details><summary>no</summary>no</details></details>b", "A\nb"),
+    ],
+)
+def test_only_what_is_not_painted_is_left_out(page, want):
+    assert html_text.render(page) == want
+
+
 def test_pages_with_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>a</p>"), (3, "u", "<p>a</p>")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect()) == [(1, ""), (2, ""), (3, "a"), (3, "a")]
