@@ -57,27 +57,60 @@ def impact(results: DataFrame, intron_use: DataFrame, exons: DataFrame, genes: D
 
     ``intron_use``: known introns with the median count of their junction. A junction with a known start is judged
     against the most used known intron of that start, and so for the end: a shorter or longer far end shortens or lengthens the
-    exon; beyond an exon it skips exons; without any known end it lies in an exon, between genes or is complex.
+    exon; beyond an exon it skips exons; without any known end it lies in an exon, between genes or is complex. Skipped exons and
+    complex cases go beyond a gene if an end is in none, and join genes if the ends share none. With columns nonsplit_proportion,
+    nonsplit_q99 and nonsplit_counts a known intron of reduced usage can be retained. Rows may repeat a junction, for each sample.
     """
     best = {k: intron_use.groupBy("seqname", k).agg(F.max_by(F.struct("start", "end"), F.struct("median_count", -F.col("start"), -F.col("end"))).alias(f"by_{k}")) for k in ("start", "end")}
     out = results.join(best["start"], ["seqname", "start"], "left").join(best["end"], ["seqname", "end"], "left")
-    inside = intervals.overlap(results, exons, 1000, kind="within").select(F.col("a.junction_id").alias("junction_id")).distinct().withColumn("in_exon", F.lit(True))
-    whole = results.select("junction_id", "seqname", "start", "end", "strand")
+    inside = intervals.overlap(results.select("junction_id", "seqname", "start", "end", "strand").distinct(), exons, 1000, kind="within").select(F.col("a.junction_id").alias("junction_id")).distinct().withColumn("in_exon", F.lit(True))
+    whole = results.select("junction_id", "seqname", "start", "end", "strand").distinct()
     skipped = intervals.overlap(exons, whole, 1000, kind="within").groupBy(F.col("b.junction_id").alias("junction_id")).agg(F.count_distinct(F.struct("a.start", "a.end")).alias("skipped"), F.min(F.col("a.end") - F.col("a.start") + 1).alias("skipped_length"))
     near = intervals.nearest(whole, genes, "junction_id", "gene_id")
     in_gene = intervals.overlap(whole, genes, 5000).groupBy(F.col("a.junction_id").alias("junction_id")).agg(F.count_distinct("b.gene_id").alias("n_genes"))
-    out = out.join(inside, "junction_id", "left").join(skipped, "junction_id", "left").join(near, "junction_id", "left").join(in_gene, "junction_id", "left").join(genes.select(F.col("gene_id").alias("nearest"), F.col("start").alias("gene_start")), "nearest", "left")
+    out = out.join(gene_ends(whole, genes), "junction_id", "left").join(inside, "junction_id", "left").join(skipped, "junction_id", "left").join(near, "junction_id", "left").join(in_gene, "junction_id", "left").join(genes.select(F.col("gene_id").alias("nearest"), F.col("start").alias("gene_start")), "nearest", "left")
     by_start, by_end = F.col("end") - F.col("by_start.end"), F.col("by_end.start") - F.col("start")
     shift = F.when(F.col("annotated") == "start", by_start).when(F.col("annotated") == "end", by_end)
     single = F.col("skipped") == 1
+    beyond = ~F.coalesce("start_in_gene", F.lit(False)) | ~F.coalesce("end_in_gene", F.lit(False))
+    across = lambda kept: F.when(F.coalesce("share_gene", F.lit(False)), kept).when(beyond, "splicingBeyondGene").otherwise("multigenicSplicing")
+    retained = F.lit(False)
+    if {"nonsplit_proportion", "nonsplit_q99", "nonsplit_counts"} <= set(results.columns):
+        retained = F.coalesce((F.col("delta") < 0) & (F.col("nonsplit_proportion") >= F.col("nonsplit_q99") + 0.05) & (F.col("nonsplit_counts") >= 10), F.lit(False))
     upstream = (F.col("gene_start") > F.col("start")) == (F.col("strand") == "+")
     label = (
-        F.when((F.col("annotated") == "both") & (F.col("delta") >= 0), "annotatedIntron_increasedUsage").when(F.col("annotated") == "both", "annotatedIntron_reducedUsage")
-        .when(F.coalesce(F.col("skipped"), F.lit(0)) > 0, F.when(single, "singleExonSkipping").otherwise("exonSkipping"))
+        F.when((F.col("annotated") == "both") & (F.col("delta") >= 0), "annotatedIntron_increasedUsage").when((F.col("annotated") == "both") & retained, "(partial)intronRetention").when(F.col("annotated") == "both", "annotatedIntron_reducedUsage")
+        .when(F.coalesce(F.col("skipped"), F.lit(0)) > 0, across(F.when(single, "singleExonSkipping").otherwise("exonSkipping")))
         .when(F.col("annotated").isin("start", "end") & (shift > 0), "exonTruncation").when(F.col("annotated").isin("start", "end") & (shift < 0), "exonElongation")
-        .when(F.col("in_exon"), "exonTruncation").when(F.col("n_genes") > 1, "multigenicSplicing")
-        .when(F.col("n_genes").isNull(), F.when(upstream, "upstreamOfNearestGene").otherwise("downstreamOfNearestGene")).otherwise("complex")
+        .when(F.col("in_exon"), "exonTruncation")
+        .when(F.col("n_genes").isNull() & F.col("nearest").isNotNull(), F.when(upstream, "upstreamOfNearestGene").otherwise("downstreamOfNearestGene")).otherwise(across(F.lit("complex")))
     )
     moved = F.when(F.col("annotated") == "none", F.col("end") - F.col("start") + 1).otherwise(shift)
-    frame = F.when(F.col("impact").startswith("annotatedIntron"), "unlikely").when(F.col("impact").isin("exonTruncation", "exonElongation"), F.when(moved % 3 == 0, "unlikely").otherwise("likely")).when(F.col("impact") == "singleExonSkipping", F.when(F.col("skipped_length") % 3 == 0, "unlikely").otherwise("likely")).otherwise("inconclusive")
+    frame = F.when(F.col("impact").startswith("annotatedIntron") | F.col("impact").endswith("OfNearestGene"), "unlikely").when(F.col("impact").isin("exonTruncation", "exonElongation"), F.when(moved % 3 == 0, "unlikely").otherwise("likely")).when(F.col("impact") == "singleExonSkipping", F.when(F.col("skipped_length") % 3 == 0, "unlikely").otherwise("likely")).otherwise("inconclusive")
     return out.withColumn("impact", label).withColumn("frameshift", frame).select(*results.columns, "impact", "frameshift", "distance")
+
+
+def gene_ends(junctions: DataFrame, genes: DataFrame) -> DataFrame:
+    """junction_id, and whether its start and its end meet or touch a gene, and both the same one; no row if neither does."""
+    inner = F.when(F.col("start") + 2 < F.col("end"), 1).otherwise(0)
+    j = junctions.withColumns({"_s": F.col("start") + inner, "_e": F.col("end") - inner})
+    # two bases at each end, and one more on both sides as touching genes count
+    at = F.array(F.struct(F.lit(True).alias("first"), (F.col("_s") - 1).alias("s"), (F.col("_s") + 2).alias("e")), F.struct(F.lit(False).alias("first"), (F.col("_e") - 2).alias("s"), (F.col("_e") + 1).alias("e")))
+    ends = j.select("junction_id", "seqname", "strand", F.explode(at).alias("x")).select("junction_id", "seqname", "strand", "x.first", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+    by_gene = intervals.overlap(ends, genes, 5000).groupBy(F.col("a.junction_id").alias("junction_id"), "b.gene_id").agg(F.bool_or("a.first").alias("s"), F.bool_or(~F.col("a.first")).alias("e"))
+    return by_gene.groupBy("junction_id").agg(F.bool_or("s").alias("start_in_gene"), F.bool_or("e").alias("end_in_gene"), F.bool_or(F.col("s") & F.col("e")).alias("share_gene"))
+
+
+def theta_impact(sites: DataFrame, introns: DataFrame, exons: DataFrame, genes: DataFrame) -> DataFrame:
+    """sites with impact and distance: exonicRegion, annotatedSpliceSite, intronicRegion, up- or downstream of the nearest gene, or NULL within a gene."""
+    key = F.col("a.site_id").alias("site_id")
+    at = sites.select("site_id", "seqname", "start", "end", "strand").distinct()
+    inside = (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
+    exonic = intervals.overlap(at, exons).groupBy(key).agg(F.bool_and(inside).alias("whole"))
+    intronic = intervals.overlap(at, introns, 5000).select(key).distinct().withColumn("intronic", F.lit(True))
+    in_gene = intervals.overlap(at, genes, 5000).select(key).distinct().withColumn("in_gene", F.lit(True))
+    near = intervals.nearest(at, genes, "site_id", "gene_id").join(genes.select(F.col("gene_id").alias("nearest"), F.col("start").alias("gene_start")), "nearest", "left")
+    out = sites.join(exonic, "site_id", "left").join(intronic, "site_id", "left").join(in_gene, "site_id", "left").join(near, "site_id", "left")
+    upstream = (F.col("gene_start") > F.col("start")) == (F.col("strand") == "+")
+    label = F.when(F.col("whole"), "exonicRegion").when(~F.col("whole"), "annotatedSpliceSite").when(F.col("intronic"), "intronicRegion").when(F.col("in_gene").isNull() & F.col("nearest").isNotNull(), F.when(upstream, "upstreamOfNearestGene").otherwise("downstreamOfNearestGene"))
+    return out.withColumn("impact", label).select(*sites.columns, "impact", "distance")
