@@ -34,18 +34,32 @@ QUERIES = {f.__name__: f for f in (pca_fit, pca_p_values, beta_binomial_fit, inj
 
 
 def junction_impact(spark, sf_dir):
-    """Impact labels of the junctions of one sample, with every third junction as a known intron and genes and exons from the cohort's tables."""
+    """Impact labels of the junctions and sites of all samples; an intron is known if its acceptor's nation is in Europe, each supplier is a gene that begins with an exon."""
+    from ..dataset import SpliceDataset
+    from ..llm import text as tx
     from ..operators import annotation
-    from .annotated import gene_table
+    from ..sources.cohort import table
 
     ds = cohort(spark, sf_dir)
-    cells = metrics.delta_median(metrics.intron_jaccard(ds), "jaccard").filter("sample_id = 3")
-    known = ds.junctions.filter("junction_id % 3 = 0").select("seqname", "start", "end", "strand")
-    use = ds.grid().groupBy("junction_id").agg(F.median("k").alias("median_count")).join(ds.junctions.filter("junction_id % 3 = 0"), "junction_id").select("seqname", "start", "end", "median_count")
-    genes = gene_table(spark, sf_dir).dropDuplicates(["gene_id"])
-    exons = gene_table(spark, sf_dir).select("seqname", "start", (F.col("start") + 120).alias("end"), "strand")
-    rows = cells.select("junction_id", "seqname", "start", "end", "strand", F.round("delta_median_jaccard", 9).alias("delta")).join(annotation.reference_overlap(ds.junctions, known).select("junction_id", "annotated"), "junction_id")
-    return annotation.impact(rows, use, exons, genes.withColumn("gene_id", F.col("gene_id").cast("string")))
+    # written once: the plan would hold the cohort's joins dozens of times
+    ds = SpliceDataset(ds.samples, *(tx.written(getattr(ds, x), x) for x in ("junctions", "sites", "j_counts", "ss_counts")), name="cohort")
+    europe = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").filter("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey")).select((F.col("n_nationkey") % 25).alias("acceptor"))
+    reference = ds.junctions.join(europe, F.pmod("junction_id", F.lit(25)) == F.col("acceptor"), "left_semi")
+    known = reference.select("seqname", "start", "end", "strand")
+    use = ds.grid().groupBy("junction_id").agg(F.median("k").alias("median_count")).join(reference, "junction_id").select("seqname", "start", "end", "median_count")
+    place = F.col("s_suppkey") * 290
+    genes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("gene_id"), F.concat(F.lit("chr"), F.col("s_suppkey") % 3 + 1).alias("seqname"), place.alias("start"), (place + 1500).alias("end"), F.when(F.col("s_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"))
+    exons = genes.select("seqname", "start", (F.col("start") + 120).alias("end"), "strand")
+    cells = metrics.delta_median(metrics.intron_jaccard(ds), "jaccard").withColumn("nonsplit_proportion", metrics.ratio(F.col("nonsplit"), F.col("n_jaccard")))
+    q99 = cells.groupBy("junction_id").agg(F.percentile("nonsplit_proportion", F.lit(0.99)).alias("nonsplit_q99"))
+    cells = cells.join(q99, "junction_id").join(annotation.reference_overlap(ds.junctions, known).select("junction_id", "annotated"), "junction_id")
+    rows = cells.select("junction_id", "sample_id", "seqname", "start", "end", "strand", F.round("delta_median_jaccard", 9).alias("delta"), "annotated", "nonsplit_proportion", "nonsplit_q99", F.col("nonsplit").alias("nonsplit_counts"))
+    rows, use = tx.written(rows, "impact-rows"), tx.written(use, "intron-use")
+    psi = annotation.impact(rows, use, exons, genes).drop("nonsplit_proportion", "nonsplit_q99", "nonsplit_counts").withColumn("type", F.lit("jaccard"))
+    # a site's id can stand on several sequences
+    sites = ds.site_grid().withColumns({"number": F.col("site_id"), "site_id": F.concat_ws(":", "seqname", "start", "end", "strand")})
+    theta = annotation.theta_impact(sites.select("site_id", "number", "sample_id", "seqname", "start", "end", "strand"), known, exons, genes)
+    return psi.unionByName(theta.drop("site_id").withColumnRenamed("number", "site_id").withColumn("type", F.lit("theta")), allowMissingColumns=True)
 
 
 QUERIES["junction_impact"] = junction_impact

@@ -1,6 +1,7 @@
-"""Impact labels on small fixtures."""
+"""Impact labels on small fixtures, and on all samples of the cohort."""
 
 from junctura.operators import annotation
+from junctura.plans import fits
 
 RANGE = "seqname string, start long, end long, strand string"
 
@@ -31,3 +32,10 @@ def test_labels_of_sites(spark):
     sites = spark.createDataFrame([(i, "c", s, s + 1, "+") for i, s in enumerate((1050, 1100, 1500, 2500, 100, 4000))], f"site_id long, {RANGE}")
     got = {r.site_id: r.impact for r in annotation.theta_impact(sites, introns, exons, genes).collect()}
     assert got == {0: "exonicRegion", 1: "annotatedSpliceSite", 2: "intronicRegion", 3: None, 4: "upstreamOfNearestGene", 5: "downstreamOfNearestGene"}
+
+
+def test_impact_of_all_samples(spark, sf_dir):
+    out = fits.junction_impact(spark, sf_dir).cache()
+    ds = fits.cohort(spark, sf_dir)
+    assert out.filter("type = 'jaccard'").count() == ds.grid().count() and out.filter("type = 'theta'").count() == ds.site_grid().count()
+    assert out.select("sample_id").distinct().count() == 25
