@@ -30,5 +30,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components still change after {max_rounds} rounds")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return nodes.join(cur.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

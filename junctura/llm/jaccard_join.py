@@ -16,7 +16,7 @@ may lack can have no partner. The rest is compared with the smallest doc_id of e
 Where links leave a group in more than one component, a pair across components is compared only
 if its common part can be large enough: at most the smaller part inside the leader and, if the two share anything
 outside it, the smaller public part there. Comparison is the exact intersection of sets of 64-bit
-shingle hashes.
+shingle hashes. The operator gives components only: other links inside of a component are neither verified nor counted.
 
 Defined cases: null or wordless text has an empty set and links with nothing; rows that repeat a
 doc_id count as one document if their texts agree; extra columns are ignored; empty tables give an empty result.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from junctura.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, pii, quality_classifier, quality_rules, suffix_dedup, text as tx, toxicity
+from junctura.llm import bpe, decontaminate, graph, html_text, jaccard_join, line_dedup, pii, quality_classifier, quality_rules, suffix_dedup, text as tx, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n long"
 
@@ -77,6 +77,13 @@ def test_jaccard_against_brute_force(spark, texts, width, num):
     assert {k: (len(s), want[k]) for k, s in sets.items()} == {k: (r.n_shingles, r.component_id) for k, r in got.items()}
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r.component for r in graph.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError, match="rounds"):
+        graph.components(edges, max_rounds=1)
+
+
 def test_bands_hold_every_partner():
     uppers = jaccard_join.bands(5000, 90, 100)
     for size in range(1, 4000):
