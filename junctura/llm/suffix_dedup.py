@@ -4,18 +4,18 @@ A byte goes if one of the ``SPAN``-byte windows that cover it also starts in a d
 windows are judged in three steps, each on what the one before leaves open:
 
 1. Texts are cut at content-defined places. A chunk, taken with the SPAN - 1 bytes after it so that it holds all
-   bytes of the windows that start in it, is covered in full where a smaller document has the same chunk.
+   bytes of the windows that start in it, is covered in full where a smaller document has the same chunk (by 128 bits of BLAKE2).
 2. Every window has a minimiser, the least hash of its ``GRAM``-byte strings, which depends on the
    window alone. Windows whose minimiser occurs in one distinct chunk only have no match. Minimisers
-   are dealt to buckets by their hash, at most one for each batch, minimiser and chunk.
-3. Runs of windows with a shared minimiser are dealt by the minimiser. In a bucket their suffixes
-   (to SPAN bytes) are sorted and their longest-common-prefix array built; the longest previous factor of a window is
-   reached at the previous or the next suffix of a smaller document. It has SPAN bytes where the run of
-   equal prefixes around it holds a smaller document. Minimisers of very many chunks (edges of common passages) are
-   dealt window by window instead, so that no bucket holds all of a frequent one.
+   are dealt to buckets by their hash, at most one for each flush of a task, minimiser and chunk.
+3. Runs of windows with a shared minimiser are dealt by the minimiser. In a bucket, windows whose 64-bit hash no other window
+   has are left out; the suffixes at the others are sorted (to SPAN bytes) and get their array of longest common
+   prefixes. The longest previous factor of a suffix is the longer of what it shares with the previous and with
+   the next suffix of a smaller document; a window goes where that has SPAN bytes. Minimisers of very many chunks (edges of
+   common passages) are dealt window by window instead, so that no bucket holds all of a frequent one.
 
-Batches settle among themselves what they can before anything is shuffled. Later texts are read again only for
-documents with a chunk or a minimiser in question.
+Tasks settle equal pieces among themselves before anything is shuffled, a bounded number of bytes at a time. Later texts are read
+again only for documents with a chunk or a minimiser in question.
 
 Defined cases: null text is empty (nothing removed, digest of no bytes); rows that repeat a doc_id and text give equal rows; of
 equal texts under different ids the smallest id keeps its bytes; an empty table gives an empty result; extra columns are ignored.
@@ -38,8 +38,8 @@ CHUNK_MASK = np.uint64(127)
 #: A minimiser of more chunks than this is dealt window by window.
 FREQUENT = 20_000
 BUCKET_BYTES = 16 << 20
-#: Windows that a task sorts at a time, and pieces that it holds.
-SORTED_WINDOWS, HELD_PIECES = 300_000, 100_000
+#: Windows that a task sorts at a time, minimisers that it holds, and bytes of pieces that it holds.
+SORTED_WINDOWS, HELD_ENTRIES, HELD_BYTES = 300_000, 400_000, 6 << 20
 BROADCAST_IDS = 1_000_000
 
 
@@ -119,61 +119,69 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, raw = Slice(data, bounds, False), data.tobytes()
             at = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
             digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in at]
+            chunks = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(s.chunk_start.tolist(), (s.chunk_stop + SPAN - 1).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, end - first), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(s.chunk_first, pa.int32()), pa.array(s.chunk_key.view(np.int64)))],
+                [batch.column("doc_id").slice(first, end - first), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(s.chunk_first, pa.int32()), pa.array(chunks, pa.binary()))],
                 names=["doc_id", "n_bytes", "sha", "chunks"],
             )
 
 
 def _entries(buckets: int):
-    """For each batch, minimiser and chunk the smallest doc_id; what has two chunks in the batch is known to be shared."""
+    """For each flush, minimiser and chunk the smallest doc_id; what has two chunks in the flush is known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = []
             for first, end, data, bounds in tx.text_slices(batch.column("text")):
                 s = Slice(data, bounds)
                 least, _, _, chunk = s.runs(np.ones(len(s.chunk_start), bool))
                 ids = batch.column("doc_id").slice(first, end - first).to_numpy(zero_copy_only=False)
                 parts.append((least, s.chunk_key[chunk], ids[s.chunk_row[chunk]]))
-            if not parts:
-                continue
-            value, tag, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((doc, tag, value))
-            value, tag, doc = value[order], tag[order], doc[order]
-            new = np.ones(len(value), bool)
-            new[1:] = (value[1:] != value[:-1]) | (tag[1:] != tag[:-1])
-            value, tag, doc = value[new], tag[new], doc[new]
-            head = np.ones(len(value), bool)
-            head[1:] = value[1:] != value[:-1]
-            group = np.cumsum(head) - 1
-            several = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
-            for known, pick in ((False, ~several), (False, several & head), (True, several)):
-                v, t, d = value[pick], tag[pick], doc[pick]
-                if not len(v):
-                    continue
-                marker = not known and bool(several[pick].any())
-                if marker:  # it has the number of chunks in the place of a document
-                    d = np.bincount(group)[group[pick]]
-                b = (d.view(np.uint64) if known else v) % np.uint64(buckets)
-                order = np.argsort(b, kind="stable")
-                b, v, t, d = b[order], v[order], t[order], d[order]
-                at = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-                ends = np.append(at[1:], len(b))
-                wide = 4 if len(d) and 0 <= d.min() and d.max() < 2**32 else 8
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(b[at].astype(np.int64)), pa.array([2 if known else 1 if marker else 0] * len(at), pa.int32()), pa.array([wide] * len(at), pa.int32()),
-                        pa.array([_binary(v[x:y]) if known else _binary(v[x:y] // np.uint64(buckets), 6) for x, y in zip(at, ends, strict=True)], pa.binary()),
-                        pa.array([b"" if known else _binary(t[x:y], 5) for x, y in zip(at, ends, strict=True)], pa.binary()),
-                        pa.array([_binary(d[x:y].view(np.uint64), wide) for x, y in zip(at, ends, strict=True)], pa.binary()),
-                    ],
-                    names=["bucket", "kind", "wide", "value", "tag", "doc"],
-                )
+                held += len(least)
+                if held >= HELD_ENTRIES:
+                    yield from _dealt_entries(parts, buckets)
+                    parts, held = [], 0
+        if parts:
+            yield from _dealt_entries(parts, buckets)
 
     return run
 
 
+def _dealt_entries(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    value, tag, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((doc, tag, value))
+    value, tag, doc = value[order], tag[order], doc[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (tag[1:] != tag[:-1])
+    value, tag, doc = value[new], tag[new], doc[new]
+    head = np.ones(len(value), bool)
+    head[1:] = value[1:] != value[:-1]
+    group = np.cumsum(head) - 1
+    several = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
+    for known, pick in ((False, ~several), (False, several & head), (True, several)):
+        v, t, d = value[pick], tag[pick], doc[pick]
+        if not len(v):
+            continue
+        marker = not known and bool(several[pick].any())
+        if marker:  # it has the number of chunks in the place of a document
+            d = np.bincount(group)[group[pick]]
+        b = (d.view(np.uint64) if known else v) % np.uint64(buckets)
+        order = np.argsort(b, kind="stable")
+        b, v, t, d = b[order], v[order], t[order], d[order]
+        at = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+        ends = np.append(at[1:], len(b))
+        wide = 4 if len(d) and 0 <= d.min() and d.max() < 2**32 else 8
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(b[at].astype(np.int64)), pa.array([2 if known else 1 if marker else 0] * len(at), pa.int32()), pa.array([wide] * len(at), pa.int32()),
+                pa.array([_binary(v[x:y]) if known else _binary(v[x:y] // np.uint64(buckets), 6) for x, y in zip(at, ends, strict=True)], pa.binary()),
+                pa.array([b"" if known else _binary(t[x:y], 5) for x, y in zip(at, ends, strict=True)], pa.binary()),
+                pa.array([_binary(d[x:y].view(np.uint64), wide) for x, y in zip(at, ends, strict=True)], pa.binary()),
+            ],
+            names=["bucket", "kind", "wide", "value", "tag", "doc"],
+        )
+
+
 def _shared(buckets: int, frequent: int):
     """doc_id and minimiser of the entries whose minimiser occurs in two chunks at least; frequent minimisers also in a row of their own."""
 
@@ -224,42 +232,59 @@ def _words(text: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _previous_factors(text: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each window whether its longest previous factor in an earlier document has SPAN bytes.
+def _factor_before(doc: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """What each suffix shares with the nearest one before it that has a smaller document; shared[i] is what i has in common with i - 1.
 
-    The suffixes from ``at`` are sorted to SPAN bytes, ties by document. Within a stretch of equal prefixes
-    (LCP of SPAN) the previous smaller document is the first one's, if that is smaller.
+    Pointers jump over suffixes of documents that are not smaller, so the number of rounds is logarithmic.
     """
+    to, low = np.arange(len(doc)) - 1, shared.copy()
+    active = np.flatnonzero(to >= 0)
+    while len(active):
+        active = active[(to[active] >= 0) & (low[active] > 0)]
+        active = active[doc[to[active]] >= doc[active]]
+        over = to[active]
+        low[active] = np.minimum(low[active], low[over])
+        to[active] = to[over]
+    return np.where(to >= 0, low, 0)
+
+
+def longest_previous_factors(text: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For the suffix at each place (of SPAN bytes at least) the length, up to SPAN, of the longest prefix that also starts in a smaller document."""
     words = _words(text, at)
     order = np.lexsort((doc, *reversed(words)))
-    equal = np.ones(max(len(at) - 1, 0), bool)
-    for w in words:
-        equal &= w[order][1:] == w[order][:-1]
-    head = np.append(True, ~equal) if len(at) else np.zeros(0, bool)
-    least = doc[order][head][np.cumsum(head) - 1] if len(at) else doc
-    out = np.zeros(len(at), bool)
-    out[order] = least < doc[order]
+    sorted_docs, places = doc[order], at[order]
+    shared = np.full(len(at), SPAN, np.int64)
+    shared[:1] = 0
+    left = np.arange(1, len(at))
+    for i in range(SPAN):
+        differ = text[places[left] + i] != text[places[left - 1] + i]
+        shared[left[differ]] = i
+        left = left[~differ]
+    before = _factor_before(sorted_docs, shared)
+    after = _factor_before(sorted_docs[::-1], np.append(0, shared[:0:-1]) if len(at) else shared)[::-1]
+    out = np.zeros(len(at), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
-def _settle(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], values: np.ndarray) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """Indices of the pieces that stay open, and (doc, first window, end window) found to be covered.
+def _equal_pieces(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Indices of the pieces of the smallest document that has them, and (doc, first window, end window) of the others, which are covered."""
+    numbers: dict[bytes, int] = {}
+    which = np.fromiter((numbers.setdefault(p, len(numbers)) for p in pieces), np.int64, len(pieces))
+    least = np.full(len(numbers), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, docs)
+    first = docs == least[which]  # all places of a piece in its first document share their fate
+    return np.flatnonzero(first), [(int(docs[i]), int(starts[i]), int(starts[i]) + len(pieces[i]) - SPAN + 1) for i in np.flatnonzero(~first)]
+
+
+def _settle(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(doc, first window, end window) found to be covered.
 
     Equal pieces are settled by their smallest document; the windows of the distinct ones by their suffixes.
     """
-    best: dict[bytes, int] = {}
-    for i, p in enumerate(pieces):
-        j = best.get(p)
-        if j is None or docs[i] < docs[j]:
-            best[p] = i
-    covered, left = [], []
-    for i, p in enumerate(pieces):
-        if docs[i] == docs[best[p]]:  # all places of a piece in its first document share their fate
-            left.append(i)
-        else:
-            covered.append((int(docs[i]), int(starts[i]), int(starts[i]) + len(p) - SPAN + 1))
+    left, covered = _equal_pieces(docs, starts, pieces)
     # equal windows have equal minimisers, so the minimisers are sorted apart, some at a time
-    order = np.array(left, np.int64)[np.argsort(values[left], kind="stable")] if left else np.zeros(0, np.int64)
+    order = left[np.argsort(values[left], kind="stable")]
     count = np.array([len(pieces[i]) - SPAN + 1 for i in order], np.int64)
     head = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1])[: len(order)])
     groups = np.append(head, len(order))
@@ -270,20 +295,27 @@ def _settle(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], values: n
             first = g + 1
             if len(block) > 1 and max(len(pieces[i]) for i in block) > SPAN:  # single windows are settled by the pieces
                 covered += _settled_windows(docs[block], starts[block], [pieces[i] for i in block])
-    return left, covered
+    return covered
 
 
 def _settled_windows(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> list[tuple[int, int, int]]:
     """(doc, first window, end window) of the windows that an earlier document of these has."""
-    text = np.frombuffer(b"".join(pieces) + b"\0" * 8, np.uint8)
+    text = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces])
     offset = np.cumsum(sizes) - sizes
     count = sizes - SPAN + 1
     owner = np.repeat(np.arange(len(pieces)), count)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    hit = _previous_factors(text, offset[owner] + within, docs[owner])
-    flags = np.concatenate([[0], hit.astype(np.int8), [0]])
-    edge = np.flatnonzero(flags[1:] != flags[:-1])
+    at = offset[owner] + within
+    # a window whose hash no other has is equal to none
+    hashes = tx.span_hashes(text, at, at + SPAN, False)
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    again = order[np.append(same, False) | np.append(False, same)]
+    again.sort()
+    hit = np.zeros(len(at), np.int8)
+    hit[again] = longest_previous_factors(text, at[again], docs[owner[again]]) >= SPAN
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
     out = []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         while a < b:  # a stretch may go on into the next piece
@@ -295,14 +327,15 @@ def _settled_windows(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes])
 
 
 PIECES = "bucket long, value long, doc_id long, start int, n_windows int, piece binary"
+_PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 def _open_pieces(buckets: int):
-    """Runs of windows with a shared minimiser outside covered chunks, as pieces of text; what the batch settles itself has no bucket."""
+    """Runs of windows with a shared minimiser outside covered chunks, as pieces of text; what the task settles itself has no bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            found: list[tuple[int, int, int, bytes, bool]] = []
             for first, end, data, bounds in tx.text_slices(batch.column("text")):
                 s, raw = Slice(data, bounds), data.tobytes()
                 rows = batch.slice(first, end - first)
@@ -321,30 +354,37 @@ def _open_pieces(buckets: int):
                 have = _pair(row, (least & np.uint64((1 << 44) - 1)).astype(np.int64))
                 at = np.minimum(np.searchsorted(wanted[order], have), max(len(wanted) - 1, 0))
                 hit = np.flatnonzero(wanted[order][at] == have) if len(wanted) else np.zeros(0, np.int64)
-                many = often.flatten().to_numpy(zero_copy_only=False)[order][at[hit]] if len(hit) else []
+                many = often.flatten().to_numpy(zero_copy_only=False)[order][at[hit]] if len(hit) else np.zeros(0, bool)
                 ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-                found += zip((least[hit] & np.uint64((1 << 44) - 1)).tolist(), ids[row[hit]].tolist(), (a[hit] - bounds[row[hit]]).tolist(), [raw[x : y + SPAN - 1] for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True)], list(many), strict=True)
-                if len(found) >= HELD_PIECES:
-                    yield from _emitted(found, buckets)
-                    found = []
-            if found:
-                yield from _emitted(found, buckets)
+                pieces = [raw[x : y + SPAN - 1] for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True)]
+                held.append(((least[hit] & np.uint64((1 << 44) - 1)).astype(np.int64), ids[row[hit]], (a[hit] - bounds[row[hit]]).astype(np.int64), pieces, many.astype(bool)))
+                size += int((b[hit] - a[hit]).sum()) + (SPAN + 40) * len(pieces)
+                if size >= HELD_BYTES:
+                    yield from _emitted(held, buckets)
+                    held, size = [], 0
+        if held:
+            yield from _emitted(held, buckets)
 
     return run
 
 
-def _emitted(found: list[tuple[int, int, int, bytes, bool]], buckets: int) -> Iterator[pa.RecordBatch]:
-    left, covered = _settle(np.array([i[1] for i in found]), np.array([i[2] for i in found]), [i[3] for i in found], np.array([i[0] for i in found]))
-    out = [(None, None, d, x, y - x, None) for d, x, y in covered]
-    for i in left:
-        v, d, x, p, often = found[i]
-        if often:
-            out += [(int(_piece_hash(p[j : j + SPAN]) % buckets), v, d, x + j, 1, p[j : j + SPAN]) for j in range(len(p) - SPAN + 1)]
-        else:
-            out.append((v % buckets, v, d, x, len(p) - SPAN + 1, p))
-    for k in range(0, len(out), 50_000):
-        cols = list(zip(*out[k : k + 50_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], names=["bucket", "value", "doc_id", "start", "n_windows", "piece"])
+def _emitted(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    value, doc, start, many = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 4))
+    pieces = [p for h in held for p in h[3]]
+    left, covered = _equal_pieces(doc, start, pieces)
+    once, often = left[~many[left]], left[many[left]]
+    if covered:
+        d, x, y = (np.array(c, np.int64) for c in zip(*covered, strict=True))
+        none = pa.nulls(len(d), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(d), pa.array(x.astype(np.int32)), pa.array((y - x).astype(np.int32)), pa.nulls(len(d), pa.binary())], names=_PIECE_NAMES)
+    own = [pieces[i] for i in once]
+    n = np.array([len(p) - SPAN + 1 for p in own], np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(value[once] % buckets), pa.array(value[once]), pa.array(doc[once]), pa.array(start[once].astype(np.int32)), pa.array(n), pa.array(own, pa.binary())], names=_PIECE_NAMES)
+    for i in often:
+        p, n = pieces[i], len(pieces[i]) - SPAN + 1
+        cut = [p[j : j + SPAN] for j in range(n)]
+        same = np.ones(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([_piece_hash(c) % buckets for c in cut], pa.int64()), pa.array(value[i] * same), pa.array(doc[i] * same), pa.array((start[i] + np.arange(n)).astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(cut, pa.binary())], names=_PIECE_NAMES)
 
 
 def _pair(row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -360,7 +400,7 @@ def _covered(table: pa.Table) -> pa.Table:
     docs, starts = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
     if table.column("piece").null_count:
         return pa.table({"doc_id": pa.array(docs), "start": pa.array(starts), "n_windows": table.column("n_windows")})
-    _, out = _settle(docs, starts, table.column("piece").to_pylist(), table.column("value").to_numpy())
+    out = _settle(docs, starts, table.column("piece").to_pylist(), table.column("value").to_numpy())
     cols = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int32()), "n_windows": pa.array([b - a for a, b in zip(cols[1], cols[2], strict=True)], pa.int32())})
 
@@ -407,8 +447,13 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, with_text: bool = False, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining bytes, ``with_text``)."""
+    with tx.scratch():
+        return tx.written(_repeated_spans(docs, with_text, frequent), "spans", keep=True)
+
+
+def _repeated_spans(docs: DataFrame, with_text: bool, frequent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    profile = tx.written(docs.mapInArrow(_profile, "doc_id long, n_bytes long, sha string, chunks array<long>"), "profile")
+    profile = tx.written(docs.mapInArrow(_profile, "doc_id long, n_bytes long, sha string, chunks array<binary>"), "profile")
     total = profile.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(24, int(total) // BUCKET_BYTES)
 
