@@ -36,6 +36,8 @@ from .graph import components
 LEVELS = 3
 #: Ids of candidates are broadcast up to this number, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Signatures that a task holds and sorts at a time, and bytes of text that it signs at a time.
+HELD_SIGNATURES, SLICE = 500_000, 1 << 18
 #: Shingles of the corpus for each bucket of signatures.
 BUCKET_SHINGLES = 3_000_000
 
@@ -110,45 +112,51 @@ def _profiled(width: int):
 
 
 def _dealt(width: int, num: int, den: int, buckets: int):
-    """Signatures in packed rows by bucket. A signature of two documents of the batch goes out once as a mark; its documents are dealt by their id."""
+    """Signatures in packed rows by bucket, ``HELD_SIGNATURES`` at a time. A signature of two documents among these goes out once as a mark; its documents are dealt by their id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, docs, held = [], [], 0
         for batch in batches:
-            sigs, docs = [], []
-            for first, end, data, bounds in tx.text_slices(batch.column("text")):
+            for first, end, data, bounds in tx.text_slices(batch.column("text"), SLICE):
                 rows, hashes = tx.distinct_shingles(data, bounds, width)
                 r, g = _signatures(rows, hashes, np.bincount(rows, minlength=end - first), num, den)
                 sigs.append(g)
                 docs.append(batch.column("doc_id").slice(first, end - first).to_numpy(zero_copy_only=False)[r])
-            if not sigs:
-                continue
-            sig, doc = np.concatenate(sigs), np.concatenate(docs)
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            new = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))[: len(sig)]
-            sig, doc = sig[new], doc[new]
-            head = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
-            several = np.bincount(np.cumsum(head) - 1, minlength=1)[np.cumsum(head) - 1] > 1
-            for kind, pick in ((0, ~several), (1, several & head), (2, several)):
-                g, d = sig[pick], doc[pick]
-                b = (d.view(np.uint64) if kind == 2 else g) % np.uint64(buckets)
-                order = np.argsort(b, kind="stable")
-                b, g, d = b[order], g[order], d[order]
-                at = np.flatnonzero(np.append(True, b[1:] != b[:-1])[: len(b)])
-                ends = np.append(at[1:], len(b))[: len(at)]
-                small = len(d) > 0 and 0 <= d.min() and d.max() < 2**32
-                d = d.astype("<u4" if small else "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(b[at].astype(np.int64)), pa.array(np.full(len(at), kind), pa.int32()), pa.array(np.full(len(at), small), pa.bool_()),
-                        pa.array([_five(g[x:y] // np.uint64(buckets)) for x, y in zip(at, ends, strict=True)] if kind < 2 else [_five(g[x:y] // np.uint64(buckets)) + (g[x:y] % np.uint64(buckets)).astype("<u4").tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()), pa.array([b"" if kind == 1 else d[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
-                    ],
-                    names=["bucket", "kind", "small", "sigs", "docs"],
-                )
+                held += len(g)
+                if held >= HELD_SIGNATURES:
+                    yield from _packed(np.concatenate(sigs), np.concatenate(docs), buckets)
+                    sigs, docs, held = [], [], 0
+        if held:
+            yield from _packed(np.concatenate(sigs), np.concatenate(docs), buckets)
 
     return run
 
 
+def _packed(sig: np.ndarray, doc: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((doc, sig))
+    sig, doc = sig[order], doc[order]
+    new = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))[: len(sig)]
+    sig, doc = sig[new], doc[new]
+    head = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
+    several = np.bincount(np.cumsum(head) - 1, minlength=1)[np.cumsum(head) - 1] > 1
+    for kind, pick in ((0, ~several), (1, several & head), (2, several)):
+        g, d = sig[pick], doc[pick]
+        b = (d.view(np.uint64) if kind == 2 else g) % np.uint64(buckets)
+        order = np.argsort(b, kind="stable")
+        b, g, d = b[order], g[order], d[order]
+        at = np.flatnonzero(np.append(True, b[1:] != b[:-1])[: len(b)])
+        ends = np.append(at[1:], len(b))[: len(at)]
+        small = len(d) > 0 and 0 <= d.min() and d.max() < 2**32
+        d = d.astype("<u4" if small else "<i8")
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(b[at].astype(np.int64)), pa.array(np.full(len(at), kind), pa.int32()), pa.array(np.full(len(at), small), pa.bool_()),
+                pa.array([_five(g[x:y] // np.uint64(buckets)) for x, y in zip(at, ends, strict=True)] if kind < 2 else [_five(g[x:y] // np.uint64(buckets)) + (g[x:y] % np.uint64(buckets)).astype("<u4").tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()), pa.array([b"" if kind == 1 else d[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
+            ],
+            names=["bucket", "kind", "small", "sigs", "docs"],
+        )
+
+
 def _five(values: np.ndarray) -> bytes:
     """Five bytes of each number: signatures that fall together by that only add candidates."""
     return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
