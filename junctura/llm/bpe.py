@@ -157,7 +157,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, words_apart: bool) -> Encoder:
-    """One for each worker process, whose tables serve all its tasks."""
+    """One tokenizer for each worker process; the tables are those of a task."""
     if (path, words_apart) not in _encoders:
         _encoders[path, words_apart] = Encoder(path, words_apart)
     return _encoders[path, words_apart]
@@ -172,9 +172,12 @@ def _joint(a: bytes, b: bytes) -> tuple[bytes, bytes]:
 def _units(path: str, words_apart: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[tuple[bytes, str]]]]:
         own = encoder(path, words_apart)
-        for batch in batches:
-            for first, end, data, bounds in tx.text_slices(batch.column("text")):
-                yield batch.column("doc_id").slice(first, end - first), own.documents(data, bounds)
+        try:
+            for batch in batches:
+                for first, end, data, bounds in tx.text_slices(batch.column("text")):
+                    yield batch.column("doc_id").slice(first, end - first), own.documents(data, bounds)
+        finally:  # a worker lives on after its task and must not hold the tables
+            own.words, own.chunks = Table(WORD_BYTES), Table(CHUNK_BYTES)
 
     return run
 
