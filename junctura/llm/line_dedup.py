@@ -2,23 +2,22 @@
 
 A line is the set of its lower-cased words. Of two lines with Jaccard similarity of at least NUM/DEN the
 later one, by (doc_id, place), goes; lines are judged on the input. Lines of fewer than ``min_words`` distinct words
-stay: with 1, which the pipeline uses, every line that has a word is judged; the registered query and its SQL
-take ``MIN_WORDS``.
+stay; by default every line that has a word is judged.
 
 Words are 56-bit hashes with the rarity of the word in the bits above, so the natural order of the numbers
-is an order by rarity. Rarity is the logarithm of the word's count in a table of ``2 ** BITS`` hashed counters, whose size does not
-depend on the corpus. Lines with equal sets fold into one class. Two similar sets share one of the
+is an order by rarity. Rarity is the logarithm of the word's count over all documents, in a table of ``2 ** BITS`` hashed counters,
+whose size does not depend on the corpus. Lines with equal sets (by 96 bits) fold into one class. Two similar sets share one of the
 ``n - ceil(n NUM / DEN) + 1`` rarest words of each (prefix filter); on that word the classes meet, and a
 pair goes on only if the sizes (length filter), the places of the word (positional filter) and a
 64-bit parity map, whose differing bits bound the symmetric difference, allow the
 similarity. Sets so small that only equal ones are similar (up to 3 words at 4/5) are settled by their class and
 have no prefix. First each class meets the earliest class of its words only, which is linear in a word's
-group; only classes that this does not settle meet the others. The pairs left are verified
+group; only classes that this does not settle meet the others, by a join whose hot words Spark can split. The pairs left are verified
 by the intersection of the full sets.
 
-Defined cases: null text has no lines and stays null; an empty text has one empty line; rows that
-repeat a doc_id are read as one document of the same text; repeated lines within a document count as
-later copies; extra columns are carried; an empty table gives an empty result.
+Defined cases: a null text has no lines and stays null; an empty text has one empty line; lines of rows without a doc_id stay and
+settle nothing; rows that repeat a doc_id are read as one document of the same text; repeated lines within a document count as
+later copies; extra columns are carried, but ones named n_lines and n_removed give way to the results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +27,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import text as tx
 
 NUM, DEN = 4, 5
-MIN_WORDS = 5
+MIN_WORDS = 1
 BITS = 18
-#: A line's number is doc_id * 2 ** PLACE_BITS + place, so numbers are ordered as lines are.
-PLACE_BITS = 21
+#: Rows of two or three numbers are broadcast up to this count, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_LOW = (1 << 56) - 1
+LINE = ["doc_id", "place"]
 
 
 def _plain_blanks(text: str) -> Column:
@@ -46,16 +44,17 @@ def _plain_blanks(text: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """id and line; a place beyond 2 ** PLACE_BITS stops the job rather than mix up lines."""
-    rows = docs.select("doc_id", F.posexplode(F.split(F.lower(_plain_blanks("text")), "\n")).alias("place", "line"))
-    fits = F.assert_true((F.col("place") < (1 << PLACE_BITS)) & (F.abs("doc_id") < (1 << (62 - PLACE_BITS))), "a document of too many lines, or a doc_id out of range")
-    return rows.select((F.col("doc_id") * (1 << PLACE_BITS) + F.col("place") + F.coalesce(fits.cast("long"), F.lit(0))).alias("id"), "line")
+    return docs.select("doc_id", F.posexplode(F.split(F.lower(_plain_blanks("text")), "\n")).alias("place", "line"))
+
+
+def _slot(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - BITS).cast("int")
 
 
 def _levels(docs: DataFrame) -> Column:
     """The rarity level of each counter, as one literal array of 2 ** BITS numbers."""
-    words = docs.select(F.explode(F.split(F.translate(F.lower(_plain_blanks("text")), "\n", " "), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("slot")).agg(F.least(F.lit(120), 1 + F.floor(4 * F.log2(F.count(F.lit(1))))).cast("int").alias("level"))
+    words = docs.select(F.explode(F.split(F.replace(F.lower(_plain_blanks("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.least(F.lit(120), 1 + F.floor(4 * F.log2(F.count(F.lit(1))))).cast("int").alias("level"))
     # 2 ** BITS pairs at most, packed into a few strings by the JVM
     packed = counts.groupBy((F.col("slot") / 4096).cast("int").alias("part")).agg(F.array_join(F.collect_list(F.concat_ws(":", "slot", "level")), ",").alias("levels"))
     found = ["0"] * (1 << BITS)
@@ -63,21 +62,27 @@ def _levels(docs: DataFrame) -> Column:
         for pair in r.levels.split(","):
             slot, _, level = pair.partition(":")
             found[int(slot)] = level
-    text = ",".join(found)
-    return F.split(F.lit(text), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(found)), ",").cast("array<bigint>")
+
+
+def _words(line: str) -> Column:
+    """Hashes of the distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _keys(line: str, levels: Column) -> Column:
     """The distinct words of a line as numbers, the rarest first."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    slot = lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, slot(h)), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))))
+    return F.sort_array(F.transform(_words(line), lambda h: F.shiftleft(F.get(levels, _slot(h)), 56) + F.shiftrightunsigned(h, 8)))
 
 
 def _parity(keys: str) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", k, F.lit(32)).bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def similar_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, place) of the lines that go."""
     with tx.scratch():
@@ -85,21 +90,20 @@ def similar_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: in
 
 
 def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null")
     levels = _levels(docs)
-    keyed = _lines(docs).select("id", _keys("line", levels).alias("keys")).filter(F.size("keys") >= min_words)
+    keyed = _lines(docs).select(*LINE, _keys("line", levels).alias("keys")).filter(F.size("keys") >= max(min_words, 1))
     n = F.size("keys")
     # a set of n words can be similar to one of n + 1 only if den n >= num (n + 1); smaller ones match equal sets alone
     small = n * (den - num) < num
     prefix = F.when(small, F.array().cast("array<bigint>")).otherwise(F.slice("keys", 1, n - F.ceil(n * num / F.lit(float(den)) - 1e-9).cast("int") + 1))
-    # in a prefix a word is known by 32 bits: words that fall together only add candidates
+    # in a prefix a word is known by 31 bits: words that fall together only add candidates
     short = F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    facts = tx.written(keyed.select("id", F.xxhash64("keys").alias("set"), n.alias("n"), _parity("keys").alias("parity"), short.alias("prefix")), "lines")
-    classes = facts.groupBy("set", "n").agg(F.min(F.struct("id", "parity", "prefix")).alias("x"))
-    rows = classes.select(F.col("x.id").alias("id"), "n", F.col("x.parity").alias("parity"), F.posexplode("x.prefix").alias("i", "word"))
-    group = Window.partitionBy("word")
-    met = rows.withColumn("size", F.count(F.lit(1)).over(group)).withColumn("lead", F.min(F.struct("id", "n", "parity", "i")).over(group)).filter("size > 1")
-    met = tx.written(met.select("word", "id", "n", "parity", "i", (F.col("size") > 2).alias("more"), "lead"), "met")
+    facts = tx.written(keyed.select(*LINE, F.xxhash64("keys").alias("set"), F.hash("keys").alias("set2"), n.alias("n"), _parity("keys").alias("parity"), short.alias("prefix")), "lines")
+    same = ["set", "set2", "n"]
+    folded = facts.groupBy(*same).agg(F.min(F.struct(*LINE)).alias("head"), F.count(F.lit(1)).alias("members"), F.any_value("parity").alias("parity"), F.any_value("prefix").alias("prefix"))
+    classes = tx.written(folded.select("head.*", *same, "members", "parity", "prefix"), "classes")
+    rows = classes.select(*LINE, "n", "parity", F.posexplode("prefix").alias("i", "word"))
 
     def may_match(x: str, y: str) -> Column:
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
@@ -108,61 +112,72 @@ def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataF
         # symmetric difference <= (nx + ny) (den - num) / (den + num)
         return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (left * (num + den) >= num * (nx + ny)) & (differ * (num + den) <= (den - num) * (nx + ny))
 
-    first = tx.written(met.filter(F.col("id") != F.col("lead.id")).filter(may_match("", "lead.")).select("id", F.col("lead.id").alias("other")).distinct(), "line-pairs")
+    other = ["o_doc_id", "o_place"]
+    lead = F.min(F.struct(*LINE, "n", "parity", "i")).over(Window.partitionBy("word"))
+    led = rows.withColumn("lead", lead).filter((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("place") != F.col("lead.place"))).filter(may_match("", "lead."))
+    first = tx.written(led.select(*LINE, F.col("lead.doc_id").alias("o_doc_id"), F.col("lead.place").alias("o_place")).distinct(), "line-pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The lines of ``id`` that are similar to their ``other``."""
-        wanted = tx.written(pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "wanted")
-        ids = tx.written(wanted.select(F.floor(F.col("id") / (1 << PLACE_BITS)).cast("long").alias("doc_id")).distinct(), "wanted-documents")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        lines = _lines(docs.join(ids, "doc_id", "left_semi"))
-        again = lines.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi").select("id", _keys("line", levels).alias("keys"))
-        sets = tx.written(again, "line-sets")
-        a, b = sets.withColumnsRenamed({"keys": "a"}), sets.withColumnsRenamed({"id": "other", "keys": "b"})
+        """The lines of ``pairs`` that are similar to their other line."""
+        wanted = tx.written(pairs.select(F.explode(F.array(F.struct(*LINE), F.struct(F.col("o_doc_id").alias("doc_id"), F.col("o_place").alias("place")))).alias("x")).select("x.*").distinct(), "wanted")
+        ids = tx.written(wanted.select("doc_id").distinct(), "wanted-documents")
+        again = _lines(docs.join(_small(ids), "doc_id", "left_semi")).join(_small(wanted), LINE, "left_semi")
+        sets = tx.written(again.select(*LINE, _words("line").alias("words")), "line-sets")
+        a, b = sets.withColumnRenamed("words", "a"), sets.withColumnsRenamed({"doc_id": "o_doc_id", "place": "o_place", "words": "b"})
         both = F.size(F.array_intersect("a", "b"))
-        return pairs.join(a, "id").join(b, "other").filter(both * (num + den) >= num * (F.size("a") + F.size("b"))).select("id").distinct()
+        return pairs.join(a, LINE).join(b, other).filter(both * (num + den) >= num * (F.size("a") + F.size("b"))).select(*LINE).distinct()
 
-    settled = tx.written(verified(first), "settled").withColumn("done", F.lit(True))
-    rest = met.filter(F.col("more") & (F.col("id") != F.col("lead.id"))).drop("lead", "more")
-    rest = rest.join(F.broadcast(settled) if settled.count() <= BROADCAST_IDS else settled, "id", "left")
+    settled = tx.written(verified(first), "settled")
+    rest = rows.join(_small(settled.withColumn("done", F.lit(1))), LINE, "left").withColumn("done", F.coalesce("done", F.lit(0)))
     x, y = rest.alias("x"), rest.alias("y")
-    second = x.join(y, (F.col("x.word") == F.col("y.word")) & F.col("x.done").isNull() & (F.col("y.id") < F.col("x.id")) & may_match("x.", "y."))
-    second = tx.written(second.select(F.col("x.id").alias("id"), F.col("y.id").alias("other")).distinct(), "line-pairs")
-    gone = settled.select("id").unionByName(verified(second)).distinct().select(F.col("id").alias("head"), F.lit(True).alias("gone"))
+    earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.place") < F.col("x.place")))
+    # written over both sides, so that these keep one plan and share one exchange
+    not_settled = F.col("x.done") * (F.col("y.done") + 1) == 0
+    meet = x.join(y, (F.col("x.word") == F.col("y.word")) & not_settled & earlier & may_match("x.", "y."))
+    second = meet.select(F.col("x.doc_id").alias("doc_id"), F.col("x.place").alias("place"), F.col("y.doc_id").alias("o_doc_id"), F.col("y.place").alias("o_place")).distinct()
+    second = tx.written(second.join(first, [*LINE, *other], "left_anti"), "line-pairs")
+    gone = settled.unionByName(verified(second)).distinct().withColumn("gone", F.lit(True))
     # every later member of a class goes, and the first one, too, if the class is similar to an earlier one
-    heads = facts.groupBy("set", "n").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members"))
-    touched = tx.written(heads.join(gone, "head", "left").filter((F.col("members") > 1) | F.col("gone")), "touched")
-    drop = facts.select("id", "set", "n").join(touched, ["set", "n"]).filter((F.col("id") > F.col("head")) | F.col("gone"))
-    return drop.select(F.floor(F.col("id") / (1 << PLACE_BITS)).cast("long").alias("doc_id"), F.pmod("id", F.lit(1 << PLACE_BITS)).cast("int").alias("place"))
+    touched = classes.join(_small(tx.written(gone, "gone")), LINE, "left").filter((F.col("members") > 1) | F.col("gone"))
+    touched = touched.select(*same, F.col("doc_id").alias("h_doc_id"), F.col("place").alias("h_place"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    later = F.col("gone") | (F.col("doc_id") != F.col("h_doc_id")) | (F.col("place") != F.col("h_place"))
+    return facts.select(*LINE, *same).join(touched, same).filter(later).select(*LINE)
+
+
+def _removed_places(docs: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
+    """doc_id and the distinct places of its lines that go, which are bounded by the document itself."""
+    return similar_lines(docs, num, den, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines taken out of ``text``, and columns n_lines and n_removed."""
-    drop = tx.written(similar_lines(docs, num, den, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("removed_places")), "line-drops")
-    joined = docs.join(drop.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    own, places = tx.fresh("id", docs.columns), tx.fresh("places", docs.columns)
+    drop = _removed_places(docs, num, den, min_words).select(F.col("doc_id").alias(own), F.col("places").alias(places))
+    joined = docs.join(drop, F.col("doc_id").cast("long") == F.col(own), "left").drop(own)
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed_places", i)), "\n")
-    return joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("removed_places"), F.lit(0)).cast("long"), "text": F.when(F.col("removed_places").isNotNull(), kept).otherwise(F.col("text"))}).drop("removed_places")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(places, i)), "\n")
+    return joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size(places), F.lit(0)).cast("long"), "text": F.when(F.col(places).isNotNull(), kept).otherwise(F.col("text"))}).drop(places)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = tx.table(spark, sf_dir, "documents")
-    drop = similar_lines(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), F.sum((F.col("place") + 1).cast("long") * (F.col("place") + 1)).alias("place_squares"))
+    drop = _removed_places(docs, NUM, DEN, MIN_WORDS)
+    squares = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + (p + 1).cast("long") * (p + 1))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    return lines.join(drop, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("place_squares", F.lit(0)).cast("long").alias("place_squares"))
+    return lines.join(drop, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(squares, F.lit(0)).cast("long").alias("place_squares"))
 
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS place, unnest(ls) AS line FROM d WHERE ls IS NOT NULL),
 k AS (SELECT doc_id, place, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS ws FROM l),
-c AS (SELECT ws, len(ws) AS n, min((doc_id, place)) AS head, row_number() OVER () AS c FROM k WHERE len(ws) >= 5 GROUP BY ws),
+c AS (SELECT ws, len(ws) AS n, min((doc_id, place)) AS head, row_number() OVER () AS c FROM k WHERE len(ws) >= 1 GROUP BY ws),
 f AS (SELECT w, count(*) AS df FROM (SELECT unnest(ws) AS w FROM c) GROUP BY w),
 o AS (SELECT c, n, head, w, row_number() OVER (PARTITION BY c ORDER BY df, w) AS i FROM (SELECT c, n, head, unnest(ws) AS w FROM c) JOIN f USING (w)),
 p AS (SELECT * FROM o WHERE i <= n - ceil(n * 4 / 5.0)::INT + 1),
 pairs AS (SELECT DISTINCT x.c AS x, y.c AS y FROM p x JOIN p y ON x.w = y.w AND y.head < x.head AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)),
 gone AS (SELECT DISTINCT x.c FROM pairs JOIN c x ON x.c = pairs.x JOIN c y ON y.c = pairs.y WHERE 9 * len(list_intersect(x.ws, y.ws)) >= 4 * (x.n + y.n)),
-r AS (SELECT k.doc_id, k.place FROM k JOIN c ON k.ws = c.ws WHERE (k.doc_id, k.place) > c.head OR c.c IN (SELECT c FROM gone)),
+r AS (SELECT DISTINCT k.doc_id, k.place FROM k JOIN c ON k.ws = c.ws WHERE (k.doc_id, k.place) > c.head OR c.c IN (SELECT c FROM gone)),
 a AS (SELECT doc_id, count(*) AS n_removed, sum((place + 1) * (place + 1)) AS q FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(q, 0)::BIGINT AS place_squares FROM d LEFT JOIN a USING (doc_id)
 """

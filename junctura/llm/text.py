@@ -120,7 +120,11 @@ def distinct_shingles(data: np.ndarray, bounds: np.ndarray, n: int, spaces: np.n
     if short:
         few = np.flatnonzero((count > 0) & (count < n))
         if len(few):
-            extra = np.array([_sequence(words[first[i] : first[i + 1]]) for i in few], np.uint64)
+            extra = np.zeros(len(few), np.uint64)
+            for k in range(1, n):  # a row of k words is one run of them
+                own = count[few] == k
+                if own.any():
+                    extra[own] = sequences(words, k)[first[few[own]]]
             rows, hashes = np.concatenate([rows, few]), np.concatenate([hashes, extra])
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]
@@ -131,20 +135,31 @@ def distinct_shingles(data: np.ndarray, bounds: np.ndarray, n: int, spaces: np.n
     return rows, hashes
 
 
-def _sequence(words: np.ndarray) -> np.uint64:
-    out = np.array([len(words) + 0x1234567], np.uint64)
-    for w in words:
-        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + w)
-    return out[0]
+def sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of ``n`` words taken as a whole short text, from each of the first len(words) - n + 1."""
+    out = np.full(max(len(words) - n + 1, 0), n + 0x1234567, np.uint64)
+    for i in range(n):
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + words[i : i + len(out)])
+    return out
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores before it as it takes to be none of ``taken``."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only in local mode, where both are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
     return found
