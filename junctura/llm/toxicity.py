@@ -3,9 +3,9 @@
 Folding lower-cases, strips accents, maps homoglyphs (Cyrillic, Greek, full width) and digit or
 symbol substitutions to letters and everything else to blanks; ``l``, ``i``, ``1`` and ``|`` fold
 alike, so ``1d1ot`` and ``idiot`` are one. The lexicon is learned from labelled rows: words and
-word beginnings (stems, which catch inflected forms) that are over-represented in toxic documents
-are its terms, and a ridge logistic regression on their counts gives the weights, none below 0. The
-terms found in a document add up, each counting up to ``REPEATS`` times, except inside an exception
+word beginnings (stems of ``STEMS`` letters, which catch inflected forms) that are significantly over-represented in toxic documents
+are its terms, as many as there are, and a ridge logistic regression on their counts gives the weights, none below 0. The
+terms found in a document add up, each by the logarithm of its number, except inside an exception
 phrase; the sum is normalised by the logarithm of the length and mapped to a score by a logistic
 curve fitted on the same rows.
 
@@ -17,6 +17,8 @@ lexicon is empty and all scores are equal; repeated rows are scored one by one;
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import unicodedata
@@ -29,11 +31,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import text as tx
 
 MAX_ROWS = 20_000
-MAX_TERMS = 400
 MIN_DOCS = 4
 MIN_ODDS = 1.2
-STEM = 4
-REPEATS = 3
+#: Least significance of a term: documents by log odds, as of a likelihood ratio.
+SURE = 12.0
+#: Letters of a stem; a whole word of any length is a term, too.
+STEMS = (4, 12)
 #: Phrases in which a term is not meant as an insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown fishes", "pond scum", "stupid simple", "loser bracket", "losers bracket")
 
@@ -79,29 +82,33 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct words (with a blank at the end) and word beginnings of each labelled document."""
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = {w for w in fold(text or "").split() if len(w) <= 40}
-            found = {f"{w} " for w in words if len(w) > 2} | {w[:n] for w in words for n in range(STEM, min(len(w), 12) + 1)}
+            words = set(fold(text or "").split())
+            found = {f"{w} " for w in words if len(w) > 2} | {w[:n] for w in words for n in range(STEMS[0], min(len(w), STEMS[1]) + 1)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string()), pa.array([toxic] * len(found), pa.int32())], names=["term", "toxic"])
 
 
 def candidate_terms(train: DataFrame) -> list[str]:
-    """Terms with a leading blank, of which a chain of beginnings with like counts keeps one; at most ``MAX_TERMS``."""
+    """Terms with a leading blank, of which a chain of beginnings with like counts keeps one; the labelled rows bound their number."""
     total = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not total.t or total.t == total.n:
         return []
     counted = train.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_terms, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     odds = F.log((F.col("t") + 0.5) / (total.t + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (total.n - total.t + 1))
-    good = counted.filter(F.col("t") >= MIN_DOCS).select("term", "t", odds.alias("w")).filter(F.col("w") >= MIN_ODDS)
-    rows = {r.term: r for r in good.sort(F.desc(F.col("t") * F.col("w")), "term").limit(20 * MAX_TERMS).collect()}
-    chosen: list[str] = []
+    good = counted.filter(F.col("t") >= MIN_DOCS).select("term", "t", odds.alias("w")).filter((F.col("w") >= MIN_ODDS) & (F.col("t") * F.col("w") >= SURE))
+    rows = {r.term: r for r in good.collect()}
+    chosen: dict[str, float] = {}
+    beginnings: set[str] = set()  # of the chosen terms
+    reach: dict[str, int] = {}  # most documents of a chosen term that begins so
     for term in sorted(rows, key=lambda x: (-round(rows[x].t * rows[x].w, 6), -len(x), x)):
         stem, own = term.rstrip(), rows[term]
         # a longer term must be a good deal surer than a chosen beginning of it, a shorter one reach many more documents
-        if any(stem.startswith(c.rstrip()) and own.w < rows[c].w + 1.0 or c.startswith(stem) and own.t < 1.25 * rows[c].t for c in chosen):
+        begun = [chosen[c] for n in range(1, len(stem) + 1) for c in (stem[:n], f"{stem[:n]} ") if c in chosen]
+        if any(own.w < w + 1.0 for w in begun) or stem in beginnings and own.t < 1.25 * reach[stem]:
             continue
-        chosen.append(term)
-        if len(chosen) >= MAX_TERMS:
-            break
+        chosen[term] = own.w
+        for n in range(1, len(stem) + 1):
+            beginnings.add(stem[:n])
+            reach[stem[:n]] = max(reach.get(stem[:n], 0), own.t)
     return [f" {c}" for c in chosen]
 
 
@@ -115,7 +122,7 @@ def learn_lexicon(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) ->
         machine = automaton(dict.fromkeys(terms, 1.0), exceptions)
         for batch in batches:
             found = [found_terms(machine, t or "") for t in batch.column("text").to_pylist()]
-            at, n = [list(x[0]) for x in found], [[v / math.log2(4 + x[1]) for v in x[0].values()] for x in found]
+            at, n = [list(x[0]) for x in found], [[math.log2(1 + v) / math.log2(4 + x[1]) for v in x[0].values()] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["toxic", "at", "n"])
 
     seen = train.mapInArrow(counts, "toxic int, at array<int>, n array<float>").toPandas()  # as many rows as the sample has
@@ -149,7 +156,7 @@ def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTION
 
 
 def found_terms(machine, text: str) -> tuple[dict[int, int], int]:
-    """How often each term was found, ``REPEATS`` at most, and the number of words."""
+    """How often each term was found outside of exception phrases, and the number of words."""
     folded = fold(text)
     times: dict[int, int] = {}
     spans, hits = [], []
@@ -158,16 +165,20 @@ def found_terms(machine, text: str) -> tuple[dict[int, int], int]:
             spans.append((end - size + 1, end))
         else:
             hits.append((end, i, size))
+    spans.sort()
+    begins, reach = [a for a, _ in spans], list(itertools.accumulate((b for _, b in spans), max))
     for end, i, size in hits:
-        if not any(a <= end - size + 1 and end <= b for a, b in spans):
-            times[i] = min(times.get(i, 0) + 1, REPEATS)
+        # the phrases that begin at or before the term; the farthest of them holds it or none does
+        k = bisect.bisect_right(begins, end - size + 1)
+        if not k or reach[k - 1] < end:
+            times[i] = times.get(i, 0) + 1
     return times, folded.count(" ")
 
 
 def matched(machine, weights: list[float], text: str) -> tuple[float, int]:
     """Sum of the weights found, and the number of words."""
     times, words = found_terms(machine, text)
-    return sum(weights[i] * n for i, n in times.items()), words
+    return sum(weights[i] * math.log2(1 + n) for i, n in times.items()), words
 
 
 def _normal(total: float, words: int) -> float:
@@ -203,18 +214,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    train = tx.written(training_rows(docs, labels, "toxic", max_rows).select("text", "toxic"), "toxicity-train")
-    lexicon = learn_lexicon(train, exceptions)
-    weights = [w for _, w in sorted(lexicon.items())]
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(lexicon, exceptions)
-        for batch in batches:
-            x = [_normal(*matched(machine, weights, t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.float64())], names=["toxic", "x"])
-
-    seen = train.mapInArrow(values, "toxic int, x double").toPandas()  # max_rows at most
-    a, b = _fit(seen.x.to_numpy(float), seen.toxic.to_numpy(float)) if len(seen) else (0.0, 0.0)
+    with tx.scratch():
+        train = tx.written(training_rows(docs, labels, "toxic", max_rows).select("text", "toxic"), "toxicity-train")
+        lexicon = learn_lexicon(train, exceptions)
+        weights = [w for _, w in sorted(lexicon.items())]
+        a, b = _calibrated(train, lexicon, weights, exceptions)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(lexicon, exceptions)
@@ -225,5 +229,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, excep
     return docs.mapInArrow(scores, "doc_id long, score double").select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _calibrated(train: DataFrame, lexicon: dict[str, float], weights: list[float], exceptions: tuple[str, ...]) -> tuple[float, float]:
+    """Intercept and slope of the curve from normalised sums to scores."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(lexicon, exceptions)
+        for batch in batches:
+            x = [_normal(*matched(machine, weights, t or "")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.float64())], names=["toxic", "x"])
+
+    seen = train.mapInArrow(values, "toxic int, x double").toPandas()  # max_rows at most
+    return _fit(seen.x.to_numpy(float), seen.toxic.to_numpy(float)) if len(seen) else (0.0, 0.0)
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(tx.table(spark, sf_dir, "documents"), tx.table(spark, sf_dir, "labels"))
