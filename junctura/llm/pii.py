@@ -1,19 +1,22 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Emails, phone numbers, card numbers, account numbers (IBAN), IPv4 addresses, passwords and tokens, and
-names behind a form of address are found by patterns. Each distinct value has one surrogate in the
+names behind a form of address are found by patterns; names that stand alone are not. Each distinct value has one surrogate in the
 whole corpus, whatever its surface (coreference): a keyed hash picks digits for digits, letters for letters
-of the same case and script, a name of the same gender; punctuation, length, country code, top-level
-domain and check digits stay valid. A domain keeps one surrogate domain in all addresses.
+of the same case and script, a given name of the same gender; punctuation, length, country code, top-level
+domain and check digits stay valid. Values are made of parts with surrogates of their own: an address of its local part and its domain, a
+name of given name and surname, so all addresses of a domain and all names of a family stay together; a surname that has a
+form for each gender keeps both.
 
 Surrogates are checked over the whole corpus: no two values of a type share one, and none is itself a
 value that occurs. A value that fails is tried again with the next attempt, until none is left; every
-``GROW`` attempts names gain a syllable and emails, secrets, phone numbers and names of other scripts a character, so a
+``GROW`` attempts names and domains gain a syllable and emails, secrets, phone numbers and names of other scripts a character, so a
 small space cannot run out. Cards, accounts and addresses have a fixed length; if a value is
-still left after ``MAX_ATTEMPTS``, the job fails rather than give a surrogate twice. Only attempts above 0 are handed to the replacing pass, with the documents they concern.
+still left after ``MAX_ATTEMPTS``, the job fails rather than give a surrogate twice. Only attempts above 0 are handed to the replacing
+pass, with the documents they concern. Texts are searched twice: once for the values, once to replace them.
 
 Defined cases: null text stays null with no entities; without entities a text stays as it is; repeated rows are
-treated alike; extra columns are ignored; an empty table gives an empty result.
+treated alike; a null doc_id is no hindrance; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import text as tx
 
-KEY = b"surrogate-key"
+#: The key of the registered query; whoever uses ``pseudonymise`` gives a key of their own.
+OP8_KEY = b"key of the registered query"
 MAX_ATTEMPTS = 60
 GROW = 4
 BROADCAST_ROWS = 200_000
@@ -51,12 +55,17 @@ GIVEN = {
     ("GREEK", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης Πέτρος".split(),
     ("GREEK", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Βασιλική".split(),
 }
+#: Calling codes of two digits; 1 and 7 have one digit, all others three.
+CALLING_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 SYLLABLES = {
     "LATIN": "ba ben ber bor da del dor fa fen gar hal hol jan kan kel lan len lor mar mel mon nor par per ran rin sal sen sor tal ten tor val ver win".split(),
     "CYRILLIC": "ба бор ва вер гор дан дор ел зар ив кал кол лан лев мар мин нов пав рад род сав сем тар тол".split(),
     "GREEK": "βα γε δη ελ ζα θε κα λα μα να πα ρη σα τα φι χα".split(),
 }
-ENDS = {("LATIN", "m"): "", ("LATIN", "f"): "", ("CYRILLIC", "m"): "ов", ("CYRILLIC", "f"): "ова", ("GREEK", "m"): "δης", ("GREEK", "f"): "δου"}
+#: Endings of surnames by script: masculine, feminine.
+ENDS = {"CYRILLIC": ("ов", "ова"), "GREEK": ("δης", "δου")}
+#: Feminine endings of surnames and their masculine forms.
+FEMININE = (("ова", "ов"), ("ева", "ев"), ("ёва", "ёв"), ("ина", "ин"), ("ская", "ский"), ("δου", "δης"), ("ου", "ος"))
 
 
 def luhn(digits: str) -> bool:
@@ -127,22 +136,45 @@ def _script(text: str) -> str:
     return "LATIN"
 
 
-def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
-    """The canonical surrogate of a canonical value."""
-    s, grown = _Stream(key, kind, value, attempt), attempt // GROW
+def parts(kind: str, value: str) -> list[tuple[str, str]]:
+    """The values that have a surrogate of their own."""
     if kind == "email":
+        return [(kind, value), ("domain", value.rpartition("@")[2])]
+    if kind.startswith("name"):
+        *given, last = value.split(" ")
+        if kind == "name_f":
+            last = next((last.removesuffix(f) + m for f, m in FEMININE if last.endswith(f) and len(last) > len(f)), last)
+        return [*((f"given_{kind[-1]}", g) for g in given), ("surname", last)]
+    return [(kind, value)]
+
+
+def _family(script: str, s: _Stream, n: int) -> str:
+    return "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(n))
+
+
+def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
+    """The canonical surrogate of a part."""
+    s, grown = _Stream(key, kind, value, attempt), attempt // GROW
+    if kind == "email":  # with the domain as it was, which has a surrogate of its own
         local, _, domain = value.rpartition("@")
-        *labels, top = domain.split(".")
-        d = _Stream(key, "domain", domain)
-        return f"{_like(local + 'a' * grown, s)}@{'.'.join(_like(x, d) if x not in ('example', 'www', 'mail') else x for x in labels)}.{top}"
+        return f"{_like(local + 'a' * grown, s)}@{domain}"
+    if kind == "domain":
+        *labels, top = value.split(".")
+        kept = ("example", "www", "mail")
+        made = [x if x in kept else _like(x, s) for x in labels]
+        if all(x in kept for x in labels):  # nothing in it to replace but what is no name
+            return value if value in ("example.com", "www.example.com", "mail.example.com") else f"{_family('LATIN', s, 2 + grown)}.{value}"
+        return ".".join([*made[:-1], made[-1] + _family("LATIN", s, grown), top])
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "card":
         body = value[0] + "".join(str(s.below(10)) for _ in value[1:-1])
         return next(body + str(d) for d in range(10) if luhn(body + str(d)) == luhn(value))
     if kind == "phone":
-        value += "0" * grown
-        return value[:2] + "".join(str(s.below(10)) for _ in value[2:]) if value.startswith("+") else "".join(str(s.below(10)) for _ in value)
+        code = ""
+        if value.startswith("+"):
+            code = value[: 2 if value[1] in "17" else 3 if value[1:3] in CALLING_CODES else 4]
+        return code + "".join(str(s.below(10)) for _ in value[len(code) :] + "0" * grown)
     if kind == "iban":
         body = _like(value[4:], s)
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
@@ -152,12 +184,25 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
             return "".join("0123456789abcdef"[s.below(16)] for _ in range(len(value) + grown))
         # a secret without a letter or digit has nothing to replace
         return _like((value if any(map(str.isalnum, value)) else "a" * len(value)) + "a" * grown, s)
-    script, gender = _script(value), kind[-1]
+    script = _script(value)
     if not script:
         return _like(value + value[-1] * grown, s)
-    words = value.split(" ")
-    last = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + grown)) + ENDS[script, gender]
-    return (f"{GIVEN[script, gender][s.below(len(GIVEN[script, gender]))].casefold()} {last}") if len(words) > 1 else last
+    if kind == "surname":
+        return _family(script, s, 3 + grown) + ENDS.get(script, ("",))[0]
+    names = GIVEN[script, kind[-1]]
+    return names[s.below(len(names))].casefold() + _family(script, s, grown)
+
+
+def replacement(kind: str, value: str, tried: dict[tuple[str, str], int], key: bytes) -> str:
+    """The canonical surrogate of an entity, put together from those of its parts."""
+    made = [surrogate(k, v, tried.get((k, v), 0), key) for k, v in parts(kind, value)]
+    if kind == "email":
+        return f"{made[0].rpartition('@')[0]}@{made[1]}"
+    if kind == "name_f":
+        for masculine, feminine in ENDS.values():
+            if made[-1].endswith(masculine):
+                made[-1] = made[-1].removesuffix(masculine) + feminine
+    return " ".join(made)
 
 
 def formatted(kind: str, surface: str, value: str) -> str:
@@ -172,16 +217,10 @@ def formatted(kind: str, surface: str, value: str) -> str:
     return value
 
 
-def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _document_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct parts of the entities of each document; documents without one give no row."""
     for batch in batches:
-        found = {(k, v) for t in batch.column("text").to_pylist() if t for _, _, k, v in find(t)}
-        cols = list(zip(*sorted(found), strict=True)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "value"])
-
-
-def _document_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(d, k, v) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for k, v in sorted({(k, v) for _, _, k, v in find(t)})]
+        rows = [(d, k, v) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for k, v in sorted({p for _, _, k, v in find(t) for p in parts(k, v)})]
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "kind", "value"])
 
@@ -195,16 +234,16 @@ def _surrogates(key: bytes):
     return run
 
 
-def attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, value and attempt of the values whose first surrogate does not do."""
-    values = tx.written(docs.select("text").mapInArrow(_entities, "kind string, value string").distinct(), "entities")
+def attempts(values: DataFrame, key: bytes) -> DataFrame:
+    """kind, value and attempt of the values (distinct kind, value) whose first surrogate does not do."""
     schema = "kind string, value string, attempt int, surrogate string"
     made = tx.written(values.withColumn("attempt", F.lit(0)).mapInArrow(_surrogates(key), schema), "surrogates")
     for _ in range(MAX_ATTEMPTS):
         # of values that share a surrogate the one of the fewest attempts and the smallest value keeps it
         order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
         taken = made.withColumn("place", F.row_number().over(order)).join(values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real")), ["kind", "surrogate"], "left")
-        judged = tx.written(taken.select("kind", "value", "attempt", "surrogate", ((F.col("place") > 1) | F.col("real").isNotNull()).alias("bad")), "judged")
+        unlike = F.col("surrogate") != F.col("value")  # a domain for examples may stay
+        judged = tx.written(taken.select("kind", "value", "attempt", "surrogate", ((F.col("place") > 1) | (F.col("real").isNotNull() & (unlike | (F.col("kind") != "domain")))).alias("bad")), "judged")
         if judged.filter("bad").isEmpty():
             break
         again = judged.filter("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_surrogates(key), schema)
@@ -216,19 +255,20 @@ def attempts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def _replaced(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str, int], str] = {}
+        known: dict[tuple[str, str], str] = {}
         for batch in batches:
             texts, counts, kinds = [], [], []
             for text, more in zip(batch.column("text").to_pylist(), batch.column("more").to_pylist(), strict=True):
                 tried = {(m["kind"], m["value"]): m["attempt"] for m in more or ()}
                 out, last, found = [], 0, find(text) if text else []
                 for a, b, kind, value in found:
-                    k = (kind, value, tried.get((kind, value), 0))
-                    if k not in known:
+                    # attempts are those of the whole corpus, so a value has one replacement whichever document names it
+                    new = known.get((kind, value))
+                    if new is None:
                         if len(known) > 100_000:
                             known.clear()
-                        known[k] = surrogate(*k, key)
-                    out += [text[last:a], formatted(kind, text[a:b], known[k])]
+                        new = known[kind, value] = replacement(kind, value, tried, key)
+                    out += [text[last:a], formatted(kind, text[a:b], new)]
                     last = b
                 texts.append("".join([*out, text[last:]]) if found else text)
                 counts.append(len(found))
@@ -238,19 +278,25 @@ def _replaced(key: bytes):
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, n_entities, kinds and the text with surrogates in the places of entities."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    retried = tx.written(attempts(docs, key), "attempts")
-    if retried.isEmpty():
+    with tx.scratch():
+        return tx.written(_pseudonymised(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key), "pseudonymised", keep=True)
+
+
+def _pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
+    where = tx.written(docs.mapInArrow(_document_parts, "doc_id long, kind string, value string"), "entities")
+    retried = tx.written(attempts(tx.written(where.select("kind", "value").distinct(), "values"), key), "attempts")
+    n = retried.count()
+    if not n:
         both = docs.withColumn("more", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     else:
-        small = retried.count() <= BROADCAST_ROWS
-        where = docs.mapInArrow(_document_entities, "doc_id long, kind string, value string").join(F.broadcast(retried) if small else retried, ["kind", "value"])
-        where = tx.written(where.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("more")), "attempts-by-document")
-        both = docs.join(F.broadcast(where) if where.count() <= BROADCAST_ROWS else where, "doc_id", "left")
+        hit = where.join(F.broadcast(retried) if n <= BROADCAST_ROWS else retried, ["kind", "value"])
+        hit = tx.written(hit.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("more")), "attempts-by-document")
+        small = hit.count() <= BROADCAST_ROWS and n <= BROADCAST_ROWS
+        both = docs.join(F.broadcast(hit) if small else hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left").select(docs["doc_id"], "text", "more")
     return both.select("doc_id", "text", "more").mapInArrow(_replaced(key), "doc_id long, n_entities long, kinds string, text string")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(tx.table(spark, sf_dir, "documents"))
+    return pseudonymise(tx.table(spark, sf_dir, "documents"), OP8_KEY)
