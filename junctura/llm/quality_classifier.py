@@ -11,7 +11,8 @@ Fitting is bounded: ``max_rows`` labelled and as many unlabelled rows, those of
 doc_id. The models are a few hundred numbers.
 
 Defined cases: null text counts as empty; null lang, source and n_chars have a value of their own; without rows of both
-labels every document is kept with score 0.5; repeated rows are scored one by one; extra columns stay.
+labels every document is kept with score 0.5; repeated rows are scored one by one; an empty table gives an empty result; extra columns
+stay, but ones named p_text, p_meta, score and kept give way to the results.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as tx
 from .quality_rules import _repeat_words, _sums, _SYMBOL, _UPPER, _BLANK
@@ -172,17 +174,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> CoTrain
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """All columns of ``docs`` with p_text, p_meta, score (of good quality) and kept."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    model = fit(base, labels, max_rows)
-    fields = "doc_id long, text string, lang string, source string, n_chars long, p_text double, p_meta double, score double"
+    own = docs.drop("p_text", "p_meta", "score", "kept").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string"), "n_chars": F.col("n_chars").cast("long")})
+    model = fit(own.select("doc_id", "text", "lang", "source", "n_chars"), labels, max_rows)
+    fields = StructType([*own.schema.fields, *(StructField(c, DoubleType()) for c in ("p_text", "p_meta", "score"))])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = model.scores(_views(batch)) if model else np.full((len(batch), 3), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(3))], names=[*batch.schema.names, "p_text", "p_meta", "score"])
 
-    return base.mapInArrow(scored, fields).withColumn("kept", F.col("score") >= 0.5)
+    return own.mapInArrow(scored, fields).withColumn("kept", F.col("score") >= 0.5)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    return score_documents(tx.table(spark, sf_dir, "documents"), tx.table(spark, sf_dir, "labels")).select("doc_id", "p_text", "p_meta", "score", "kept")
+    docs = tx.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return score_documents(docs, tx.table(spark, sf_dir, "labels")).select("doc_id", "p_text", "p_meta", "score", "kept")
