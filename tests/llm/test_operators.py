@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from junctura.llm import bpe, decontaminate, graph, html_text, jaccard_join, line_dedup, pii, quality_classifier, quality_rules, suffix_dedup, text as tx, toxicity
 
+KEY = b"a key of the tests"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n long"
 
 
@@ -94,11 +95,11 @@ def test_bands_hold_every_partner():
 def test_lines_against_brute_force(spark, texts):
     rows = [t for t in texts]
     lines = [(d, p, frozenset(x for x in re.split(r"[ \t\r\f\v]+", line.lower()) if x)) for d, t in enumerate(rows) if t is not None for p, line in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= line_dedup.MIN_WORDS]
+    lines = [x for x in lines if len(x[2]) >= 5]
     want = {(d, p) for i, (d, p, s) in enumerate(lines) if any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:i])}
-    got = {(r.doc_id, r.place) for r in line_dedup.similar_lines(frame(spark, rows)).collect()}
+    got = {(r.doc_id, r.place) for r in line_dedup.similar_lines(frame(spark, rows), min_words=5).collect()}
     assert got == want
-    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows), min_words=5).collect()}
     assert kept[0] == rows[0] and kept[12] == "" and kept[len(texts) - 1].startswith("One.\nOne.")
 
 
@@ -110,7 +111,7 @@ def test_short_lines_against_brute_force(spark, texts):
     lines = [x for x in lines if x[2]]
     want = {(d, p) for i, (d, p, s) in enumerate(lines) if any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:i])}
     docs = frame(spark, rows)
-    assert {(r.doc_id, r.place) for r in line_dedup.similar_lines(docs, min_words=1).collect()} == want
+    assert {(r.doc_id, r.place) for r in line_dedup.similar_lines(docs).collect()} == want
     # the stage of the pipeline judges them, too
     kept = {r.doc_id: r.text for r in pipeline.distinct_lines(spark, docs, "").collect()}
     assert kept == {d: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in want) for d, t in enumerate(rows)}
@@ -149,7 +150,7 @@ def test_contained_items_against_brute_force(spark, texts):
 def test_surrogates_are_distinct_and_alike(spark):
     rows = [f"Mail u{i}.{i:02d}@mail{i % 9}.example.com or call +1 ({200 + i}) 555-{1000 + i}, at 10.{i}.3.4, card 4{i:015d}" for i in range(60)]
     rows += [rows[0].upper(), "Mrs. Anna Smith met Herr Müller and MRS. nobody", None, "", "no data"]
-    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, rows), KEY).collect()}
     emails = [re.findall(r"\S+@\S+", got[i].text)[0] for i in range(60)]
     assert len(set(emails)) == 60 and not set(emails) & {re.findall(r"\S+@\S+", rows[i])[0] for i in range(60)}
     assert all(len(a) == len(re.findall(r"\S+@\S+", rows[i])[0]) for i, a in enumerate(emails))
@@ -163,7 +164,7 @@ def test_surrogates_outgrow_a_small_space(spark, monkeypatch):
     alphabet = "αβγδεζηθικλμνξοπρστυφχψω"
     names = ["Ω" + alphabet[i // 576 % 24] + alphabet[i // 24 % 24] + alphabet[i % 24] for i in range(4500)]
     rows = [*[f"write to {c}@example.com" for c in letters], "\n".join(f"Herr {x}." for x in names), "token: !!!!!!!!"]
-    got = {r.doc_id: r.text for r in pii.pseudonymise(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.text for r in pii.pseudonymise(frame(spark, rows), KEY).collect()}
     emails = {got[i].split()[-1] for i in range(26)}
     assert len(emails) == 26 and not emails & {f"{c}@example.com" for c in letters}
     made = [x[5:-1] for x in got[26].split("\n")]
@@ -171,18 +172,18 @@ def test_surrogates_outgrow_a_small_space(spark, monkeypatch):
     assert "!" not in got[27]
     monkeypatch.setattr(pii, "MAX_ATTEMPTS", 1)
     with pytest.raises(RuntimeError, match="surrogate"):
-        pii.attempts(frame(spark, rows[:26]))
+        pii.pseudonymise(frame(spark, rows[:26]), KEY)
 
 
 def test_grown_surrogates_keep_their_format():
-    assert pii.formatted("phone", "(030) 123-4567", pii.surrogate("phone", "0301234567", pii.GROW)).startswith("(") and len(pii.surrogate("phone", "0301234567", pii.GROW)) == 11
+    assert pii.formatted("phone", "(030) 123-4567", pii.surrogate("phone", "0301234567", pii.GROW, KEY)).startswith("(") and len(pii.surrogate("phone", "0301234567", pii.GROW, KEY)) == 11
     assert len(pii.formatted("phone", "030 123-4567", "03012345678")) == len("030 123-4567") + 1
-    assert len(pii.surrogate("secret", "abcdef01", 2 * pii.GROW)) == 10 and len(pii.surrogate("name_m", "王", pii.GROW)) == 2
+    assert len(pii.surrogate("secret", "abcdef01", 2 * pii.GROW, KEY)) == 10 and len(pii.surrogate("surname", "王", pii.GROW, KEY)) == 2
 
 
 def test_card_surrogates_keep_the_check_digit():
-    assert pii.luhn("4111111111111111") and pii.luhn(pii.surrogate("card", "4111111111111111", 0))
-    assert pii.surrogate("card", "4111111111111111", 0) != pii.surrogate("card", "4111111111111111", 1)
+    assert pii.luhn("4111111111111111") and pii.luhn(pii.surrogate("card", "4111111111111111", 0, KEY))
+    assert pii.surrogate("card", "4111111111111111", 0, KEY) != pii.surrogate("card", "4111111111111111", 1, KEY)
 
 
 def test_pages():
@@ -265,7 +266,7 @@ def test_empty_tables(spark):
     assert line_dedup.dedup_lines(docs).count() == 0
     assert decontaminate.contained_items(docs, bench).count() == 0
     assert quality_rules.quality_rules(docs).count() == 0
-    assert pii.pseudonymise(docs).count() == 0
+    assert pii.pseudonymise(docs, KEY).count() == 0
     assert bpe.encoding_digests(docs, bpe.tokenizer_path()).count() == 0
     assert toxicity.toxicity(docs, labels).count() == 0
     assert quality_classifier.score_documents(docs, labels).count() == 0
