@@ -6,14 +6,14 @@ stay; by default every line that has a word is judged.
 
 Words are 56-bit hashes with the rarity of the word in the bits above, so the natural order of the numbers
 is an order by rarity. Rarity is the logarithm of the word's count over all documents, in a table of ``2 ** BITS`` hashed counters,
-whose size does not depend on the corpus. Lines with equal sets (by 96 bits) fold into one class. Two similar sets share one of the
+whose size does not depend on the corpus. Lines with equal sets (by a 64-bit hash, the size and the parity map) fold into one class. Two similar sets share one of the
 ``n - ceil(n NUM / DEN) + 1`` rarest words of each (prefix filter); on that word the classes meet, and a
 pair goes on only if the sizes (length filter), the places of the word (positional filter) and a
 64-bit parity map, whose differing bits bound the symmetric difference, allow the
 similarity. Sets so small that only equal ones are similar (up to 3 words at 4/5) are settled by their class and
-have no prefix. First each class meets the earliest class of its words only, which is linear in a word's
+have no prefix. First each class meets the earliest class of its ``LEADING`` rarest words only, which is linear in a word's
 group; only classes that this does not settle meet the others, by a join whose hot words Spark can split. The pairs left are verified
-by the intersection of the full sets.
+on the words of the lines themselves.
 
 Defined cases: a null text has no lines and stays null; an empty text has one empty line; lines of rows without a doc_id stay and
 settle nothing; rows that repeat a doc_id are read as one document of the same text; repeated lines within a document count as
@@ -29,6 +29,8 @@ from . import text as tx
 NUM, DEN = 4, 5
 MIN_WORDS = 1
 BITS = 18
+#: Words of a prefix by which a class meets the earliest class; what this does not settle meets by all.
+LEADING = 2
 #: Rows of two or three numbers are broadcast up to this count, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 LINE = ["doc_id", "place"]
@@ -65,14 +67,10 @@ def _levels(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(found)), ",").cast("array<bigint>")
 
 
-def _words(line: str) -> Column:
-    """Hashes of the distinct words of a line."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-
-
 def _keys(line: str, levels: Column) -> Column:
     """The distinct words of a line as numbers, the rarest first."""
-    return F.sort_array(F.transform(_words(line), lambda h: F.shiftleft(F.get(levels, _slot(h)), 56) + F.shiftrightunsigned(h, 8)))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, _slot(h)), 56) + F.shiftrightunsigned(h, 8)))
 
 
 def _parity(keys: str) -> Column:
@@ -99,10 +97,10 @@ def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataF
     prefix = F.when(small, F.array().cast("array<bigint>")).otherwise(F.slice("keys", 1, n - F.ceil(n * num / F.lit(float(den)) - 1e-9).cast("int") + 1))
     # in a prefix a word is known by 31 bits: words that fall together only add candidates
     short = F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    facts = tx.written(keyed.select(*LINE, F.xxhash64("keys").alias("set"), F.hash("keys").alias("set2"), n.alias("n"), _parity("keys").alias("parity"), short.alias("prefix")), "lines")
-    same = ["set", "set2", "n"]
-    folded = facts.groupBy(*same).agg(F.min(F.struct(*LINE)).alias("head"), F.count(F.lit(1)).alias("members"), F.any_value("parity").alias("parity"), F.any_value("prefix").alias("prefix"))
-    classes = tx.written(folded.select("head.*", *same, "members", "parity", "prefix"), "classes")
+    facts = tx.written(keyed.select(*LINE, F.xxhash64("keys").alias("set"), n.alias("n"), _parity("keys").alias("parity"), short.alias("prefix")), "lines")
+    same = ["set", "n", "parity"]
+    folded = facts.groupBy(*same).agg(F.min(F.struct(*LINE)).alias("head"), F.count(F.lit(1)).alias("members"), F.any_value("prefix").alias("prefix"))
+    classes = tx.written(folded.select("head.*", *same, "members", "prefix"), "classes")
     rows = classes.select(*LINE, "n", "parity", F.posexplode("prefix").alias("i", "word"))
 
     def may_match(x: str, y: str) -> Column:
@@ -114,18 +112,19 @@ def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataF
 
     other = ["o_doc_id", "o_place"]
     lead = F.min(F.struct(*LINE, "n", "parity", "i")).over(Window.partitionBy("word"))
-    led = rows.withColumn("lead", lead).filter((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("place") != F.col("lead.place"))).filter(may_match("", "lead."))
-    first = tx.written(led.select(*LINE, F.col("lead.doc_id").alias("o_doc_id"), F.col("lead.place").alias("o_place")).distinct(), "line-pairs")
+    led = rows.filter(F.col("i") < LEADING).withColumn("lead", lead).filter((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("place") != F.col("lead.place"))).filter(may_match("", "lead."))
+    first = tx.written(led.select(*LINE, F.col("lead.doc_id").alias("o_doc_id"), F.col("lead.place").alias("o_place"), (F.col("n") + F.col("lead.n")).alias("total")).distinct(), "line-pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The lines of ``pairs`` that are similar to their other line."""
+        """The lines of ``pairs`` that are similar to their other line; ``total`` is the sum of the sizes of both."""
         wanted = tx.written(pairs.select(F.explode(F.array(F.struct(*LINE), F.struct(F.col("o_doc_id").alias("doc_id"), F.col("o_place").alias("place")))).alias("x")).select("x.*").distinct(), "wanted")
         ids = tx.written(wanted.select("doc_id").distinct(), "wanted-documents")
         again = _lines(docs.join(_small(ids), "doc_id", "left_semi")).join(_small(wanted), LINE, "left_semi")
-        sets = tx.written(again.select(*LINE, _words("line").alias("words")), "line-sets")
-        a, b = sets.withColumnRenamed("words", "a"), sets.withColumnsRenamed({"doc_id": "o_doc_id", "place": "o_place", "words": "b"})
-        both = F.size(F.array_intersect("a", "b"))
-        return pairs.join(a, LINE).join(b, other).filter(both * (num + den) >= num * (F.size("a") + F.size("b"))).select(*LINE).distinct()
+        texts = tx.written(again.select(*LINE, "line"), "line-texts")
+        a, b = texts.withColumnRenamed("line", "a"), texts.withColumnsRenamed({"doc_id": "o_doc_id", "place": "o_place", "line": "b"})
+        # an intersection has each word once; two blanks in a row make an empty one
+        both = F.size(F.array_intersect(F.array_remove(F.split("a", " "), ""), F.split("b", " ")))
+        return pairs.join(a, LINE).join(b, other).filter(both * (num + den) >= num * F.col("total")).select(*LINE).distinct()
 
     settled = tx.written(verified(first), "settled")
     rest = rows.join(_small(settled.withColumn("done", F.lit(1))), LINE, "left").withColumn("done", F.coalesce("done", F.lit(0)))
@@ -134,7 +133,7 @@ def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataF
     # written over both sides, so that these keep one plan and share one exchange
     not_settled = F.col("x.done") * (F.col("y.done") + 1) == 0
     meet = x.join(y, (F.col("x.word") == F.col("y.word")) & not_settled & earlier & may_match("x.", "y."))
-    second = meet.select(F.col("x.doc_id").alias("doc_id"), F.col("x.place").alias("place"), F.col("y.doc_id").alias("o_doc_id"), F.col("y.place").alias("o_place")).distinct()
+    second = meet.select(F.col("x.doc_id").alias("doc_id"), F.col("x.place").alias("place"), F.col("y.doc_id").alias("o_doc_id"), F.col("y.place").alias("o_place"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
     second = tx.written(second.join(first, [*LINE, *other], "left_anti"), "line-pairs")
     gone = settled.unionByName(verified(second)).distinct().withColumn("gone", F.lit(True))
     # every later member of a class goes, and the first one, too, if the class is similar to an earlier one
