@@ -11,8 +11,8 @@ whose size does not depend on the corpus. Lines with equal sets (by a 64-bit has
 pair goes on only if the sizes (length filter), the places of the word (positional filter) and a
 64-bit parity map, whose differing bits bound the symmetric difference, allow the
 similarity. Sets so small that only equal ones are similar (up to 3 words at 4/5) are settled by their class and
-have no prefix. First each class meets the earliest class of its ``LEADING`` rarest words only, which is linear in a word's
-group; only classes that this does not settle meet the others, by a join whose hot words Spark can split. The pairs left are verified
+have no prefix. First each class meets, on each of its ``LEADING`` rarest words, the earliest class and the ``BEFORE`` classes just before it only,
+which is linear in a word's group and settles nearly all members of a group of similar lines; only classes that this does not settle meet the others, by a join whose hot words Spark can split. The pairs left are verified
 on the words of the lines themselves.
 
 Defined cases: a null text has no lines and stays null; an empty text has one empty line; lines of rows without a doc_id stay and
@@ -29,8 +29,8 @@ from . import text as tx
 NUM, DEN = 4, 5
 MIN_WORDS = 1
 BITS = 18
-#: Words of a prefix by which a class meets the earliest class; what this does not settle meets by all.
-LEADING = 2
+#: Words of a prefix by which a class meets the earliest class and as many before it; what this does not settle meets all by all words.
+LEADING, BEFORE = 6, 3
 #: Rows of two or three numbers are broadcast up to this count, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 LINE = ["doc_id", "place"]
@@ -111,8 +111,10 @@ def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataF
         return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (left * (num + den) >= num * (nx + ny)) & (differ * (num + den) <= (den - num) * (nx + ny))
 
     other = ["o_doc_id", "o_place"]
-    lead = F.min(F.struct(*LINE, "n", "parity", "i")).over(Window.partitionBy("word"))
-    led = rows.filter(F.col("i") < LEADING).withColumn("lead", lead).filter((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("place") != F.col("lead.place"))).filter(may_match("", "lead."))
+    near = Window.partitionBy("word").orderBy(*LINE)
+    own = F.struct(*LINE, "n", "parity", "i")
+    few = F.array(F.first(own).over(near), *[F.lag(own, k).over(near) for k in range(1, BEFORE + 1)])
+    led = rows.filter(F.col("i") < LEADING).withColumn("few", few).withColumn("lead", F.explode(F.array_distinct("few"))).drop("few").filter("lead is not null and (doc_id <> lead.doc_id or place <> lead.place)").filter(may_match("", "lead."))
     first = tx.written(led.select(*LINE, F.col("lead.doc_id").alias("o_doc_id"), F.col("lead.place").alias("o_place"), (F.col("n") + F.col("lead.n")).alias("total")).distinct(), "line-pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
