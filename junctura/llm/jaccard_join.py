@@ -2,13 +2,13 @@
 
 Sets of equal content are folded to the one of the smallest doc_id first. The sizes are cut into
 bands so that similar sets lie in the same band or in neighbouring ones; for each band that a set
-may meet a partner in, the feature domain is dealt into k + 1 partitions, k being the largest
-symmetric difference that two similar sets of that band can have. Then at least one partition agrees
+may meet a partner in, the feature domain is dealt into m > k partitions, k being the largest
+symmetric difference that two similar sets of that band can have. Then at least m - k partitions agree
 in full, so similar sets share one of the signatures hash(band, partition, features in it). (The
-enumerated subsets are the single partitions: second-level threshold 0.) A partition may be empty in
-both sets: a set with empty partitions is also dealt by a second and, if need be, a third
-function, and only that one's empty partitions sign, so agreement is never missed and no signature
-is common to many sets without a reason.
+enumerated subsets are the single partitions: second-level threshold 0.) Empty partitions do not sign, or a signature
+would be common to many sets without a reason; m is chosen so that a set has fewer than m - k of them as a rule, and then
+a partition that agrees and is not empty is left. A set with more is also dealt by a second and, if need be, a third
+function, and in that one's last place empty partitions sign, too, so agreement is never missed.
 
 Candidates are pruned exactly: a set whose shingles that no other candidate has outnumber what a partner
 may lack can have no partner. The rest is compared with the smallest doc_id of each signature group
@@ -56,9 +56,14 @@ def _signatures(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, num: in
     band = np.searchsorted(uppers, sizes, "left")
     out_rows, out_sigs = [], []
     for step in (0, 1):
-        tag = band + step
+        tag = np.minimum(band + step, len(uppers) - 1)
         # |A ^ B| <= (|A| + |B|) (den - num) / (den + num)
-        parts = 2 * uppers[np.minimum(tag, len(uppers) - 1)] * (den - num) // (den + num) + 1
+        differ = 2 * uppers * (den - num) // (den + num)
+        spare = differ + 1
+        for _ in range(4):  # room for twice the partitions that are empty by chance in the smallest sets of the band
+            spare = differ + 1 + np.ceil(2 * spare * np.exp(-(uppers * num / den) * num / den / spare)).astype(np.int64)
+        parts, differ = spare[tag], differ[tag]
+        tag = band + step
         todo = sizes > 0
         for level in range(LEVELS):
             if not todo.any():
@@ -77,9 +82,8 @@ def _signatures(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, num: in
             keep = filled if level < LEVELS - 1 else np.ones(len(filled), bool)
             out_rows.append(owner[keep])
             out_sigs.append(sign[keep])
-            gaps = np.zeros(len(n), bool)
-            gaps[owner[~filled]] = True
-            todo = gaps
+            empty = np.bincount(owner[~filled], minlength=len(n))
+            todo = todo & (empty >= parts - differ)
     if not out_rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_rows), np.concatenate(out_sigs)
@@ -227,7 +231,11 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     signed = tx.written(docs.mapInArrow(_profiled(width), "doc_id long, n_shingles long, key1 long, key2 long"), "signed")
     one = signed.filter("n_shingles > 0")
     classes = one.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    member = tx.written(one.join(classes, ["n_shingles", "key1", "key2"]).select("doc_id", "n_shingles", "rep", "n_copies"), "members")
+    # a set that one document has needs no join; those of several are few where they fit a broadcast, so a hot set is not dealt to one task
+    copied = tx.written(classes.filter("n_copies > 1"), "copied-sets")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_IDS else copied
+    joined = one.join(copied, ["n_shingles", "key1", "key2"], "left")
+    member = tx.written(joined.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")), "members")
     copies = member.filter("doc_id <> rep").select("doc_id").distinct()
     originals = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
     shingles = one.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
