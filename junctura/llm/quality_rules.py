@@ -2,10 +2,13 @@
 
 Each document gets integer measures in per mille. A sketch is a histogram with exact small values and
 64 to 128 steps for each power of two above, so two sketches merge by adding counts and a quantile is off by less
-than 1/64 of its value, whatever the order of merging. The fence of a measure is
-``median + SPREAD * (median - lower quantile) + floor``: it rests on the lower half of a group only,
-so that up to half of a group may be junk. Groups under ``min_group`` documents use the merged
-sketch of their language, and languages under it the one of all documents.
+than 1/64 of its value, whatever the order of merging. The fence of a measure in a group of one language and source is
+``upper + SPREAD * (upper - median)``, upper being its 90 % quantile, so that a tenth of a group may be junk; it rests on the data alone.
+Groups are shrunk to the typical one: a group of n documents counts n against ``PRIOR`` for the median fence of the sources of its
+language, and a language so against the median of all languages. These medians come from sketches of fences.
+
+A document fails where its count exceeds what the fence allows for its length by more than ``sqrt(ALLOWED * (count + 1))``, the chance
+spread of a count; short texts are thus not judged by one word.
 
 Defined cases: null text counts as empty (base_failed); null lang or source is a group of its own;
 an empty table gives an empty result; repeated rows are judged one by one; other columns are ignored.
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import text as tx
 
@@ -25,10 +28,12 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT = 10, 20
 SPREAD = 6
-MIN_GROUP = 200
-LOW = 0.1
-#: measure: floor of its fence above the median, in per mille.
-FLOORS = {"symbols": 150, "repeats": 200, "dup_lines": 300, "upper": 300, "word_length": 2500, "stutter": 200}
+PRIOR = 100
+ALLOWED = 25
+#: Measure: the count and what it is a share of, in per mille.
+MEASURES = {"symbols": ("n_symbols", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "upper": ("n_upper", "word_chars"), "word_length": ("word_chars", "n_words"), "stutter": ("n_stutter", "n_words")}
+#: Groups up to which their fences are broadcast, some 100 bytes each; beyond, they are joined by a shuffle whose hot groups Spark can split.
+BROADCAST_GROUPS = 100_000
 BASE_SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper long, n_stutter long"
 
 _SYMBOL = np.zeros(256, bool)
@@ -96,7 +101,7 @@ def base_failed() -> Column:
 
 
 def _per_mille(name: str) -> Column:
-    top, below = {"symbols": ("n_symbols", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "upper": ("n_upper", "word_chars"), "word_length": ("word_chars", "n_words"), "stutter": ("n_stutter", "n_words")}[name]
+    top, below = MEASURES[name]
     return F.expr(f"case when {below} > 0 then 1000 * {top} div {below} else 0 end")
 
 
@@ -107,50 +112,59 @@ def sketch_step(value: Column) -> Column:
     return value - value % unit
 
 
-def thresholds(base: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, measure, total, median and 90 % quantile of sketches (keys, measure, step, n); a sketch has a bounded number of steps, so windows are small."""
+    by = Window.partitionBy(*keys, "measure")
+    upto = sketch.withColumn("upto", F.sum("n").over(by.orderBy("step"))).withColumn("total", F.sum("n").over(by))
+    at = lambda num, den: F.min(F.when(den * F.col("upto") >= num * F.col("total"), F.col("step")))
+    return upto.groupBy(*keys, "measure").agg(F.max("total").alias("total"), at(1, 2).alias("mid"), at(9, 10).alias("high"))
+
+
+def _shrunk(n: str, own: str, prior: str) -> Column:
+    return F.expr(f"({n} * {own} + {PRIOR} * {prior}) div ({n} + {PRIOR})")
+
+
+def thresholds(base: DataFrame) -> DataFrame:
     """lang, source and the fence of each measure, from documents that pass the base rules."""
     steps = (
         base.filter(~base_failed())
-        .select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.posexplode(F.array(*[sketch_step(_per_mille(m)) for m in FLOORS])).alias("measure", "step"))
+        .select("lang", "source", F.posexplode(F.array(*[sketch_step(_per_mille(m)) for m in MEASURES])).alias("measure", "step"))
         .groupBy("lang", "source", "measure", "step").agg(F.count(F.lit(1)).alias("n"))
     )
-    by_lang = steps.groupBy("lang", "measure", "step").agg(F.sum("n").alias("n"))
-    of_all = by_lang.groupBy("measure", "step").agg(F.sum("n").alias("n"))
-
-    def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-        # a histogram has a bounded number of steps, so each group's window is small
-        from pyspark.sql import Window
-
-        by = Window.partitionBy(*keys, "measure")
-        upto = sketch.withColumn("upto", F.sum("n").over(by.orderBy("step"))).withColumn("total", F.sum("n").over(by))
-        return upto.groupBy(*keys, "measure").agg(F.max("total").alias("total"), F.min(F.when(10 * F.col("upto") >= F.col("total"), F.col("step"))).alias("low"), F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("step"))).alias("mid"))
-
-    fence = F.col("mid") + SPREAD * (F.col("mid") - F.col("low"))
-    own = quantiles(steps, ["lang", "source"]).select("lang", "source", "measure", F.col("total").alias("n_own"), fence.alias("own"))
-    lang = quantiles(by_lang, ["lang"]).select("lang", "measure", F.col("total").alias("n_lang"), fence.alias("of_lang"))
-    every = quantiles(of_all, []).select("measure", fence.alias("of_all"))
-    floors = F.element_at(F.array(*[F.lit(v) for v in FLOORS.values()]), F.col("measure") + 1)
-    pick = F.when(F.col("n_own") >= min_group, F.col("own")).when(F.col("n_lang") >= min_group, F.col("of_lang")).otherwise(F.col("of_all")) + floors
-    return own.join(lang, ["lang", "measure"]).join(every, "measure").groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == i, pick)).alias(f"max_{m}") for i, m in enumerate(FLOORS)])
-
-
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    own = _quantiles(steps, ["lang", "source"]).select("lang", "source", "measure", F.col("total").alias("n_own"), (F.col("high") + SPREAD * (F.col("high") - F.col("mid"))).alias("own"))
+    sources = own.groupBy("lang", "measure", sketch_step(F.col("own")).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    size = own.groupBy("lang", "measure").agg(F.sum("n_own").alias("n_lang"))
+    langs = _quantiles(sources, ["lang"]).select(F.col("lang").alias("k_lang"), F.col("measure").alias("k_measure"), F.col("mid").alias("typical"))
+    same_lang = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    langs = langs.join(size, same_lang("k_lang", "lang") & (F.col("k_measure") == F.col("measure"))).select("k_lang", "measure", "n_lang", "typical")
+    every = _quantiles(langs.groupBy("measure", sketch_step(F.col("typical")).alias("step")).agg(F.count(F.lit(1)).alias("n")), []).select("measure", F.col("mid").alias("of_all"))
+    langs = langs.join(every, "measure").select("k_lang", F.col("measure").alias("k_measure"), _shrunk("n_lang", "typical", "of_all").alias("of_lang"))
+    fences = own.join(langs, same_lang("lang", "k_lang") & (F.col("measure") == F.col("k_measure"))).withColumn("fence", _shrunk("n_own", "own", "of_lang"))
+    return fences.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == i, F.col("fence"))).alias(f"max_{m}") for i, m in enumerate(MEASURES)])
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the fences that applied."""
-    base = tx.written(measures(docs), "quality-measures")
-    fences = thresholds(base, min_group).withColumnsRenamed({"lang": "k_lang", "source": "k_source"})
-    joined = base.join(fences, (F.coalesce("lang", F.lit("")) == F.col("k_lang")) & (F.coalesce("source", F.lit("")) == F.col("k_source")), "left")
-    inside = F.lit(True)
-    for m in FLOORS:
-        inside &= _per_mille(m) <= F.coalesce(F.col(f"max_{m}"), F.lit(2**40))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
+    with tx.scratch():
+        base = tx.written(measures(docs), "quality-measures")
+        fences = tx.written(thresholds(base).withColumnsRenamed({"lang": "k_lang", "source": "k_source"}), "fences")
+        fences = F.broadcast(fences) if fences.count() <= BROADCAST_GROUPS else fences
+        joined = base.join(fences, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left")
+        inside = F.lit(True)
+        for m, (top, below) in MEASURES.items():
+            # a group in which no document passes the base rules has no fence and needs none
+            excess = 1000 * F.col(top) - F.coalesce(F.col(f"max_{m}"), F.lit(0)) * F.col(below)
+            inside &= (excess <= 0) | (excess.cast("double") * excess.cast("double") <= ALLOWED * 1e6 * (F.col(top) + 1))
+        out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"), *[f"max_{m}" for m in MEASURES])
+        return tx.written(out, "quality", keep=True)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(tx.table(spark, sf_dir, "documents"))
+    return quality_rules(tx.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP2_SQL = r"""
-WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, lang, source FROM documents),
 w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs)),
 g AS (SELECT rid, i, w, CASE WHEN lead(i, 4) OVER o IS NOT NULL THEN w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o END AS g, coalesce(w = lag(w) OVER o, false) AS st FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
 r AS (SELECT rid, i, w, st, g IS NOT NULL AND count(*) OVER (PARTITION BY rid, g) > 1 AS twice FROM g),
@@ -162,10 +176,13 @@ base AS (SELECT doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END, CASE WHEN word_chars > 0 THEN 1000 * n_upper // word_chars ELSE 0 END, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN 1000 * n_stutter // n_words ELSE 0 END]::BIGINT[] AS v FROM base),
 s AS (SELECT lang, source, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM m WHERE NOT base_failed),
 st AS (SELECT lang, source, k, x - x % (2 ** greatest(0, length(bin(x)) - 7))::BIGINT AS x FROM s),
-q AS (SELECT lang, source, k, quantile_disc(x, 0.5) + 6 * (quantile_disc(x, 0.5) - quantile_disc(x, 0.1)) AS f, count(*) AS n FROM st GROUP BY GROUPING SETS ((lang, source, k), (lang, k), (k))),
-t AS (SELECT a.lang, a.source, a.k, CASE WHEN a.n >= 200 THEN a.f WHEN b.n >= 200 THEN b.f ELSE c.f END + [150, 200, 300, 300, 2500, 200][a.k] AS f FROM q a JOIN q b ON b.lang = a.lang AND b.k = a.k AND b.source IS NULL JOIN q c ON c.k = a.k AND c.lang IS NULL AND c.source IS NULL WHERE a.source IS NOT NULL),
-tt AS (SELECT lang, source, list(f ORDER BY k) AS f FROM t GROUP BY ALL)
+q AS (SELECT lang, source, k, quantile_disc(x, 0.9) + 6 * (quantile_disc(x, 0.9) - quantile_disc(x, 0.5)) AS f, count(*) AS n FROM st GROUP BY ALL),
+ql AS (SELECT lang, k, quantile_disc(f - f % (2 ** greatest(0, length(bin(f)) - 7))::BIGINT, 0.5) AS f, sum(n)::BIGINT AS n FROM q GROUP BY ALL),
+qa AS (SELECT k, quantile_disc(f - f % (2 ** greatest(0, length(bin(f)) - 7))::BIGINT, 0.5) AS f FROM ql GROUP BY ALL),
+pl AS (SELECT ql.lang, ql.k, (ql.n * ql.f + 100 * qa.f) // (ql.n + 100) AS f FROM ql JOIN qa USING (k)),
+tt AS (SELECT q.lang, q.source, list((q.n * q.f + 100 * pl.f) // (q.n + 100) ORDER BY q.k) AS f FROM q JOIN pl ON pl.lang IS NOT DISTINCT FROM q.lang AND pl.k = q.k GROUP BY ALL),
+e AS (SELECT m.*, [n_symbols, n_repeat_words, n_dup_lines, n_upper, word_chars, n_stutter]::BIGINT[] AS top, [n_words, n_words, n_lines, word_chars, n_words, n_words]::BIGINT[] AS below, coalesce(f, [0, 0, 0, 0, 0, 0]) AS f FROM m LEFT JOIN tt ON tt.lang IS NOT DISTINCT FROM m.lang AND tt.source IS NOT DISTINCT FROM m.source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-NOT base_failed AND v[1] <= f[1] AND v[2] <= f[2] AND v[3] <= f[3] AND v[4] <= f[4] AND v[5] <= f[5] AND v[6] <= f[6] AS kept
-FROM m LEFT JOIN tt USING (lang, source)
+NOT base_failed AND len(list_filter(range(1, 7), lambda k: 1000 * top[k] > f[k] * below[k] AND (1000 * top[k] - f[k] * below[k])::DOUBLE * (1000 * top[k] - f[k] * below[k])::DOUBLE > 25e6 * (top[k] + 1))) = 0 AS kept
+FROM e
 """
