@@ -7,8 +7,9 @@ that is not in the table is put together in the same way from its words (chunks
 need the tokenizer itself only when they are new, too.
 
 At each joint of two chunks the last word of one and the first of the next are encoded together. If
-the ids or the decoded text differ from those of the two apart, the joint is widened to the whole
-document, which is then encoded in one piece; so the result is always the library's. Words are
+the ids or the decoded text differ from those of the two apart, the joint is repaired: the chunks around it are encoded as one text,
+with one more on both sides each time, until the ids of the outermost chunks come out as they are alone; at the widest that is the whole
+document, so the result is always the library's. A document with a repaired joint is decoded by the library itself. Words are
 encoded apart only for a tokenizer that drops white space, lower-cases and never merges across
 white space or from a letter to a full stop or comma (``words_apart``); others get their chunks whole.
 
@@ -127,10 +128,9 @@ class Encoder:
     def documents(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[bytes, str]]:
         """Ids and decoded text of each row."""
         raw, at = data.tobytes(), cuts(data, bounds)
-        texts, pieces = [], []
+        pieces = []
         for a, b, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), np.searchsorted(at, bounds[:-1]).tolist(), np.searchsorted(at, bounds[1:]).tolist(), strict=True):
             ends = [a, *at[i:j].tolist(), b]
-            texts.append(raw[a:b])
             pieces.append([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)])
         self.words.settle()
         self.chunks.settle()
@@ -143,15 +143,33 @@ class Encoder:
         decoded = self.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in joined], skip_special_tokens=False)
         wrong = {j for j, ids, text in zip(whole, joined, decoded, strict=True) if ids != apart[j[0]] + apart[j[1]] or text != self.decoded(ids)}
         out = []
-        for text, own, js in zip(texts, pieces, joints, strict=True):
+        for own, js in zip(pieces, joints, strict=True):
             if wrong and not wrong.isdisjoint(js):
-                ids = self.plain([text])[0]
+                ids = self.repaired(own, [i for i, j in enumerate(js) if j in wrong])
                 out.append((ids, self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)))
             else:
                 ids = b"".join(map(self.chunks.__getitem__, own))
                 out.append((ids, self.decoded(ids)))
         return out
 
+    def repaired(self, own: list[bytes], wrong: list[int]) -> bytes:
+        """Ids of a document of chunks of which some do not join; joint i lies between chunks i and i + 1."""
+        units = [(i, i + 1, self.chunks[c]) for i, c in enumerate(own)]  # first chunk, end chunk, ids
+        for joint in wrong:
+            width = 1
+            while True:
+                lo, hi = max(joint + 1 - width, 0), min(joint + 1 + width, len(own))
+                inner = [u for u in units if u[0] < hi and u[1] > lo]
+                lo, hi = inner[0][0], inner[-1][1]
+                ids = self.plain([b"".join(own[lo:hi])])[0]
+                left, right = inner[0][2], inner[-1][2]
+                # the outermost stretches keep their ids, so the joints to what lies beyond stay as they were judged
+                if (lo == 0 or width > 1 and ids.startswith(left)) and (hi == len(own) or width > 1 and ids.endswith(right)):
+                    units = [u for u in units if u[1] <= lo] + [(lo, hi, ids)] + [u for u in units if u[0] >= hi]
+                    break
+                width += 1
+        return b"".join(u[2] for u in units)
+
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
