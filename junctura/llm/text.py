@@ -7,15 +7,16 @@ as an empty one.
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import scratch, shared_dir, written
+
+__all__ = ["scratch", "shared_dir", "written"]
+
 SLICE_BYTES = 1 << 20
 #: ASCII white space, bytes 9 to 13 and 32.
 SPACES = np.zeros(256, dtype=bool)
@@ -151,49 +152,5 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode, where both are one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        found = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
-    return found
-
-
-_scratch: list[list[tuple[SparkSession, str]]] = []
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` written to the shared folder and read again: it cuts lineage and outlives executors.
-
-    Inside ``scratch`` the table goes when the block ends, unless it is to be kept.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    level = len(_scratch) - 1 - keep
-    if level >= 0:
-        _scratch[level].append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def scratch() -> Iterator[None]:
-    """Deletes the tables that were written inside when their work is done."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for spark, path in _scratch.pop():
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
