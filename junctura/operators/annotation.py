@@ -8,11 +8,32 @@ from . import intervals
 
 
 def gene_labels(features: DataFrame, genes: DataFrame, key: str, width: int = 5000) -> DataFrame:
-    """key and the distinct symbols of overlapping genes, in order, joined by ``;``."""
+    """key and the distinct symbols of overlapping genes, in order, joined by ``;``; if some feature has no strand, no gene's strand counts."""
+    if not features.filter("strand = '*'").isEmpty():
+        genes = genes.withColumn("strand", F.lit("*"))
     pairs = intervals.overlap(features, genes, width).select(F.col(f"a.{key}").alias(key), F.col("b.symbol").alias("symbol")).distinct()
     return features.select(key).join(pairs.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("symbol")), ";").alias("genes")), key, "left")
 
 
+def with_symbols(genes: DataFrame, names: DataFrame) -> DataFrame:
+    """``genes`` with the symbol of their gene_id in ``names`` (gene_id, symbol), the first by name of several; the id itself where there is none."""
+    one = names.groupBy("gene_id").agg(F.min("symbol").alias("symbol"))
+    return genes.drop("symbol").join(one, "gene_id", "left").withColumn("symbol", F.coalesce("symbol", "gene_id"))
+
+
+def annotated_results(results: DataFrame, introns: DataFrame | None = None, utrs: tuple[DataFrame, DataFrame] | None = None, blacklist: DataFrame | None = None) -> DataFrame:
+    """Result rows with what is known of their junction: annotated ends, UTR (five, three) and blacklisted regions, each where its table is given."""
+    j = results.select("junction_id", "seqname", "start", "end", "strand").distinct()
+    out = results
+    if introns is not None:
+        out = out.join(reference_overlap(j, introns), "junction_id", "left")
+    if utrs is not None:
+        out = out.join(utr_label(j, *utrs, "junction_id"), "junction_id", "left")
+    if blacklist is not None:
+        out = out.join(blacklisted(j, blacklist), "junction_id", "left")
+    return out
+
+
 def split_genes(df: DataFrame, column: str = "genes", sep: str = ";") -> DataFrame:
     """A row for each gene of a label."""
     return df.withColumn("gene", F.explode_outer(F.split(column, sep)))
@@ -23,31 +44,52 @@ def short_label(column: str, most: int = 3) -> Column:
     return F.when(F.size(parts) > most, F.concat(F.array_join(F.slice(parts, 1, most), ";"), F.lit("..."))).otherwise(F.col(column))
 
 
-def reference_overlap(junctions: DataFrame, introns: DataFrame) -> DataFrame:
-    """known_intron, known_start, known_end, and annotated: both, start, end or none."""
+def known_ends(junctions: DataFrame, introns: DataFrame) -> DataFrame:
+    """junction_id, whether a known intron is the same, begins and ends with it, and the names of the transcripts of equal introns, if ``introns`` has them."""
     j = junctions.select("junction_id", "seqname", "start", "end", "strand")
     key = F.col("a.junction_id").alias("junction_id")
     out = j.select("junction_id")
     for kind, name in (("equal", "known_intron"), ("start", "known_start"), ("end", "known_end")):
         hit = intervals.overlap(j, introns, kind=kind).select(key).distinct().withColumn(name, F.lit(True))
         out = out.join(hit, "junction_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    label = F.when(F.col("known_intron") | F.col("known_start") & F.col("known_end"), "both").when(F.col("known_start"), "start").when(F.col("known_end"), "end").otherwise("none")
-    return out.withColumn("annotated", label)
+    if "transcript_id" in introns.columns:
+        out = out.join(joined_names(intervals.overlap(j, introns, kind="equal").select(key, F.col("b.transcript_id").alias("name")), "junction_id"), "junction_id", "left").withColumnRenamed("names", "transcripts")
+    return out
+
+
+def joined_names(pairs: DataFrame, key: str, sep: str = ",") -> DataFrame:
+    """key and its distinct names, in order, joined by ``sep``."""
+    return pairs.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("name")), sep).alias("names"))
+
+
+def reference_overlap(junctions: DataFrame, introns: DataFrame, width: int = 5000) -> DataFrame:
+    """junction_id and annotated: both, start, end or none, against one known intron: of those that overlap the one of the highest ``median_count``."""
+    j = junctions.select("junction_id", "seqname", "start", "end", "strand")
+    order = [F.coalesce(-F.col("b.median_count"), F.lit(float("inf"))), F.col("b.start"), F.col("b.end")]
+    top = intervals.overlap(j, introns, width).groupBy(F.col("a.junction_id").alias("junction_id"), F.col("a.start").alias("s"), F.col("a.end").alias("e")).agg(F.min_by("b", F.struct(*order)).alias("b"))
+    same_start, same_end = F.col("s") == F.col("b.start"), F.col("e") == F.col("b.end")
+    label = F.when(same_start & same_end, "both").when(same_start, "start").when(same_end, "end").otherwise("none")
+    return j.select("junction_id").join(top.select("junction_id", label.alias("annotated")), "junction_id", "left").withColumn("annotated", F.coalesce("annotated", F.lit("none")))
+
+
+def end_windows(junctions: DataFrame, key: str = "junction_id", bases: int = 5) -> DataFrame:
+    """The ``bases`` either side of both ends of each junction, as two ranges."""
+    at = F.array(F.struct((F.col("start") - bases).alias("start"), (F.col("start") + bases - 1).alias("end")), F.struct((F.col("end") - bases + 1).alias("start"), (F.col("end") + bases).alias("end")))
+    return junctions.select(key, "seqname", "strand", F.explode(at).alias("e")).select(key, "seqname", "strand", "e.start", "e.end")
 
 
 def blacklisted(junctions: DataFrame, regions: DataFrame, width: int = 1000) -> DataFrame:
     """junction_id and whether the 10 bases around either end meet a region."""
-    at = F.array(F.struct((F.col("start") - 5).alias("start"), (F.col("start") + 4).alias("end")), F.struct((F.col("end") - 4).alias("start"), (F.col("end") + 5).alias("end")))
-    ends = junctions.select("junction_id", "seqname", "strand", F.explode(at).alias("e")).select("junction_id", "seqname", "strand", "e.start", "e.end")
-    hit = intervals.overlap(ends, regions.withColumn("strand", F.lit("*")), width).select(F.col("a.junction_id").alias("junction_id")).distinct()
+    hit = intervals.overlap(end_windows(junctions), regions.withColumn("strand", F.lit("*")), width).select(F.col("a.junction_id").alias("junction_id")).distinct()
     return junctions.select("junction_id").join(hit.withColumn("blacklisted", F.lit(True)), "junction_id", "left").withColumn("blacklisted", F.coalesce("blacklisted", F.lit(False)))
 
 
-def utr_label(features: DataFrame, five: DataFrame, three: DataFrame, key: str, min_overlap: int = 5, width: int = 1000) -> DataFrame:
-    """key and utr: 5'-UTR before 3'-UTR before no."""
+def utr_label(features: DataFrame, five: DataFrame, three: DataFrame, key: str, bases: int = 5, width: int = 1000) -> DataFrame:
+    """key and utr: 5'-UTR before 3'-UTR before no, by the ``bases`` either side of both ends."""
+    ends = end_windows(features, key, bases)
     out = features.select(key)
     for name, utr in (("five", five), ("three", three)):
-        hit = intervals.overlap(features, utr, width, min_overlap).select(F.col(f"a.{key}").alias(key)).distinct().withColumn(name, F.lit(True))
+        hit = intervals.overlap(ends, utr, width).select(F.col(f"a.{key}").alias(key)).distinct().withColumn(name, F.lit(True))
         out = out.join(hit, key, "left")
     return out.select(key, F.when(F.col("five"), "5'-UTR").when(F.col("three"), "3'-UTR").otherwise("no").alias("utr"))
 

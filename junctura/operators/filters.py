@@ -19,9 +19,9 @@ def expression(cells: DataFrame, min_expression: int = 20, quantile: float = 0.7
 
 
 def max_deviation(cells: DataFrame, value: str, by: str, name: str) -> DataFrame:
-    """The largest distance of a value from its row mean, NULLs left out, 0 at least."""
+    """The largest distance of a value from its row mean to nine digits, so that the order of a sum decides nothing; NULLs left out, 0 at least."""
     mean = F.avg(value).over(Window.partitionBy(by))
-    return cells.withColumn("_d", F.abs(F.col(value) - mean)).groupBy(by).agg(F.coalesce(F.greatest(F.max("_d"), F.lit(0.0)), F.lit(0.0)).alias(name))
+    return cells.withColumn("_d", F.abs(F.col(value) - mean)).groupBy(by).agg(F.round(F.coalesce(F.greatest(F.max("_d"), F.lit(0.0)), F.lit(0.0)), 9).alias(name))
 
 
 def variability(cells: DataFrame, min_delta: float = 0.0) -> DataFrame:

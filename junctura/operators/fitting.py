@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import betabinomial as bb
 
@@ -90,21 +90,29 @@ def best_dimension(rows: DataFrame, pseudocount: float = 0.1) -> int:
     return max(2, int((singular > cut).sum()))
 
 
-def fit_beta_binomial(rows: DataFrame) -> DataFrame:
-    """junction_id, mu, rho and p-values of an intercept-only beta-binomial, mean by ratio and dispersion by likelihood."""
+def fit_beta_binomial(rows: DataFrame, min_count: int = 5) -> DataFrame:
+    """junction_id, mu, rho and p-values of an intercept-only beta-binomial, mean and dispersion by maximum likelihood.
+
+    Rows in which no sample has ``min_count`` reads are not tested: NULL throughout.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             k, n = np.stack(b.k.to_numpy()), np.stack(b.n.to_numpy())
-            mu = np.clip(k.sum(axis=1) / np.maximum(n.sum(axis=1), 1), 1e-6, 1 - 1e-6)
-            rho = bb.fit_rho(k, n, np.repeat(mu[:, None], k.shape[1], axis=1))
-            shape = np.ones_like(k)
-            p = bb.two_sided(k.ravel(), n.ravel(), (mu[:, None] * shape).ravel(), (np.clip(rho, 1e-9, 1 - 1e-9)[:, None] * shape).ravel()).reshape(k.shape)
+            test = k.max(axis=1) >= min_count
+            mu, rho = np.full(len(k), np.nan), np.full(len(k), np.nan)
+            p = np.full(k.shape, np.nan)
+            if test.any():
+                mu[test], rho[test] = bb.fit_intercept(k[test], n[test])
+                shape = np.ones_like(k[test])
+                p[test] = bb.two_sided(k[test].ravel(), n[test].ravel(), (mu[test, None] * shape).ravel(), (rho[test, None] * shape).ravel()).reshape(shape.shape)
             yield pd.DataFrame({"junction_id": b.junction_id, "mu": mu, "rho": rho, "p": list(p)})
 
-    return rows.mapInPandas(run, "junction_id long, mu double, rho double, p array<double>")
+    # a NaN leaves pandas as NULL
+    found = rows.mapInPandas(run, "junction_id long, mu double, rho double, p array<double>")
+    return found.withColumn("p", F.when(F.col("mu").isNotNull(), F.col("p")))
 
 
 def p_values(rows: DataFrame, fit: DataFrame) -> DataFrame:
@@ -122,12 +130,46 @@ def p_values(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return found.select("junction_id", F.posexplode("p").alias("sample", "p"))
 
 
-def inject_outliers(cells: DataFrame, freq: float = 1e-3, delta: float = 0.2, seed: int = 42) -> DataFrame:
-    """Cells with k_injected and injected (-1, 0, 1): some ratios moved by at least ``delta``, the other way where there is no room."""
-    pick = F.rand(seed) < freq
-    psi = F.col("k") / F.nullif(F.col("n_jaccard"), F.lit(0))
-    sign = F.when(F.rand(seed + 1) < 0.5, -1).otherwise(1)
-    room = F.when((psi + sign * delta > 1) | (psi + sign * delta < 0), -sign).otherwise(sign)
-    injected = F.when(pick & psi.isNotNull(), room).otherwise(0)
-    moved = F.least(F.col("n_jaccard"), F.greatest(F.lit(0), F.round(F.col("n_jaccard") * (psi + F.col("injected") * delta)))).cast("long")
-    return cells.withColumn("injected", injected).withColumn("k_injected", F.when(F.col("injected") == 0, F.col("k")).otherwise(moved))
+def draw(seed: int, *keys: str) -> Column:
+    """A number from 0 up to 1 that depends on the seed and the keys alone, not on partitions."""
+    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
+
+
+def inject_outliers(cells: DataFrame, freq: float = 1e-3, delta: float = 0.2, seed: int = 42, index: str = "junction_id", n: str = "n_jaccard", method: str = "samplePSI", pseudocount: float = 0.1) -> DataFrame:
+    """Cells with k_injected, injected (1 or -1 for the moved junction, -2 or 2 for its siblings, 0 elsewhere) and delta_injected.
+
+    A group (``index``) and sample is picked with probability ``freq``; one of its junctions moves by a draw between ``delta`` and all the room there is, the
+    other way where there is less room than ``delta``; its siblings share the opposite change in proportion to their ratios, so that
+    the group's sum stays. Ratios are those of the sample, of the junction's mean (meanPSI) or a column true_psi (simulatedPSI). All draws are hashes
+    of seed, group and sample.
+    """
+    pc = pseudocount
+    own = (F.col("k") + pc) / (F.col(n) + 2 * pc)
+    psi = {"samplePSI": own, "meanPSI": F.avg(own).over(Window.partitionBy("junction_id")), "simulatedPSI": F.col("true_psi") if "true_psi" in cells.columns else own}[method]
+    group = Window.partitionBy(index, "sample_id")
+    out = cells.withColumns({"_psi": psi, "_u": draw(seed, index, "sample_id")}).withColumn("_size", F.count(F.lit(1)).over(group))
+    # the junction that moves: the first by a hash of its own
+    out = out.withColumn("_moves", F.row_number().over(group.orderBy(draw(seed + 1, "junction_id", "sample_id"), "junction_id")) == 1)
+    at = F.first(F.when(F.col("_moves"), F.col("_psi")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = out.withColumns({"_at": at, "_sign": F.when(F.col("_u") < freq / 2, 1).otherwise(-1)})
+    room = lambda sign: F.when(sign > 0, 1 - F.col("_at")).otherwise(F.col("_at"))
+    out = out.withColumn("_sign", F.when(room(F.col("_sign")) < delta, -F.col("_sign")).otherwise(F.col("_sign"))).withColumn("_room", room(F.col("_sign")))
+    least = F.least(F.lit(delta), F.col("_room"))
+    out = out.withColumn("_d", F.col("_sign") * (least + (F.col("_room") - least) * draw(seed + 2, index, "sample_id")))
+    change = F.when(F.col("_moves"), F.col("_d")).otherwise(-F.col("_psi") / F.nullif(1 - F.col("_at"), F.lit(0.0)) * F.col("_d"))
+    hit = F.col("_u") < freq
+    moved = F.greatest(F.lit(0.0), F.bround((F.col("_psi") + change) * (F.col(n) + 2 * pc) - pc))
+    moved = F.when(F.col("_size") == 1, F.least(moved, F.col(n).cast("double"))).otherwise(moved).cast("long")
+    sign = F.when(F.col("_moves"), F.col("_sign")).otherwise(-2 * F.col("_sign"))
+    out = out.withColumns({"injected": F.when(hit, sign).otherwise(0), "delta_injected": F.when(hit, change).otherwise(0.0), "k_injected": F.when(hit, moved).otherwise(F.col("k"))})
+    return out.drop("_psi", "_u", "_size", "_moves", "_at", "_sign", "_room", "_d")
+
+
+def true_outliers(injected: DataFrame) -> DataFrame:
+    """junction_id, sample_id and the direction of what was injected: moved siblings count by their direction, too."""
+    return injected.select("junction_id", "sample_id", F.greatest(F.lit(-1), F.least(F.lit(1), F.col("injected"))).alias("outlier"), "delta_injected")
+
+
+def restored(injected: DataFrame) -> DataFrame:
+    """The cells without what was injected."""
+    return injected.drop("injected", "delta_injected", "k_injected")

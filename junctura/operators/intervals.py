@@ -52,19 +52,25 @@ def first_overlap(a: DataFrame, b: DataFrame, keys: list[str], order: list[Colum
     return pairs.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.min_by("b", F.struct(*order)).alias("b"))
 
 
-def nearest(a: DataFrame, b: DataFrame, key: str, id_: str) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, key: str, id_: str, tile: int = 1_000_000) -> DataFrame:
     """key, the id of the nearest range of ``b`` on the same sequence, and the gap between them (0 if they meet).
 
     The candidates are, in start order, the range of the furthest end among those that start at or before, and the next to
-    start after: two running windows over the union of both tables for each sequence, no join.
+    start after: running windows over the union of both tables, no join. Sequences are cut into tiles of ``tile`` bases, so a window holds a
+    tile; what comes from the tiles before and after is carried over by a window over one row for each tile.
     """
     left = a.select(F.col(key).alias("key"), "seqname", "start", "end", F.lit(None).cast("string").alias("id"), F.lit(1).alias("kind"))
     right = b.select(F.lit(None).cast(a.schema[key].dataType).alias("key"), "seqname", "start", "end", F.col(id_).cast("string").alias("id"), F.lit(0).alias("kind"))
-    both = left.unionByName(right)
-    before = Window.partitionBy("seqname").orderBy("start", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("seqname").orderBy("start", "kind", "id").rowsBetween(1, Window.unboundedFollowing)
+    both = left.unionByName(right).withColumn("tile", F.floor(F.col("start") / tile))
     is_b = F.col("kind") == 0
-    seen = both.withColumns({"prev": F.max(F.when(is_b, F.struct("end", "start", "id"))).over(before), "next": F.first(F.when(is_b, F.struct("start", "end", "id")), ignorenulls=True).over(after)}).filter("kind = 1")
+    by_end, by_start = F.when(is_b, F.struct("end", "start", "id")), F.when(is_b, F.struct("start", "end", "id"))
+    row = Window.partitionBy("seqname").orderBy("tile")
+    tiles = both.groupBy("seqname", "tile").agg(F.max(by_end).alias("top"), F.min(by_start).alias("low")).select(
+        "seqname", "tile", F.max("top").over(row.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.first("low", ignorenulls=True).over(row.rowsBetween(1, Window.unboundedFollowing)).alias("coming")
+    )
+    within = Window.partitionBy("seqname", "tile").orderBy("start", "kind", "id")
+    seen = both.withColumns({"prev": F.max(by_end).over(within.rowsBetween(Window.unboundedPreceding, 0)), "next": F.first(by_start, ignorenulls=True).over(within.rowsBetween(1, Window.unboundedFollowing))})
+    seen = seen.filter("kind = 1").join(tiles, ["seqname", "tile"]).withColumns({"prev": F.greatest("prev", "carried"), "next": F.coalesce("next", "coming")})
     gap_prev = F.greatest(F.lit(0), F.col("start") - F.col("prev.end") - 1)
     gap_next = F.greatest(F.lit(0), F.col("next.start") - F.col("end") - 1)
     use_prev = F.col("next").isNull() | (F.col("prev").isNotNull() & (gap_prev <= gap_next))
@@ -88,9 +94,19 @@ def nonsplit_counts(reads: DataFrame, sites: DataFrame, min_anchor: int = 5, wid
     return pairs.groupBy(F.col("b.site_id").alias("site_id"), F.col("a.sample_id").alias("sample_id")).agg(F.count_distinct("a.fragment").alias("k"))
 
 
-def coverage(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Stretches of constant depth: keys, seqname, start, end, depth, by a sweep over the ends of ranges."""
+def coverage(ranges: DataFrame, keys: list[str], tile: int = 1_000_000) -> DataFrame:
+    """Stretches of constant depth: keys, seqname, start, end, depth, by a sweep over the ends of ranges.
+
+    A sequence is swept in tiles of ``tile`` bases; each starts from the depth that the tiles before leave, a window over one row for each tile.
+    """
     ends = ranges.select(*keys, "seqname", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    steps = ends.groupBy(*keys, "seqname", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    by = Window.partitionBy(*keys, "seqname").orderBy("at")
-    return steps.withColumns({"depth": F.sum("d").over(by), "end": F.lead("at").over(by) - 1}).filter("depth > 0").select(*keys, "seqname", F.col("at").alias("start"), "end", "depth")
+    steps = ends.groupBy(*keys, "seqname", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).withColumn("tile", F.floor(F.col("at") / tile))
+    on = [*keys, "seqname", "tile"]
+    row = Window.partitionBy(*keys, "seqname").orderBy("tile")
+    tiles = steps.groupBy(*on).agg(F.sum("d").alias("total"), F.min("at").alias("first")).select(
+        *on, F.coalesce(F.sum("total").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("first").over(row).alias("after")
+    )
+    by = Window.partitionBy(*on).orderBy("at")
+    swept = steps.withColumns({"run": F.sum("d").over(by), "next": F.lead("at").over(by)}).join(tiles, on)
+    out = swept.withColumns({"depth": F.col("before") + F.col("run"), "end": F.coalesce("next", "after") - 1})
+    return out.filter("depth > 0").select(*keys, "seqname", F.col("at").alias("start"), "end", "depth")

@@ -73,3 +73,30 @@ def abs_max_by_group(rows: DataFrame, keys: list[str], value: str, order: str) -
 def first_by_group(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*keys, "x.*")
+
+
+def residual(k: str, n: str, mu: str, pseudocount: float = 0.1) -> Column:
+    """The logit of a ratio with pseudocounts less that of its prediction."""
+    return F.ln((F.col(k) + pseudocount) / (F.col(n) - F.col(k) + pseudocount)) - F.ln(F.col(mu) / (1 - F.col(mu)))
+
+
+def z_score(k: str, n: str, mu: str, by: str = "junction_id", pseudocount: float = 0.1, centred: bool = True) -> Column:
+    """Residuals of a row in units of their standard deviation; NULL where that is 0."""
+    r, row = residual(k, n, mu, pseudocount), Window.partitionBy(by)
+    return (r - F.avg(r).over(row) if centred else r) / F.nullif(F.stddev_samp(r).over(row), F.lit(0.0))
+
+
+def huber_weight(k: str, n: str, mu: str, rho: str, c: float = 1.345) -> Column:
+    """Weight of a cell by its Pearson residual under the beta-binomial: 1 up to c, c / |r| beyond, 0 without a residual."""
+    kk, nn, m = F.col(k), F.col(n), F.col(mu)
+    r = (kk - nn * m) / F.nullif(F.sqrt(nn * m * (1 - m) * (1 + (nn - 1) * F.col(rho))), F.lit(0.0))
+    return F.when(r.isNull(), F.lit(0.0)).when(F.abs(r) > c, c / F.abs(r)).otherwise(F.lit(1.0))
+
+
+def all_ratios(ds: SpliceDataset, of: tuple[str, ...] = ("jaccard", "psi5", "psi3")) -> DataFrame:
+    """The grid with the ratios asked for and each one's distance from its median over samples; the jaccard index is always there."""
+    out = intron_jaccard(ds)
+    for m in dict.fromkeys(("jaccard", *of)):
+        if m != "theta":
+            out = out.withColumn(f"delta_median_{m}", F.col(m) - F.median(m).over(Window.partitionBy("junction_id")))
+    return out

@@ -20,7 +20,8 @@ def adjusted(df: DataFrame, p: str, by: list[str], ids: list[str], method: str =
     rn, m = F.row_number().over(up), F.count(p).over(family)
     v = F.col("_p")
     if method in ("BH", "BY"):
-        factor = F.lit(1.0) if method == "BH" else F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_m"), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+        # the harmonic number of the family, summed once over its ranks
+        factor = F.lit(1.0) if method == "BH" else F.sum(1.0 / F.col("_rn")).over(family)
         term, window, agg = F.col(p) * F.col("_m") / F.col("_rn") * factor, family.orderBy(F.desc("_rn")), F.min
     elif method == "holm":
         term, window, agg = F.col(p) * (F.col("_m") - F.col("_rn") + 1), family.orderBy("_rn"), F.max
@@ -43,9 +44,11 @@ def least_holm(p: str, by: list[str], mask: Column | None = None) -> Column:
 def fdr_per_sample(df: DataFrame, p: str = "p", sample: str = "sample_id", index: str = "index", method: str = "BY", rho: str | None = None, rho_cutoff: float | None = None) -> DataFrame:
     """Family-wise p-value of each (sample, index), then the false discovery rate over the indices of a sample."""
     mask = None if rho is None or rho_cutoff is None else F.col(rho) <= rho_cutoff
-    fwer = df.withColumn("p_site", least_holm(p, [sample, index], mask))
-    one = fwer.groupBy(sample, index).agg(F.first("p_site", ignorenulls=True).alias("p_site"))
-    return fwer.join(adjusted(one, "p_site", [sample], [index], method).select(sample, index, "padj"), [sample, index])
+    site = Window.partitionBy(sample, index)
+    # one row of a site stands for it in the sample's family; its adjusted value goes back to the others by a window, not by a join
+    fwer = df.withColumn("p_site", least_holm(p, [sample, index], mask)).withColumn("_first", F.row_number().over(site.orderBy(F.col(p).asc_nulls_last())) == 1)
+    one = adjusted(fwer.withColumn("_one", F.when(F.col("_first"), F.col("p_site"))), "_one", [sample], [index], method)
+    return one.withColumn("padj", F.max("padj").over(site)).drop("_first", "_one")
 
 
 def gene_p_values(df: DataFrame, genes: DataFrame, feature: str = "junction_id", p: str = "p", sample: str = "sample_id", index: str = "index", method: str = "BY") -> DataFrame:

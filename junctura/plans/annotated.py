@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import annotation, intervals, metrics, padjust, results
 from ..sources.cohort import cohort, table
-from .splicing import GENE_SQL, METRICS_SQL, ORACLE_SQL, QUERIES, SITE_PADJ, TEST_SQL, five_prime, genes_of, query, site_tests, tested
+from .splicing import GENE_SQL, METRICS_SQL, ORACLE_SQL, QUERIES, SITE_PADJ, SUBSET_PADJ, TEST_SQL, five_prime, genes_of, query, site_tests, tested
 
 #: Reads are ranges of part numbers, as long as their quantity; regions are windows of 64 suppliers' parts.
 RANGE_SQL = """,
 rd AS (SELECT l_orderkey, l_linenumber, 'chr' || (l_suppkey % 5) AS seqname, l_partkey * 20 AS start, l_partkey * 20 + l_quantity::BIGINT AS "end", CASE l_linenumber % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '*' END AS strand FROM lineitem),
-rg AS (SELECT p_partkey AS region, 'chr' || (p_partkey % 5) AS seqname, p_partkey * 20 - 30 * (p_partkey % 2) AS start, p_partkey * 20 + 3 * p_size AS "end", CASE p_partkey % 2 WHEN 0 THEN '+' ELSE '*' END AS strand FROM part WHERE p_size <= 20)"""
+rg AS (SELECT p_partkey AS region, 'chr' || (p_partkey % 5) AS seqname, p_partkey * 20 - 30 * (p_partkey % 2) AS start, p_partkey * 20 + 3 * p_size AS "end", CASE p_partkey % 2 WHEN 0 THEN '+' ELSE '*' END AS strand FROM part)"""
 
 
 def reads(spark, sf_dir):
@@ -19,7 +19,7 @@ def reads(spark, sf_dir):
 
 
 def regions(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter("p_size <= 20").select(F.col("p_partkey").alias("region"), F.concat(F.lit("chr"), F.col("p_partkey") % 5).alias("seqname"), (F.col("p_partkey") * 20 - 30 * (F.col("p_partkey") % 2)).alias("start"), (F.col("p_partkey") * 20 + 3 * F.col("p_size")).alias("end"), F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("*").alias("strand"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("region"), F.concat(F.lit("chr"), F.col("p_partkey") % 5).alias("seqname"), (F.col("p_partkey") * 20 - 30 * (F.col("p_partkey") % 2)).alias("start"), (F.col("p_partkey") * 20 + 3 * F.col("p_size")).alias("end"), F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("*").alias("strand"))
 
 
 SAME = "a.seqname = b.seqname AND (a.strand = b.strand OR a.strand = '*' OR b.strand = '*')"
@@ -51,12 +51,12 @@ def interval_first_overlap(spark, sf_dir):
 
 
 @query(
-    "SELECT s_suppkey, min(greatest(0, b.start - a.\"end\" - 1, a.start - b.\"end\" - 1))::BIGINT AS distance FROM (SELECT s_suppkey, 'chr' || (s_suppkey % 5) AS seqname, s_suppkey * 37 % 4001 * 10 AS start, s_suppkey * 37 % 4001 * 10 + 5 AS \"end\" FROM supplier) a JOIN (SELECT * FROM rg WHERE region % 3 = 0) b ON a.seqname = b.seqname GROUP BY 1",
+    "SELECT s_suppkey, min(greatest(0, b.start - a.\"end\" - 1, a.start - b.\"end\" - 1))::BIGINT AS distance FROM (SELECT s_suppkey, 'chr' || (s_suppkey % 5) AS seqname, s_suppkey * 37 % 4001 * 10 AS start, s_suppkey * 37 % 4001 * 10 + 5 AS \"end\" FROM supplier) a JOIN rg b ON a.seqname = b.seqname GROUP BY 1",
     RANGE_SQL,
 )
 def nearest_range(spark, sf_dir):
     a = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("chr"), F.col("s_suppkey") % 5).alias("seqname"), (F.col("s_suppkey") * 37 % 4001 * 10).alias("start"), (F.col("s_suppkey") * 37 % 4001 * 10 + 5).alias("end"))
-    return intervals.nearest(a, regions(spark, sf_dir).filter("region % 3 = 0"), "s_suppkey", "region").filter("distance is not null").select("s_suppkey", F.col("distance").cast("long").alias("distance"))
+    return intervals.nearest(a, regions(spark, sf_dir), "s_suppkey", "region").filter("distance is not null").select("s_suppkey", F.col("distance").cast("long").alias("distance"))
 
 
 @query(
@@ -77,13 +77,13 @@ def read_coverage(spark, sf_dir):
 
 
 ANN_SQL = """,
-gn AS (SELECT 'G' || (s_suppkey % 40) AS gene_id, 'SYM' || (s_suppkey % 13) AS symbol, 'chr' || (s_suppkey % 3 + 1) AS seqname, s_suppkey * 290 AS start, s_suppkey * 290 + 1500 AS "end", CASE s_suppkey % 2 WHEN 0 THEN '+' ELSE '-' END AS strand FROM supplier WHERE s_suppkey < 90),
-intr AS (SELECT seqname, start, "end", strand FROM junctions WHERE junction_id % 3 = 0),
-bl AS (SELECT 'chr' || (p_partkey % 3 + 1) AS seqname, 20000 + p_partkey * 7 AS start, 20000 + p_partkey * 7 + p_size AS "end" FROM part WHERE p_partkey < 500)"""
+gn AS (SELECT 'G' || s_suppkey AS gene_id, 'SYM' || (s_suppkey % 13) AS symbol, 'chr' || (s_suppkey % 3 + 1) AS seqname, s_suppkey * 290 AS start, s_suppkey * 290 + 1500 AS "end", CASE s_suppkey % 2 WHEN 0 THEN '+' ELSE '-' END AS strand FROM supplier),
+intr AS (SELECT j.seqname, j.start, j."end", j.strand, 'T' || (junction_id % 7) AS transcript_id, median(k) AS median_count FROM grid j JOIN nation ON n_nationkey = junction_id % 25 JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' GROUP BY ALL),
+bl AS (SELECT 'chr' || (p_partkey % 3 + 1) AS seqname, 20000 + p_partkey * 7 AS start, 20000 + p_partkey * 7 + p_size AS "end" FROM part)"""
 
 
 def gene_table(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").filter("s_suppkey < 90").select(F.concat(F.lit("G"), F.col("s_suppkey") % 40).alias("gene_id"), F.concat(F.lit("SYM"), F.col("s_suppkey") % 13).alias("symbol"), F.concat(F.lit("chr"), F.col("s_suppkey") % 3 + 1).alias("seqname"), (F.col("s_suppkey") * 290).alias("start"), (F.col("s_suppkey") * 290 + 1500).alias("end"), F.when(F.col("s_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("gene_id"), F.concat(F.lit("SYM"), F.col("s_suppkey") % 13).alias("symbol"), F.concat(F.lit("chr"), F.col("s_suppkey") % 3 + 1).alias("seqname"), (F.col("s_suppkey") * 290).alias("start"), (F.col("s_suppkey") * 290 + 1500).alias("end"), F.when(F.col("s_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"))
 
 
 @query(f"SELECT j.junction_id, genes FROM junctions j LEFT JOIN (SELECT a.junction_id, string_agg(DISTINCT b.symbol, ';' ORDER BY b.symbol) AS genes FROM junctions a JOIN gn b ON {SAME} AND {KINDS['any']} GROUP BY 1) g USING (junction_id)", ANN_SQL)
@@ -91,34 +91,83 @@ def gene_annotation(spark, sf_dir):
     return annotation.gene_labels(cohort(spark, sf_dir).junctions, gene_table(spark, sf_dir), "junction_id")
 
 
+def reference_introns(spark, sf_dir, ds):
+    """Known introns, those whose acceptor's nation lies in Europe, with a transcript and the median of their counts."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").filter("r_name = 'EUROPE'")
+    europe = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("acceptor"))
+    known = ds.grid().join(F.broadcast(europe), F.col("junction_id") % 25 == F.col("acceptor"), "left_semi")
+    return known.groupBy("junction_id", "seqname", "start", "end", "strand").agg(F.median("k").alias("median_count")).withColumn("transcript_id", F.concat(F.lit("T"), F.col("junction_id") % 7))
+
+
 @query(
-    f"SELECT junction_id, k AS known_intron, s AS known_start, e AS known_end, CASE WHEN k OR s AND e THEN 'both' WHEN s THEN 'start' WHEN e THEN 'end' ELSE 'none' END AS annotated FROM (SELECT junction_id, EXISTS (SELECT 1 FROM intr b WHERE {SAME} AND {KINDS['equal']}) AS k, EXISTS (SELECT 1 FROM intr b WHERE {SAME} AND {KINDS['start']}) AS s, EXISTS (SELECT 1 FROM intr b WHERE {SAME} AND {KINDS['end']}) AS e FROM junctions a)",
+    f"""SELECT a.junction_id, count(b.start) FILTER ({KINDS['equal']}) > 0 AS known_intron, count(b.start) FILTER ({KINDS['start']}) > 0 AS known_start, count(b.start) FILTER ({KINDS['end']}) > 0 AS known_end,
+string_agg(DISTINCT b.transcript_id, ',' ORDER BY b.transcript_id) FILTER ({KINDS['equal']}) AS transcripts FROM junctions a LEFT JOIN intr b ON {SAME} AND ({KINDS['start']} OR {KINDS['end']}) GROUP BY 1""",
     ANN_SQL,
 )
 def known_junctions(spark, sf_dir):
-    j = cohort(spark, sf_dir).junctions
-    return annotation.reference_overlap(j, j.filter("junction_id % 3 = 0").select("seqname", "start", "end", "strand"))
+    ds = cohort(spark, sf_dir)
+    return annotation.known_ends(ds.junctions, reference_introns(spark, sf_dir, ds))
+
+
+@query(
+    f"""SELECT j.junction_id, CASE WHEN x IS NULL THEN 'none' WHEN x.start = j.start AND x."end" = j."end" THEN 'both' WHEN x.start = j.start THEN 'start' WHEN x."end" = j."end" THEN 'end' ELSE 'none' END AS annotated
+FROM junctions j LEFT JOIN (SELECT a.junction_id, arg_min(struct_pack(start := b.start, "end" := b."end"), (-b.median_count, b.start, b."end")) AS x FROM junctions a JOIN intr b ON {SAME} AND {KINDS['any']} GROUP BY 1) t USING (junction_id)""",
+    ANN_SQL,
+)
+def intron_reference_overlap(spark, sf_dir):
+    ds = cohort(spark, sf_dir)
+    return annotation.reference_overlap(ds.junctions, reference_introns(spark, sf_dir, ds))
 
 
 @query("SELECT junction_id, EXISTS (SELECT 1 FROM bl b WHERE b.seqname = a.seqname AND (a.start - 5 <= b.\"end\" AND a.start + 4 >= b.start OR a.\"end\" - 4 <= b.\"end\" AND a.\"end\" + 5 >= b.start)) AS blacklisted FROM junctions a", ANN_SQL)
 def blacklist_flags(spark, sf_dir):
-    bad = table(spark, sf_dir, "part").filter("p_partkey < 500").select(F.concat(F.lit("chr"), F.col("p_partkey") % 3 + 1).alias("seqname"), (20000 + F.col("p_partkey") * 7).alias("start"), (20000 + F.col("p_partkey") * 7 + F.col("p_size")).alias("end"))
-    return annotation.blacklisted(cohort(spark, sf_dir).junctions, bad)
+    return annotation.blacklisted(cohort(spark, sf_dir).junctions, bad_regions(spark, sf_dir))
+
 
+ENDS = "SELECT junction_id, seqname, strand, start - 5 AS start, start + 4 AS \"end\" FROM junctions UNION ALL SELECT junction_id, seqname, strand, \"end\" - 4, \"end\" + 5 FROM junctions"
+#: Genes of a lower number have their UTR before, the others behind.
+UTR_HIT = f"SELECT DISTINCT junction_id FROM ({ENDS}) a JOIN gn b ON {SAME} AND {KINDS['any']} WHERE b.symbol %s 'SYM2'"
 
-@query(f"SELECT site_id, CASE WHEN EXISTS (SELECT 1 FROM gn b WHERE b.gene_id < 'G2' AND {SAME} AND {KINDS['any']}) THEN '5''-UTR' WHEN EXISTS (SELECT 1 FROM gn b WHERE b.gene_id >= 'G2' AND {SAME} AND {KINDS['any']}) THEN '3''-UTR' ELSE 'no' END AS utr FROM sites a", ANN_SQL)
+
+@query(f"SELECT junction_id, CASE WHEN junction_id IN ({UTR_HIT % '<'}) THEN '5''-UTR' WHEN junction_id IN ({UTR_HIT % '>='}) THEN '3''-UTR' ELSE 'no' END AS utr FROM junctions", ANN_SQL)
 def utr_labels(spark, sf_dir):
     g = gene_table(spark, sf_dir)
-    return annotation.utr_label(cohort(spark, sf_dir).sites, g.filter("gene_id < 'G2'"), g.filter("gene_id >= 'G2'"), "site_id", 1)
+    return annotation.utr_label(cohort(spark, sf_dir).junctions, g.filter("symbol < 'SYM2'"), g.filter("symbol >= 'SYM2'"), "junction_id")
+
 
+def bad_regions(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("chr"), F.col("p_partkey") % 3 + 1).alias("seqname"), (20000 + F.col("p_partkey") * 7).alias("start"), (20000 + F.col("p_partkey") * 7 + F.col("p_size")).alias("end"))
 
-CALL = "coalesce(padj <= 1.0, false) AND n >= 5 AND coalesce(abs(delta) >= 0.01, false)"
+
+@query(
+    f"""SELECT j.junction_id, j.sample_id, CASE WHEN x IS NULL THEN 'none' WHEN x.start = a.start AND x."end" = a."end" THEN 'both' WHEN x.start = a.start THEN 'start' WHEN x."end" = a."end" THEN 'end' ELSE 'none' END AS annotated,
+CASE WHEN j.junction_id IN ({UTR_HIT % '<'}) THEN '5''-UTR' WHEN j.junction_id IN ({UTR_HIT % '>='}) THEN '3''-UTR' ELSE 'no' END AS utr,
+j.junction_id IN (SELECT junction_id FROM ({ENDS}) a JOIN bl b ON a.seqname = b.seqname AND {KINDS['any']}) AS blacklisted
+FROM jc j JOIN junctions a USING (junction_id) LEFT JOIN (SELECT a.junction_id, arg_min(struct_pack(start := b.start, "end" := b."end"), (-b.median_count, b.start, b."end")) AS x FROM junctions a JOIN intr b ON {SAME} AND {KINDS['any']} GROUP BY 1) t USING (junction_id)""",
+    ANN_SQL,
+)
+def annotated_results(spark, sf_dir):
+    ds, g = cohort(spark, sf_dir), gene_table(spark, sf_dir)
+    rows = ds.j_counts.select("junction_id", "sample_id").join(ds.junctions.select("junction_id", "seqname", "start", "end", "strand"), "junction_id")
+    utrs = (g.filter("symbol < 'SYM2'"), g.filter("symbol >= 'SYM2'"))
+    return annotation.annotated_results(rows, reference_introns(spark, sf_dir, ds), utrs, bad_regions(spark, sf_dir)).select("junction_id", "sample_id", "annotated", "utr", "blacklisted")
+
+
+@query("SELECT gene_id, coalesce(symbol, gene_id) AS symbol FROM (SELECT gene_id FROM gn) LEFT JOIN (SELECT 'G' || (p_partkey * 2) AS gene_id, min(p_brand) AS symbol FROM part GROUP BY 1) USING (gene_id)", ANN_SQL)
+def gene_symbols(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit("G"), F.col("p_partkey") * 2).alias("gene_id"), F.col("p_brand").alias("symbol"))
+    return annotation.with_symbols(gene_table(spark, sf_dir), names).select("gene_id", "symbol")
+
+
+#: A cutoff that some cells of the cohort pass and others miss: the rows have no planted outliers.
+PADJ_CUTOFF = 0.9
+CALL = f"coalesce(round(padj, 9) <= {PADJ_CUTOFF}, false) AND n >= 5 AND coalesce(abs(delta) >= 0.01, false)"
 CALL_SQL = SITE_PADJ + f", cl AS (SELECT *, {CALL} AS aberrant FROM (SELECT *, round(jaccard - mu, 9) AS delta FROM res))"
 
 
 def calls(spark, sf_dir):
-    cells = site_tests(spark, sf_dir).withColumn("delta", F.round(F.col("jaccard") - F.col("mu"), 9))
-    return cells.withColumn("aberrant", results.aberrant(F.col("padj"), F.col("delta"), F.col("n"), None, 1.0, 0.01, 5))
+    cells = site_tests(spark, sf_dir).withColumns({"delta": F.round(F.col("jaccard") - F.col("mu"), 9), "padj": F.round("padj", 9)})
+    return cells.withColumn("aberrant", results.aberrant(F.col("padj"), F.col("delta"), F.col("n"), None, PADJ_CUTOFF, 0.01, 5))
 
 
 @query("SELECT sample_id, count(*) FILTER (aberrant) AS n_aberrant FROM cl GROUP BY 1", CALL_SQL)
@@ -151,10 +200,18 @@ def best_junction_per_gene(spark, sf_dir):
     return results.best_per_gene(cells.join(genes_of(cohort(spark, sf_dir)), "junction_id"), ["gene", "sample_id"]).select("gene", "sample_id", "junction_id")
 
 
-@query("SELECT junction_id, max(CASE WHEN sample_id % 2 = 0 THEN x END) AS padj_even, max(CASE WHEN sample_id % 2 = 1 THEN x END) AS padj_odd FROM (SELECT junction_id, sample_id, p AS x FROM pv WHERE sample_id < 2) GROUP BY 1", TEST_SQL)
+@query(
+    f"SELECT junction_id, sample_id, round(a.padj, 9) AS padj_all, round(b.padj_subset, 9) AS padj_thirds FROM res a LEFT JOIN (SELECT sample_id, index, padj_subset FROM ({SUBSET_PADJ})) b USING (sample_id, index)",
+    SITE_PADJ,
+)
 def fdr_set_pivot(spark, sf_dir):
-    rows = tested(spark, sf_dir).filter("sample_id < 2").select("junction_id", F.when(F.col("sample_id") % 2 == 0, "even").otherwise("odd").alias("fdr_set"), F.col("p").alias("padj"))
-    return results.fdr_sets(rows, ["junction_id"], ["even", "odd"])
+    """The FDR over all sites of a sample beside that over a subset of them."""
+    cells = site_tests(spark, sf_dir)
+    subset = cells.filter("index % 3 = sample_id % 3").select(F.lit("thirds").alias("subset"), "sample_id", "index")
+    part = cells.select("junction_id", "sample_id", "index").join(padjust.fdr_on_subset(cells, subset), ["sample_id", "index"])
+    rows = cells.select("junction_id", "sample_id", F.lit("all").alias("fdr_set"), "padj").unionByName(part.select("junction_id", "sample_id", F.col("subset").alias("fdr_set"), F.col("padj_subset").alias("padj")))
+    out = results.fdr_sets(rows, ["junction_id", "sample_id"], ["all", "thirds"])
+    return out.withColumns({c: F.round(c, 9) for c in ("padj_all", "padj_thirds")})
 
 
 @query("SELECT sample_id, junction_id, rank, round(-log10((rank - a) / (n + 1 - 2 * a)), 9) AS expected FROM (SELECT sample_id, junction_id, row_number() OVER (PARTITION BY sample_id ORDER BY p, junction_id) AS rank, count(*) OVER (PARTITION BY sample_id) AS n, CASE WHEN count(*) OVER (PARTITION BY sample_id) <= 10 THEN 0.375 ELSE 0.5 END AS a FROM pv WHERE p IS NOT NULL)", TEST_SQL)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fitting, metrics
-from ..sources.cohort import cohort
+from ..analysis import analyse, injected_search, metric_cells, result_table, suggested_dimension
+from ..operators import annotation, autoencoder, fitting, metrics, plots
+from ..sources import shared
+from ..sources.cohort import cohort, table
+from .annotated import reference_introns
+from .splicing import genes_of
 
 
 def _rows(spark, sf_dir):
@@ -26,7 +30,7 @@ def beta_binomial_fit(spark, sf_dir):
 
 
 def injected_outliers(spark, sf_dir):
-    cells = metrics.intron_jaccard(cohort(spark, sf_dir)).repartitionByRange(4, "junction_id").sortWithinPartitions("junction_id", "sample_id")
+    cells = metrics.intron_jaccard(cohort(spark, sf_dir))
     return fitting.inject_outliers(cells, 0.01).filter("injected <> 0").select("junction_id", "sample_id", "k", "k_injected", "injected")
 
 
@@ -35,26 +39,17 @@ QUERIES = {f.__name__: f for f in (pca_fit, pca_p_values, beta_binomial_fit, inj
 
 def junction_impact(spark, sf_dir):
     """Impact labels of the junctions and sites of all samples; an intron is known if its acceptor's nation is in Europe, each supplier is a gene that begins with an exon."""
-    from ..dataset import SpliceDataset
-    from ..llm import text as tx
-    from ..operators import annotation
-    from ..sources.cohort import table
-
     ds = cohort(spark, sf_dir)
-    # written once: the plan would hold the cohort's joins dozens of times
-    ds = SpliceDataset(ds.samples, *(tx.written(getattr(ds, x), x) for x in ("junctions", "sites", "j_counts", "ss_counts")), name="cohort")
-    europe = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").filter("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey")).select((F.col("n_nationkey") % 25).alias("acceptor"))
-    reference = ds.junctions.join(europe, F.pmod("junction_id", F.lit(25)) == F.col("acceptor"), "left_semi")
-    known = reference.select("seqname", "start", "end", "strand")
-    use = ds.grid().groupBy("junction_id").agg(F.median("k").alias("median_count")).join(reference, "junction_id").select("seqname", "start", "end", "median_count")
+    reference = shared.written(reference_introns(spark, sf_dir, ds), "introns")
+    known, use = reference.select("seqname", "start", "end", "strand"), reference.select("seqname", "start", "end", "median_count")
     place = F.col("s_suppkey") * 290
     genes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("gene_id"), F.concat(F.lit("chr"), F.col("s_suppkey") % 3 + 1).alias("seqname"), place.alias("start"), (place + 1500).alias("end"), F.when(F.col("s_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"))
     exons = genes.select("seqname", "start", (F.col("start") + 120).alias("end"), "strand")
     cells = metrics.delta_median(metrics.intron_jaccard(ds), "jaccard").withColumn("nonsplit_proportion", metrics.ratio(F.col("nonsplit"), F.col("n_jaccard")))
     q99 = cells.groupBy("junction_id").agg(F.percentile("nonsplit_proportion", F.lit(0.99)).alias("nonsplit_q99"))
-    cells = cells.join(q99, "junction_id").join(annotation.reference_overlap(ds.junctions, known).select("junction_id", "annotated"), "junction_id")
+    cells = cells.join(q99, "junction_id").join(annotation.reference_overlap(ds.junctions, reference), "junction_id")
     rows = cells.select("junction_id", "sample_id", "seqname", "start", "end", "strand", F.round("delta_median_jaccard", 9).alias("delta"), "annotated", "nonsplit_proportion", "nonsplit_q99", F.col("nonsplit").alias("nonsplit_counts"))
-    rows, use = tx.written(rows, "impact-rows"), tx.written(use, "intron-use")
+    rows = shared.written(rows, "impact-rows")
     psi = annotation.impact(rows, use, exons, genes).drop("nonsplit_proportion", "nonsplit_q99", "nonsplit_counts").withColumn("type", F.lit("jaccard"))
     # a site's id can stand on several sequences
     sites = ds.site_grid().withColumns({"number": F.col("site_id"), "site_id": F.concat_ws(":", "seqname", "start", "end", "strand")})
@@ -63,3 +58,34 @@ def junction_impact(spark, sf_dir):
 
 
 QUERIES["junction_impact"] = junction_impact
+
+
+def analysis_results(spark, sf_dir):
+    """Fit, tests, FDR and genes of the jaccard index and psi5 in one call, all cells of both."""
+    ds = cohort(spark, sf_dir)
+    done = analyse(ds, 3, ("jaccard", "psi5"), genes=genes_of(ds))
+    return result_table(done, all_=True).drop("padjust_transcriptome_wide").withColumns({c: F.round(c, 6) for c in ("p_value",)})
+
+
+def theta_results(spark, sf_dir):
+    return result_table(analyse(cohort(spark, sf_dir), 3, ("theta",)), all_=True).withColumn("p_value", F.round("p_value", 6))
+
+
+def estimated_dimension(spark, sf_dir):
+    """The number of components by optimal hard thresholding, beside the default for so many samples."""
+    ds = cohort(spark, sf_dir)
+    return spark.createDataFrame([(fitting.best_dimension(_rows(spark, sf_dir)), suggested_dimension(ds.samples.count()))], "q int, default_q int")
+
+
+def autoencoder_fit(spark, sf_dir):
+    found = autoencoder.fit_autoencoder(_rows(spark, sf_dir), 3, 2)
+    return found.select("junction_id", F.round("rho", 4).alias("rho"), F.round("loss", 4).alias("loss"))
+
+
+def dimension_search(spark, sf_dir):
+    """Areas under the precision-recall curve for some numbers of components, by outliers injected into the cohort."""
+    cells = metric_cells(cohort(spark, sf_dir), "jaccard")
+    return plots.search_data(injected_search(cells, [2, 4], freq=0.01).withColumns({"auc": F.round("auc", 4), "type": F.lit("jaccard"), "noise": F.lit(0.0)}))
+
+
+QUERIES |= {f.__name__: f for f in (analysis_results, theta_results, estimated_dimension, autoencoder_fit, dimension_search)}

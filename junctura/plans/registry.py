@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import annotated, fits, splicing
+from . import annotated, counted, fits, reported, splicing
 
-QUERIES: dict = {**splicing.QUERIES, **annotated.QUERIES, **fits.QUERIES}
-ORACLE_SQL: dict[str, str] = {**splicing.ORACLE_SQL, **annotated.ORACLE_SQL}
+QUERIES: dict = {**splicing.QUERIES, **fits.QUERIES}
+ORACLE_SQL: dict[str, str] = dict(splicing.ORACLE_SQL)
+
+#: Their queries register themselves with those of ``splicing``.
+REGISTERED = (annotated, counted, reported)

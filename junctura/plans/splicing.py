@@ -120,8 +120,7 @@ DEV = "greatest(coalesce(max(abs(%s - mean)), 0), 0) AS %s FROM (SELECT *, avg(%
 
 @query(f"SELECT junction_id, round(d, 9) AS max_d_jaccard, round(d, 9) >= 0.02 AS passed_variability FROM (SELECT junction_id, {DEV % ('jaccard', 'd', 'jaccard', 'junction_id', 'm')})", METRICS_SQL)
 def filter_variability(spark, sf_dir):
-    out = filters.variability(metrics.intron_jaccard(cohort(spark, sf_dir)), 0.02)
-    return rounded(out, "max_d_jaccard").withColumn("passed_variability", F.col("max_d_jaccard") >= 0.02)
+    return filters.variability(metrics.intron_jaccard(cohort(spark, sf_dir)), 0.02)
 
 
 @query(
@@ -132,14 +131,12 @@ LEFT JOIN (SELECT site_id, {DEV % ('theta', 'dt', 'theta', 'site_id', 'th')}) s
 )
 def filter_variability_by_site(spark, sf_dir):
     ds = cohort(spark, sf_dir)
-    out = filters.variability_by_site(ds, metrics.prime_sites(ds), metrics.site_theta(ds), 0.3)
-    d = ["max_d_psi5", "max_d_psi3", "max_d_theta_start", "max_d_theta_end"]
-    return rounded(out, *d).withColumn("passed_variability", F.greatest(*d) >= 0.3)
+    return filters.variability_by_site(ds, metrics.prime_sites(ds), metrics.site_theta(ds), 0.3)
 
 
 @query(f"SELECT junction_id, max_k >= 5 AND q >= 10 AND round(d, 9) >= 0.02 AS passed FROM (SELECT junction_id, {DEV % ('jaccard', 'd', 'jaccard', 'junction_id', 'm')}) JOIN (SELECT junction_id, max(k) AS max_k, quantile_cont(n_jaccard::DOUBLE, 0.75) AS q FROM m GROUP BY 1) USING (junction_id)", METRICS_SQL)
 def filter_expression_and_variability(spark, sf_dir):
-    return filters.expression_and_variability(metrics.intron_jaccard(cohort(spark, sf_dir)), 5, min_delta=0.02 - 5e-10).select("junction_id", "passed")
+    return filters.expression_and_variability(metrics.intron_jaccard(cohort(spark, sf_dir)), 5, min_delta=0.02).select("junction_id", "passed")
 
 
 @query("SELECT junction_id FROM m GROUP BY 1 HAVING max(k) >= 5 AND quantile_cont(n_jaccard::DOUBLE, 0.75) < 300", METRICS_SQL)
@@ -149,7 +146,7 @@ def rare_junctions(spark, sf_dir):
 
 @query(f"SELECT junction_id, round(d, 9) >= 0.03 AS variable FROM (SELECT junction_id, {DEV % ('jaccard', 'd', 'jaccard', 'junction_id', 'm')})", METRICS_SQL)
 def variable_junctions(spark, sf_dir):
-    return filters.variable_junctions(metrics.intron_jaccard(cohort(spark, sf_dir)), "jaccard", 0.03 - 5e-10)
+    return filters.variable_junctions(metrics.intron_jaccard(cohort(spark, sf_dir)), "jaccard", 0.03)
 
 
 @query("SELECT junction_id, round(sd, 9) AS sd FROM (SELECT junction_id, stddev_samp(ln((k + 0.1) / (n_jaccard - k + 0.1))) AS sd FROM m GROUP BY 1) ORDER BY round(sd, 9) DESC NULLS LAST, junction_id LIMIT 50", METRICS_SQL)
@@ -226,11 +223,8 @@ ZSQL = "SELECT junction_id, sample_id, round((r - avg(r) OVER (PARTITION BY junc
 
 @query(ZSQL, TEST_SQL)
 def z_scores(spark, sf_dir):
-    from pyspark.sql import Window
-
-    row = Window.partitionBy("junction_id")
-    cells = tested(spark, sf_dir).filter("mu > 0 and mu < 1").withColumn("r", F.ln((F.col("k") + 0.1) / (F.col("n") - F.col("k") + 0.1)) - F.ln(F.col("mu") / (1 - F.col("mu"))))
-    return cells.select("junction_id", "sample_id", F.round((F.col("r") - F.avg("r").over(row)) / F.nullif(F.stddev_samp("r").over(row), F.lit(0.0)), 7).alias("z"))
+    cells = tested(spark, sf_dir).filter("mu > 0 and mu < 1")
+    return cells.select("junction_id", "sample_id", F.round(metrics.z_score("k", "n", "mu"), 7).alias("z"))
 
 
 @query(
@@ -238,11 +232,7 @@ def z_scores(spark, sf_dir):
     TEST_SQL,
 )
 def huber_weights(spark, sf_dir):
-    cells = tested(spark, sf_dir)
-    var = F.col("n") * F.col("mu") * (1 - F.col("mu")) * (1 + (F.col("n") - 1) * F.col("rho"))
-    r = (F.col("k") - F.col("n") * F.col("mu")) / F.nullif(F.sqrt(var), F.lit(0.0))
-    w = F.when(r.isNull(), F.lit(0.0)).when(F.abs(r) > 1.345, 1.345 / F.abs(r)).otherwise(F.lit(1.0))
-    return cells.select("junction_id", "sample_id", F.round(w, 9).alias("w"))
+    return tested(spark, sf_dir).select("junction_id", "sample_id", F.round(metrics.huber_weight("k", "n", "mu", "rho"), 9).alias("w"))
 
 
 def _adjust(method: str):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..dataset import SpliceDataset
+from . import shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +32,28 @@ def _place(df: DataFrame) -> DataFrame:
     return df.withColumns({"seqname": F.concat(F.lit("chr"), F.col("donor") % 3 + 1), "start": 1000 + 400 * F.col("donor"), "end": 20000 + 300 * F.col("acceptor"), "strand": F.when(F.col("donor") % 2 == 0, "+").otherwise("-")})
 
 
+_cells: dict[tuple[str, str], DataFrame] = {}
+
+
+def _written_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted cells, written once for each application and path: all tables of a cohort derive from them, not from the lines again.
+
+    They are as many as samples x junctions, whatever the number of lines. A path is taken to hold the same rows while the application runs;
+    ``forget`` drops what is kept.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _cells:
+        _cells[key] = shared.written(_reads(spark, sf_dir), "cohort-cells")
+    return _cells[key]
+
+
+def forget() -> None:
+    """Counts anew from here on."""
+    _cells.clear()
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> SpliceDataset:
-    cells = _reads(spark, sf_dir)
+    cells = _written_cells(spark, sf_dir)
     split = cells.filter("split > 0")
     ids = {"start_id": F.col("donor").cast("long"), "end_id": (1000 + 25 * (F.col("donor") % 6) + F.col("acceptor")).cast("long"), "junction_id": (F.col("donor") * 25 + F.col("acceptor")).cast("long")}
     junctions = _place(split.select("donor", "acceptor").distinct()).withColumns(ids).select("junction_id", "seqname", "start", "end", "strand", "start_id", "end_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,13 +14,15 @@ TABLES = ("samples", "junctions", "sites", "j_counts", "ss_counts")
 
 
 def read_count_files(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """One long table of tab-separated count files by sample_id (seqname, start, end, strand, count)."""
+    """One long table of tab-separated count files by sample_id (seqname, start, end, strand, count), read in one scan; no files give no rows."""
     schema = "seqname string, start int, end int, strand string, count long"
-    parts = [spark.read.csv(path, sep="\t", header=True, schema=schema).withColumn("sample_id", F.lit(sample)) for sample, path in files.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("count", "k")
+    if not files:
+        return spark.createDataFrame([], "seqname string, start int, end int, strand string, k long, sample_id string")
+    names = spark.createDataFrame([(path.rsplit("/", 1)[-1], sample) for sample, path in files.items()], "_file string, sample_id string")
+    if names.select("_file").distinct().count() < len(files):
+        raise ValueError("count files must have different names")
+    rows = spark.read.csv(list(files.values()), sep="\t", header=True, schema=schema).withColumn("_file", F.element_at(F.split(F.url_decode(F.input_file_name()), "/"), -1))
+    return rows.join(F.broadcast(names), "_file").drop("_file").withColumnRenamed("count", "k")
 
 
 def from_wide(df: DataFrame, ids: list[str], samples: list[str]) -> DataFrame:
@@ -26,6 +30,22 @@ def from_wide(df: DataFrame, ids: list[str], samples: list[str]) -> DataFrame:
     return df.unpivot(ids, samples, "sample_id", "k")
 
 
+def dataset_from_wide(samples: DataFrame, junctions: DataFrame, sites: DataFrame, name: str = "dataset") -> SpliceDataset:
+    """A dataset of two wide tables: ranges, start_id and end_id (sites: site_id and type), and a column of counts for each sample of ``samples``."""
+    names = [str(r.sample_id) for r in samples.select("sample_id").collect()]  # one row for each sample
+    need = {"junctions": ["seqname", "start", "end", "start_id", "end_id"], "sites": ["seqname", "start", "end", "site_id", "type"]}
+    for which, table in (("junctions", junctions), ("sites", sites)):
+        if missing := [c for c in (*need[which], *names) if c not in table.columns]:
+            raise ValueError(f"{which} must have the columns {missing}")
+    stranded = lambda t: t if "strand" in t.columns else t.withColumn("strand", F.lit("*"))
+    junctions, sites = stranded(junctions), stranded(sites)
+    junctions = junctions.withColumn("junction_id", F.concat_ws(":", "seqname", F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")), "strand"))
+    cells = from_wide(junctions, ["junction_id"], names).filter("k > 0").withColumn("k", F.col("k").cast("long"))
+    site_cells = from_wide(sites, ["site_id"], names).filter("k > 0").withColumn("k", F.col("k").cast("long"))
+    kept = samples.withColumn("sample_id", F.col("sample_id").cast("string"))
+    return SpliceDataset(kept, junctions.select("junction_id", "seqname", "start", "end", "strand", "start_id", "end_id"), sites.select("site_id", "seqname", "start", "end", "strand", "type"), cells, site_cells, name=name).checked()
+
+
 def write_counts(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip")
 
@@ -62,23 +82,66 @@ def split_counts(alignments: DataFrame) -> DataFrame:
     return alignment_introns(alignments).groupBy("sample_id", "seqname", "start", "end", "strand").agg(F.count_distinct("read_id").alias("k"))
 
 
-def save(ds: SpliceDataset, path: str) -> None:
+def save(ds: SpliceDataset, path: str, rewrite: bool = True) -> None:
+    """All tables below a folder of their own, then the manifest that names it: a reader sees the old dataset or the new one, never a mixture."""
+    spark = ds.samples.sparkSession
+    version = uuid.uuid4().hex
     for t in TABLES:
-        getattr(ds, t).write.mode("overwrite").parquet(f"{path}/{t}")
+        getattr(ds, t).write.parquet(f"{path}/{version}/{t}")
+    manifest = json.dumps({"name": ds.name, "version": version, "params": ds.params})
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite" if rewrite else "error").text(f"{path}/manifest")
+
+
+def load(spark: SparkSession, path: str, name: str | None = None) -> SpliceDataset:
+    """A saved dataset from wherever its folder lies now, with its name and parameters."""
+    manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
+    return SpliceDataset(**{t: spark.read.parquet(f"{path}/{manifest['version']}/{t}") for t in TABLES}, name=name or manifest["name"], params=manifest["params"])
+
+
+def is_saved(spark: SparkSession, path: str, samples: DataFrame) -> bool:
+    """Whether a dataset of all these samples is saved at ``path``, so that nothing needs to be counted again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return False
+    return samples.select(F.col("sample_id").cast("string")).join(load(spark, path).samples.select(F.col("sample_id").cast("string")), "sample_id", "left_anti").isEmpty()
+
+
+def save_filtered(ds: SpliceDataset, judged: DataFrame, path: str, flag: str = "passed") -> SpliceDataset:
+    """The dataset of the junctions that passed; the counts of the others are added to those saved at ``path`` before."""
+    out = judged.filter(~F.coalesce(F.col(flag), F.lit(False))).select("junction_id")
+    rest = ds.junctions.join(out, "junction_id", "left_semi")
+    rest.write.mode("append").parquet(f"{path}/junctions")
+    ds.j_counts.join(out, "junction_id", "left_semi").write.mode("append").parquet(f"{path}/j_counts")
+    return ds.subset(junctions=judged.filter(F.col(flag)))
 
 
-def load(spark: SparkSession, path: str, name: str = "dataset") -> SpliceDataset:
-    return SpliceDataset(**{t: spark.read.parquet(f"{path}/{t}") for t in TABLES}, name=name)
+def with_filtered(ds: SpliceDataset, path: str) -> SpliceDataset:
+    """The dataset with the junctions and counts that filters have saved at ``path``, to be filtered anew."""
+    spark = ds.samples.sparkSession
+    rest, counts = spark.read.parquet(f"{path}/junctions"), spark.read.parquet(f"{path}/j_counts")
+    new = rest.join(ds.junctions.select("junction_id"), "junction_id", "left_anti").dropDuplicates(["junction_id"])
+    counts = counts.join(new.select("junction_id"), "junction_id", "left_semi").dropDuplicates(["junction_id", "sample_id"])
+    return ds.with_(junctions=ds.junctions.unionByName(new), j_counts=ds.j_counts.unionByName(counts))
+
+
+def gene_source(genes: DataFrame) -> DataFrame:
+    """Genes with a symbol: rows without one and names with ``_`` or ``.`` go; a numeric strand becomes + or -."""
+    kept = genes.filter("symbol is not null and symbol <> ''").filter(~F.col("symbol").rlike("[_.]"))
+    if dict(genes.dtypes)["strand"] != "string":
+        kept = kept.withColumn("strand", F.when(F.col("strand") < 0, "-").otherwise("+"))
+    return kept
+
+
+def annotation_tables(features: DataFrame) -> dict[str, DataFrame]:
+    """genes, exons, introns and UTRs by transcript from GFF features (read_gff)."""
+    from ..operators.intervals import introns
+
+    exons = features.filter("feature = 'exon'").select("transcript_id", "gene_id", "seqname", "start", "end", "strand")
+    utr = lambda *names: features.filter(F.col("feature").isin(*names)).select("transcript_id", "seqname", "start", "end", "strand")
+    genes = features.filter("gene_id is not null").groupBy("gene_id", "seqname", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("symbol").alias("symbol"))
+    return {"genes": genes, "exons": exons, "introns": introns(exons), "five_utr": utr("five_prime_UTR", "five_prime_utr"), "three_utr": utr("three_prime_UTR", "three_prime_utr")}
 
 
 def rename_chromosomes(df: DataFrame, names: DataFrame) -> DataFrame:
     """seqname by a two-column table (from_name, to_name); rows of unknown names go."""
     return df.join(names.select(F.col("from_name").alias("seqname"), "to_name"), "seqname").withColumn("seqname", F.col("to_name")).drop("to_name")
-
-
-def merge_external(own: SpliceDataset, junction_counts: DataFrame) -> DataFrame:
-    """Counts of own and external samples for the junctions that both know by exact range."""
-    on = ["seqname", "start", "end", "strand"]
-    shared = own.junctions.join(junction_counts.select(*on).distinct(), on, "left_semi").select("junction_id", *on)
-    mine = own.j_counts.join(shared.select("junction_id"), "junction_id", "left_semi").select("junction_id", F.col("sample_id").cast("string").alias("sample_id"), "k")
-    return mine.unionByName(junction_counts.join(shared, on).select("junction_id", F.col("sample_id").cast("string").alias("sample_id"), "k"))

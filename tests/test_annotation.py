@@ -39,3 +39,48 @@ def test_impact_of_all_samples(spark, sf_dir):
     ds = fits.cohort(spark, sf_dir)
     assert out.filter("type = 'jaccard'").count() == ds.grid().count() and out.filter("type = 'theta'").count() == ds.site_grid().count()
     assert out.select("sample_id").distinct().count() == 25
+
+
+def test_one_known_intron_decides(spark):
+    introns = spark.createDataFrame([("c", 100, 200, "+", 5.0, "t1"), ("c", 100, 300, "+", 9.0, "t2"), ("c", 250, 400, "+", 1.0, "t3"), ("c", 250, 400, "+", 1.0, "t4")], f"{RANGE}, median_count double, transcript_id string")
+    j = spark.createDataFrame([(1, "c", 100, 200, "+"), (2, "c", 150, 300, "+"), (3, "c", 100, 300, "+"), (4, "c", 100, 400, "+"), (5, "c", 250, 400, "+"), (6, "c", 350, 400, "*"), (7, "c", 900, 950, "+"), (8, "c", 100, 200, "-")], f"junction_id long, {RANGE}")
+    got = {r.junction_id: r.annotated for r in annotation.reference_overlap(j, introns).collect()}
+    # the intron of the highest median is the only one compared: 1 and 4 share its start, 5 overlaps it but shares no end
+    assert got == {1: "start", 2: "end", 3: "both", 4: "start", 5: "none", 6: "end", 7: "none", 8: "none"}
+    known = {r.junction_id: (r.known_intron, r.known_start, r.known_end, r.transcripts) for r in annotation.known_ends(j, introns).collect()}
+    assert known[1] == (True, True, True, "t1") and known[4] == (False, True, True, None) and known[5] == (True, True, True, "t3,t4") and known[8] == (False, False, False, None)
+
+
+def test_utrs_count_at_the_ends_of_a_junction(spark):
+    j = spark.createDataFrame([(1, "c", 100, 200, "+"), (2, "c", 300, 400, "+"), (3, "c", 500, 600, "+"), (4, "c", 700, 800, "+")], f"junction_id long, {RANGE}")
+    five = spark.createDataFrame([("c", 90, 95, "+"), ("c", 340, 360, "+")], RANGE)  # touches the bases before 1, lies inside of 2
+    three = spark.createDataFrame([("c", 205, 210, "+"), ("c", 605, 605, "+"), ("c", 806, 900, "+")], RANGE)
+    got = {r.junction_id: r.utr for r in annotation.utr_label(j, five, three, "junction_id").collect()}
+    assert got == {1: "5'-UTR", 2: "no", 3: "3'-UTR", 4: "no"}
+
+
+def test_unstranded_features_ignore_the_strand_of_genes(spark):
+    genes = spark.createDataFrame([("g", "A", "c", 1, 50, "+"), ("h", "B", "c", 1, 50, "-")], f"gene_id string, symbol string, {RANGE}")
+    both = spark.createDataFrame([(1, "c", 10, 20, "+"), (2, "c", 10, 20, "*")], f"junction_id long, {RANGE}")
+    label = lambda df: {r.junction_id: r.genes for r in annotation.gene_labels(df, genes, "junction_id").collect()}
+    assert label(both) == {1: "A;B", 2: "A;B"} and label(both.filter("junction_id = 1")) == {1: "A"}
+
+
+def test_sweeps_in_tiles_equal_one_sweep(spark):
+    from pyspark.sql import functions as F
+
+    from junctura.operators import intervals
+
+    a = spark.range(200).select(F.col("id").alias("key"), F.concat(F.lit("c"), F.col("id") % 2).alias("seqname"), (F.col("id") * 7919 % 1000).alias("start")).withColumn("end", F.col("start") + F.col("key") % 13)
+    b = spark.range(40).select(F.col("id").alias("gene"), F.concat(F.lit("c"), F.col("id") % 3).alias("seqname"), (F.col("id") * 104729 % 1000).alias("start")).withColumn("end", F.col("start") + F.col("gene") % 90)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    near = lambda tile: rows(intervals.nearest(a, b, "key", "gene", tile).select("key", "distance"))
+    assert near(10) == near(100) == near(10**9)
+    depth = lambda tile: rows(intervals.coverage(a, [], tile))
+    assert depth(10) == depth(10**9)
+    covered = {(r.seqname, x): r.depth for r in intervals.coverage(a, [], 50).collect() for x in range(r.start, r.end + 1)}
+    want: dict = {}
+    for r in a.collect():
+        for x in range(r.start, r.end + 1):
+            want[r.seqname, x] = want.get((r.seqname, x), 0) + 1
+    assert covered == want
