@@ -39,7 +39,7 @@ BROADCAST_IDS = 1_000_000
 #: Signatures that a task holds and sorts at a time, and bytes of text that it signs at a time.
 HELD_SIGNATURES, SLICE = 500_000, 1 << 18
 #: Shingles of the corpus for each bucket of signatures.
-BUCKET_SHINGLES = 3_000_000
+BUCKET_SHINGLES = 500_000
 
 
 def bands(top: int, num: int, den: int) -> np.ndarray:
