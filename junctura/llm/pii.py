@@ -291,9 +291,9 @@ def _pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     if not n:
         both = docs.withColumn("more", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     else:
-        hit = where.join(F.broadcast(retried) if n <= BROADCAST_ROWS else retried, ["kind", "value"])
+        hit = tx.written(where.join(F.broadcast(retried) if n <= BROADCAST_ROWS else retried, ["kind", "value"]), "attempts-met")
+        small = hit.count() <= BROADCAST_ROWS  # values, however many of them a document has
         hit = tx.written(hit.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("more")), "attempts-by-document")
-        small = hit.count() <= BROADCAST_ROWS and n <= BROADCAST_ROWS
         both = docs.join(F.broadcast(hit) if small else hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left").select(docs["doc_id"], "text", "more")
     return both.select("doc_id", "text", "more").mapInArrow(_replaced(key), "doc_id long, n_entities long, kinds string, text string")
 
