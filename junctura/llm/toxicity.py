@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import text as tx
 
 MAX_ROWS = 20_000
+BLOCK = 1000
 MIN_DOCS = 4
 MIN_ODDS = 1.2
 #: Least significance of a term: documents by log odds, as of a likelihood ratio.
@@ -126,18 +127,23 @@ def learn_lexicon(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) ->
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["toxic", "at", "n"])
 
     seen = train.mapInArrow(counts, "toxic int, at array<int>, n array<float>").toPandas()  # as many rows as the sample has
-    x = np.zeros((len(seen), len(terms) + 1))
+    x = np.zeros((len(seen), len(terms) + 1), np.float32)
     x[:, -1] = 1
     for i, (at, n) in enumerate(zip(seen["at"], seen["n"], strict=True)):
         x[i, np.asarray(at, int)] = n
     y, w = seen.toxic.to_numpy(float), np.zeros(len(terms) + 1)
     ridge = np.full(len(w), 0.05)
     ridge[-1] = 1e-6
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+    for _ in range(30):
+        gradient, curve = ridge * w, np.diag(ridge)
+        for first in range(0, len(x), BLOCK):  # some rows at a time, so that no second copy of all is made
+            part = x[first : first + BLOCK].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            gradient += part.T @ (p - y[first : first + BLOCK])
+            curve += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+        step = np.linalg.solve(curve, gradient)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     return {t: float(v) for t, v in zip(terms, w, strict=False) if v > 1e-3}
 
