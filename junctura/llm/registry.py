@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, merkle, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_merkle": merkle.op11_merkle,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
