@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, jaccard_join, line_dedup, merkle, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, merkle, pii, quality_classifier, quality_rules, spelling, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op11_merkle": merkle.op11_merkle,
+    "op12_language_id": language_id.op12_language_id,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
@@ -23,4 +25,5 @@ ORACLE_SQL = {
     "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
