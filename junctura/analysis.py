@@ -24,6 +24,7 @@ class Analysis:
     genes: DataFrame | None = None
     gene_p: dict[str, DataFrame] = field(default_factory=dict)
     subsets: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
+    subset_gene_p: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
     dimensions: dict[str, int] = field(default_factory=dict)
 
 
@@ -95,7 +96,7 @@ def analyse(
     ``q``: latent dimensions for all metrics or by metric; where it says nothing, the number by optimal hard thresholding. ``genes``: junction_id and gene.
     ``subsets``: by name, tables of sample_id and gene to which the FDR of a sample is restricted; a sample without genes in it is not tested there.
     """
-    cells, gene_p, by_subset, dimensions = {}, {}, {}, {}
+    cells, gene_p, by_subset, subset_gene_p, dimensions = {}, {}, {}, {}, {}
     for name in of:
         m = resolved_metric(name)
         base = shared.written(metric_cells(ds, m), f"cells-{m}")
@@ -110,16 +111,20 @@ def analyse(
             continue
         passing = tested if rho_cutoff is None else tested.withColumn("p", F.when(F.col("rho") <= rho_cutoff, F.col("p")))
         gene_p[m] = padjust.gene_p_values(passing, genes, method=method)
-        by_subset[m] = {}
+        by_subset[m], subset_gene_p[m] = {}, {}
         for s, wanted in (subsets or {}).items():
             in_set = cells[m].select("junction_id", "index").distinct().join(genes, "junction_id").join(wanted.distinct(), "gene").select(F.lit(s).alias("subset"), "sample_id", "index").distinct()
             fdr = padjust.fdr_on_subset(cells[m], in_set, method=method).select("sample_id", "index", F.col("padj_subset").alias("padj"))
             by_subset[m][s] = cells[m].drop("padj").join(fdr, ["sample_id", "index"], "left")
-    return Analysis(ds, cells, genes, gene_p, by_subset, dimensions)
+            subset_gene_p[m][s] = padjust.gene_fdr_on_subset(gene_p[m], wanted, method=method)
+    return Analysis(ds, cells, genes, gene_p, by_subset, subset_gene_p, dimensions)
 
 
 def result_table(done: Analysis, padj_cutoff: float | None = 0.1, delta_cutoff: float | None = 0.1, min_count: int | None = 5, aggregate: bool = False, collapse: bool = False, all_: bool = False, samples: list | None = None) -> DataFrame:
-    """Outliers of all metrics and FDR sets, a row for each cell; with ``aggregate`` for each aberrant gene, with ``collapse`` for one metric of each gene."""
+    """Outliers of all metrics and FDR sets, a row for each cell; with ``aggregate`` for each aberrant gene, with ``collapse`` for one metric of each gene.
+
+    A cutoff of None does not apply; with ``all_`` none does, and with ``aggregate`` each tested gene and sample has a row then.
+    """
     if not done.cells:
         raise ValueError("no metric has been tested")
     parts: dict[str, DataFrame] = {}
@@ -132,7 +137,9 @@ def result_table(done: Analysis, padj_cutoff: float | None = 0.1, delta_cutoff:
             if aggregate:
                 if m not in done.gene_p:
                     continue
-                out = results.gene_results(rows, done.genes, done.gene_p[m], padj_cutoff, delta_cutoff, min_count)
+                gene_p = done.gene_p[m] if name == "transcriptome_wide" else done.subset_gene_p[m][name]
+                cutoffs = (None, None, None) if all_ else (padj_cutoff, delta_cutoff, min_count)
+                out = results.gene_results(rows, done.genes, gene_p, *cutoffs)
             else:
                 out = results.metric_results(rows, padj_cutoff, delta_cutoff, min_count, all_)
             out = out.drop("p", "padj", "n").withColumn("junction_id", F.col("junction_id").cast("string"))

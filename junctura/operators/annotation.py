@@ -9,8 +9,8 @@ from . import intervals
 
 def gene_labels(features: DataFrame, genes: DataFrame, key: str, width: int = 5000) -> DataFrame:
     """key and the distinct symbols of overlapping genes, in order, joined by ``;``; if some feature has no strand, no gene's strand counts."""
-    if not features.filter("strand = '*'").isEmpty():
-        genes = genes.withColumn("strand", F.lit("*"))
+    unstranded = features.agg(F.coalesce(F.bool_or(F.col("strand") == "*"), F.lit(False))).scalar()
+    genes = genes.withColumn("strand", F.when(unstranded, "*").otherwise(F.col("strand")))
     pairs = intervals.overlap(features, genes, width).select(F.col(f"a.{key}").alias(key), F.col("b.symbol").alias("symbol")).distinct()
     return features.select(key).join(pairs.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("symbol")), ";").alias("genes")), key, "left")
 

@@ -17,7 +17,10 @@ from ..functions import betabinomial as bb, losses
 from ..sources import shared
 from . import fitting
 
-MODEL = "junction_id long, k array<double>, n array<double>, b double, d array<double>, rho double, loss double"
+
+
+def model_schema(rows: DataFrame) -> str:
+    return f"{fitting.id_field(rows)}, k array<double>, n array<double>, b double, d array<double>, rho double, loss double"
 
 
 def _stacked(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +46,7 @@ def start(rows: DataFrame, q: int, pseudocount: float = 0.1) -> tuple[np.ndarray
             rho = np.clip(bb.fit_rho(k, n, losses.predicted_mean(y)), 1e-6, 1 - 1e-6)
             yield pd.DataFrame({"junction_id": b.junction_id, "k": list(k), "n": list(n), "b": base, "d": list(d), "rho": rho, "loss": losses.full_nll(y, k, n, rho, pseudocount)})
 
-    return h, rows.mapInPandas(run, MODEL)
+    return h, rows.mapInPandas(run, model_schema(rows))
 
 
 def decoder_step(model: DataFrame, h: np.ndarray, pseudocount: float = 0.1, ridge: float = 0.0, weighted: bool = False, rounds: int = 30) -> DataFrame:
@@ -64,7 +67,7 @@ def decoder_step(model: DataFrame, h: np.ndarray, pseudocount: float = 0.1, ridg
             rho = np.clip(bb.fit_rho(k, n, losses.predicted_mean(y)), 1e-6, 1 - 1e-6)
             yield pd.DataFrame({"junction_id": b.junction_id, "k": list(k), "n": list(n), "b": par[:, 0], "d": list(par[:, 1:]), "rho": rho, "loss": losses.full_nll(y, k, n, rho, pseudocount)})
 
-    return model.mapInPandas(run, MODEL)
+    return model.mapInPandas(run, model_schema(model))
 
 
 def huber(k: np.ndarray, n: np.ndarray, mu: np.ndarray, rho: np.ndarray, c: float = 1.345) -> np.ndarray:
@@ -132,4 +135,4 @@ def fit_autoencoder(rows: DataFrame, q: int, iterations: int = 15, pseudocount:
                 mu = losses.predicted_mean(losses.predicted_logit(h, np.stack(b.d.to_numpy()), b.b.to_numpy(float)))
                 yield pd.DataFrame({"junction_id": b.junction_id, "mu": list(mu), "rho": b.rho, "loss": b.loss})
 
-    return model.mapInPandas(run, "junction_id long, mu array<double>, rho double, loss double")
+    return model.mapInPandas(run, f"{fitting.id_field(model)}, mu array<double>, rho double, loss double")

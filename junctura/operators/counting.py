@@ -171,3 +171,11 @@ def merge_external(own: SpliceDataset, external: dict[str, DataFrame], annotatio
     n_theta = theirs("n_theta" if "n_theta" in external else "k_theta", sites, "site_id").withColumnRenamed("k", "n_theta")
     site_others = theirs("k_theta", sites, "site_id").join(n_theta, ["site_id", "sample_id"]).select("site_id", "sample_id", (F.col("n_theta") - F.col("k")).alias("o_theta"))
     return out, others, site_others
+
+
+def proper_pairs(alignments: DataFrame) -> DataFrame:
+    """The mates of fragments that have a first and a second mate on one sequence; others go, as do reads without a mate."""
+    keys = ["sample_id", "read_id"]
+    ends = alignments.groupBy(*keys).agg(F.bool_or(F.col("mate") == 1).alias("_one"), F.bool_or(F.col("mate") == 2).alias("_two"), F.min("seqname").alias("_low"), F.max("seqname").alias("_high"))
+    whole = ends.filter(F.col("_one") & F.col("_two") & (F.col("_low") == F.col("_high"))).select(*keys)
+    return alignments.join(whole, keys, "left_semi")

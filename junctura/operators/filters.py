@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..dataset import SpliceDataset
 from . import metrics
+from .ranks import draw
 
 
 def expression(cells: DataFrame, min_expression: int = 20, quantile: float = 0.75, min_quantile: float = 10, jaccard: bool = True) -> DataFrame:
@@ -62,7 +63,7 @@ def most_variable(cells: DataFrame, n: int, seed: int | None = None, pseudocount
     """Of the 2n junctions of the largest spread of logit ratios n at random (the first n without a seed)."""
     x = F.ln((F.col("k") + pseudocount) / (F.col("n_jaccard") - F.col("k") + pseudocount))
     top = cells.groupBy("junction_id").agg(F.stddev_samp(x).alias("sd")).orderBy(F.desc_nulls_last(F.round("sd", 9)), "junction_id").limit(2 * n)
-    return top.orderBy(F.rand(seed) if seed is not None else F.desc_nulls_last(F.round("sd", 9)), "junction_id").limit(n)
+    return top.orderBy(draw(seed, "junction_id") if seed is not None else F.desc_nulls_last(F.round("sd", 9)), "junction_id").limit(n)
 
 
 def feature_mask(features: DataFrame, mask: DataFrame | None = None) -> DataFrame:

@@ -9,10 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import betabinomial as bb
+from .ranks import draw
 
 PACKED = "junction_id long, k array<double>, n array<double>"
 
 
+def id_field(rows: DataFrame) -> str:
+    """The junction_id of a schema, of whatever type ``rows`` has: numbers, or text where junctions were counted from alignments."""
+    return f"junction_id {rows.schema['junction_id'].dataType.simpleString()}"
+
+
 def packed(cells: DataFrame, k: str = "k", n: str = "n_jaccard") -> DataFrame:
     """One row for each junction with its counts in the order of sample_id."""
     rows = cells.groupBy("junction_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", F.col(k).cast("double").alias("k"), F.col(n).cast("double").alias("n")))).alias("x"))
@@ -60,7 +66,7 @@ def fit_pca(rows: DataFrame, q: int, pseudocount: float = 0.1) -> DataFrame:
             mu = 1 / (1 + np.exp(-(base + (x - base) @ project)))
             yield pd.DataFrame({"junction_id": b.junction_id, "mu": list(mu), "rho": bb.fit_rho(k, n, mu)})
 
-    return rows.mapInPandas(run, "junction_id long, mu array<double>, rho double")
+    return rows.mapInPandas(run, f"{id_field(rows)}, mu array<double>, rho double")
 
 
 def median_marchenko_pastur(beta: float) -> float:
@@ -111,7 +117,7 @@ def fit_beta_binomial(rows: DataFrame, min_count: int = 5) -> DataFrame:
             yield pd.DataFrame({"junction_id": b.junction_id, "mu": mu, "rho": rho, "p": list(p)})
 
     # a NaN leaves pandas as NULL
-    found = rows.mapInPandas(run, "junction_id long, mu double, rho double, p array<double>")
+    found = rows.mapInPandas(run, f"{id_field(rows)}, mu double, rho double, p array<double>")
     return found.withColumn("p", F.when(F.col("mu").isNotNull(), F.col("p")))
 
 
@@ -126,15 +132,10 @@ def p_values(rows: DataFrame, fit: DataFrame) -> DataFrame:
             rho = np.repeat(np.clip(b.rho.to_numpy(float), 1e-9, 1 - 1e-9)[:, None], k.shape[1], axis=1)
             yield pd.DataFrame({"junction_id": b.junction_id, "p": list(bb.two_sided(k.ravel(), n.ravel(), mu.ravel(), rho.ravel()).reshape(k.shape))})
 
-    found = rows.join(fit, "junction_id").mapInPandas(run, "junction_id long, p array<double>")
+    found = rows.join(fit, "junction_id").mapInPandas(run, f"{id_field(rows)}, p array<double>")
     return found.select("junction_id", F.posexplode("p").alias("sample", "p"))
 
 
-def draw(seed: int, *keys: str) -> Column:
-    """A number from 0 up to 1 that depends on the seed and the keys alone, not on partitions."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
-
-
 def inject_outliers(cells: DataFrame, freq: float = 1e-3, delta: float = 0.2, seed: int = 42, index: str = "junction_id", n: str = "n_jaccard", method: str = "samplePSI", pseudocount: float = 0.1) -> DataFrame:
     """Cells with k_injected, injected (1 or -1 for the moved junction, -2 or 2 for its siblings, 0 elsewhere) and delta_injected.
 

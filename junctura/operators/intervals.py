@@ -1,9 +1,9 @@
 """Joins of genomic ranges: 1-based, both ends included, ``*`` matches every strand.
 
-A range is put into bins of a fixed width, so an overlap becomes an equi-join on (seqname, bin) with
-the exact condition left over; a pair is kept in the bin of its larger start only, which needs no
-de-duplication. Ranges much wider than a bin make many rows, so ``width`` should be near the usual
-length of the ranges.
+Bins are nested: each level is ``STEP`` times as wide as the one below, from ``width`` on. A range rests on the lowest level whose bins are as wide as itself, in
+one bin or two, and visits the bins of the levels above on which ranges of the other table rest. So an overlap becomes an equi-join on (seqname, level, bin) with
+the exact condition left over, in which one of a pair rests; a pair is kept in the bin of its larger start only, which needs no de-duplication. A
+range of any length makes two rows at most for each level.
 """
 
 from __future__ import annotations
@@ -16,12 +16,38 @@ def _strands(a: str, b: str) -> Column:
     return (x == y) | (x == "*") | (y == "*")
 
 
-def _binned(df: DataFrame, width: int, slop: int = 0) -> DataFrame:
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("start") - slop) / width).cast("long"), F.floor((F.col("end") + slop) / width).cast("long"))))
+#: How many times as wide each level's bins are, and the number of levels.
+STEP, LEVELS = 16, 8
+
+
+def _resting(df: DataFrame, width: int, slop: int = 0) -> DataFrame:
+    """``df`` with the level that a range rests on: the lowest one whose bins are as wide as it and the slop."""
+    length = F.col("end") - F.col("start") + 1 + 2 * slop
+    level = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        level = F.when(length <= width * STEP**k, k).otherwise(level)
+    return df.withColumn("_rest", level.cast("int"))
+
+
+def _bins(df: DataFrame, level: Column, width: int, slop: int = 0) -> DataFrame:
+    """A row for each bin of a level that the range and the slop meet."""
+    size = F.pow(F.lit(float(STEP)), level) * width
+    return df.withColumns({"_level": level, "_size": size.cast("long")}).withColumn(
+        "_bin", F.explode(F.sequence(F.floor((F.col("start") - slop) / F.col("_size")).cast("long"), F.floor((F.col("end") + slop) / F.col("_size")).cast("long")))
+    )
+
+
+def _visiting(df: DataFrame, hosts: DataFrame, width: int, slop: int, above: int) -> DataFrame:
+    """``df`` in the bins of the levels on which ranges of ``hosts`` rest, from ``above`` levels over its own on."""
+    levels = hosts.agg(F.collect_set("_rest")).scalar()
+    from_ = F.col("_rest") + above
+    upper = F.when(from_ < LEVELS, F.sequence(from_, F.lit(LEVELS - 1)))
+    seen = df.withColumn("_level", F.explode(F.array_intersect(upper, levels)))
+    return _bins(seen, F.col("_level"), width, slop)
 
 
 def overlap(a: DataFrame, b: DataFrame, width: int = 1000, min_overlap: int = 1, kind: str = "any", gap: int = 0) -> DataFrame:
-    """Pairs as structs ``a`` and ``b``; kind: any, within, equal, start, end. ``gap`` > 0 also pairs ranges that far apart."""
+    """Pairs as structs ``a`` and ``b``; kind: any, within, equal, start, end. ``gap`` > 0 also pairs ranges that far apart. ``width``: that of the narrowest bins."""
     if kind in ("equal", "start", "end"):
         keys = {"equal": ["start", "end"], "start": ["start"], "end": ["end"]}[kind]
         x, y = a.alias("a"), b.alias("b")
@@ -29,15 +55,18 @@ def overlap(a: DataFrame, b: DataFrame, width: int = 1000, min_overlap: int = 1,
         for k in keys:
             on &= F.col(f"a.{k}") == F.col(f"b.{k}")
         return x.join(y, on & _strands("a", "b")).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
-    x, y = _binned(a, width, gap).alias("a"), _binned(b, width).alias("b")
-    on = (F.col("a.seqname") == F.col("b.seqname")) & (F.col("a._bin") == F.col("b._bin")) & _strands("a", "b")
+    on = (F.col("a.seqname") == F.col("b.seqname")) & (F.col("a._level") == F.col("b._level")) & (F.col("a._bin") == F.col("b._bin")) & _strands("a", "b")
     shared = F.least("a.end", "b.end") - F.greatest("a.start", "b.start") + 1
     on &= shared >= (min_overlap if not gap else 1 - gap)
     if kind == "within":
         on &= (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
-    on &= F.col("a._bin") == F.floor(F.greatest(F.col("a.start") - gap, F.col("b.start")) / width)
+    on &= F.col("a._bin") == F.floor(F.greatest(F.col("a.start") - gap, F.col("b.start")) / F.col("a._size"))
     fields = lambda df, s: F.struct(*[F.col(f"{s}.{c}") for c in df.columns]).alias(s)
-    return x.join(y, on).select(fields(a, "a"), fields(b, "b"))
+    left, right = _resting(a, width, gap), _resting(b, width)
+    lower = (_visiting(left, right, width, gap, 0), _bins(right, F.col("_rest"), width))  # b rests as high as a, or higher
+    higher = (_bins(left, F.col("_rest"), width, gap), _visiting(right, left, width, 0, 1))  # a rests higher
+    met = [x.alias("a").join(y.alias("b"), on).select(fields(a, "a"), fields(b, "b")) for x, y in (lower, higher)]
+    return met[0].union(met[1])
 
 
 def overlaps_any(a: DataFrame, b: DataFrame, keys: list[str], width: int = 1000, anti: bool = False) -> DataFrame:

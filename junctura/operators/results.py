@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import draw
+
 
 def aberrant(padj: Column, delta: Column, n: Column, rho: Column | None = None, padj_cutoff: float | None = 0.1, delta_cutoff: float | None = 0.1, min_count: int | None = 5, rho_cutoff: float | None = None) -> Column:
     """True where all cutoffs that are given hold; NULL counts as not."""
@@ -67,13 +69,13 @@ def metric_results(table: DataFrame, padj_cutoff: float | None = 0.1, delta_cuto
     return table if all_ else table.filter(call)
 
 
-def gene_results(table: DataFrame, genes: DataFrame, gene_padj: DataFrame, padj_cutoff: float = 0.1, delta_cutoff: float | None = 0.1, min_count: int | None = 5, feature: str = "junction_id") -> DataFrame:
+def gene_results(table: DataFrame, genes: DataFrame, gene_padj: DataFrame, padj_cutoff: float | None = 0.1, delta_cutoff: float | None = 0.1, min_count: int | None = 5, feature: str = "junction_id") -> DataFrame:
     """The best junction of each aberrant gene and sample, with the gene's p-values; a junction of several such genes has a row for each.
 
-    A junction counts by its own effect and coverage, whatever its own FDR; the gene must pass the FDR.
+    A junction counts by its own effect and coverage, whatever its own FDR; the gene must pass the FDR. A cutoff of None does not apply.
     """
     loose = aberrant(F.col("padj"), F.col("delta"), F.col("n"), None, None, delta_cutoff, min_count)
-    rows = table.filter(loose & F.col("p").isNotNull()).join(genes.select(feature, "gene"), feature).join(gene_padj.filter(F.col("padj_gene") <= padj_cutoff), ["gene", "sample_id"])
+    rows = table.filter(loose & F.col("p").isNotNull()).join(genes.select(feature, "gene"), feature).join(gene_padj if padj_cutoff is None else gene_padj.filter(F.col("padj_gene") <= padj_cutoff), ["gene", "sample_id"])
     best = Window.partitionBy("gene", "sample_id").orderBy("p", F.desc(F.abs("delta")), feature)
     out = rows.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
     return out.withColumns({"p_value_gene": signif("p_gene"), "padjust_gene": signif("padj_gene")}).drop("p_gene", "padj_gene")
@@ -126,7 +128,7 @@ def qq(p: DataFrame, by: list[str], value: str = "p") -> DataFrame:
 
 def metric_ranks(cells: DataFrame, value: str, seed: int | None = None) -> DataFrame:
     """Rank of a value among the samples of a junction, NULL first, ties at random or by sample."""
-    tie = F.rand(seed) if seed is not None else F.col("sample_id")
+    tie = draw(seed, "junction_id", "sample_id") if seed is not None else F.col("sample_id")
     return cells.withColumn("rank", F.row_number().over(Window.partitionBy("junction_id").orderBy(F.asc_nulls_first(value), tie)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import annotation, intervals, metrics, padjust, results
-from ..sources.cohort import cohort, table
+from ..sources.cohort import cohort, table, jaccard_cells
 from .splicing import GENE_SQL, METRICS_SQL, ORACLE_SQL, QUERIES, SITE_PADJ, SUBSET_PADJ, TEST_SQL, five_prime, genes_of, query, site_tests, tested
 
 #: Reads are ranges of part numbers, as long as their quantity; regions are windows of 64 suppliers' parts.
@@ -221,7 +221,7 @@ def qq_plot_data(spark, sf_dir):
 
 @query("SELECT junction_id, sample_id, row_number() OVER (PARTITION BY junction_id ORDER BY jaccard ASC NULLS FIRST, sample_id) AS rank FROM (SELECT junction_id, sample_id, round(jaccard, 9) AS jaccard FROM m)", METRICS_SQL)
 def metric_rank_plot_data(spark, sf_dir):
-    cells = metrics.intron_jaccard(cohort(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 9))
+    cells = jaccard_cells(spark, sf_dir).withColumn("jaccard", F.round("jaccard", 9))
     return results.metric_ranks(cells, "jaccard").select("junction_id", "sample_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -232,7 +232,7 @@ def expression_histogram(spark, sf_dir):
 
 @query("SELECT x.sample_id AS a, y.sample_id AS b, round(corr(x.r, y.r), 7) AS spearman FROM rk x JOIN rk y ON x.junction_id = y.junction_id AND x.sample_id < y.sample_id GROUP BY ALL", METRICS_SQL + ", rk AS (SELECT junction_id, sample_id, rank() OVER (PARTITION BY sample_id ORDER BY v) + (count(*) OVER (PARTITION BY sample_id, v) - 1) / 2.0 AS r FROM (SELECT junction_id, sample_id, round(jaccard, 9) AS v FROM m WHERE jaccard IS NOT NULL))")
 def sample_correlation(spark, sf_dir):
-    cells = metrics.intron_jaccard(cohort(spark, sf_dir)).select("junction_id", "sample_id", F.round("jaccard", 9).alias("v"))
+    cells = jaccard_cells(spark, sf_dir).select("junction_id", "sample_id", F.round("jaccard", 9).alias("v"))
     return results.sample_correlation(cells, "v").withColumn("spearman", F.round("spearman", 7))
 
 

@@ -6,10 +6,12 @@ shipped as decides whether it spans no intron, one or two.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import counting, metrics, ranks
-from ..sources import files
+from ..sources import bam, files, increments, sequence, shared
 from ..sources.cohort import cohort, table
 from .splicing import METRICS_SQL, TEST_SQL, genes_of, query, tested
 
@@ -220,3 +222,116 @@ def all_ratios(spark, sf_dir):
     out = metrics.all_ratios(cohort(spark, sf_dir))
     return out.select("junction_id", "sample_id", *[F.round(f"delta_median_{m}", 9).alias(n) for m, n in (("jaccard", "dj"), ("psi5", "d5"), ("psi3", "d3"))])
 
+
+
+# --- alignments in files ------------------------------------------------------------------------
+
+_folders: dict = {}
+
+
+def bam_folder(spark, sf_dir):
+    """The alignments as indexed BAM files, written once for an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _folders:
+        path = f"{shared.shared_dir(spark)}/alignments-{uuid.uuid4().hex}"
+        rows = alignments(spark, sf_dir)
+        ends = rows.groupBy("seqname").agg(F.max("pos").alias("last")).sort("seqname").collect()  # one row for each sequence
+        bam.write_alignments(rows, path, [(r.seqname, r["last"] + 10_000) for r in ends])
+        _folders[key] = path
+    return _folders[key]
+
+
+def from_files(spark, sf_dir, **asked):
+    rows = bam.read_alignments(spark, bam_folder(spark, sf_dir), split=1 << 18, **asked)
+    return rows.withColumns({"read_id": F.col("read_id").cast("long"), "sample_id": F.col("sample_id").cast("long")})
+
+
+@query("SELECT sample_id, seqname, start, \"end\", '*' AS strand, count(DISTINCT read_id) AS k FROM intron GROUP BY ALL", ALIGNMENT_SQL)
+def file_split_reads_paired(spark, sf_dir):
+    return counting.split_counts(from_files(spark, sf_dir))
+
+
+@query("SELECT sample_id, seqname, start, \"end\", '*' AS strand, count(*) AS k FROM intron GROUP BY ALL", ALIGNMENT_SQL)
+def file_split_reads_single(spark, sf_dir):
+    return counting.split_counts(from_files(spark, sf_dir), paired=False)
+
+
+@query("SELECT sample_id, seqname, start, \"end\", '*' AS strand, count(DISTINCT read_id) AS k FROM intron WHERE seqname IN ('chr1', 'chr3') AND mapq >= 10 GROUP BY ALL", ALIGNMENT_SQL)
+def file_split_reads_restricted(spark, sf_dir):
+    """Sequences and mapping quality as the reader takes them: other stretches of the files are not read."""
+    return counting.split_counts(from_files(spark, sf_dir, chromosomes=["chr1", "chr3"], min_mapq=10))
+
+
+SPANS = "SELECT read_id, sample_id, seqname, pos, mapq, strand, mate FROM al JOIN (SELECT 'chr2' AS s, 3000 AS a, 9000 AS b UNION ALL SELECT 'chr0', 19000, 30000) ON seqname = s AND pos <= b AND pos + CASE WHEN gap = 0 THEN first + 30 WHEN second > 0 THEN first + gap + second + 25 ELSE first + gap + 20 END - 1 >= a"
+
+
+@query(SPANS, ALIGNMENT_SQL)
+def file_regions(spark, sf_dir):
+    """Alignments that overlap two regions, by the index."""
+    return from_files(spark, sf_dir, regions=[("chr2", 3000, 9000), ("chr0", 19_000, 30_000)]).select("read_id", "sample_id", "seqname", F.col("pos").cast("long").alias("pos"), "mapq", "strand", F.col("mate").cast("long").alias("mate"))
+
+
+@query("SELECT sample_id, seqname, start, \"end\", '*' AS strand, count(DISTINCT read_id) AS k FROM intron JOIN (SELECT sample_id, read_id FROM al GROUP BY ALL HAVING bool_or(mate = 1) AND bool_or(mate = 2) AND min(seqname) = max(seqname)) USING (sample_id, read_id) GROUP BY ALL", ALIGNMENT_SQL)
+def proper_pair_split_reads(spark, sf_dir):
+    """Split reads of fragments of two mates on one sequence, mates joined by name."""
+    return counting.split_counts(counting.proper_pairs(from_files(spark, sf_dir)))
+
+
+# --- counts that are kept by sample -------------------------------------------------------------
+
+
+def incremental(spark, sf_dir):
+    """The samples below 7 first, then all of them: the others are added to what is kept."""
+    path = f"{shared.shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    reader, known = increments.table_reader(alignments(spark, sf_dir)), samples(spark, sf_dir)
+    increments.count_samples(spark, reader, known.filter("sample_id < 7"), path)
+    return increments.count_samples(spark, reader, known, path)
+
+
+@query("SELECT concat_ws(':', seqname, concat_ws('-', start, \"end\"), strand) AS junction_id, sample_id, k FROM sp JOIN ex USING (seqname, start, \"end\", strand)", EXPRESSED)
+def incremental_split_reads(spark, sf_dir):
+    return incremental(spark, sf_dir).j_counts
+
+
+@query("SELECT concat_ws(':', seqname, concat_ws('-', s, e), '*') AS site_id, sample_id, count(*) AS k FROM (SELECT seqname, s, e, sample_id, read_id FROM (SELECT DISTINCT seqname, s, e, sample_id, read_id, x FROM hit) GROUP BY ALL HAVING count(*) >= 10) GROUP BY ALL", EXPRESSED)
+def incremental_nonsplit_reads(spark, sf_dir):
+    return incremental(spark, sf_dir).ss_counts
+
+
+# --- sequences ----------------------------------------------------------------------------------
+
+#: The base at place x of chromosome c comes from the size of a part.
+BASES_SQL = """,
+np AS (SELECT count(*) AS n FROM part),
+pl AS (SELECT DISTINCT seqname, start, "end" FROM sp),
+ends AS (SELECT seqname, start, "end", unnest([start, start + 1, "end" - 1, "end"]) AS x, unnest([1, 2, 3, 4]) AS o FROM pl),
+mo AS (SELECT seqname, start, "end", string_agg(substr('ACGTAG', (1 + (p_size + x) % 6)::INT, 1), '' ORDER BY o) AS m FROM ends, np, part WHERE p_partkey = (x + 37 * substr(seqname, 4)::INT) % n GROUP BY ALL),
+st2 AS (SELECT seqname, start, "end", m[1:2] || '-' || m[3:4] AS motif, CASE WHEN m IN ('GTAG', 'GCAG', 'ATAC', 'ATAA', 'ATAG') THEN '+' WHEN m IN ('CTAC', 'CTGC', 'GTAT', 'TTAT', 'CTAT') THEN '-' ELSE '*' END AS strand FROM mo)"""
+
+
+def genome(spark, sf_dir, width: int = 60, size: int = 21_600):
+    """FASTA files of five chromosomes, their bases taken from the parts, as chunks."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    n = parts.count()
+    places = spark.range(1, size + 1).withColumnRenamed("id", "x").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    base = F.substring(F.lit("ACGTAG"), (1 + (F.col("p_size") + F.col("x")) % 6).cast("int"), F.lit(1))
+    bases = places.join(parts, F.col("p_partkey") == (F.col("x") + 37 * F.col("c")) % n).select("c", "x", base.alias("b"))
+    lines = bases.groupBy("c", F.floor((F.col("x") - 1) / width).alias("line")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "b"))), lambda s: s["b"]), "").alias("value"))
+    heads = spark.range(5).select(F.col("id").cast("int").alias("c"), F.lit(-1).cast("long").alias("line"), F.concat(F.lit(">chr"), F.col("id"), F.lit(" of parts")).alias("value"))
+    path = f"{shared.shared_dir(spark)}/genome-{uuid.uuid4().hex}"
+    heads.unionByName(lines).repartition(3, "c").sortWithinPartitions("c", "line").select("value").write.text(path)
+    return sequence.read_fasta(spark, path, 1000, 8)
+
+
+@query("SELECT seqname, start, \"end\", motif, strand FROM st2", EXPRESSED + BASES_SQL)
+def intron_motifs(spark, sf_dir):
+    """The ends of every intron looked up in the sequence."""
+    counts = counting.split_counts(alignments(spark, sf_dir))
+    return sequence.intron_motifs(counts, genome(spark, sf_dir), 1000, 8)
+
+
+@query("SELECT sample_id, a.seqname, a.start, a.\"end\", CASE WHEN s.strand = '*' THEN '+' ELSE s.strand END AS strand, k FROM sp a JOIN st2 s ON s.seqname = a.seqname AND s.start = a.start AND s.\"end\" = a.\"end\"", EXPRESSED + BASES_SQL)
+def sequence_strands(spark, sf_dir):
+    """Unstranded counts with the strand of the motif that the sequence has at the intron's ends."""
+    counts = counting.split_counts(alignments(spark, sf_dir))
+    return counting.with_motif_strand(counts, sequence.intron_motifs(counts, genome(spark, sf_dir), 1000, 8))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..analysis import analyse, injected_search, metric_cells, result_table, suggested_dimension
 from ..operators import annotation, autoencoder, fitting, metrics, plots
 from ..sources import shared
-from ..sources.cohort import cohort, table
+from ..sources.cohort import cohort, table, jaccard_cells
 from .annotated import reference_introns
 from .splicing import genes_of
 
 
 def _rows(spark, sf_dir):
-    return fitting.packed(metrics.intron_jaccard(cohort(spark, sf_dir)))
+    return fitting.packed(jaccard_cells(spark, sf_dir))
 
 
 def pca_fit(spark, sf_dir):
@@ -30,7 +30,7 @@ def beta_binomial_fit(spark, sf_dir):
 
 
 def injected_outliers(spark, sf_dir):
-    cells = metrics.intron_jaccard(cohort(spark, sf_dir))
+    cells = jaccard_cells(spark, sf_dir)
     return fitting.inject_outliers(cells, 0.01).filter("injected <> 0").select("junction_id", "sample_id", "k", "k_injected", "injected")
 
 
@@ -45,7 +45,7 @@ def junction_impact(spark, sf_dir):
     place = F.col("s_suppkey") * 290
     genes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("gene_id"), F.concat(F.lit("chr"), F.col("s_suppkey") % 3 + 1).alias("seqname"), place.alias("start"), (place + 1500).alias("end"), F.when(F.col("s_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"))
     exons = genes.select("seqname", "start", (F.col("start") + 120).alias("end"), "strand")
-    cells = metrics.delta_median(metrics.intron_jaccard(ds), "jaccard").withColumn("nonsplit_proportion", metrics.ratio(F.col("nonsplit"), F.col("n_jaccard")))
+    cells = metrics.delta_median(jaccard_cells(spark, sf_dir), "jaccard").withColumn("nonsplit_proportion", metrics.ratio(F.col("nonsplit"), F.col("n_jaccard")))
     q99 = cells.groupBy("junction_id").agg(F.percentile("nonsplit_proportion", F.lit(0.99)).alias("nonsplit_q99"))
     cells = cells.join(q99, "junction_id").join(annotation.reference_overlap(ds.junctions, reference), "junction_id")
     rows = cells.select("junction_id", "sample_id", "seqname", "start", "end", "strand", F.round("delta_median_jaccard", 9).alias("delta"), "annotated", "nonsplit_proportion", "nonsplit_q99", F.col("nonsplit").alias("nonsplit_counts"))
@@ -64,7 +64,7 @@ def analysis_results(spark, sf_dir):
     """Fit, tests, FDR and genes of the jaccard index and psi5 in one call, all cells of both."""
     ds = cohort(spark, sf_dir)
     done = analyse(ds, 3, ("jaccard", "psi5"), genes=genes_of(ds))
-    return result_table(done, all_=True).drop("padjust_transcriptome_wide").withColumns({c: F.round(c, 6) for c in ("p_value",)})
+    return result_table(done, all_=True).withColumns({c: F.round(c, 6) for c in ("p_value", "padjust_transcriptome_wide")})
 
 
 def theta_results(spark, sf_dir):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import links
 from ..operators import filters, fitting, metrics, padjust, plots, results
-from ..sources.cohort import cohort
+from ..sources import files, shared
+from ..sources.cohort import cohort, jaccard_cells
 from .annotated import ANN_SQL, PADJ_CUTOFF, gene_table
-from .splicing import GENE_SQL, METRICS_SQL, QUERIES, SITE_PADJ, TEST_SQL, five_prime, genes_of, query, site_tests, tested
+from .splicing import GENE_P, GENE_SQL, METRICS_SQL, SITE_PADJ, TEST_SQL, five_prime, genes_of, padj_sql, query, rounded, site_tests, tested
 
 SIGNIF = "CASE WHEN {0} = 0 THEN 0.0 ELSE round_even({0} * pow(10.0, 4 - floor(log10(abs({0})))), 0) / pow(10.0, 4 - floor(log10(abs({0})))) END"
 
@@ -140,7 +143,7 @@ def aberrant_samples_plot_data(spark, sf_dir):
 
 @query("SELECT (CASE WHEN d >= 1 THEN 101 ELSE floor(d / 0.01) + 1 END)::BIGINT AS bin, d >= 0.02 AS passed, count(*) AS n FROM (SELECT junction_id, round(greatest(coalesce(max(abs(jaccard - mean)), 0), 0), 9) AS d FROM (SELECT *, avg(jaccard) OVER (PARTITION BY junction_id) AS mean FROM m) GROUP BY 1) GROUP BY ALL", METRICS_SQL)
 def variability_histogram(spark, sf_dir):
-    return plots.variability_histogram(filters.variability(metrics.intron_jaccard(cohort(spark, sf_dir)), 0.02))
+    return plots.variability_histogram(filters.variability(jaccard_cells(spark, sf_dir), 0.02))
 
 
 def _links_sql() -> str:
@@ -162,23 +165,65 @@ def gene_links(spark, sf_dir):
     METRICS_SQL,
 )
 def capped_logits(spark, sf_dir):
-    cells = metrics.intron_jaccard(cohort(spark, sf_dir)).withColumn("j", F.round("jaccard", 9))
+    cells = jaccard_cells(spark, sf_dir).withColumn("j", F.round("jaccard", 9))
     return cells.select("junction_id", "sample_id", F.round(links.capped_logit("j", "junction_id"), 7).alias("x"))
 
 
 @query("SELECT junction_id, sample_id, round(x - avg(x) OVER (PARTITION BY junction_id), 7) AS x FROM (SELECT junction_id, sample_id, ln((k + 0.1) / (n_jaccard - k + 0.1)) AS x FROM m)", METRICS_SQL)
 def autoencoder_inputs(spark, sf_dir):
-    return metrics.intron_jaccard(cohort(spark, sf_dir)).select("junction_id", "sample_id", F.round(links.autoencoder_input("k", "n_jaccard"), 7).alias("x"))
+    return jaccard_cells(spark, sf_dir).select("junction_id", "sample_id", F.round(links.autoencoder_input("k", "n_jaccard"), 7).alias("x"))
 
 
-#: Outliers are drawn by hashes that SQL engines do not share, so the rules that every draw must keep are counted instead.
+#: Outliers are drawn by hashes that SQL engines do not share, so what breaks the rules that every draw must keep is counted instead.
+@query("SELECT true AS injected, 0::BIGINT AS unbalanced, 0::BIGINT AS moved_less, 0::BIGINT AS negative, 0::BIGINT AS moved_twice")
 def injection_rules(spark, sf_dir):
-    """Of injected groups: how many there are, break the sum of their ratios, move by less than asked, or have counts below 0."""
-    base = metrics.intron_jaccard(cohort(spark, sf_dir)).withColumnRenamed("n_jaccard", "n_j").withColumn("n", F.col("k") + F.col("o_psi5"))
+    """Whether there are injected groups, and how many break the sum of their ratios, move by less than asked, have counts below 0, or move more than one junction.
+
+    Ratios have pseudocounts, so those of a group of m add up to 1 + (m - 2) c / (n + 2 c), and the change of the siblings to that much more than the change of the junction that moves.
+    """
+    base = jaccard_cells(spark, sf_dir).withColumnRenamed("n_jaccard", "n_j").withColumn("n", F.col("k") + F.col("o_psi5"))
     index = metrics.site_index(cohort(spark, sf_dir), "psi5")
     out = fitting.inject_outliers(base.join(index, "junction_id"), 0.05, 0.2, 7, "index", "n")
-    hit = out.filter("injected <> 0").groupBy("index", "sample_id").agg(F.sum("delta_injected").alias("d"), F.max(F.when(F.abs("injected") == 1, F.abs("delta_injected"))).alias("moved"), F.count(F.lit(1)).alias("size"), F.min("k_injected").alias("least"))
-    return hit.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.expr("moved < 0.2 - 1e-9 and size > 1")).alias("moved_less"), F.count_if(F.col("least") < 0).alias("negative"))
+    moves = F.abs("injected") == 1
+    hit = out.filter("injected <> 0").groupBy("index", "sample_id").agg(
+        F.sum("delta_injected").alias("d"), F.max(F.when(moves, F.col("delta_injected"))).alias("moved"), F.count_if(moves).alias("moves"), F.max(F.when(moves, (F.col("k") + 0.1) / (F.col("n") + 0.2))).alias("at"),
+        F.max("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("k_injected").alias("least"),
+    )
+    over = F.col("moved") * (F.col("size") - 2) * 0.1 / ((F.col("n") + 0.2) * (1 - F.col("at")))
+    broken = {"unbalanced": F.abs(F.col("d") + over) > 1e-9, "moved_less": (F.abs("moved") < 0.2 - 1e-9) & (F.col("size") > 1), "negative": F.col("least") < 0, "moved_twice": F.col("moves") != 1}
+    return hit.agg((F.count(F.lit(1)) > 0).alias("injected"), *[F.count_if(v).alias(k) for k, v in broken.items()])
+
+SUBSET_GENES = f"(SELECT * FROM {GENE_P} WHERE gene = 'g' || sample_id % 8 OR gene = 'h' || sample_id % 5)"
+
+
+@query(f"SELECT gene, sample_id, round(p_gene, 9) AS p_gene, round(padj_gene, 9) AS padj_gene FROM ({padj_sql('BY', SUBSET_GENES, 'p_gene', 'sample_id', 'gene', 'padj_gene')})", SITE_PADJ)
+def subset_gene_fdr(spark, sf_dir):
+    """Adjusted p-values of two genes of each sample, among these alone."""
+    ds = cohort(spark, sf_dir)
+    gene_p = padjust.gene_p_values(five_prime(spark, sf_dir), genes_of(ds))
+    own = F.array(F.concat(F.lit("g"), F.col("sample_id") % 8), F.concat(F.lit("h"), F.col("sample_id") % 5))
+    out = padjust.gene_fdr_on_subset(gene_p, ds.samples.select("sample_id", F.explode(own).alias("gene")))
+    return rounded(out, "p_gene", "padj_gene")
 
 
-QUERIES["injection_rules"] = injection_rules
+ALL_GENES = GENE_RES[: GENE_RES.index("best AS (")] + f"""best AS (SELECT gene, sample_id, arg_min(junction_id, (p, -abs(delta), junction_id)) AS junction_id FROM ro JOIN gene USING (junction_id) WHERE p IS NOT NULL GROUP BY ALL),
+gr AS (SELECT ro.*, gp.gene, {signif_sql('p_gene')} AS p_value_gene, {signif_sql('padj_gene')} AS padjust_gene FROM best JOIN ro USING (junction_id, sample_id) JOIN gp ON gp.gene = best.gene AND gp.sample_id = best.sample_id)"""
+
+
+@query(f"SELECT {OUT}, gene, round(p_value_gene, 9) AS p_value_gene, round(padjust_gene, 9) AS padjust_gene FROM gr", ALL_GENES)
+def all_gene_results(spark, sf_dir):
+    """The best junction of every tested gene and sample: no cutoff applies."""
+    g = genes_of(cohort(spark, sf_dir))
+    rows = results.result_columns(cells(spark, sf_dir), "jaccard")
+    out = results.gene_results(rows, g, padjust.gene_p_values(five_prime(spark, sf_dir), g), None, None, None)
+    return shown(out, "gene", "p_value_gene", "padjust_gene")
+
+
+@query("SELECT junction_id, sample_id, k::BIGINT AS k, nonsplit::BIGINT AS nonsplit, round(jaccard, 9) AS jaccard FROM m", METRICS_SQL)
+def restored_ratios(spark, sf_dir):
+    """The ratios after every junction of an odd donor was filtered out, saved and brought back, with the sites that had gone with it."""
+    ds = cohort(spark, sf_dir)
+    path = f"{shared.shared_dir(spark)}/filtered-{uuid.uuid4().hex}"
+    kept = files.save_filtered(ds, ds.junctions.withColumn("passed", F.col("start_id") % 2 == 0), path)
+    out = metrics.intron_jaccard(files.with_filtered(kept, path))
+    return out.select("junction_id", "sample_id", "k", "nonsplit", F.round("jaccard", 9).alias("jaccard"))

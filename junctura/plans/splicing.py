@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import betabinomial as bb
 from ..operators import filters, metrics, padjust
-from ..sources.cohort import COHORT_SQL, cohort
+from ..sources.cohort import COHORT_SQL, cohort, jaccard_cells, once
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,12 +75,12 @@ def intron_nonsplit_sum(spark, sf_dir):
 
 @query("SELECT junction_id, sample_id, k::BIGINT AS k, n_jaccard::BIGINT AS n, round(jaccard, 9) AS jaccard FROM m", METRICS_SQL)
 def jaccard_index(spark, sf_dir):
-    return rounded(metrics.intron_jaccard(cohort(spark, sf_dir)).select("junction_id", "sample_id", "k", F.col("n_jaccard").alias("n"), "jaccard"), "jaccard")
+    return rounded(jaccard_cells(spark, sf_dir).select("junction_id", "sample_id", "k", F.col("n_jaccard").alias("n"), "jaccard"), "jaccard")
 
 
 @query("SELECT junction_id, sample_id, round(jaccard - median(jaccard) OVER (PARTITION BY junction_id), 9) AS delta FROM m", METRICS_SQL)
 def delta_psi_median(spark, sf_dir):
-    cells = metrics.delta_median(metrics.intron_jaccard(cohort(spark, sf_dir)), "jaccard")
+    cells = metrics.delta_median(jaccard_cells(spark, sf_dir), "jaccard")
     return cells.select("junction_id", "sample_id", F.round("delta_median_jaccard", 9).alias("delta"))
 
 
@@ -98,21 +98,19 @@ def site_indices(spark, sf_dir):
 
 @query("SELECT start_id, sample_id, arg_max(d, (abs(d), -junction_id)) AS d, arg_min(k, junction_id)::BIGINT AS first_k FROM (SELECT junction_id, start_id, sample_id, k, round(jaccard - avg(jaccard) OVER (PARTITION BY junction_id), 9) AS d FROM m) WHERE d IS NOT NULL GROUP BY ALL", METRICS_SQL)
 def extreme_by_group(spark, sf_dir):
-    from pyspark.sql import Window
-
-    cells = metrics.intron_jaccard(cohort(spark, sf_dir)).withColumn("d", F.round(F.col("jaccard") - F.avg("jaccard").over(Window.partitionBy("junction_id")), 9)).filter("d is not null")
+    cells = jaccard_cells(spark, sf_dir).withColumn("d", F.round(F.col("jaccard") - F.avg("jaccard").over(Window.partitionBy("junction_id")), 9)).filter("d is not null")
     keys = ["start_id", "sample_id"]
     return metrics.abs_max_by_group(cells, keys, "d", "junction_id").join(metrics.first_by_group(cells.select(*keys, "junction_id", F.col("k").alias("first_k")), keys, ["junction_id"]).drop("junction_id"), keys)
 
 
 @query("SELECT junction_id, max(k)::BIGINT AS max_count, quantile_cont(n_jaccard::DOUBLE, 0.75) AS q_jaccard, max(k) >= 5 AND quantile_cont(n_jaccard::DOUBLE, 0.75) >= 10 AS passed_expression FROM m GROUP BY 1", METRICS_SQL)
 def filter_expression(spark, sf_dir):
-    return filters.expression(metrics.intron_jaccard(cohort(spark, sf_dir)), 5)
+    return filters.expression(jaccard_cells(spark, sf_dir), 5)
 
 
 @query("SELECT junction_id, max(k)::BIGINT AS max_count, quantile_cont((k + o_psi5)::DOUBLE, 0.75) AS q_psi5, quantile_cont((k + o_psi3)::DOUBLE, 0.75) AS q_psi3, max(k) >= 5 AND quantile_cont((k + o_psi5)::DOUBLE, 0.75) >= 10 AND quantile_cont((k + o_psi3)::DOUBLE, 0.75) >= 10 AS passed_expression FROM m GROUP BY 1", METRICS_SQL)
 def filter_expression_by_site(spark, sf_dir):
-    return filters.expression(metrics.intron_jaccard(cohort(spark, sf_dir)), 5, jaccard=False)
+    return filters.expression(jaccard_cells(spark, sf_dir), 5, jaccard=False)
 
 
 DEV = "greatest(coalesce(max(abs(%s - mean)), 0), 0) AS %s FROM (SELECT *, avg(%s) OVER (PARTITION BY %s) AS mean FROM %s) GROUP BY 1"
@@ -120,7 +118,7 @@ DEV = "greatest(coalesce(max(abs(%s - mean)), 0), 0) AS %s FROM (SELECT *, avg(%
 
 @query(f"SELECT junction_id, round(d, 9) AS max_d_jaccard, round(d, 9) >= 0.02 AS passed_variability FROM (SELECT junction_id, {DEV % ('jaccard', 'd', 'jaccard', 'junction_id', 'm')})", METRICS_SQL)
 def filter_variability(spark, sf_dir):
-    return filters.variability(metrics.intron_jaccard(cohort(spark, sf_dir)), 0.02)
+    return filters.variability(jaccard_cells(spark, sf_dir), 0.02)
 
 
 @query(
@@ -136,22 +134,22 @@ def filter_variability_by_site(spark, sf_dir):
 
 @query(f"SELECT junction_id, max_k >= 5 AND q >= 10 AND round(d, 9) >= 0.02 AS passed FROM (SELECT junction_id, {DEV % ('jaccard', 'd', 'jaccard', 'junction_id', 'm')}) JOIN (SELECT junction_id, max(k) AS max_k, quantile_cont(n_jaccard::DOUBLE, 0.75) AS q FROM m GROUP BY 1) USING (junction_id)", METRICS_SQL)
 def filter_expression_and_variability(spark, sf_dir):
-    return filters.expression_and_variability(metrics.intron_jaccard(cohort(spark, sf_dir)), 5, min_delta=0.02).select("junction_id", "passed")
+    return filters.expression_and_variability(jaccard_cells(spark, sf_dir), 5, min_delta=0.02).select("junction_id", "passed")
 
 
 @query("SELECT junction_id FROM m GROUP BY 1 HAVING max(k) >= 5 AND quantile_cont(n_jaccard::DOUBLE, 0.75) < 300", METRICS_SQL)
 def rare_junctions(spark, sf_dir):
-    return filters.rare_junctions(filters.expression(metrics.intron_jaccard(cohort(spark, sf_dir)), 5, min_quantile=300), 5).select("junction_id")
+    return filters.rare_junctions(filters.expression(jaccard_cells(spark, sf_dir), 5, min_quantile=300), 5).select("junction_id")
 
 
 @query(f"SELECT junction_id, round(d, 9) >= 0.03 AS variable FROM (SELECT junction_id, {DEV % ('jaccard', 'd', 'jaccard', 'junction_id', 'm')})", METRICS_SQL)
 def variable_junctions(spark, sf_dir):
-    return filters.variable_junctions(metrics.intron_jaccard(cohort(spark, sf_dir)), "jaccard", 0.03)
+    return filters.variable_junctions(jaccard_cells(spark, sf_dir), "jaccard", 0.03)
 
 
 @query("SELECT junction_id, round(sd, 9) AS sd FROM (SELECT junction_id, stddev_samp(ln((k + 0.1) / (n_jaccard - k + 0.1))) AS sd FROM m GROUP BY 1) ORDER BY round(sd, 9) DESC NULLS LAST, junction_id LIMIT 50", METRICS_SQL)
 def most_variable_junctions(spark, sf_dir):
-    return rounded(filters.most_variable(metrics.intron_jaccard(cohort(spark, sf_dir)), 50), "sd")
+    return rounded(filters.most_variable(jaccard_cells(spark, sf_dir), 50), "sd")
 
 
 @query("SELECT junction_id, sample_id, k::BIGINT AS k FROM jc JOIN junctions USING (junction_id) WHERE seqname = 'chr1' AND start <= 6000 AND \"end\" >= 3000 AND sample_id < 10")
@@ -186,10 +184,14 @@ def padj_sql(method: str, source: str, p: str, family: str, ids: str, name: str
 
 
 def tested(spark, sf_dir):
-    """Cells with the row mean as mu, a dispersion by row and the beta-binomial p-value."""
-    cells = metrics.intron_jaccard(cohort(spark, sf_dir))
-    mu = cells.groupBy("junction_id").agg(metrics.ratio(F.sum("k"), F.sum("n_jaccard")).alias("mu"))
-    cells = cells.join(mu, "junction_id").withColumn("rho", F.lit(0.02) + F.col("junction_id") % 7 * 0.01).withColumnRenamed("n_jaccard", "n")
+    """Cells with the row mean as mu, a dispersion by row and the beta-binomial p-value; written once for an application."""
+    return once(spark, sf_dir, "tested-cells", _tested)
+
+
+def _tested(spark, sf_dir):
+    row = Window.partitionBy("junction_id")
+    cells = jaccard_cells(spark, sf_dir).withColumn("mu", metrics.ratio(F.sum("k").over(row), F.sum("n_jaccard").over(row)))
+    cells = cells.withColumn("rho", F.lit(0.02) + F.col("junction_id") % 7 * 0.01).withColumnRenamed("n_jaccard", "n")
     inside = (F.col("mu") > 0) & (F.col("mu") < 1)
     return cells.withColumn("p", F.round(F.when(inside, bb.bb_p_value("k", "n", "mu", "rho")), 6))
 
@@ -247,6 +249,17 @@ for _m in padjust.METHODS[:-1]:
     _adjust(_m)
 
 
+#: The definition itself: the largest Simes p-value of a set that has the hypothesis; of sets of one size the one with the largest other p-values counts.
+HOMMEL_SQL = """, hs AS (SELECT junction_id, sample_id, p, row_number() OVER (PARTITION BY sample_id ORDER BY p, junction_id) AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM pv WHERE p IS NOT NULL),
+si AS (SELECT a.sample_id, a.n - a.i + 1 AS m, min((a.n - a.i + 1) * b.p / (b.i - a.i + 1)) AS c, min((a.n - a.i + 1) * b.p / (b.i - a.i + 1)) FILTER (b.i > a.i) AS q FROM hs a JOIN hs b ON a.sample_id = b.sample_id AND b.i >= a.i GROUP BY ALL),
+ho AS (SELECT hs.junction_id, hs.sample_id, hs.p, greatest(hs.p, max(CASE WHEN si.m > hs.n - hs.i + 1 THEN si.c ELSE least(si.m * hs.p, coalesce(si.q, si.m * hs.p)) END)) AS padj FROM hs JOIN si ON hs.sample_id = si.sample_id GROUP BY hs.junction_id, hs.sample_id, hs.p)"""
+
+
+@query("SELECT pv.junction_id, pv.sample_id, pv.p, round(least(padj, 1.0), 9) AS padj FROM pv LEFT JOIN ho USING (junction_id, sample_id)", TEST_SQL + HOMMEL_SQL)
+def p_adjust_hommel(spark, sf_dir):
+    return rounded(padjust.adjusted(tested(spark, sf_dir).select("junction_id", "sample_id", "p"), "p", ["sample_id"], ["junction_id"], "hommel"), "padj")
+
+
 @query("SELECT junction_id, sample_id, round(p_site, 9) AS p_site FROM (SELECT *, CASE WHEN count(q) OVER w > 0 THEN least(1.0, count(q) OVER w * min(q) OVER w) END AS p_site FROM (SELECT *, CASE WHEN rho <= 0.06 THEN p END AS q FROM five) WINDOW w AS (PARTITION BY sample_id, index)) f".replace("p_site FROM (SELECT *, CASE WHEN count", "p_site FROM (SELECT * EXCLUDE (p), CASE WHEN count"), TEST_SQL)
 def family_wise_p_values(spark, sf_dir):
     cells = five_prime(spark, sf_dir).withColumn("p_site", padjust.least_holm("p", ["sample_id", "index"], F.col("rho") <= 0.06))

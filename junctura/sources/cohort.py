@@ -50,6 +50,25 @@ def _written_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forget() -> None:
     """Counts anew from here on."""
     _cells.clear()
+    _kept.clear()
+
+
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """What ``make`` gives for a path, written once for each application: queries that share it do not derive it again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = shared.written(make(spark, sf_dir), name)
+    return _kept[key]
+
+
+def jaccard_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratios of every junction and sample of the cohort."""
+    from ..operators import metrics
+
+    return once(spark, sf_dir, "jaccard-cells", lambda s, d: metrics.intron_jaccard(cohort(s, d)))
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> SpliceDataset:

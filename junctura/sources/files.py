@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..dataset import SpliceDataset
+from . import shared
 
 TABLES = ("samples", "junctions", "sites", "j_counts", "ss_counts")
 
@@ -82,26 +83,39 @@ def split_counts(alignments: DataFrame) -> DataFrame:
     return alignment_introns(alignments).groupBy("sample_id", "seqname", "start", "end", "strand").agg(F.count_distinct("read_id").alias("k"))
 
 
-def save(ds: SpliceDataset, path: str, rewrite: bool = True) -> None:
-    """All tables below a folder of their own, then the manifest that names it: a reader sees the old dataset or the new one, never a mixture."""
+def save(ds: SpliceDataset, path: str, rewrite: bool = True, keep_old: bool = False) -> None:
+    """All tables below a folder of their own, then the manifest that names it: a reader sees the old dataset or the new one, never a mixture.
+
+    The version that the manifest named before goes at the end, unless it is to be kept for those who still read it; ``ds`` may be read from it.
+    """
     spark = ds.samples.sparkSession
+    old = _manifest(spark, path)
+    if old and not rewrite:
+        raise FileExistsError(f"a dataset is saved at {path}")
     version = uuid.uuid4().hex
     for t in TABLES:
         getattr(ds, t).write.parquet(f"{path}/{version}/{t}")
     manifest = json.dumps({"name": ds.name, "version": version, "params": ds.params})
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite" if rewrite else "error").text(f"{path}/manifest")
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    if old and not keep_old:
+        shared.delete(spark, f"{path}/{old['version']}")
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    return json.loads(spark.read.text(f"{path}/manifest").first().value) if shared.exists(spark, f"{path}/manifest") else None
 
 
 def load(spark: SparkSession, path: str, name: str | None = None) -> SpliceDataset:
     """A saved dataset from wherever its folder lies now, with its name and parameters."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
+    manifest = _manifest(spark, path)
+    if manifest is None:
+        raise FileNotFoundError(f"no dataset is saved at {path}")
     return SpliceDataset(**{t: spark.read.parquet(f"{path}/{manifest['version']}/{t}") for t in TABLES}, name=name or manifest["name"], params=manifest["params"])
 
 
 def is_saved(spark: SparkSession, path: str, samples: DataFrame) -> bool:
     """Whether a dataset of all these samples is saved at ``path``, so that nothing needs to be counted again."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if _manifest(spark, path) is None:
         return False
     return samples.select(F.col("sample_id").cast("string")).join(load(spark, path).samples.select(F.col("sample_id").cast("string")), "sample_id", "left_anti").isEmpty()
 
@@ -109,19 +123,29 @@ def is_saved(spark: SparkSession, path: str, samples: DataFrame) -> bool:
 def save_filtered(ds: SpliceDataset, judged: DataFrame, path: str, flag: str = "passed") -> SpliceDataset:
     """The dataset of the junctions that passed; the counts of the others are added to those saved at ``path`` before."""
     out = judged.filter(~F.coalesce(F.col(flag), F.lit(False))).select("junction_id")
-    rest = ds.junctions.join(out, "junction_id", "left_semi")
-    rest.write.mode("append").parquet(f"{path}/junctions")
-    ds.j_counts.join(out, "junction_id", "left_semi").write.mode("append").parquet(f"{path}/j_counts")
-    return ds.subset(junctions=judged.filter(F.col(flag)))
+    kept = ds.subset(junctions=judged.filter(F.col(flag)))
+    lost = {
+        "junctions": ds.junctions.join(out, "junction_id", "left_semi"),
+        "j_counts": ds.j_counts.join(out, "junction_id", "left_semi"),
+        # sites that no junction kept touches, and their nonsplit reads
+        "sites": ds.sites.join(kept.sites.select("site_id"), "site_id", "left_anti"),
+        "ss_counts": ds.ss_counts.join(kept.sites.select("site_id"), "site_id", "left_anti"),
+    }
+    for name, rows in lost.items():
+        rows.write.mode("append").parquet(f"{path}/{name}")
+    return kept
 
 
 def with_filtered(ds: SpliceDataset, path: str) -> SpliceDataset:
-    """The dataset with the junctions and counts that filters have saved at ``path``, to be filtered anew."""
+    """The dataset with the junctions, their sites and the counts of both that filters have saved at ``path``, to be filtered anew."""
     spark = ds.samples.sparkSession
-    rest, counts = spark.read.parquet(f"{path}/junctions"), spark.read.parquet(f"{path}/j_counts")
+    rest, counts, sites, site_counts = (spark.read.parquet(f"{path}/{name}") for name in ("junctions", "j_counts", "sites", "ss_counts"))
     new = rest.join(ds.junctions.select("junction_id"), "junction_id", "left_anti").dropDuplicates(["junction_id"])
     counts = counts.join(new.select("junction_id"), "junction_id", "left_semi").dropDuplicates(["junction_id", "sample_id"])
-    return ds.with_(junctions=ds.junctions.unionByName(new), j_counts=ds.j_counts.unionByName(counts))
+    at = ["site_id", "seqname", "start", "end", "strand"]
+    new_sites = sites.join(ds.sites.select("site_id"), "site_id", "left_anti").dropDuplicates(at)
+    site_counts = site_counts.join(new_sites.select("site_id"), "site_id", "left_semi").dropDuplicates(["site_id", "sample_id"])
+    return ds.with_(junctions=ds.junctions.unionByName(new), j_counts=ds.j_counts.unionByName(counts), sites=ds.sites.unionByName(new_sites), ss_counts=ds.ss_counts.unionByName(site_counts))
 
 
 def gene_source(genes: DataFrame) -> DataFrame:

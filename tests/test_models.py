@@ -217,3 +217,65 @@ def test_wide_tables_make_a_dataset(spark):
 def test_significant_digits(spark):
     got = [r.x for r in spark.createDataFrame([(0.123456789,), (0.0,), (None,), (12345678.0,)], "v double").select(results.signif("v").alias("x")).collect()]
     assert got == [0.12346, 0.0, None, 12346000.0]
+
+
+@pytest.mark.parametrize("implementation", ["PCA", "BB", "AE"])
+def test_from_alignments_to_results_of_every_metric(spark, sf_dir, implementation):
+    from junctura.operators import counting
+    from junctura.plans import counted
+
+    reads = counted.alignments(spark, sf_dir).filter("seqname in ('chr1', 'chr2') and pos < 6000")
+    ds = counting.count_dataset(reads, reads.select("sample_id").distinct(), min_expression=2)
+    genes = ds.junctions.select("junction_id", F.concat(F.lit("g"), F.pmod(F.xxhash64("start_id"), F.lit(3))).alias("gene"))
+    of = dataset.METRICS if implementation == "PCA" else ("jaccard", "theta")
+    done = analysis.analyse(ds, 2, of, implementation, 1, genes=genes)
+    table = analysis.result_table(done, all_=True)
+    assert {r.type for r in table.select("type").distinct().collect()} == set(of)
+    n_samples = ds.samples.count()
+    assert table.filter("type = 'theta'").count() == ds.sites.count() * n_samples and table.filter("type = 'jaccard'").count() == ds.junctions.count() * n_samples
+    assert table.filter("p_value < 0 or p_value > 1").isEmpty() and not table.filter("type = 'theta' and p_value is not null").isEmpty()
+
+
+def test_cutoffs_of_genes_and_their_subsets(spark, sf_dir):
+    ds = cohort(spark, sf_dir)
+    genes = ds.junctions.select("junction_id", F.concat(F.lit("g"), F.col("start_id") % 4).alias("gene"))
+    subset = ds.samples.filter("sample_id < 20").select("sample_id", F.explode(F.array(F.lit("g1"), F.lit("g2"))).alias("gene"))
+    done = analysis.analyse(ds, 2, ("jaccard",), genes=genes, subsets={"panel": subset})
+    tested = done.gene_p["jaccard"].filter("p_gene is not null").count()
+    every = analysis.result_table(done, aggregate=True, all_=True)
+    assert every.count() == tested == analysis.result_table(done, None, None, None, aggregate=True).count() == analysis.result_table(done, 1.0, 0.0, 0, aggregate=True).count()
+    panel = every.filter("padjust_panel is not null")
+    assert not panel.isEmpty() and panel.filter("sample_id >= 20 or gene not in ('g1', 'g2')").isEmpty()
+    # two tests of BY: the larger p-value times 3/2, the smaller one times 3 at most
+    p = {(r.sample_id, r.gene): (r.p_gene, r.padj_gene) for r in done.subset_gene_p["jaccard"]["panel"].collect()}
+    for s in {s for s, _ in p}:
+        own = sorted(p[k] for k in p if k[0] == s and p[k][0] is not None)
+        if len(own) == 2:
+            high = min(1, own[1][0] * 1.5)
+            assert abs(own[1][1] - high) < 1e-9 and abs(own[0][1] - min(high, own[0][0] * 3)) < 1e-9
+
+
+def test_restored_junctions_bring_their_sites(spark, sf_dir, tmp_path):
+    ds = cohort(spark, sf_dir)
+    path = str(tmp_path / "out")
+    kept = files.save_filtered(ds, ds.junctions.withColumn("passed", F.col("start_id") % 2 == 0), path)
+    kept = files.save_filtered(kept, kept.junctions.withColumn("passed", F.col("start_id") % 4 == 0), path)
+    back = files.with_filtered(kept, path)
+    cells = lambda d: sorted(map(str, metrics.intron_jaccard(d).select("junction_id", "sample_id", "k", "nonsplit", "jaccard").collect()))
+    assert kept.sites.count() < ds.sites.count() == back.sites.count() and cells(back) == cells(ds)
+    assert back.ss_counts.count() == ds.ss_counts.count() and back.checked() is back
+
+
+def test_a_saved_dataset_is_one_version(spark, sf_dir, tmp_path):
+    import os
+
+    ds, path = cohort(spark, sf_dir), str(tmp_path / "d")
+    files.save(ds, path)
+    files.save(files.load(spark, path), path)
+    assert len([d for d in os.listdir(path) if d != "manifest"]) == 1 and files.load(spark, path).junctions.count() == ds.junctions.count()
+    files.save(ds, path, keep_old=True)
+    assert len([d for d in os.listdir(path) if d != "manifest"]) == 2
+    with pytest.raises(FileExistsError):
+        files.save(ds, path, rewrite=False)
+    with pytest.raises(FileNotFoundError):
+        files.load(spark, str(tmp_path / "none"))
