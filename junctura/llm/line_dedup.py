@@ -16,14 +16,15 @@ which is linear in a word's group and settles nearly all members of a group of s
 on the words of the lines themselves.
 
 Defined cases: a null text has no lines and stays null; an empty text has one empty line; lines of rows without a doc_id stay and
-settle nothing; rows that repeat a doc_id are read as one document of the same text; repeated lines within a document count as
-later copies; extra columns are carried, but ones named n_lines and n_removed give way to the results; an empty table gives an empty result.
+settle nothing; rows of one doc_id and one text are read as one document, those of one doc_id and different texts as different documents, in the order of a hash of
+the text; repeated lines within a document count as later copies; extra columns are carried, but ones named n_lines and n_removed give way to the results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators import ranks
 from . import text as tx
 
 NUM, DEN = 4, 5
@@ -33,6 +34,7 @@ BITS = 18
 LEADING, BEFORE = 6, 3
 #: Rows of two or three numbers are broadcast up to this count, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: ``place`` has the number of a line in its lower half, and above it the number of the text among the different texts of its doc_id.
 LINE = ["doc_id", "place"]
 
 
@@ -45,8 +47,29 @@ def _plain_blanks(text: str) -> Column:
     return F.when(has, F.translate(text, "".join(odd), "    ")).otherwise(F.col(text))
 
 
+def _copies(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, hash, copy): for each doc_id of several texts the number of each of them, from 0; None where there is no such doc_id."""
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = tx.written(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    texts = tx.written(own.join(_small(again), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("hash")).distinct(), "repeated-texts")
+    if texts.isEmpty():
+        return None
+    numbers = tx.written(ranks.numbered(texts, ["doc_id", "hash"]), "numbered-texts")
+    first = numbers.groupBy("doc_id").agg(F.min("number").alias("first"))
+    return tx.written(numbers.join(first, "doc_id").select("doc_id", "hash", (F.col("number") - F.col("first")).alias("copy")), "copies", keep=True)
+
+
+def _with_copy(docs: DataFrame, copies: DataFrame | None, name: str) -> DataFrame:
+    if copies is None:
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    own = copies.select(F.col("doc_id").alias(f"{name}_id"), F.col("hash").alias(f"{name}_hash"), F.col("copy").alias(name))
+    met = docs.join(_small(own), (F.col("doc_id").cast("long") == F.col(f"{name}_id")) & (F.xxhash64("text") == F.col(f"{name}_hash")), "left")
+    return met.withColumn(name, F.coalesce(name, F.lit(0).cast("long"))).drop(f"{name}_id", f"{name}_hash")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.lower(_plain_blanks("text")), "\n")).alias("place", "line"))
+    found = docs.select("doc_id", "copy", F.posexplode(F.split(F.lower(_plain_blanks("text")), "\n")).alias("place", "line"))
+    return found.select("doc_id", (F.shiftleft("copy", 32) + F.col("place")).alias("place"), "line")
 
 
 def _slot(hashed: Column) -> Column:
@@ -82,13 +105,18 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, place) of the lines that go."""
+    """(doc_id, copy, place) of the lines that go; copy is 0 but for a doc_id of several texts."""
     with tx.scratch():
-        return tx.written(_similar_lines(docs, num, den, min_words), "similar-lines", keep=True)
+        return _numbered(_similar_lines(docs, _copies(docs), num, den, min_words))
 
 
-def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null")
+def _numbered(gone: DataFrame) -> DataFrame:
+    parted = gone.select("doc_id", F.shiftright("place", 32).alias("copy"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
+    return tx.written(parted, "similar-lines", keep=True)
+
+
+def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int, min_words: int) -> DataFrame:
+    docs = _with_copy(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null"), copies, "copy")
     levels = _levels(docs)
     keyed = _lines(docs).select(*LINE, _keys("line", levels).alias("keys")).filter(F.size("keys") >= max(min_words, 1))
     n = F.size("keys")
@@ -145,27 +173,31 @@ def _similar_lines(docs: DataFrame, num: int, den: int, min_words: int) -> DataF
     return facts.select(*LINE, *same).join(touched, same).filter(later).select(*LINE)
 
 
-def _removed_places(docs: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    """doc_id and the distinct places of its lines that go, which are bounded by the document itself."""
-    return similar_lines(docs, num, den, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+def _removed_places(docs: DataFrame, num: int, den: int, min_words: int) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, copy and the distinct places of its lines that go, which are bounded by the document itself; and the copies."""
+    with tx.scratch():
+        copies = _copies(docs)
+        gone = _numbered(_similar_lines(docs, copies, num, den, min_words))
+    return gone.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("place")).alias("places")), copies
 
 
 def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines taken out of ``text``, and columns n_lines and n_removed."""
-    own, places = tx.fresh("id", docs.columns), tx.fresh("places", docs.columns)
-    drop = _removed_places(docs, num, den, min_words).select(F.col("doc_id").alias(own), F.col("places").alias(places))
-    joined = docs.join(drop, F.col("doc_id").cast("long") == F.col(own), "left").drop(own)
+    own, copy, places = (tx.fresh(name, docs.columns) for name in ("id", "copy", "places"))
+    drop, copies = _removed_places(docs, num, den, min_words)
+    drop = drop.select(F.col("doc_id").alias(own), F.col("copy").alias(f"{copy}_of"), F.col("places").alias(places))
+    joined = _with_copy(docs, copies, copy).join(drop, (F.col("doc_id").cast("long") == F.col(own)) & (F.col(copy) == F.col(f"{copy}_of")), "left").drop(own, copy, f"{copy}_of")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(places, i)), "\n")
     return joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size(places), F.lit(0)).cast("long"), "text": F.when(F.col(places).isNotNull(), kept).otherwise(F.col("text"))}).drop(places)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = tx.table(spark, sf_dir, "documents")
-    drop = _removed_places(docs, NUM, DEN, MIN_WORDS)
+    docs = tx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    drop, copies = _removed_places(docs, NUM, DEN, MIN_WORDS)
     squares = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + (p + 1).cast("long") * (p + 1))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    return lines.join(drop, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(squares, F.lit(0)).cast("long").alias("place_squares"))
+    lines = _with_copy(docs, copies, "copy").select(F.col("doc_id").cast("long").alias("doc_id"), "copy", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    return lines.join(drop, ["doc_id", "copy"], "left").select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(squares, F.lit(0)).cast("long").alias("place_squares"))
 
 
 OP1_SQL = r"""

@@ -323,3 +323,13 @@ def test_joints_are_repaired_until_they_agree(monkeypatch):
     one = [text[:33], text[33:80], text[80:]]
     encoder._learn_chunks(set(one))
     assert encoder.repaired(one, [0, 1]) == whole
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark, tmp_path):
+    rows = [(0, "alpha beta gamma"), (1, "alpha beta gamma\nzeta one"), (1, "unique words here\nzeta two"), (1, "unique words here\nzeta two"), (1, None)]
+    docs = frame(spark, rows).withColumns({"copy": F.lit("own"), "hash": F.lit(4)})
+    got = sorted((r.doc_id, r.text or "", r.n_removed) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == [(0, "alpha beta gamma", 0), (1, "", 0), (1, "unique words here\nzeta two", 0), (1, "unique words here\nzeta two", 0), (1, "zeta one", 1)]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = registry.QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in out) == [(0, 1, 0, 0), (1, 0, 0, 0), (1, 2, 0, 0), (1, 2, 0, 0), (1, 2, 1, 1)]
