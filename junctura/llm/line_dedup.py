@@ -11,8 +11,9 @@ whose size does not depend on the corpus. Lines with equal sets (by a 64-bit has
 pair goes on only if the sizes (length filter), the places of the word (positional filter) and a
 64-bit parity map, whose differing bits bound the symmetric difference, allow the
 similarity. Sets so small that only equal ones are similar (up to 3 words at 4/5) are settled by their class and
-have no prefix. First each class meets, on each of its ``LEADING`` rarest words, the earliest class and the ``BEFORE`` classes just before it only,
-which is linear in a word's group and settles nearly all members of a group of similar lines; only classes that this does not settle meet the others, by a join whose hot words Spark can split. The pairs left are verified
+have no prefix. First each class meets, on each of its ``LEADING`` rarest words, the earliest class and the ``BEFORE`` classes just before it in the order of their prefixes only,
+which is linear in a word's group; classes of like prefixes stand together there, whatever their documents, so nearly all members of a group of similar lines are settled: of each pair the
+later one. Only classes that this does not settle meet the others, by a join whose hot words Spark can split. The pairs left are verified
 on the words of the lines themselves.
 
 Defined cases: a null text has no lines and stays null; an empty text has one empty line; lines of rows without a doc_id stay and
@@ -129,7 +130,7 @@ def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int
     same = ["set", "n", "parity"]
     folded = facts.groupBy(*same).agg(F.min(F.struct(*LINE)).alias("head"), F.count(F.lit(1)).alias("members"), F.any_value("prefix").alias("prefix"))
     classes = tx.written(folded.select("head.*", *same, "members", "prefix"), "classes")
-    rows = classes.select(*LINE, "n", "parity", F.posexplode("prefix").alias("i", "word"))
+    rows = classes.select(*LINE, "n", "parity", "prefix", F.posexplode("prefix").alias("i", "word"))
 
     def may_match(x: str, y: str) -> Column:
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
@@ -139,25 +140,30 @@ def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int
         return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (left * (num + den) >= num * (nx + ny)) & (differ * (num + den) <= (den - num) * (nx + ny))
 
     other = ["o_doc_id", "o_place"]
-    near = Window.partitionBy("word").orderBy(*LINE)
+    alike = Window.partitionBy("word").orderBy("prefix", *LINE)
     own = F.struct(*LINE, "n", "parity", "i")
-    few = F.array(F.first(own).over(near), *[F.lag(own, k).over(near) for k in range(1, BEFORE + 1)])
-    led = rows.filter(F.col("i") < LEADING).withColumn("few", few).withColumn("lead", F.explode(F.array_distinct("few"))).drop("few").filter("lead is not null and (doc_id <> lead.doc_id or place <> lead.place)").filter(may_match("", "lead."))
-    first = tx.written(led.select(*LINE, F.col("lead.doc_id").alias("o_doc_id"), F.col("lead.place").alias("o_place"), (F.col("n") + F.col("lead.n")).alias("total")).distinct(), "line-pairs")
+    few = F.array(F.min(own).over(Window.partitionBy("word")), *[F.lag(own, k).over(alike) for k in range(1, BEFORE + 1)])
+    led = rows.filter(F.col("i") < LEADING).withColumn("few", few).withColumn("lead", F.explode(F.array_distinct("few"))).drop("few", "prefix").filter("lead is not null and (doc_id <> lead.doc_id or place <> lead.place)").filter(may_match("", "lead."))
+    here, there = F.struct(*LINE), F.struct("lead.doc_id", "lead.place")
+    met = led.select(F.greatest(here, there).alias("x"), F.least(here, there).alias("y"), (F.col("n") + F.col("lead.n")).alias("total"))
+    first = tx.written(met.select("x.*", F.col("y.doc_id").alias("o_doc_id"), F.col("y.place").alias("o_place"), "total").distinct(), "line-pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The lines of ``pairs`` that are similar to their other line; ``total`` is the sum of the sizes of both."""
         wanted = tx.written(pairs.select(F.explode(F.array(F.struct(*LINE), F.struct(F.col("o_doc_id").alias("doc_id"), F.col("o_place").alias("place")))).alias("x")).select("x.*").distinct(), "wanted")
-        ids = tx.written(wanted.select("doc_id").distinct(), "wanted-documents")
-        again = _lines(docs.join(_small(ids), "doc_id", "left_semi")).join(_small(wanted), LINE, "left_semi")
-        texts = tx.written(again.select(*LINE, "line"), "line-texts")
+        # a bit for each of 64 classes of places, so that few lines but the wanted ones of a document are dealt out
+        bit = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(place).bitwiseAND(F.lit(63)).cast("int"))
+        ids = tx.written(wanted.groupBy("doc_id").agg(F.bit_or(bit("place")).alias("bits")).select(F.col("doc_id").alias("of"), "bits"), "wanted-documents")
+        found = docs.join(_small(ids), F.col("doc_id") == F.col("of")).select("doc_id", "copy", "bits", F.posexplode(F.split(F.lower(_plain_blanks("text")), "\n")).alias("place", "line"))
+        found = found.filter(F.col("bits").bitwiseAND(bit("place")) != 0).select("doc_id", (F.shiftleft("copy", 32) + F.col("place")).alias("place"), "line")
+        texts = tx.written(found.join(_small(wanted), LINE, "left_semi").select(*LINE, "line"), "line-texts")
         a, b = texts.withColumnRenamed("line", "a"), texts.withColumnsRenamed({"doc_id": "o_doc_id", "place": "o_place", "line": "b"})
         # an intersection has each word once; two blanks in a row make an empty one
         both = F.size(F.array_intersect(F.array_remove(F.split("a", " "), ""), F.split("b", " ")))
         return pairs.join(a, LINE).join(b, other).filter(both * (num + den) >= num * F.col("total")).select(*LINE).distinct()
 
     settled = tx.written(verified(first), "settled")
-    rest = rows.join(_small(settled.withColumn("done", F.lit(1))), LINE, "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    rest = rows.drop("prefix").join(_small(settled.withColumn("done", F.lit(1))), LINE, "left").withColumn("done", F.coalesce("done", F.lit(0)))
     x, y = rest.alias("x"), rest.alias("y")
     earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.place") < F.col("x.place")))
     # written over both sides, so that these keep one plan and share one exchange
