@@ -44,8 +44,13 @@ CARD = re.compile(r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.])(?!\d{4}-\d\d-\d\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w]|\.\d)|(?<![\w.])\+\d{8,15}(?!\w)")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 SECRET = re.compile(r"(?i)\b(?:password|passwd|passwort|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?([^\s\"']{6,})")
-MALE, FEMALE = ("Mr", "Mister", "Herr", "Señor", "Sr", "Monsieur"), ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme")
-NAME = re.compile(rf"\b({'|'.join((*MALE, *FEMALE))})\.?[ ]((?:[^\W\d_a-z][^\W\d_]*(?:[-'][^\W\d_]+)*)(?:[ ][^\W\d_a-z][^\W\d_]+)?)")
+#: Forms of address by gender, and titles that may stand between them and a name.
+MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "Господин", "господин", "г-н", "Κύριος", "κύριος", "Κύριε", "κ.")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Srta", "Madame", "Mademoiselle", "Mme", "Mlle", "Госпожа", "госпожа", "г-жа", "Κυρία", "κυρία", "κα.")
+TITLES = ("Dr", "Drs", "Prof", "Professor", "Professorin", "Doktor", "Doctor", "Dra", "Docteur", "Ing", "Dipl", "Mag", "med", "phil", "rer", "nat", "jur", "h", "c", "mult", "Rev", "Hon", "Maître", "Me", "проф", "д-р", "доктор", "δρ", "Δρ", "καθ")
+#: A name is one or two capitalised words, the second one optional, behind a form of address and its titles.
+NAME = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, sorted((*MALE, *FEMALE), key=len, reverse=True)))})\.?[ ](?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})(?:\.?-(?=\w)|\.[ ]?|[ ]))*((?!(?:Dr|Dra|Prof|Δρ|δρ)\b)(?:[^\W\d_a-z][^\W\d_]*(?:[-'][^\W\d_]+)*)(?:[ ][^\W\d_a-z][^\W\d_]+)?)")
+_ADDRESSED = re.compile("|".join(sorted({re.escape(a[:3]) for a in (*MALE, *FEMALE)})))
 #: Given names by script and gender.
 GIVEN = {
     ("LATIN", "m"): "James Robert Michael David Daniel Thomas Martin Peter Paul Simon Lukas Felix Carlos Miguel Antoine Louis".split(),
@@ -85,8 +90,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in CARD.finditer(text)]
         found += [(m.start(), m.end(), "ip", m[0]) for m in IP.finditer(text)]
         found += [(m.start(), m.end(), "phone", value) for m in PHONE.finditer(text) if len(value := re.sub(r"[^\d+]", "", m[0])) >= 8]
-    if any(c in text for c in ("Mr", "Mi", "Ms", "Herr", "Frau", "Señor", "Sr", "Mon", "Mad", "Mme")):
-        found += [(m.start(2), m.end(2), "name_m" if m[1] in MALE else "name_f", " ".join(m[2].split()).casefold()) for m in NAME.finditer(text)]
+    if _ADDRESSED.search(text):
+        found += [(m.start(2), m.end(2), "name_m" if m[1] in MALE else "name_f", " ".join(m[2].split()).casefold()) for m in NAME.finditer(text) if m[2][0].isupper()]
     out, last = [], 0
     for x in sorted(found, key=lambda x: (x[0], x[0] - x[1])):
         if x[0] >= last:
