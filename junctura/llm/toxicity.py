@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import text as tx
 
 MAX_ROWS = 20_000
-BLOCK = 1000
 MIN_DOCS = 4
 MIN_ODDS = 1.2
 #: Least significance of a term: documents by log odds, as of a likelihood ratio.
@@ -127,25 +126,41 @@ def learn_lexicon(train: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) ->
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["toxic", "at", "n"])
 
     seen = train.mapInArrow(counts, "toxic int, at array<int>, n array<float>").toPandas()  # as many rows as the sample has
-    x = np.zeros((len(seen), len(terms) + 1), np.float32)
-    x[:, -1] = 1
-    for i, (at, n) in enumerate(zip(seen["at"], seen["n"], strict=True)):
-        x[i, np.asarray(at, int)] = n
-    y, w = seen.toxic.to_numpy(float), np.zeros(len(terms) + 1)
-    ridge = np.full(len(w), 0.05)
-    ridge[-1] = 1e-6
+    sizes = seen["at"].map(len).to_numpy()
+    cells = (np.repeat(np.arange(len(seen)), sizes), np.concatenate([np.zeros(0, np.int32), *seen["at"]]).astype(np.int64), np.concatenate([np.zeros(0, np.float32), *seen["n"]]).astype(float))
+    w = _ridge_logistic(*cells, seen.toxic.to_numpy(float), len(terms))
+    return {t: float(v) for t, v in zip(terms, w, strict=False) if v > 1e-3}
+
+
+def _ridge_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n: int, ridge: float = 0.05) -> np.ndarray:
+    """Weights of ``n`` features, and the intercept, of a logistic regression on the cells of a sparse matrix.
+
+    Newton's method, each step by conjugate gradients, so memory is that of the cells, whatever the number of features.
+    """
+    w = np.zeros(n + 1)
+    penalty = np.append(np.full(n, ridge), 1e-6)
+    along = lambda v: np.bincount(row, value * v[col], len(y)) + v[-1]
+    across = lambda r: np.append(np.bincount(col, value * r[row], n), r.sum())
     for _ in range(30):
-        gradient, curve = ridge * w, np.diag(ridge)
-        for first in range(0, len(x), BLOCK):  # some rows at a time, so that no second copy of all is made
-            part = x[first : first + BLOCK].astype(float)
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            gradient += part.T @ (p - y[first : first + BLOCK])
-            curve += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
-        step = np.linalg.solve(curve, gradient)
+        p = 1 / (1 + np.exp(-np.clip(along(w), -30, 30)))
+        gradient, curve = penalty * w + across(p - y), p * (1 - p) + 1e-9
+        diagonal = penalty + np.append(np.bincount(col, value * value * curve[row], n), curve.sum())
+        step, left = np.zeros(n + 1), gradient.copy()
+        scaled = left / diagonal
+        go, size = scaled.copy(), float(left @ scaled)
+        for _ in range(500):
+            if size < 1e-18:
+                break
+            bent = penalty * go + across(curve * along(go))
+            t = size / float(go @ bent)
+            step, left = step + t * go, left - t * bent
+            scaled = left / diagonal
+            new = float(left @ scaled)
+            go, size = scaled + new / size * go, new
         w -= step
-        if np.abs(step).max() < 1e-3:
+        if np.abs(step).max() < 1e-4:
             break
-    return {t: float(v) for t, v in zip(terms, w, strict=False) if v > 1e-3}
+    return w
 
 
 def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
@@ -211,10 +226,10 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Text and label of at most ``max_rows`` labelled rows outside the held-out fold, chosen by a hash of doc_id."""
+    """Text and label of at most ``max_rows`` labelled rows outside the held-out fold, chosen by a hash of doc_id; of several texts of a doc_id the first in order."""
     picked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).dropDuplicates(["doc_id"])
     picked = picked.sort(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.join(F.broadcast(picked), "doc_id")  # max_rows bounds the broadcast
+    return docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))  # max_rows bounds the broadcast
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:

@@ -333,3 +333,44 @@ def test_texts_of_one_id_are_documents_of_their_own(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = registry.QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in out) == [(0, 1, 0, 0), (1, 0, 0, 0), (1, 2, 0, 0), (1, 2, 0, 0), (1, 2, 1, 1)]
+
+
+@pytest.mark.parametrize("n", [60, 400])
+def test_wide_and_deep_spans_cost_what_they_say(n):
+    page = "<table><tr>" + "".join(f"<td colspan=1000 rowspan={60_000 - i % 7}>c{i}</td>" for i in range(n)) + "</tr>" + "<tr><td>x</td></tr>" * n + "</table>"
+    began = time.time()
+    text = html_text.render(page)
+    assert time.time() - began < 2 and len(text) <= html_text.PADDING * len(page) + 2 * html_text.FREE_PADDING
+    assert text.split("\n")[0].split() == [f"c{i}" for i in range(n)] and text.count("x") == n
+    one = html_text.render("<table><tr>" + "<td colspan=1000>q</td>" * 1000 + "</tr></table>")
+    assert len(one) < 4000 and one.split() == ["q"] * 1000
+
+
+def test_cells_keep_their_columns_under_spans():
+    page = "<table><tr><td rowspan=2>ab<td colspan=2>wide one<td>z</tr><tr><td>c<td>d<td>e</tr><tr><td>1<td>2<td>3<td>4</tr></table>"
+    assert html_text.render(page) == "ab  wide one  z\n    c  d      e\n1   2  3      4"
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Frau Dr. Müller kam", ["Müller"]), ("Herr Prof. Dr. med. Hans Weber", ["Hans Weber"]), ("Mr. Smith and Mrs Jane Doe", ["Smith", "Jane Doe"]), ("Frau Dr.-Ing. Lena Vogt.", ["Lena Vogt"]),
+        ("господин Иванов и госпожа Анна Петрова", ["Иванов", "Анна Петрова"]), ("Κυρία Μαρία Παππά", ["Μαρία Παππά"]), ("Sra. Dra. Carmen Ruiz", ["Carmen Ruiz"]), ("the Mrs said", []), ("Madame Me. Camille Roy", ["Camille Roy"]),
+    ],
+)
+def test_names_behind_chains_of_titles(text, names):
+    assert [text[a:b] for a, b, kind, _ in pii.find(text) if kind.startswith("name")] == names
+
+
+def test_sparse_regression_equals_a_dense_one():
+    rng = np.random.default_rng(3)
+    x = np.where(rng.uniform(size=(300, 40)) < 0.1, rng.uniform(0.2, 1, (300, 40)), 0)
+    y = (rng.uniform(size=300) < 1 / (1 + np.exp(-(x @ rng.normal(size=40) * 2 - 0.5)))).astype(float)
+    row, col = np.nonzero(x)
+    got = toxicity._ridge_logistic(row, col, x[row, col], y, 40)
+    a, w, ridge = np.column_stack([x, np.ones(300)]), np.zeros(41), np.append(np.full(40, 0.05), 1e-6)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (p - y) + ridge * w)
+    assert np.allclose(got, w, atol=1e-4)
+    assert len(toxicity._ridge_logistic(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0), 2)) == 3
