@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .dataset import SpliceDataset, resolved_metric
 from .functions import betabinomial as bb
-from .operators import autoencoder, fitting, metrics, padjust, results
+from .operators import encoder, filters, fitting, metrics, padjust, results
+from .operators.ranks import precision_recall_auc
 from .sources import shared
 
-IMPLEMENTATIONS = ("PCA", "PCA-regression", "PCA-BB-Decoder", "PCA-BB-Decoder-weighted", "AE", "AE-weighted", "BB")
+IMPLEMENTATIONS = ("PCA", "PCA-regression", "PCA-reg-full", "PCA-BB-Decoder", "PCA-BB-Decoder-weighted", "PCA-BB-Decoder-no-weights", "PCA-BB-full", "AE", "AE-weighted", "fullAE", "BB")
+#: Those whose encoder sees all junctions; the others see a subset of variable ones.
+FULL = ("PCA", "PCA-reg-full", "PCA-BB-full", "fullAE", "BB")
 DISTRIBUTIONS = ("beta_binomial", "binomial", "normal")
 
 
@@ -44,8 +47,19 @@ def metric_cells(ds: SpliceDataset, metric: str) -> DataFrame:
     return out.select("junction_id", "seqname", "start", "end", "strand", "index", "sample_id", "k", (F.col("k") + F.col(f"o_{m}")).alias("n"), F.col(m).alias("psi"), *also)
 
 
-def fit(cells: DataFrame, q: int | None = None, implementation: str = "PCA", iterations: int = 15) -> DataFrame:
-    """junction_id, sample_id, mu and rho by one of ``IMPLEMENTATIONS``; all but BB need the number of latent dimensions."""
+def encoder_subset(cells: DataFrame, n: int = 15_000, min_delta: float = 0.1, seed: int = 42) -> DataFrame:
+    """junction_id and included: of the 2 n most variable junctions among those that deviate by ``min_delta`` from their mean in some sample, n at random."""
+    variable = filters.variable_junctions(cells, "psi", min_delta).filter("variable")
+    own = cells.join(variable.select("junction_id"), "junction_id", "left_semi").withColumnRenamed("n", "n_jaccard")
+    return filters.most_variable(own, n, seed).select("junction_id", F.lit(True).alias("included"))
+
+
+def fit(cells: DataFrame, q: int | None = None, implementation: str = "PCA", iterations: int = 15, included: DataFrame | None = None, noise: float = 0.0, n_subset: int = 15_000, min_delta: float = 0.1, seed: int = 42) -> DataFrame:
+    """junction_id, sample_id, mu and rho by one of ``IMPLEMENTATIONS``; all but BB need the number of latent dimensions.
+
+    All but those of ``FULL`` find the latent values in a subset of junctions: those that ``included`` (junction_id, included) says, or ``encoder_subset`` (all junctions where that has fewer than twice
+    the latent dimensions). ``noise`` corrupts the inputs of encoders that are fitted.
+    """
     if implementation not in IMPLEMENTATIONS:
         raise ValueError(f"implementation must be one of {IMPLEMENTATIONS}")
     if implementation != "BB" and (q is None or q < 1):
@@ -57,10 +71,14 @@ def fit(cells: DataFrame, q: int | None = None, implementation: str = "PCA", ite
         return cells.select("junction_id", "sample_id").join(one, "junction_id")
     if implementation == "PCA":
         found = fitting.fit_pca(rows, q)
-    elif implementation == "PCA-regression":
-        found = autoencoder.fit_autoencoder(rows, q, 0)
     else:
-        found = autoencoder.fit_autoencoder(rows, q, iterations, weighted=implementation.endswith("weighted"), encoder=implementation.startswith("AE"))
+        if implementation not in FULL and included is None and "psi" in cells.columns:
+            subset = shared.written(encoder_subset(cells, n_subset, min_delta, seed), "encoder-subset")
+            included = subset if subset.count() >= 2 * q else None
+        weighted = implementation in ("AE-weighted", "PCA-BB-Decoder", "PCA-BB-Decoder-weighted", "PCA-BB-full")
+        found = encoder.fit_encoded(
+            rows, q, iterations, None if implementation in FULL else included, "AE" in implementation, not implementation.startswith("PCA-reg"), weighted, noise, seed
+        ).fit
     names = F.array(*[F.lit(s) for s in samples])
     return found.select("junction_id", "rho", F.posexplode("mu").alias("_i", "mu")).select("junction_id", F.element_at(names, F.col("_i") + 1).alias("sample_id"), "mu", "rho")
 
@@ -120,10 +138,11 @@ def analyse(
     return Analysis(ds, cells, genes, gene_p, by_subset, subset_gene_p, dimensions)
 
 
-def result_table(done: Analysis, padj_cutoff: float | None = 0.1, delta_cutoff: float | None = 0.1, min_count: int | None = 5, aggregate: bool = False, collapse: bool = False, all_: bool = False, samples: list | None = None) -> DataFrame:
+def result_table(done: Analysis, padj_cutoff: float | None = 0.1, delta_cutoff: float | None = 0.1, min_count: int | None = 5, aggregate: bool = False, collapse: bool = False, all_: bool = False, samples: list | None = None, additional: DataFrame | None = None) -> DataFrame:
     """Outliers of all metrics and FDR sets, a row for each cell; with ``aggregate`` for each aberrant gene, with ``collapse`` for one metric of each gene.
 
-    A cutoff of None does not apply; with ``all_`` none does, and with ``aggregate`` each tested gene and sample has a row then.
+    A cutoff of None does not apply; with ``all_`` none does, and with ``aggregate`` each tested gene and sample has a row then. ``additional``: junction_id and further
+    columns of junctions (or sites of theta), which their rows get.
     """
     if not done.cells:
         raise ValueError("no metric has been tested")
@@ -148,29 +167,42 @@ def result_table(done: Analysis, padj_cutoff: float | None = 0.1, delta_cutoff:
     out = results.with_fdr_sets(parts, keys)
     if collapse:
         out = results.collapsed(out)
+    if additional is not None:
+        own = additional.withColumn("junction_id", F.col("junction_id").cast("string")).dropDuplicates(["junction_id"])
+        if clash := sorted((set(own.columns) & set(out.columns)) - {"junction_id"}):
+            raise ValueError(f"result tables have columns {clash} of their own")
+        out = out.join(own, "junction_id", "left")
     return out.orderBy("p_value", F.desc(F.abs("delta")), *keys).drop("delta")
 
 
-def injected_search(cells: DataFrame, dimensions: list[int], implementation: str = "PCA", freq: float = 1e-3, delta: float = 0.2, seed: int = 42) -> DataFrame:
-    """q and the area under the precision-recall curve of finding injected outliers again, for each number of latent dimensions tried.
+def injected_search(cells: DataFrame, dimensions: list[int], implementation: str = "PCA", freq: float = 1e-3, delta: float = 0.2, seed: int = 42, noise: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """q, noise and the area under the precision-recall curve of finding injected outliers again, for each number of latent dimensions and each noise.
 
-    Every try is a fit of the same injected counts; the numbers are a short list, so the loop over them is on the driver.
+    All models fit the same injected counts. Those of principal components are one pass over the rows for all of them; other implementations alternate by passes of their
+    own, so their models, a short list, are fitted one after another. All curves are swept together.
     """
-    from .operators.ranks import precision_recall_auc
-
     moved = fitting.inject_outliers(cells, freq, delta, seed, "index", "n")
     moved = shared.written(moved.withColumn("k", F.col("k_injected")).withColumn("n", F.greatest("n", "k")), "injected")
-    spark, rows = cells.sparkSession, []
-    for q in dimensions:
-        tested = with_p_values(moved.join(fit(moved, q, implementation), ["junction_id", "sample_id"]))
-        by_site = tested.groupBy("index", "sample_id").agg((-F.min("p")).alias("score"), F.bool_or(F.col("injected") != 0).alias("label"))
-        rows.append((q, precision_recall_auc(by_site).first().auc))
-    return spark.createDataFrame(rows, "q int, auc double")
+    labels = moved.select("junction_id", "sample_id", "index", (F.col("injected") != 0).alias("hit"))
+    if implementation == "PCA":
+        samples = [r.sample_id for r in cells.select("sample_id").distinct().sort("sample_id").collect()]  # one row for each sample
+        names = F.array(*[F.lit(s) for s in samples])
+        found = encoder.pca_models(fitting.packed(moved, "k", "n"), dimensions, noise, seed)
+        tested = found.select("q", "noise", "junction_id", F.posexplode("p").alias("_i", "p")).select("q", "noise", "junction_id", F.element_at(names, F.col("_i") + 1).alias("sample_id"), "p")
+    else:
+        tested = None
+        for q in dimensions:
+            for v in noise:
+                one = with_p_values(moved.join(fit(moved, q, implementation, noise=v, seed=seed), ["junction_id", "sample_id"]))
+                one = shared.written(one.select(F.lit(q).alias("q"), F.lit(float(v)).alias("noise"), "junction_id", "sample_id", "p"), "model")
+                tested = one if tested is None else tested.unionByName(one)
+    by_site = tested.join(labels, ["junction_id", "sample_id"]).groupBy("q", "noise", "index", "sample_id").agg((-F.min("p")).alias("score"), F.bool_or("hit").alias("label"))
+    return precision_recall_auc(by_site, by=["q", "noise"])
 
 
 def best_dimension(tried: DataFrame) -> int:
     """The number of dimensions of the highest score, the smallest on ties."""
-    return tried.orderBy(F.desc_nulls_last("auc"), "q").first().q
+    return tried.orderBy(F.desc_nulls_last("auc"), "q", *([F.col("noise")] if "noise" in tried.columns else [])).first().q
 
 
 def suggested_dimension(n_samples: int) -> int:

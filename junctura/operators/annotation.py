@@ -108,7 +108,7 @@ def impact(results: DataFrame, intron_use: DataFrame, exons: DataFrame, genes: D
     inside = intervals.overlap(results.select("junction_id", "seqname", "start", "end", "strand").distinct(), exons, 1000, kind="within").select(F.col("a.junction_id").alias("junction_id")).distinct().withColumn("in_exon", F.lit(True))
     whole = results.select("junction_id", "seqname", "start", "end", "strand").distinct()
     skipped = intervals.overlap(exons, whole, 1000, kind="within").groupBy(F.col("b.junction_id").alias("junction_id")).agg(F.count_distinct(F.struct("a.start", "a.end")).alias("skipped"), F.min(F.col("a.end") - F.col("a.start") + 1).alias("skipped_length"))
-    near = intervals.nearest(whole, genes, "junction_id", "gene_id")
+    near = intervals.nearest(whole, genes, "junction_id", "gene_id", stranded=True)
     in_gene = intervals.overlap(whole, genes, 5000).groupBy(F.col("a.junction_id").alias("junction_id")).agg(F.count_distinct("b.gene_id").alias("n_genes"))
     out = out.join(gene_ends(whole, genes), "junction_id", "left").join(inside, "junction_id", "left").join(skipped, "junction_id", "left").join(near, "junction_id", "left").join(in_gene, "junction_id", "left").join(genes.select(F.col("gene_id").alias("nearest"), F.col("start").alias("gene_start")), "nearest", "left")
     by_start, by_end = F.col("end") - F.col("by_start.end"), F.col("by_end.start") - F.col("start")
@@ -151,7 +151,7 @@ def theta_impact(sites: DataFrame, introns: DataFrame, exons: DataFrame, genes:
     exonic = intervals.overlap(at, exons).groupBy(key).agg(F.bool_and(inside).alias("whole"))
     intronic = intervals.overlap(at, introns, 5000).select(key).distinct().withColumn("intronic", F.lit(True))
     in_gene = intervals.overlap(at, genes, 5000).select(key).distinct().withColumn("in_gene", F.lit(True))
-    near = intervals.nearest(at, genes, "site_id", "gene_id").join(genes.select(F.col("gene_id").alias("nearest"), F.col("start").alias("gene_start")), "nearest", "left")
+    near = intervals.nearest(at, genes, "site_id", "gene_id", stranded=True).join(genes.select(F.col("gene_id").alias("nearest"), F.col("start").alias("gene_start")), "nearest", "left")
     out = sites.join(exonic, "site_id", "left").join(intronic, "site_id", "left").join(in_gene, "site_id", "left").join(near, "site_id", "left")
     upstream = (F.col("gene_start") > F.col("start")) == (F.col("strand") == "+")
     label = F.when(F.col("whole"), "exonicRegion").when(~F.col("whole"), "annotatedSpliceSite").when(F.col("intronic"), "intronicRegion").when(F.col("in_gene").isNull() & F.col("nearest").isNotNull(), F.when(upstream, "upstreamOfNearestGene").otherwise("downstreamOfNearestGene"))

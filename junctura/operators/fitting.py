@@ -136,15 +136,19 @@ def p_values(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return found.select("junction_id", F.posexplode("p").alias("sample", "p"))
 
 
-def inject_outliers(cells: DataFrame, freq: float = 1e-3, delta: float = 0.2, seed: int = 42, index: str = "junction_id", n: str = "n_jaccard", method: str = "samplePSI", pseudocount: float = 0.1) -> DataFrame:
+def inject_outliers(cells: DataFrame, freq: float = 1e-3, delta: float = 0.2, seed: int = 42, index: str = "junction_id", n: str = "n_jaccard", method: str = "samplePSI", pseudocount: float = 0.1, metric: str | None = None, fixed: float | None = None) -> DataFrame:
     """Cells with k_injected, injected (1 or -1 for the moved junction, -2 or 2 for its siblings, 0 elsewhere) and delta_injected.
 
     A group (``index``) and sample is picked with probability ``freq``; one of its junctions moves by a draw between ``delta`` and all the room there is, the
     other way where there is less room than ``delta``; its siblings share the opposite change in proportion to their ratios, so that
     the group's sum stays. Ratios are those of the sample, of the junction's mean (meanPSI) or a column true_psi (simulatedPSI). All draws are hashes
-    of seed, group and sample.
+    of seed, group and sample. With ``fixed`` a junction moves by so much, as far as there is room.
+
+    ``metric`` has its rules: sites of theta are picked a tenth as often, as there are so many more of them, and groups of psi5 and psi3 need two junctions at least.
     """
     pc = pseudocount
+    if metric == "theta":
+        freq = freq / 10
     own = (F.col("k") + pc) / (F.col(n) + 2 * pc)
     psi = {"samplePSI": own, "meanPSI": F.avg(own).over(Window.partitionBy("junction_id")), "simulatedPSI": F.col("true_psi") if "true_psi" in cells.columns else own}[method]
     group = Window.partitionBy(index, "sample_id")
@@ -156,9 +160,10 @@ def inject_outliers(cells: DataFrame, freq: float = 1e-3, delta: float = 0.2, se
     room = lambda sign: F.when(sign > 0, 1 - F.col("_at")).otherwise(F.col("_at"))
     out = out.withColumn("_sign", F.when(room(F.col("_sign")) < delta, -F.col("_sign")).otherwise(F.col("_sign"))).withColumn("_room", room(F.col("_sign")))
     least = F.least(F.lit(delta), F.col("_room"))
-    out = out.withColumn("_d", F.col("_sign") * (least + (F.col("_room") - least) * draw(seed + 2, index, "sample_id")))
+    by = F.least(F.lit(fixed), F.col("_room")) if fixed is not None else least + (F.col("_room") - least) * draw(seed + 2, index, "sample_id")
+    out = out.withColumn("_d", F.col("_sign") * by)
     change = F.when(F.col("_moves"), F.col("_d")).otherwise(-F.col("_psi") / F.nullif(1 - F.col("_at"), F.lit(0.0)) * F.col("_d"))
-    hit = F.col("_u") < freq
+    hit = (F.col("_u") < freq) & (F.col("_size") > 1 if metric in ("psi5", "psi3") else F.lit(True))
     moved = F.greatest(F.lit(0.0), F.bround((F.col("_psi") + change) * (F.col(n) + 2 * pc) - pc))
     moved = F.when(F.col("_size") == 1, F.least(moved, F.col(n).cast("double"))).otherwise(moved).cast("long")
     sign = F.when(F.col("_moves"), F.col("_sign")).otherwise(-2 * F.col("_sign"))

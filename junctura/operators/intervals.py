@@ -81,13 +81,18 @@ def first_overlap(a: DataFrame, b: DataFrame, keys: list[str], order: list[Colum
     return pairs.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.min_by("b", F.struct(*order)).alias("b"))
 
 
-def nearest(a: DataFrame, b: DataFrame, key: str, id_: str, tile: int = 1_000_000) -> DataFrame:
-    """key, the id of the nearest range of ``b`` on the same sequence, and the gap between them (0 if they meet).
+def nearest(a: DataFrame, b: DataFrame, key: str, id_: str, tile: int = 1_000_000, stranded: bool = False) -> DataFrame:
+    """key, the id of the nearest range of ``b`` on the same sequence (and, ``stranded``, on a strand that matches), and the gap between them (0 if they meet).
 
     The candidates are, in start order, the range of the furthest end among those that start at or before, and the next to
     start after: running windows over the union of both tables, no join. Sequences are cut into tiles of ``tile`` bases, so a window holds a
     tile; what comes from the tiles before and after is carried over by a window over one row for each tile.
     """
+    if stranded:
+        # a range stands on each strand that it matches; one without strand meets those of both
+        either = F.when(F.col("strand") == "*", F.array(F.lit("+"), F.lit("-"), F.lit("*"))).otherwise(F.array(F.col("strand"), F.lit("*")))
+        a = a.withColumn("seqname", F.struct("seqname", "strand"))
+        b = b.withColumn("strand", F.explode(either)).withColumn("seqname", F.struct("seqname", "strand"))
     left = a.select(F.col(key).alias("key"), "seqname", "start", "end", F.lit(None).cast("string").alias("id"), F.lit(1).alias("kind"))
     right = b.select(F.lit(None).cast(a.schema[key].dataType).alias("key"), "seqname", "start", "end", F.col(id_).cast("string").alias("id"), F.lit(0).alias("kind"))
     both = left.unionByName(right).withColumn("tile", F.floor(F.col("start") / tile))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import beta
 from .results import aberrant
 
 
@@ -60,6 +61,16 @@ def thinned(points: DataFrame, by: list[str], digits: int = 3) -> DataFrame:
     return points.groupBy(*by, *place).agg(F.min_by(F.struct(*rest), "rank").alias("p")).select(*by, "p.*")
 
 
+def ribbon(points: DataFrame, by: list[str], alpha: float = 0.05, digits: int | None = 3) -> DataFrame:
+    """Points of a QQ plot (results.qq), thinned to ``digits`` (None: all), with the band in which 1 - alpha of such ranks lie if no hypothesis is false: lower and upper, as -log10.
+
+    The p-value of rank i of n has a beta distribution; its shapes are i and n - i here, so the last point has no width.
+    """
+    kept = points if digits is None else thinned(points, by, digits)
+    bound = lambda p: F.abs(F.log10(F.greatest(beta.quantile(F.lit(p), F.col("rank"), F.col("n") - F.col("rank")), F.lit(1e-300))))
+    return kept.withColumns({"lower": bound(1 - alpha / 2), "upper": bound(alpha / 2)})
+
+
 def search_data(runs: DataFrame, score: str = "auc") -> DataFrame:
     """Hyper-parameters tried (q, noise, a score), each with whether it is the best: the highest score, the smallest q on ties."""
     best = Window.partitionBy("type").orderBy(F.desc_nulls_last(score), "q", "noise")

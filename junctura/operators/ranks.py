@@ -41,24 +41,27 @@ def genomic_order(df: DataFrame, chromosomes: list[str] | None = None) -> DataFr
     return df.orderBy(first, "seqname", strand, "start", "end")
 
 
-def precision_recall(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """score, tp and fp: how many true and false rows have this score or a higher one."""
-    points = scored.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label)).alias("t"), F.count_if(~F.col(label)).alias("f"))
-    ranged = shared.written(points.repartitionByRange(F.desc("score")).withColumn("_range", F.spark_partition_id()), "scores")
-    row = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranged.groupBy("_range").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).select("_range", F.coalesce(F.sum("t").over(row), F.lit(0)).alias("_t"), F.coalesce(F.sum("f").over(row), F.lit(0)).alias("_f"))
-    own = Window.partitionBy("_range").orderBy(F.desc("score"))
-    return ranged.withColumns({"tp": F.sum("t").over(own), "fp": F.sum("f").over(own)}).join(F.broadcast(before), "_range").select("score", (F.col("tp") + F.col("_t")).alias("tp"), (F.col("fp") + F.col("_f")).alias("fp"), "t", "f")
+def precision_recall(scored: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """score, tp and fp: how many true and false rows have this score or a higher one, within each group of ``by``."""
+    by = by or []
+    points = scored.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(label)).alias("t"), F.count_if(~F.col(label)).alias("f"))
+    ranged = shared.written(points.repartitionByRange(*by, F.desc("score")).withColumn("_range", F.spark_partition_id()), "scores")
+    row = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*by, "_range").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).select(*by, "_range", F.coalesce(F.sum("t").over(row), F.lit(0)).alias("_t"), F.coalesce(F.sum("f").over(row), F.lit(0)).alias("_f"))
+    own = Window.partitionBy(*by, "_range").orderBy(F.desc("score"))
+    swept = ranged.withColumns({"tp": F.sum("t").over(own), "fp": F.sum("f").over(own)}).join(before, [*by, "_range"])
+    return swept.select(*by, "score", (F.col("tp") + F.col("_t")).alias("tp"), (F.col("fp") + F.col("_f")).alias("fp"), "t", "f")
 
 
-def precision_recall_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row: the area under the precision-recall curve, false positives interpolated linearly in true ones between two scores.
+def precision_recall_auc(scored: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """One row (or one for each group of ``by``): the area under the precision-recall curve, false positives interpolated linearly in true ones between two scores.
 
     NULL scores come last, as one below the least.
     """
+    by = by or []
     least = scored.agg(F.min(score)).first()[0]
     filled = scored.withColumn(score, F.coalesce(F.col(score), F.lit(0.0 if least is None else float(least) - 1)))
-    curve = precision_recall(filled, score, label)
+    curve = precision_recall(filled, score, label, by)
     t1, f1 = F.col("tp").cast("double"), F.col("fp").cast("double")
     t0, f0 = t1 - F.col("t"), f1 - F.col("f")
     h = F.col("f") / F.col("t")
@@ -66,5 +69,6 @@ def precision_recall_auc(scored: DataFrame, score: str = "score", label: str = "
     # the integral of t / ((1 + h) t + c) from t0 to t1
     whole = lambda t: t / (1 + h) - F.when(c == 0, F.lit(0.0)).otherwise(c / ((1 + h) * (1 + h)) * F.ln((1 + h) * t + c))
     area = F.when(F.col("t") > 0, whole(t1) - whole(t0))
-    total = curve.agg(F.sum(area).alias("area"), F.sum("t").alias("p"))
-    return total.select((F.col("area") / F.nullif(F.col("p"), F.lit(0))).alias("auc"))
+    totals = [F.sum(area).alias("area"), F.sum("t").alias("p")]
+    total = curve.groupBy(*by).agg(*totals) if by else curve.agg(*totals)
+    return total.select(*by, (F.col("area") / F.nullif(F.col("p"), F.lit(0))).alias("auc"))

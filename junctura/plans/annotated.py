@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotation, intervals, metrics, padjust, results
+from ..operators import annotation, exonchain, intervals, metrics, padjust, results
 from ..sources.cohort import cohort, table, jaccard_cells
 from .splicing import GENE_SQL, METRICS_SQL, ORACLE_SQL, QUERIES, SITE_PADJ, SUBSET_PADJ, TEST_SQL, five_prime, genes_of, query, site_tests, tested
 
@@ -239,3 +239,40 @@ def sample_correlation(spark, sf_dir):
 @query("SELECT seqname, start, sample_id, min(p) AS p FROM pv GROUP BY ALL", TEST_SQL)
 def manhattan_plot_data(spark, sf_dir):
     return results.manhattan(tested(spark, sf_dir)).select("seqname", "start", "sample_id", "p")
+
+
+#: Acceptors' nations have exons behind them, and introns from these exons to the next acceptor; donors have exons before them.
+CHAIN_SQL = ANN_SQL + """,
+xe AS (SELECT 'chr' || c AS seqname, 20001 + 300 * n_nationkey AS start, 20060 + 300 * n_nationkey + 10 * (n_nationkey % 5) AS "end", '*' AS strand FROM nation, range(1, 4) r(c) UNION SELECT seqname, start - 100, start - 1, '*' FROM junctions),
+xi AS (SELECT seqname, start, "end", strand, median_count FROM intr UNION ALL SELECT 'chr' || c, 20061 + 300 * n_nationkey + 10 * (n_nationkey % 5), 20300 + 300 * n_nationkey, '*', n_regionkey FROM nation, range(1, 4) r(c)),
+ka AS (SELECT j.junction_id, j.seqname, j.start, j."end", j.strand, CASE WHEN bool_or(i.start = j.start AND i."end" = j."end") THEN 'both' WHEN bool_or(i.start = j.start) THEN 'start' WHEN bool_or(i."end" = j."end") THEN 'end' ELSE 'none' END AS annotated
+  FROM junctions j LEFT JOIN xi i ON i.seqname = j.seqname AND (i.strand = j.strand OR i.strand = '*') AND i.start <= j."end" AND i."end" >= j.start GROUP BY ALL),
+co AS (SELECT k.junction_id, k.seqname, k.start, k."end", k.strand, k.annotated, arg_min({a: i.start, b: i."end"}, (-i.median_count, i.start, i."end")) AS i FROM ka k JOIN xi i ON i.seqname = k.seqname AND (i.strand = k.strand OR i.strand = '*')
+  AND CASE k.annotated WHEN 'start' THEN i.start = k.start WHEN 'end' THEN i."end" = k."end" ELSE i.start <= k."end" AND i."end" >= k.start END WHERE k.annotated <> 'both' GROUP BY ALL),
+si AS (SELECT junction_id, 'right' AS side, seqname, strand, start AS s, "end" AS e, i.b AS far FROM co WHERE annotated <> 'end' UNION ALL SELECT junction_id, 'left', seqname, strand, -"end", -start, -i.a FROM co WHERE annotated <> 'start'),
+ex2 AS (SELECT 'right' AS side, seqname, start AS s, "end" AS e FROM xe UNION ALL SELECT 'left', seqname, -"end", -start FROM xe),
+in2 AS (SELECT 'right' AS side, seqname, start AS s, "end" AS e, strand, median_count FROM xi UNION ALL SELECT 'left', seqname, -"end", -start, strand, median_count FROM xi),
+fo AS (SELECT si.*, max(x.e) AS ee, count(DISTINCT x.e) AS ne FROM si LEFT JOIN ex2 x ON x.side = si.side AND x.seqname = si.seqname AND x.s = si.far + 1 AND si.far < si.e GROUP BY ALL),
+nx AS (SELECT fo.junction_id, fo.side, arg_min(i.e, (-i.median_count, i.e)) AS ne FROM fo JOIN in2 i ON i.side = fo.side AND i.seqname = fo.seqname AND i.s = fo.ee + 1 AND (i.strand = fo.strand OR i.strand = '*') WHERE fo.ne = 1 AND fo.ee < fo.e GROUP BY ALL),
+ef AS (SELECT fo.junction_id, fo.side, far, fo.e, ee, nx.ne AS nend, CASE WHEN far > fo.e THEN 'exonElongation' WHEN ee > fo.e THEN 'exonTruncation' WHEN nx.ne >= fo.e AND NOT EXISTS (SELECT 1 FROM ex2 x WHERE x.side = fo.side AND x.seqname = fo.seqname AND x.s >= fo.s AND x.e <= far)
+  AND NOT EXISTS (SELECT 1 FROM ex2 x WHERE x.side = fo.side AND x.seqname = fo.seqname AND x.s > ee AND x.e <= nx.ne) THEN 'singleExonSkipping' ELSE 'exonSkipping' END AS effect FROM fo LEFT JOIN nx ON nx.junction_id = fo.junction_id AND nx.side = fo.side),
+sh AS (SELECT junction_id, effect, CASE effect WHEN 'exonSkipping' THEN 0 WHEN 'singleExonSkipping' THEN far - ee + nend - e ELSE far - e END AS shift FROM ef),
+me AS (SELECT junction_id, min(effect) AS lo, max(effect) AS hi, count(*) AS m, CASE WHEN sum(shift) % 3 = 0 THEN 'unlikely' ELSE 'likely' END AS frame, bool_or(effect = 'exonSkipping') OR count(*) FILTER (effect = 'singleExonSkipping') = 2 AS unclear FROM sh GROUP BY 1)"""
+
+
+@query(
+    """SELECT ka.junction_id, CASE WHEN m IS NULL THEN 'noOverlap' WHEN unclear THEN 'exonSkipping' WHEN hi = 'singleExonSkipping' THEN hi WHEN lo = hi THEN lo ELSE 'exonTruncation&Elongation' END AS effect, CASE WHEN m IS NULL OR unclear THEN 'inconclusive' ELSE frame END AS frameshift
+FROM ka LEFT JOIN me USING (junction_id) WHERE annotated <> 'both'""",
+    CHAIN_SQL,
+)
+def exon_chain_impact(spark, sf_dir):
+    """What junctions without a whole known intron do to the exons at their ends."""
+    ds = cohort(spark, sf_dir)
+    nation = table(spark, sf_dir, "nation").select("n_regionkey", (300 * F.col("n_nationkey")).alias("at"), (60 + 10 * (F.col("n_nationkey") % 5)).alias("size"), F.explode(F.array(*[F.lit(f"chr{c}") for c in (1, 2, 3)])).alias("seqname"), F.lit("*").alias("strand"))
+    exons = nation.select("seqname", (20_001 + F.col("at")).alias("start"), (20_000 + F.col("at") + F.col("size")).alias("end"), "strand")
+    exons = exons.unionByName(ds.junctions.select("seqname", (F.col("start") - 100).alias("start"), (F.col("start") - 1).alias("end"), F.lit("*").alias("strand")).distinct())
+    leading = nation.select("seqname", (20_001 + F.col("at") + F.col("size")).alias("start"), (20_300 + F.col("at")).alias("end"), "strand", F.col("n_regionkey").cast("double").alias("median_count"))
+    introns = reference_introns(spark, sf_dir, ds).select("seqname", "start", "end", "strand", "median_count").unionByName(leading)
+    known = annotation.known_ends(ds.junctions, introns)
+    label = F.when(F.col("known_intron"), "both").when(F.col("known_start"), "start").when(F.col("known_end"), "end").otherwise("none")
+    return exonchain.chain_impact(ds.junctions.join(known, "junction_id").withColumn("annotated", label), introns, exons)

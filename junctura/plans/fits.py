@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..analysis import analyse, injected_search, metric_cells, result_table, suggested_dimension
-from ..operators import annotation, autoencoder, fitting, metrics, plots
+from ..analysis import analyse, encoder_subset, injected_search, metric_cells, result_table, suggested_dimension
+from ..operators import annotation, autoencoder, clusters, encoder, fitting, metrics, plots, results
 from ..sources import shared
 from ..sources.cohort import cohort, table, jaccard_cells
 from .annotated import reference_introns
-from .splicing import genes_of
+from .splicing import genes_of, tested
 
 
 def _rows(spark, sf_dir):
@@ -82,10 +82,30 @@ def autoencoder_fit(spark, sf_dir):
     return found.select("junction_id", F.round("rho", 4).alias("rho"), F.round("loss", 4).alias("loss"))
 
 
+def encoder_fit(spark, sf_dir):
+    """An autoencoder with weights for the most variable junctions, corrupted inputs and Huber weights: the fit of all junctions."""
+    cells = metric_cells(cohort(spark, sf_dir), "jaccard")
+    found = encoder.fit_encoded(fitting.packed(cells, "k", "n"), 3, 2, encoder_subset(cells, 200, 0.02), weighted=True, noise=0.2)
+    return found.fit.select("junction_id", F.round("rho", 4).alias("rho"), F.round("loss", 4).alias("loss"))
+
+
+def qq_ribbon(spark, sf_dir):
+    """Points of the QQ plots of all samples, thinned, with the band of expected ranks."""
+    p = tested(spark, sf_dir).select("junction_id", "sample_id", "p")
+    out = plots.ribbon(results.qq(p, ["sample_id"]), ["sample_id"], 0.05, 1)
+    return out.select("sample_id", "rank", *[F.round(c, 6).alias(c) for c in ("expected", "observed", "lower", "upper")])
+
+
+def correlation_heatmap(spark, sf_dir):
+    """Correlations of the samples' centred logit ratios, in the order of their clustering."""
+    cells = metric_cells(cohort(spark, sf_dir), "jaccard")
+    return clusters.ordered_correlation(cells, 5, min_median=0, min_count=2, logit=True).withColumn("spearman", F.round("spearman", 6))
+
+
 def dimension_search(spark, sf_dir):
-    """Areas under the precision-recall curve for some numbers of components, by outliers injected into the cohort."""
+    """Areas under the precision-recall curve for some numbers of components and shares of noise, by outliers injected into the cohort."""
     cells = metric_cells(cohort(spark, sf_dir), "jaccard")
-    return plots.search_data(injected_search(cells, [2, 4], freq=0.01).withColumns({"auc": F.round("auc", 4), "type": F.lit("jaccard"), "noise": F.lit(0.0)}))
+    return plots.search_data(injected_search(cells, [2, 4], freq=0.01, noise=(0.0, 0.5, 1.0)).withColumns({"auc": F.round("auc", 4), "type": F.lit("jaccard")}))
 
 
-QUERIES |= {f.__name__: f for f in (analysis_results, theta_results, estimated_dimension, autoencoder_fit, dimension_search)}
+QUERIES |= {f.__name__: f for f in (analysis_results, theta_results, estimated_dimension, autoencoder_fit, encoder_fit, qq_ribbon, correlation_heatmap, dimension_search)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import links
 from ..operators import filters, fitting, metrics, padjust, plots, results
@@ -193,6 +193,24 @@ def injection_rules(spark, sf_dir):
     broken = {"unbalanced": F.abs(F.col("d") + over) > 1e-9, "moved_less": (F.abs("moved") < 0.2 - 1e-9) & (F.col("size") > 1), "negative": F.col("least") < 0, "moved_twice": F.col("moves") != 1}
     return hit.agg((F.count(F.lit(1)) > 0).alias("injected"), *[F.count_if(v).alias(k) for k, v in broken.items()])
 
+#: The rules of each metric: a fixed move as far as there is room, theta's sites a tenth as often, groups of psi5 of two junctions at least.
+@query("SELECT * FROM (VALUES ('jaccard', true, 0::BIGINT, 0::BIGINT), ('psi5', true, 0, 0), ('theta', true, 0, 0)) v(metric, injected, moved_otherwise, alone)")
+def injection_by_metric(spark, sf_dir):
+    """Whether outliers were injected, how many moved by anything but 0.3 or the room there was, and how many of psi5 stand alone in their group."""
+    from ..analysis import metric_cells
+
+    out = None
+    for m in ("jaccard", "psi5", "theta"):
+        made = fitting.inject_outliers(metric_cells(cohort(spark, sf_dir), m), 0.5 if m == "theta" else 0.05, 0.2, 7, "index", "n", metric=m, fixed=0.3)
+        size = F.count(F.lit(1)).over(Window.partitionBy("index", "sample_id"))
+        own = (F.col("k") + 0.1) / (F.col("n") + 0.2)
+        made = made.withColumns({"size": size, "room": F.when(F.col("injected") > 0, 1 - own).otherwise(own)}).filter("abs(injected) = 1")
+        otherwise = F.abs(F.abs("delta_injected") - F.least(F.lit(0.3), F.col("room"))) > 1e-9
+        one = made.agg((F.count(F.lit(1)) > 0).alias("injected"), F.count_if(otherwise).alias("moved_otherwise"), F.count_if((F.col("size") < 2) & F.lit(m == "psi5")).alias("alone")).withColumn("metric", F.lit(m))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 SUBSET_GENES = f"(SELECT * FROM {GENE_P} WHERE gene = 'g' || sample_id % 8 OR gene = 'h' || sample_id % 5)"
 
 
