@@ -17,8 +17,10 @@ windows are judged in three steps, each on what the one before leaves open:
 Tasks settle equal pieces among themselves before anything is shuffled, a bounded number of bytes at a time. Later texts are read
 again only for documents with a chunk or a minimiser in question.
 
-Defined cases: null text is empty (nothing removed, digest of no bytes); rows that repeat a doc_id and text give equal rows; of
-equal texts under different ids the smallest id keeps its bytes; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null text is empty (nothing removed, digest of no bytes); rows that repeat a doc_id and text give equal rows; rows
+of one doc_id and different texts are judged apart, each against smaller doc_ids alone (they are told from each other by 64 bits of
+their digests); a null doc_id is neither smaller nor larger than any, so nothing is removed; of equal texts under different ids the
+smallest id keeps its bytes; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ BUCKET_BYTES = 16 << 20
 #: Windows that a task sorts at a time, minimisers that it holds, and bytes of pieces that it holds.
 SORTED_WINDOWS, HELD_ENTRIES, HELD_BYTES = 300_000, 400_000, 6 << 20
 BROADCAST_IDS = 1_000_000
+#: What tells a text: its doc_id and, where texts of that doc_id differ, 64 bits of its digest (else 0).
+ROW = ["doc_id", "variant"]
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -268,17 +272,17 @@ def longest_previous_factors(text: np.ndarray, at: np.ndarray, doc: np.ndarray)
 
 
 def _equal_pieces(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Indices of the pieces of the smallest document that has them, and (doc, first window, end window) of the others, which are covered."""
+    """Indices of the pieces of the smallest document that has them, and (index, first window, end window) of the others, which are covered."""
     numbers: dict[bytes, int] = {}
     which = np.fromiter((numbers.setdefault(p, len(numbers)) for p in pieces), np.int64, len(pieces))
     least = np.full(len(numbers), np.iinfo(np.int64).max)
     np.minimum.at(least, which, docs)
     first = docs == least[which]  # all places of a piece in its first document share their fate
-    return np.flatnonzero(first), [(int(docs[i]), int(starts[i]), int(starts[i]) + len(pieces[i]) - SPAN + 1) for i in np.flatnonzero(~first)]
+    return np.flatnonzero(first), [(int(i), int(starts[i]), int(starts[i]) + len(pieces[i]) - SPAN + 1) for i in np.flatnonzero(~first)]
 
 
 def _settle(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], values: np.ndarray) -> list[tuple[int, int, int]]:
-    """(doc, first window, end window) found to be covered.
+    """(index of a piece, first window, end window) found to be covered.
 
     Equal pieces are settled by their smallest document; the windows of the distinct ones by their suffixes.
     """
@@ -294,12 +298,12 @@ def _settle(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], values: n
             block = order[groups[first] : groups[g + 1]]
             first = g + 1
             if len(block) > 1 and max(len(pieces[i]) for i in block) > SPAN:  # single windows are settled by the pieces
-                covered += _settled_windows(docs[block], starts[block], [pieces[i] for i in block])
+                covered += [(int(block[i]), x, y) for i, x, y in _settled_windows(docs[block], starts[block], [pieces[i] for i in block])]
     return covered
 
 
 def _settled_windows(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> list[tuple[int, int, int]]:
-    """(doc, first window, end window) of the windows that an earlier document of these has."""
+    """(index of a piece, first window, end window) of the windows that an earlier document of these has."""
     text = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces])
     offset = np.cumsum(sizes) - sizes
@@ -321,12 +325,12 @@ def _settled_windows(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes])
         while a < b:  # a stretch may go on into the next piece
             o = owner[a]
             end = min(b, int(np.searchsorted(owner, o, "right")))
-            out.append((int(docs[o]), int(starts[o] + within[a]), int(starts[o] + within[a]) + end - a))
+            out.append((int(o), int(starts[o] + within[a]), int(starts[o] + within[a]) + end - a))
             a = end
     return out
 
 
-PIECES = "bucket long, value long, doc_id long, start int, n_windows int, piece binary"
+PIECES = "bucket long, value long, doc_id long, variant long, start int, n_windows int, piece binary"
 _PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
@@ -357,7 +361,8 @@ def _open_pieces(buckets: int):
                 many = often.flatten().to_numpy(zero_copy_only=False)[order][at[hit]] if len(hit) else np.zeros(0, bool)
                 ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
                 pieces = [raw[x : y + SPAN - 1] for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True)]
-                held.append(((least[hit] & np.uint64((1 << 44) - 1)).astype(np.int64), ids[row[hit]], (a[hit] - bounds[row[hit]]).astype(np.int64), pieces, many.astype(bool)))
+                variants = rows.column("variant").to_numpy(zero_copy_only=False)
+                held.append(((least[hit] & np.uint64((1 << 44) - 1)).astype(np.int64), ids[row[hit]], variants[row[hit]], (a[hit] - bounds[row[hit]]).astype(np.int64), many.astype(bool), pieces))
                 size += int((b[hit] - a[hit]).sum()) + (SPAN + 40) * len(pieces)
                 if size >= HELD_BYTES:
                     yield from _emitted(held, buckets)
@@ -369,22 +374,25 @@ def _open_pieces(buckets: int):
 
 
 def _emitted(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
-    value, doc, start, many = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 4))
-    pieces = [p for h in held for p in h[3]]
+    value, doc, variant, start, many = (np.concatenate([h[i] for h in held]) for i in range(5))
+    pieces = [p for h in held for p in h[5]]
+
+    def batch(bucket: pa.Array, values: pa.Array, which: np.ndarray, first: np.ndarray, n: np.ndarray, cut: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([bucket, values, pa.array(doc[which]), pa.array(variant[which]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), cut], names=_PIECE_NAMES)
+
     left, covered = _equal_pieces(doc, start, pieces)
     once, often = left[~many[left]], left[many[left]]
     if covered:
-        d, x, y = (np.array(c, np.int64) for c in zip(*covered, strict=True))
-        none = pa.nulls(len(d), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(d), pa.array(x.astype(np.int32)), pa.array((y - x).astype(np.int32)), pa.nulls(len(d), pa.binary())], names=_PIECE_NAMES)
+        which, x, y = (np.array(c, np.int64) for c in zip(*covered, strict=True))
+        none = pa.nulls(len(which), pa.int64())
+        yield batch(none, none, which, x, y - x, pa.nulls(len(which), pa.binary()))
     own = [pieces[i] for i in once]
-    n = np.array([len(p) - SPAN + 1 for p in own], np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(value[once] % buckets), pa.array(value[once]), pa.array(doc[once]), pa.array(start[once].astype(np.int32)), pa.array(n), pa.array(own, pa.binary())], names=_PIECE_NAMES)
+    yield batch(pa.array(value[once] % buckets), pa.array(value[once]), once, start[once], np.array([len(p) - SPAN + 1 for p in own], np.int64), pa.array(own, pa.binary()))
     for i in often:
         p, n = pieces[i], len(pieces[i]) - SPAN + 1
         cut = [p[j : j + SPAN] for j in range(n)]
-        same = np.ones(n, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([_piece_hash(c) % buckets for c in cut], pa.int64()), pa.array(value[i] * same), pa.array(doc[i] * same), pa.array((start[i] + np.arange(n)).astype(np.int32)), pa.array(np.ones(n, np.int32)), pa.array(cut, pa.binary())], names=_PIECE_NAMES)
+        same = np.full(n, i)
+        yield batch(pa.array([_piece_hash(c) % buckets for c in cut], pa.int64()), pa.array(value[same]), same, start[i] + np.arange(n), np.ones(n, np.int64), pa.array(cut, pa.binary()))
 
 
 def _pair(row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -396,13 +404,17 @@ def _piece_hash(piece: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(piece, digest_size=7).digest(), "little")
 
 
+COVERED = "doc_id long, variant long, start int, n_windows int"
+
+
 def _covered(table: pa.Table) -> pa.Table:
     docs, starts = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
     if table.column("piece").null_count:
-        return pa.table({"doc_id": pa.array(docs), "start": pa.array(starts), "n_windows": table.column("n_windows")})
+        return table.select(["doc_id", "variant", "start", "n_windows"])
     out = _settle(docs, starts, table.column("piece").to_pylist(), table.column("value").to_numpy())
-    cols = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int32()), "n_windows": pa.array([b - a for a, b in zip(cols[1], cols[2], strict=True)], pa.int32())})
+    which, first, end = (np.array(c, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
+    variants = table.column("variant").to_numpy()
+    return pa.table({"doc_id": pa.array(docs[which]), "variant": pa.array(variants[which]), "start": pa.array(first.astype(np.int32)), "n_windows": pa.array((end - first).astype(np.int32))})
 
 
 def removed_bytes(data: np.ndarray, bounds: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
@@ -435,14 +447,29 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = left[bounds[:-1]], left[bounds[1:]]
             texts = [kept[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(np.diff(bounds) - (b - a)), pa.array(runs[bounds[1:]] - runs[bounds[:-1]]), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary())],
-                names=["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [rows.column("doc_id"), rows.column("variant"), pa.array(np.diff(bounds) - (b - a)), pa.array(runs[bounds[1:]] - runs[bounds[:-1]]), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary())],
+                names=[*ROW, "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of ``ids``, by a broadcast up to a number of ids that is checked."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ROW, "left_semi")
+
+
+def _with_variants(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Both with their variants, and whether texts of one doc_id differ anywhere."""
+    several = tx.written(profile.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).filter("doc_id is not null and a <> b").select("doc_id"), "several-texts")
+    n = several.count()
+    if not n:
+        return docs.withColumn("variant", F.lit(0).cast("long")), profile.withColumn("variant", F.lit(0).cast("long")), False
+    several = several.withColumn("several", F.lit(True))
+
+    def told(rows: DataFrame, sha) -> DataFrame:
+        rows = rows.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc_id", "left")
+        return rows.withColumn("variant", F.when(F.col("several"), F.xxhash64(sha)).otherwise(F.lit(0).cast("long"))).drop("several")
+
+    return told(docs, F.sha2(F.col("text").cast("binary"), 256)), told(profile, F.col("sha")), True
 
 
 def repeated_spans(docs: DataFrame, with_text: bool = False, frequent: int = FREQUENT) -> DataFrame:
@@ -454,37 +481,41 @@ def repeated_spans(docs: DataFrame, with_text: bool = False, frequent: int = FRE
 def _repeated_spans(docs: DataFrame, with_text: bool, frequent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profile = tx.written(docs.mapInArrow(_profile, "doc_id long, n_bytes long, sha string, chunks array<binary>"), "profile")
+    docs, profile, several = _with_variants(docs, profile)
+    known = docs.filter("doc_id is not null")
     total = profile.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(24, int(total) // BUCKET_BYTES)
 
-    rows = profile.select("doc_id", F.posexplode("chunks").alias("at", "chunk"))
+    rows = profile.select(*ROW, F.posexplode("chunks").alias("at", "chunk"))
     firsts = rows.groupBy("chunk").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("chunk", "lo")
-    later = tx.written(rows.join(firsts, "chunk").filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("at").alias("covered")), "covered-chunks")
-    whole = profile.join(later, "doc_id").filter(F.size("covered") == F.size("chunks")).select("doc_id").distinct()
+    later = tx.written(rows.join(firsts, "chunk").filter("doc_id > lo").groupBy(*ROW).agg(F.collect_set("at").alias("covered")), "covered-chunks")
+    # minimisers are asked for by doc_id, so one that has several texts is not left out for one of them
+    whole = profile.filter("variant = 0").join(later, ROW).filter(F.size("covered") == F.size("chunks")).select("doc_id").distinct()
 
-    entries = docs.mapInArrow(_entries(buckets), "bucket long, kind int, wide int, value binary, tag binary, doc binary")
+    entries = known.select("doc_id", "text").mapInArrow(_entries(buckets), "bucket long, kind int, wide int, value binary, tag binary, doc binary")
     shared = tx.written(entries.groupBy("bucket").applyInArrow(_shared(buckets, frequent), "doc_id long, value long, frequent boolean").distinct(), "shared")
     often = shared.filter("frequent").select("value").distinct().withColumn("frequent", F.lit(True))
     asked = shared.filter("not frequent").select("doc_id", "value").join(whole, "doc_id", "left_anti")
     # one value for FREQUENT chunks and more at most, so few; Spark broadcasts them where its own threshold allows
     open_values = asked.join(often, "value", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
-    by_doc = tx.written(open_values.groupBy("doc_id").agg(F.collect_list("value").alias("value"), F.collect_list("frequent").alias("frequent")), "shared-minimisers")
+    by_doc = open_values.groupBy("doc_id").agg(F.collect_list("value").alias("value"), F.collect_list("frequent").alias("frequent"))
+    variants = profile.filter("doc_id is not null").select(*ROW).distinct()
+    by_row = tx.written(by_doc.join(variants, "doc_id") if several else by_doc.withColumn("variant", F.lit(0).cast("long")), "shared-minimisers")
 
-    asked = _only(docs, by_doc.select("doc_id")).dropDuplicates(["doc_id"]).join(by_doc, "doc_id").join(later, "doc_id", "left")
-    pieces = asked.select("doc_id", "text", "value", "frequent", "covered").mapInArrow(_open_pieces(buckets), PIECES)
+    asked = _only(known, by_row.select(*ROW)).dropDuplicates(ROW).join(by_row, ROW).join(later, ROW, "left")
+    pieces = asked.select(*ROW, "text", "value", "frequent", "covered").mapInArrow(_open_pieces(buckets), PIECES)
     # rows that a batch has settled pass through groups of their own, dealt by document
     keyed = pieces.withColumn("bucket", F.coalesce("bucket", -1 - F.pmod("doc_id", F.lit(buckets))))
-    windows = keyed.groupBy("bucket").applyInArrow(_covered, "doc_id long, start int, n_windows int")
-    spans = tx.written(windows.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n_windows").alias("counts")), "covered-windows")
+    windows = keyed.groupBy("bucket").applyInArrow(_covered, COVERED)
+    spans = tx.written(windows.groupBy(*ROW).agg(F.collect_list("start").alias("starts"), F.collect_list("n_windows").alias("counts")), "covered-windows")
 
-    found = tx.written(later.join(spans, "doc_id", "full"), "covered")
-    changed = _only(docs, found.select("doc_id")).join(found, "doc_id").select("doc_id", "text", "covered", "starts", "counts")
-    kept = changed.mapInArrow(_kept, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = tx.written(later.join(spans, ROW, "full"), "covered")
+    changed = _only(known, found.select(*ROW)).join(found, ROW).select(*ROW, "text", "covered", "starts", "counts")
+    kept = changed.mapInArrow(_kept, "doc_id long, variant long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not with_text:
-        kept = kept.drop("kept")
-        out = profile.select("doc_id", "n_bytes", "sha").join(kept.dropDuplicates(["doc_id"]), "doc_id", "left")
+        out = profile.select(*ROW, "n_bytes", "sha").join(kept.drop("kept").dropDuplicates(ROW), ROW, "left")
         return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
-    out = docs.join(kept.dropDuplicates(["doc_id"]), "doc_id", "left")
+    out = docs.join(kept.dropDuplicates(ROW), ROW, "left")
     return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"), F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))
 
 

@@ -1,5 +1,6 @@
 """Repeated rows, long texts, clashing columns, hot values, and brute-force versions of whole queries."""
 
+import hashlib
 import html.parser
 import random
 import re
@@ -93,6 +94,29 @@ def test_spans_of_repeated_rows(spark):
     assert sorted(got, key=str) == sorted([(1, 0), (1, 0), (2, len(passage)), (2, len(passage)), (None, 0)], key=str)
 
 
+def test_texts_of_one_id_and_of_no_id_are_judged_apart(spark, words):
+    """Each text against the strings of smaller ids alone; windows of a text of no id count for nobody."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    first, own, late, lone = prose(90), prose(110), prose(70), prose(80)
+    rows = [(0, first), (1, first), (1, own), (1, f"{prose(5)} {first[40:300]} {prose(30)}"), (2, f"{prose(9)} {own[:200]} {late}"), (2, late), (2, late), (None, lone), (None, first), (3, f"{lone} {late[10:120]}"), (2**60 + 1, f"{first[:90]} {prose(12)}"), (2**60, f"{prose(4)} {first[:90]}"), (-5, prose(40))]
+    want = []
+    for d, t in rows:
+        raw = t.encode()
+        seen = {o[i : i + 50] for e, u in rows for o in [u.encode()] for i in range(len(o) - 49) if d is not None and e is not None and e < d}
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 49):
+            if raw[i : i + 50] in seen:
+                gone[i : i + 50] = b"\1" * 50
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        want.append((d, len(raw), sum(gone), sum(1 for i in range(len(raw)) if gone[i] and (i == 0 or not gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+    for frequent in (2, 20_000):
+        got = suffix_dedup.repeated_spans(frame(spark, rows).repartition(3), frequent=frequent).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    texts = {(r.doc_id, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.repeated_spans(frame(spark, rows), with_text=True).collect()}
+    assert texts == {(w[0], w[4]) for w in want}
+
+
 def test_longest_previous_factors_against_brute_force():
     rng = random.Random(2)
     docs = ["".join(rng.choice("ab") for _ in range(rng.randint(60, 90))) for _ in range(6)]
