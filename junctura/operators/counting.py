@@ -82,8 +82,8 @@ def with_site_ids(junctions: DataFrame) -> DataFrame:
     return junctions.withColumns({"junction_id": range_id(s, e), "start_id": range_id(s - 1, s), "end_id": range_id(e, e + 1)})
 
 
-def alignment_blocks(alignments: DataFrame) -> DataFrame:
-    """The stretches of an alignment between its introns: read_id, sample_id, seqname, strand, start, end."""
+def alignment_blocks(alignments: DataFrame, *also: str) -> DataFrame:
+    """The stretches of an alignment between its introns: read_id, sample_id, seqname, strand, start, end, the stretch's number (block) and the columns ``also``."""
     ops = F.regexp_extract_all("cigar", F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
     length = lambda o: F.regexp_extract(o, r"^(\d+)", 1).cast("int")
     kind = lambda o: F.right(o, F.lit(1))
@@ -95,24 +95,33 @@ def alignment_blocks(alignments: DataFrame) -> DataFrame:
         .when(kind(o).isin("M", "D", "=", "X"), F.struct((a["at"] + length(o)).alias("at"), a["since"].alias("since"), a["found"].alias("found")))
         .otherwise(F.struct(a["at"].alias("at"), a["since"].alias("since"), a["found"].alias("found")))
     )
-    rows = alignments.withColumn("pos", F.col("pos").cast("int")).select("read_id", "sample_id", "seqname", "strand", F.explode(F.aggregate(ops, start, step, close)).alias("b"))
-    return rows.select("read_id", "sample_id", "seqname", "strand", "b.start", "b.end")
+    kept = ["read_id", "sample_id", "seqname", "strand", *also]
+    rows = alignments.withColumn("pos", F.col("pos").cast("int")).select(*kept, F.posexplode(F.aggregate(ops, start, step, close)).alias("block", "b"))
+    return rows.select(*kept, "b.start", "b.end", "block")
 
 
-def nonsplit_counts(alignments: DataFrame, sites: DataFrame, min_anchor: int = 5, strand_mode: int = UNSTRANDED, width: int = 200) -> DataFrame:
+def nonsplit_counts(alignments: DataFrame, sites: DataFrame, min_anchor: int = 5, strand_mode: int = UNSTRANDED, width: int = 200, paired: bool = True) -> DataFrame:
     """site_id, sample_id and k: fragments with 2 min_anchor bases at least in the window around a site, which is one base wider at each side than that.
 
-    A read that spans the junction has half of the window only; reads over several sites count at each.
+    A read that spans the junction has half of the window only; reads over several sites count at each. Mates of a pair are one fragment. Unpaired
+    reads, long ones with any number of introns among them, count one by one, so alignments of one name or in repeated rows are each a read.
     """
-    blocks = alignment_blocks(alignments.withColumn("strand", fragment_strand(alignments, strand_mode)))
-    pairs = intervals.overlap(blocks, intervals.windows_of(sites, min_anchor + 1), width)
-    part = F.struct(F.greatest("a.start", "b.start").cast("long").alias("lo"), F.least("a.end", "b.end").cast("long").alias("hi"))
-    by_read = pairs.groupBy(F.col("b.site_id").alias("site_id"), F.col("a.sample_id").alias("sample_id"), F.col("a.read_id").alias("read_id")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    stranded = alignments.withColumn("strand", fragment_strand(alignments, strand_mode))
+    if not paired:  # what tells an alignment, in 64 bits; the text of a long read's CIGAR is not carried along
+        stranded = stranded.withColumn("_alignment", F.xxhash64("read_id", "pos", "cigar", *[c for c in ("mate", "mapq") if c in alignments.columns]))
+    blocks = alignment_blocks(stranded, *([] if paired else ["_alignment"]))
+    places = sites.select("site_id", *RANGE).distinct()  # a site may be the donor of one junction and the acceptor of another
+    pairs = intervals.overlap(blocks, intervals.windows_of(places, min_anchor + 1), width)
+    part = F.struct(F.greatest("a.start", "b.start").cast("long").alias("lo"), F.least("a.end", "b.end").cast("long").alias("hi"), F.col("a.block").alias("block"))
+    read = [F.col(f"a.{c}").alias(c) for c in ("sample_id", "read_id", *([] if paired else ["strand", "_alignment"]))]
+    by_read = pairs.groupBy(F.col("b.site_id").alias("site_id"), *read).agg(F.sort_array(F.collect_list(part)).alias("parts"))
     # bases that both mates have count once
     zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
     step = lambda a, x: F.struct(F.greatest(a["upto"], x["hi"]).alias("upto"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["hi"] - F.greatest(a["upto"], x["lo"] - 1))).alias("n"))
     enough = by_read.filter(F.aggregate("parts", zero, step)["n"] >= 2 * min_anchor)
-    return enough.groupBy("site_id", "sample_id").agg(F.count(F.lit(1)).alias("k"))
+    # rows that repeat an unpaired read have each of its stretches
+    rows = F.lit(1) if paired else F.size(F.filter("parts", lambda x: x["block"] == F.col("parts")[0]["block"]))
+    return enough.groupBy("site_id", "sample_id").agg(F.sum(rows).cast("long").alias("k"))
 
 
 def assembled(samples: DataFrame, split: DataFrame, nonsplit: DataFrame | None = None, name: str = "dataset") -> SpliceDataset:
@@ -125,13 +134,13 @@ def assembled(samples: DataFrame, split: DataFrame, nonsplit: DataFrame | None =
 
 
 def count_dataset(alignments: DataFrame, samples: DataFrame, strand_mode: int = UNSTRANDED, paired: bool = True, min_anchor: int = 5, min_expression: int | None = 20, chromosomes: Sequence[str] | None = None, min_mapq: int | None = None) -> SpliceDataset:
-    """Split reads, the junctions expressed in some sample (all with ``min_expression`` None), and nonsplit reads at their sites."""
+    """Split reads, the junctions expressed in some sample (all with ``min_expression`` None), and nonsplit reads at their sites; single-end and long reads are not ``paired``."""
     used = restricted(alignments, chromosomes, min_mapq)
     split = split_counts(used, strand_mode, paired)
     if min_expression is not None:
         split = split.join(expressed(split, min_expression), RANGE, "left_semi")
     ds = assembled(samples, split)
-    return ds.with_(ss_counts=nonsplit_counts(used, ds.sites, min_anchor, strand_mode))
+    return ds.with_(ss_counts=nonsplit_counts(used, ds.sites, min_anchor, strand_mode, paired=paired))
 
 
 def common_chromosome_style(names: DataFrame) -> DataFrame:

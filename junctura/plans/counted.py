@@ -102,6 +102,57 @@ def counted_nonsplit_reads(spark, sf_dir):
     return ds.ss_counts
 
 
+SINGLE = ALIGNMENT_SQL + """,
+ex AS (SELECT seqname, start, "end" FROM (SELECT sample_id, seqname, start, "end", count(*) AS k FROM intron GROUP BY ALL) GROUP BY ALL HAVING max(k) >= 2),
+st AS (SELECT DISTINCT seqname, start - 1 AS s, start AS e FROM ex UNION SELECT seqname, "end", "end" + 1 FROM ex)"""
+
+
+@query("SELECT concat_ws(':', st.seqname, concat_ws('-', s, e), '*') AS site_id, sample_id, count(*) AS k FROM st JOIN block b ON b.seqname = st.seqname AND least(b.\"end\", e + 5) - greatest(b.start, s - 5) + 1 >= 10 GROUP BY ALL", SINGLE)
+def counted_nonsplit_single(spark, sf_dir):
+    """Single-end reads count one by one, those of one name or in repeated rows as well; no two stretches of a line are in one window."""
+    return counting.count_dataset(alignments(spark, sf_dir), samples(spark, sf_dir), paired=False, min_expression=2).ss_counts
+
+
+#: A long read is an order with a stretch and an intron for each of its lines; two orders share a name, as the parts of a read that is aligned in pieces do.
+LONG_SQL = """,
+lo AS (SELECT l_orderkey AS al, l_orderkey // 50 % 10 AS sample_id, 'chr' || (l_orderkey % 5) AS seqname, l_orderkey % 50 * 40 + 1 AS pos, 20 + 10 * (l_partkey % 3) AS m, 100 * (1 + l_suppkey % 4) AS g, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n,
+  coalesce(sum(20 + 10 * (l_partkey % 3) + 100 * (1 + l_suppkey % 4)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+lb AS (SELECT al, sample_id, seqname, pos + before AS start, pos + before + m - 1 AS "end" FROM lo),
+ls AS (SELECT sample_id, seqname, pos + before + m AS start, pos + before + m + g - 1 AS "end", count(*) AS k FROM lo WHERE i < n GROUP BY ALL),
+lx AS (SELECT seqname, start, "end" FROM ls GROUP BY ALL HAVING max(k) >= 2),
+lt AS (SELECT DISTINCT seqname, start - 1 AS s, start AS e FROM lx UNION SELECT seqname, "end", "end" + 1 FROM lx)"""
+
+
+def long_reads(spark, sf_dir):
+    parts = F.transform(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))),
+        lambda x: F.concat((20 + 10 * (x["l_partkey"] % 3)).cast("string"), F.lit("M"), (100 * (1 + x["l_suppkey"] % 4)).cast("string"), F.lit("N")),
+    )
+    order = F.col("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.regexp_replace(F.array_join(parts, ""), r"\d+N$", "").alias("cigar"))
+    return rows.select(
+        F.floor(order / 2).alias("read_id"), (F.floor(order / 50) % 10).alias("sample_id"), F.concat(F.lit("chr"), order % 5).alias("seqname"),
+        (order % 50 * 40 + 1).alias("pos"), "cigar", F.lit("+").alias("strand"),
+    )
+
+
+def long_dataset(spark, sf_dir):
+    reads = long_reads(spark, sf_dir)
+    return counting.count_dataset(reads, reads.select("sample_id").distinct(), paired=False, min_expression=2)
+
+
+@query("SELECT concat_ws(':', seqname, concat_ws('-', start, \"end\"), '*') AS junction_id, sample_id, k FROM ls JOIN lx USING (seqname, start, \"end\")", LONG_SQL)
+def long_read_junctions(spark, sf_dir):
+    """Long reads over any number of introns."""
+    return long_dataset(spark, sf_dir).j_counts
+
+
+@query("SELECT concat_ws(':', seqname, concat_ws('-', s, e), '*') AS site_id, sample_id, count(*) AS k FROM (SELECT lt.seqname, s, e, sample_id, al FROM lt JOIN lb ON lb.seqname = lt.seqname AND lb.start <= e + 5 AND lb.\"end\" >= s - 5 GROUP BY ALL HAVING sum(least(lb.\"end\", e + 5) - greatest(lb.start, s - 5) + 1) >= 10) GROUP BY ALL", LONG_SQL)
+def long_read_nonsplit(spark, sf_dir):
+    """Long reads that run through a site, each alignment by itself."""
+    return long_dataset(spark, sf_dir).ss_counts
+
+
 MOTIF = "SELECT seqname, start, \"end\", CASE WHEN start % 3 = 0 THEN '-' ELSE '+' END AS strand FROM sp WHERE start % 7 > 0"
 
 

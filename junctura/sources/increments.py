@@ -72,7 +72,7 @@ def split_by_sample(spark: SparkSession, read: Reader, samples: Sequence, path:
     return found.filter(F.col("sample_id").isin(list(samples))).select("sample_id", *counting.RANGE, "k")
 
 
-def nonsplit_by_sample(spark: SparkSession, read: Reader, samples: Sequence, sites: DataFrame, path: str, min_anchor: int = 5, strand_mode: int = counting.UNSTRANDED, recount: Sequence = ()) -> DataFrame:
+def nonsplit_by_sample(spark: SparkSession, read: Reader, samples: Sequence, sites: DataFrame, path: str, min_anchor: int = 5, strand_mode: int = counting.UNSTRANDED, recount: Sequence = (), paired: bool = True) -> DataFrame:
     """site_id, sample_id and k of the samples at ``sites``; a sample is counted only at sites where it was not before."""
     again = set(recount)
     rows = sorted(_column(spark, f"{path}/batches", "number", "fresh", "batch", "sample_id"), key=lambda r: r[0])
@@ -95,7 +95,7 @@ def nonsplit_by_sample(spark: SparkSession, read: Reader, samples: Sequence, sit
             continue
         batch = uuid.uuid4().hex
         regions = _regions(missing, min_anchor + 1) if known else None
-        counts = counting.nonsplit_counts(read(own, regions), missing, min_anchor, strand_mode)
+        counts = counting.nonsplit_counts(read(own, regions), missing, min_anchor, strand_mode, paired=paired)
         kind = counts.schema["sample_id"].dataType.simpleString()
         counts.write.parquet(f"{path}/nonsplit/batch={batch}")
         missing.write.parquet(f"{path}/sites/batch={batch}")
@@ -121,7 +121,7 @@ def count_samples(
     if min_expression is not None:
         split = split.join(counting.expressed(split, min_expression), counting.RANGE, "left_semi")
     ds = counting.assembled(samples, split)
-    return ds.with_(ss_counts=nonsplit_by_sample(spark, read, ids, ds.sites, path, min_anchor, strand_mode, recount))
+    return ds.with_(ss_counts=nonsplit_by_sample(spark, read, ids, ds.sites, path, min_anchor, strand_mode, recount, paired))
 
 
 def forget_samples(spark: SparkSession, path: str) -> None:

@@ -90,3 +90,26 @@ def test_chromosome_names(spark):
     assert as_set(counting.uniform_chromosomes(lengths)) == {("a", 5)}
     assert counting.mapped_chromosomes(frame(spark, [])).count() == 0
     assert F is not None
+
+
+def test_unpaired_reads_count_one_by_one_at_sites(spark):
+    site = spark.createDataFrame([("x", "chr1", 105, 106, "*"), ("y", "chr1", 118, 119, "*")], "site_id string, seqname string, start int, end int, strand string")
+    rows = [("a", "s", "chr1", 95, "30M", "+", 1, 60)] * 2 + [("a", "s", "chr1", 96, "30M", "+", 1, 60), ("b", "s", "chr1", 100, "6M2N6M", "+", 1, 60), ("c", "s", "chr1", 100, "8M2N30M", "-", 1, 60), ("d", "t", "chr1", 50, "20M10N40M5N10M1000N30M", "+", 1, 60), (None, "t", "chr1", 90, "40M", "+", 1, 60)]
+    reads = frame(spark, rows)
+    # b has six and four bases around x, c eight and two; the repeated row counts twice, one name three times
+    assert as_set(counting.nonsplit_counts(reads, site, paired=False)) == {("x", "s", 5), ("x", "t", 2), ("y", "s", 4), ("y", "t", 1)}
+    assert as_set(counting.nonsplit_counts(reads, site)) == {("x", "s", 3), ("x", "t", 2), ("y", "s", 2), ("y", "t", 1)}
+    both = site.withColumn("type", F.explode(F.array(F.lit("Donor"), F.lit("Acceptor"))))
+    assert as_set(counting.nonsplit_counts(reads, both, paired=False)) == {("x", "s", 5), ("x", "t", 2), ("y", "s", 4), ("y", "t", 1)}
+    without = counting.nonsplit_counts(reads.drop("mate", "mapq"), site, paired=False)
+    assert as_set(without) == {("x", "s", 5), ("x", "t", 2), ("y", "s", 4), ("y", "t", 1)}
+
+
+def test_a_long_read_of_many_introns(spark):
+    """Two thousand introns, in time that grows with the CIGAR."""
+    cigar = "30M70N" * 2000 + "30M"
+    reads = spark.createDataFrame([("r", "s", "chr1", 1, cigar, "+")], "read_id string, sample_id string, seqname string, pos int, cigar string, strand string")
+    ds = counting.count_dataset(reads, reads.select("sample_id"), paired=False, min_expression=1)
+    assert ds.j_counts.count() == 2000 and ds.ss_counts.count() == 0
+    inside = spark.createDataFrame([(str(i), "chr1", 100 * i + 15, 100 * i + 16, "*") for i in range(0, 2001, 400)], "site_id string, seqname string, start int, end int, strand string")
+    assert as_set(counting.nonsplit_counts(reads, inside, paired=False)) == {(str(i), "s", 1) for i in range(0, 2001, 400)}
