@@ -452,14 +452,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _only(docs: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     """The documents of ``ids``, by a broadcast up to a number of ids that is checked."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ROW, "left_semi")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, keys, "left_semi")
 
 
 def _with_variants(docs: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """Both with their variants, and whether texts of one doc_id differ anywhere."""
-    several = tx.written(profile.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).filter("doc_id is not null and a <> b").select("doc_id"), "several-texts")
+    digests = profile.select("doc_id", F.xxhash64("sha").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    several = tx.written(digests.filter("doc_id is not null and a <> b").select("doc_id"), "several-texts")
     n = several.count()
     if not n:
         return docs.withColumn("variant", F.lit(0).cast("long")), profile.withColumn("variant", F.lit(0).cast("long")), False
@@ -483,14 +484,16 @@ def _repeated_spans(docs: DataFrame, with_text: bool, frequent: int) -> DataFram
     profile = tx.written(docs.mapInArrow(_profile, "doc_id long, n_bytes long, sha string, chunks array<binary>"), "profile")
     docs, profile, several = _with_variants(docs, profile)
     known = docs.filter("doc_id is not null")
+    # where no doc_id has several texts, it is the only key: texts that are dealt by it for one join stay where they are for the next
+    keys = ROW if several else ROW[:1]
     total = profile.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(24, int(total) // BUCKET_BYTES)
 
-    rows = profile.select(*ROW, F.posexplode("chunks").alias("at", "chunk"))
+    rows = profile.select(*keys, F.posexplode("chunks").alias("at", "chunk"))
     firsts = rows.groupBy("chunk").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("chunk", "lo")
-    later = tx.written(rows.join(firsts, "chunk").filter("doc_id > lo").groupBy(*ROW).agg(F.collect_set("at").alias("covered")), "covered-chunks")
+    later = tx.written(rows.join(firsts, "chunk").filter("doc_id > lo").groupBy(*keys).agg(F.collect_set("at").alias("covered")), "covered-chunks")
     # minimisers are asked for by doc_id, so one that has several texts is not left out for one of them
-    whole = profile.filter("variant = 0").join(later, ROW).filter(F.size("covered") == F.size("chunks")).select("doc_id").distinct()
+    whole = profile.filter("variant = 0").join(later, keys).filter(F.size("covered") == F.size("chunks")).select("doc_id").distinct()
 
     entries = known.select("doc_id", "text").mapInArrow(_entries(buckets), "bucket long, kind int, wide int, value binary, tag binary, doc binary")
     shared = tx.written(entries.groupBy("bucket").applyInArrow(_shared(buckets, frequent), "doc_id long, value long, frequent boolean").distinct(), "shared")
@@ -500,22 +503,23 @@ def _repeated_spans(docs: DataFrame, with_text: bool, frequent: int) -> DataFram
     open_values = asked.join(often, "value", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
     by_doc = open_values.groupBy("doc_id").agg(F.collect_list("value").alias("value"), F.collect_list("frequent").alias("frequent"))
     variants = profile.filter("doc_id is not null").select(*ROW).distinct()
-    by_row = tx.written(by_doc.join(variants, "doc_id") if several else by_doc.withColumn("variant", F.lit(0).cast("long")), "shared-minimisers")
+    by_row = tx.written(by_doc.join(variants, "doc_id") if several else by_doc, "shared-minimisers")
 
-    asked = _only(known, by_row.select(*ROW)).dropDuplicates(ROW).join(by_row, ROW).join(later, ROW, "left")
+    asked = _only(known, by_row.select(*keys), keys).dropDuplicates(keys).join(by_row, keys).join(later, keys, "left")
     pieces = asked.select(*ROW, "text", "value", "frequent", "covered").mapInArrow(_open_pieces(buckets), PIECES)
     # rows that a batch has settled pass through groups of their own, dealt by document
     keyed = pieces.withColumn("bucket", F.coalesce("bucket", -1 - F.pmod("doc_id", F.lit(buckets))))
     windows = keyed.groupBy("bucket").applyInArrow(_covered, COVERED)
-    spans = tx.written(windows.groupBy(*ROW).agg(F.collect_list("start").alias("starts"), F.collect_list("n_windows").alias("counts")), "covered-windows")
+    spans = tx.written(windows.groupBy(*keys).agg(F.collect_list("start").alias("starts"), F.collect_list("n_windows").alias("counts")), "covered-windows")
 
-    found = tx.written(later.join(spans, ROW, "full"), "covered")
-    changed = _only(known, found.select(*ROW)).join(found, ROW).select(*ROW, "text", "covered", "starts", "counts")
+    found = tx.written(later.join(spans, keys, "full"), "covered")
+    changed = _only(known, found.select(*keys), keys).join(found, keys).select(*ROW, "text", "covered", "starts", "counts")
     kept = changed.mapInArrow(_kept, "doc_id long, variant long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kept = kept if several else kept.drop("variant")
     if not with_text:
-        out = profile.select(*ROW, "n_bytes", "sha").join(kept.drop("kept").dropDuplicates(ROW), ROW, "left")
+        out = profile.select(*keys, "n_bytes", "sha").join(kept.drop("kept").dropDuplicates(keys), keys, "left")
         return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
-    out = docs.join(kept.dropDuplicates(ROW), ROW, "left")
+    out = docs.join(kept.dropDuplicates(keys), keys, "left")
     return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"), F.coalesce("kept", F.col("text").cast("binary")).alias("kept"))
 
 
