@@ -102,6 +102,21 @@ def counted_nonsplit_reads(spark, sf_dir):
     return ds.ss_counts
 
 
+#: Junctions with two fragments in some sample, of which tables of every size have many.
+TWICE = EXPRESSED.replace("HAVING max(k) >= 20", "HAVING max(k) >= 2")
+
+
+@query("SELECT concat_ws(':', seqname, concat_ws('-', s, e), '*') AS site_id, sample_id, count(*) AS k FROM (SELECT seqname, s, e, sample_id, read_id FROM (SELECT DISTINCT seqname, s, e, sample_id, read_id, x FROM hit) GROUP BY ALL HAVING count(*) >= 10) GROUP BY ALL", TWICE)
+def counted_nonsplit_pairs(spark, sf_dir):
+    """Fragments at the sites of all junctions that two fragments of a sample span."""
+    return counting.count_dataset(alignments(spark, sf_dir), samples(spark, sf_dir), min_expression=2).ss_counts
+
+
+@query("SELECT concat_ws(':', seqname, concat_ws('-', start, \"end\"), strand) AS junction_id, seqname, start, \"end\", strand, concat_ws(':', seqname, concat_ws('-', start - 1, start), strand) AS start_id, concat_ws(':', seqname, concat_ws('-', \"end\", \"end\" + 1), strand) AS end_id FROM ex", TWICE)
+def counted_junctions_twice(spark, sf_dir):
+    return counting.count_dataset(alignments(spark, sf_dir), samples(spark, sf_dir), min_expression=2).junctions
+
+
 SINGLE = ALIGNMENT_SQL + """,
 ex AS (SELECT seqname, start, "end" FROM (SELECT sample_id, seqname, start, "end", count(*) AS k FROM intron GROUP BY ALL) GROUP BY ALL HAVING max(k) >= 2),
 st AS (SELECT DISTINCT seqname, start - 1 AS s, start AS e FROM ex UNION SELECT seqname, "end", "end" + 1 FROM ex)"""
