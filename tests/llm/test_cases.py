@@ -375,6 +375,14 @@ def test_cells_keep_their_columns_under_spans():
     assert html_text.render(page) == "ab  wide one  z\n    c  d      e\n1   2  3      4"
 
 
+@pytest.mark.parametrize("n", [3, 3000])
+def test_tables_of_every_size_are_aligned_alike(n):
+    for wide, gap in ((60, 61), (100, 101), (5000, html_text.GAP)):
+        page = "<table><tr><td>" + "w" * wide + "<td>b<td>cc<td>d</tr>" + "<tr><td>a<td>b<td>c<td>d</tr>" * n + "</table>"
+        head, *rows = html_text.render(page).split("\n")
+        assert head == "w" * wide + "  b  cc  d" and rows == ["a" + " " * gap + "b  c   d"] * n
+
+
 @pytest.mark.parametrize(
     ("text", "names"),
     [
