@@ -9,7 +9,7 @@ is an order by rarity. Rarity is the logarithm of the word's count over all docu
 whose size does not depend on the corpus. Lines with equal sets (by a 64-bit hash, the size and the parity map) fold into one class. Two similar sets share one of the
 ``n - ceil(n NUM / DEN) + 1`` rarest words of each (prefix filter); on that word the classes meet, and a
 pair goes on only if the sizes (length filter), the places of the word (positional filter) and a
-64-bit parity map, whose differing bits bound the symmetric difference, allow the
+parity map of 64 bits, of long lines 128, whose differing bits bound the symmetric difference, allow the
 similarity. Sets so small that only equal ones are similar (up to 3 words at 4/5) are settled by their class and
 have no prefix. First each class meets, on each of its ``LEADING`` rarest words, the earliest class and the ``BEFORE`` classes just before it only,
 which is linear in a word's group and settles nearly all members of a group of similar lines; only classes that this does not settle meet the others, by a join whose hot words Spark can split. The pairs left are verified
@@ -32,6 +32,8 @@ MIN_WORDS = 1
 BITS = 18
 #: Words of a prefix by which a class meets the earliest class and as many before it; what this does not settle meets all by all words.
 LEADING, BEFORE = 6, 3
+#: Lines of so many words have a second parity map: on 64 bits the maps of longer lines differ no more than they may, whatever the lines are.
+LONG = 48
 #: Rows of two or three numbers are broadcast up to this count, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: ``place`` has the number of a line in its lower half, and above it the number of the text among the different texts of its doc_id.
@@ -92,12 +94,23 @@ def _levels(docs: DataFrame) -> Column:
 
 def _keys(line: str, levels: Column) -> Column:
     """The distinct words of a line as numbers, the rarest first."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, _slot(h)), 56) + F.shiftrightunsigned(h, 8)))
 
+    def key(h: Column) -> Column:
+        return F.shiftleft(F.coalesce(F.get(levels, _slot(h)), F.lit(0).cast("long")), 56) + F.shiftrightunsigned(h, 8)
 
-def _parity(keys: str) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", k, F.lit(32)).bitwiseAND(F.lit(63)).cast("int"))))
+    words = F.array_remove(F.array_distinct(F.split(line, " ")), "")
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key)))
+
+
+def _parity(keys: str, half: bool = False) -> Column:
+    """A map of 64 bits, each turned by every key that falls on it; with ``half`` by those of one half of the keys only."""
+    turned = F.lit(1).cast("long")
+
+    def turn(a: Column, k: Column) -> Column:
+        by = F.call_function("shiftright", k, F.lit(38)).bitwiseAND(F.lit(1)) if half else turned
+        return a.bitwiseXOR(F.call_function("shiftleft", by, F.call_function("shiftright", k, F.lit(32)).bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate(keys, F.lit(0).cast("long"), turn)
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -118,29 +131,35 @@ def _numbered(gone: DataFrame) -> DataFrame:
 def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int, min_words: int) -> DataFrame:
     docs = _with_copy(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null"), copies, "copy")
     levels = _levels(docs)
-    keyed = _lines(docs).select(*LINE, _keys("line", levels).alias("keys")).filter(F.size("keys") >= max(min_words, 1))
+    keyed = _lines(docs).select(*LINE, _keys("line", levels).alias("keys"))
     n = F.size("keys")
     # a set of n words can be similar to one of n + 1 only if den n >= num (n + 1); smaller ones match equal sets alone
     small = n * (den - num) < num
     prefix = F.when(small, F.array().cast("array<bigint>")).otherwise(F.slice("keys", 1, n - F.ceil(n * num / F.lit(float(den)) - 1e-9).cast("int") + 1))
     # in a prefix a word is known by 31 bits: words that fall together only add candidates
     short = F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    facts = tx.written(keyed.select(*LINE, F.xxhash64("keys").alias("set"), n.alias("n"), _parity("keys").alias("parity"), short.alias("prefix")), "lines")
+    half = F.when(n >= LONG, _parity("keys", True))
+    facts = tx.written(keyed.select(*LINE, F.xxhash64("keys").alias("set"), n.alias("n"), _parity("keys").alias("parity"), half.alias("half"), short.alias("prefix")), "lines")
+    # not before the table is written, or the words of a line would be hashed and ordered twice
+    facts = facts.filter(F.col("n") >= max(min_words, 1))
     same = ["set", "n", "parity"]
-    folded = facts.groupBy(*same).agg(F.min(F.struct(*LINE)).alias("head"), F.count(F.lit(1)).alias("members"), F.any_value("prefix").alias("prefix"))
-    classes = tx.written(folded.select("head.*", *same, "members", "prefix"), "classes")
-    rows = classes.select(*LINE, "n", "parity", F.posexplode("prefix").alias("i", "word"))
+    folded = facts.groupBy(*same).agg(F.min(F.struct(*LINE)).alias("head"), F.count(F.lit(1)).alias("members"), F.any_value("half").alias("half"), F.any_value("prefix").alias("prefix"))
+    classes = tx.written(folded.select("head.*", *same, "half", "members", "prefix"), "classes")
+    rows = classes.select(*LINE, "n", "parity", "half", F.posexplode("prefix").alias("i", "word"))
 
     def may_match(x: str, y: str) -> Column:
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
         left = F.least(nx - F.col(f"{x}i"), ny - F.col(f"{y}i"))
-        differ = F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity")))
+        differ = F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity"))
+        own = F.coalesce(F.col(f"{x}half").bitwiseXOR(F.col(f"{y}half")), F.lit(0).cast("long"))
+        # the bits that differ in one half of the keys and those in the other; of short lines the bits of all keys
+        differ = F.bit_count(own) + F.bit_count(own.bitwiseXOR(differ))
         # symmetric difference <= (nx + ny) (den - num) / (den + num)
         return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (left * (num + den) >= num * (nx + ny)) & (differ * (num + den) <= (den - num) * (nx + ny))
 
     other = ["o_doc_id", "o_place"]
     near = Window.partitionBy("word").orderBy(*LINE)
-    own = F.struct(*LINE, "n", "parity", "i")
+    own = F.struct(*LINE, "n", "parity", "half", "i")
     few = F.array(F.first(own).over(near), *[F.lag(own, k).over(near) for k in range(1, BEFORE + 1)])
     led = rows.filter(F.col("i") < LEADING).withColumn("few", few).withColumn("lead", F.explode(F.array_distinct("few"))).drop("few").filter("lead is not null and (doc_id <> lead.doc_id or place <> lead.place)").filter(may_match("", "lead."))
     first = tx.written(led.select(*LINE, F.col("lead.doc_id").alias("o_doc_id"), F.col("lead.place").alias("o_place"), (F.col("n") + F.col("lead.n")).alias("total")).distinct(), "line-pairs")

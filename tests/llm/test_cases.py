@@ -375,6 +375,27 @@ def test_cells_keep_their_columns_under_spans():
     assert html_text.render(page) == "ab  wide one  z\n    c  d      e\n1   2  3      4"
 
 
+def test_long_lines_meet_few_others_and_are_hashed_once(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    lines = [rng.sample(vocabulary, 150) for _ in range(300)]
+    for k in (60, 61):  # 33 words may differ in all
+        lines.append(lines[k][:-8] + [f"new{k}{i}" for i in range(8)])
+    found, plans, write = {}, [], tx.written
+
+    def watched(df, name, keep=False):
+        out = write(df, name, keep)
+        found[name] = found.get(name, 0) + out.count()
+        if name == "lines":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(tx, "written", watched)
+    got = line_dedup.similar_lines(frame(spark, [(i, " ".join(x)) for i, x in enumerate(lines)])).collect()
+    assert sorted(r.doc_id for r in got) == [300, 301]
+    assert found["wanted"] <= 40 and "sort_array" in plans[0] and plans[0].count("sort_array") == 1
+
+
 @pytest.mark.parametrize("n", [3, 3000])
 def test_tables_of_every_size_are_aligned_alike(n):
     for wide, gap in ((60, 61), (100, 101), (5000, html_text.GAP)):
