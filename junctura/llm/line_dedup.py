@@ -4,13 +4,13 @@ A line is the set of its lower-cased words. Of two lines with Jaccard similarity
 later one, by (doc_id, place), goes; lines are judged on the input. Lines of fewer than ``min_words`` distinct words
 stay; by default every line that has a word is judged.
 
-Words are 56-bit hashes with the rarity of the word in the bits above, so the natural order of the numbers
+Words are 57-bit hashes with the rarity of the word in the bits above, so the natural order of the numbers
 is an order by rarity. Rarity is the logarithm of the word's count over all documents, in a table of ``2 ** BITS`` hashed counters,
-whose size does not depend on the corpus. Lines with equal sets (by a 64-bit hash, the size and the parity map) fold into one class. Two similar sets share one of the
+whose size does not depend on the corpus. Lines with equal sets (by a 64-bit hash, the size and the first half of the parity map) fold into one class. Two similar sets share one of the
 ``n - ceil(n NUM / DEN) + 1`` rarest words of each (prefix filter); on that word the classes meet, and a
 pair goes on only if the sizes (length filter), the places of the word (positional filter) and a
-parity map of 64 bits, of long lines 128, whose differing bits bound the symmetric difference, allow the
-similarity. Sets so small that only equal ones are similar (up to 3 words at 4/5) are settled by their class and
+parity map, whose differing bits bound the symmetric difference, allow the
+similarity. The map has 64 bits for the words up to the rarity that halves the corpus, and 64 for the others. Sets so small that only equal ones are similar (up to 3 words at 4/5) are settled by their class and
 have no prefix. First each class meets, on each of its ``LEADING`` rarest words, the earliest class and the ``BEFORE`` classes just before it only,
 which is linear in a word's group and settles nearly all members of a group of similar lines; only classes that this does not settle meet the others, by a join whose hot words Spark can split. The pairs left are verified
 on the words of the lines themselves.
@@ -32,8 +32,6 @@ MIN_WORDS = 1
 BITS = 18
 #: Words of a prefix by which a class meets the earliest class and as many before it; what this does not settle meets all by all words.
 LEADING, BEFORE = 6, 3
-#: Lines of so many words have a second parity map: on 64 bits the maps of longer lines differ no more than they may, whatever the lines are.
-LONG = 48
 #: Rows of two or three numbers are broadcast up to this count, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: ``place`` has the number of a line in its lower half, and above it the number of the text among the different texts of its doc_id.
@@ -78,39 +76,49 @@ def _slot(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 64 - BITS).cast("int")
 
 
-def _levels(docs: DataFrame) -> Column:
-    """The rarity level of each counter, as one literal array of 2 ** BITS numbers."""
+def _levels(docs: DataFrame) -> tuple[Column, int]:
+    """What turns the seven upper bits of a word's hash into its rarity level, for each counter, as one literal array of 2 ** BITS numbers; and the level that halves the words."""
     words = docs.select(F.explode(F.split(F.replace(F.lower(_plain_blanks("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.least(F.lit(120), 1 + F.floor(4 * F.log2(F.count(F.lit(1))))).cast("int").alias("level"))
-    # 2 ** BITS pairs at most, packed into a few strings by the JVM
-    packed = counts.groupBy((F.col("slot") / 4096).cast("int").alias("part")).agg(F.array_join(F.collect_list(F.concat_ws(":", "slot", "level")), ",").alias("levels"))
-    found = ["0"] * (1 << BITS)
+    # a row for 2 ** 2 counters, so that the partial counts of a task stay in Spark's small hash map
+    slots = words.select(_slot(F.xxhash64("w")).alias("slot")).select(F.shiftright("slot", 2).alias("row"), F.col("slot").bitwiseAND(F.lit(3)).alias("at"))
+    counts = slots.groupBy("row").agg(*[F.count_if(F.col("at") == k).alias(f"n{k}") for k in range(4)])
+    # 2 ** BITS levels at most, packed into a few strings by the JVM
+    row = F.concat_ws(":", "row", *[F.when(F.col(f"n{k}") > 0, F.least(F.lit(120), 1 + F.floor(4 * F.log2(f"n{k}")))).otherwise(0).cast("int") for k in range(4)])
+    packed = counts.groupBy((F.col("row") / 1024).cast("int").alias("part")).agg(F.array_join(F.collect_list(row), ",").alias("levels"))
+    found = [0] * (1 << BITS)
     for r in packed.collect():
-        for pair in r.levels.split(","):
-            slot, _, level = pair.partition(":")
-            found[int(slot)] = level
-    return F.split(F.lit(",".join(found)), ",").cast("array<bigint>")
-
-
-def _keys(line: str, levels: Column) -> Column:
-    """The distinct words of a line as numbers, the rarest first."""
+        for part in r.levels.split(","):
+            at, *levels = map(int, part.split(":"))
+            found[4 * at : 4 * at + 4] = levels
+    # the counts that the levels stand for
+    weights = [0.0] * 128
+    for at in found:
+        weights[at] += 2 ** ((at - 1) / 4) if at else 0
+    middle, below = 0, 0.0
+    while middle < 120 and below + weights[middle] <= sum(weights) / 2:
+        below += weights[middle]
+        middle += 1
+    # the upper bit is the sign: levels from 64 on are positive numbers
+    turns = ",".join(str(at ^ 64 ^ (slot >> (BITS - 7))) for slot, at in enumerate(found))
+    return F.split(F.lit(turns), ",").cast("array<bigint>"), (middle - 64) << 57
+
+
+def _marked_keys(line: str, levels: Column, mark: int) -> Column:
+    """The distinct words of a line as numbers, the rarest first, and among them ``mark``."""
 
     def key(h: Column) -> Column:
-        return F.shiftleft(F.coalesce(F.get(levels, _slot(h)), F.lit(0).cast("long")), 56) + F.shiftrightunsigned(h, 8)
-
-    words = F.array_remove(F.array_distinct(F.split(line, " ")), "")
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key)))
-
+        turn = F.coalesce(F.get(levels, F.shiftrightunsigned(h, 64 - BITS)), F.lit(0).cast("long"))
+        return h.bitwiseXOR(F.shiftleft(turn, 57))
 
-def _parity(keys: str, half: bool = False) -> Column:
-    """A map of 64 bits, each turned by every key that falls on it; with ``half`` by those of one half of the keys only."""
-    turned = F.lit(1).cast("long")
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    words = F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))
+    return F.sort_array(F.concat(F.transform(words, key), F.array(F.lit(mark).cast("long"))))
 
-    def turn(a: Column, k: Column) -> Column:
-        by = F.call_function("shiftright", k, F.lit(38)).bitwiseAND(F.lit(1)) if half else turned
-        return a.bitwiseXOR(F.call_function("shiftleft", by, F.call_function("shiftright", k, F.lit(32)).bitwiseAND(F.lit(63)).cast("int")))
 
-    return F.aggregate(keys, F.lit(0).cast("long"), turn)
+def _parity(keys: str) -> Column:
+    """A map of 64 bits, each turned by every key that falls on it."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -130,16 +138,18 @@ def _numbered(gone: DataFrame) -> DataFrame:
 
 def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int, min_words: int) -> DataFrame:
     docs = _with_copy(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null"), copies, "copy")
-    levels = _levels(docs)
-    keyed = _lines(docs).select(*LINE, _keys("line", levels).alias("keys"))
-    n = F.size("keys")
+    levels, mark = _levels(docs)
+    marked = _lines(docs).select(*LINE, _marked_keys("line", levels, mark).alias("keys"))
+    halves = marked.withColumns({"n": F.size("keys") - 1, "cut": F.array_position("keys", F.lit(mark).cast("long")).cast("int")})
+    halves = halves.withColumns({"rare": F.slice("keys", 1, F.col("cut") - 1), "common": F.slice("keys", F.col("cut") + 1, F.size("keys"))})
+    n = F.col("n")
     # a set of n words can be similar to one of n + 1 only if den n >= num (n + 1); smaller ones match equal sets alone
     small = n * (den - num) < num
-    prefix = F.when(small, F.array().cast("array<bigint>")).otherwise(F.slice("keys", 1, n - F.ceil(n * num / F.lit(float(den)) - 1e-9).cast("int") + 1))
+    wanted = F.slice(F.concat("rare", "common"), 1, n - F.ceil(n * num / F.lit(float(den)) - 1e-9).cast("int") + 1)
+    prefix = F.when(small, F.array().cast("array<bigint>")).otherwise(wanted)
     # in a prefix a word is known by 31 bits: words that fall together only add candidates
     short = F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    half = F.when(n >= LONG, _parity("keys", True))
-    facts = tx.written(keyed.select(*LINE, F.xxhash64("keys").alias("set"), n.alias("n"), _parity("keys").alias("parity"), half.alias("half"), short.alias("prefix")), "lines")
+    facts = tx.written(halves.select(*LINE, F.xxhash64("keys").alias("set"), "n", _parity("rare").alias("parity"), _parity("common").alias("half"), short.alias("prefix")), "lines")
     # not before the table is written, or the words of a line would be hashed and ordered twice
     facts = facts.filter(F.col("n") >= max(min_words, 1))
     same = ["set", "n", "parity"]
@@ -150,10 +160,8 @@ def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int
     def may_match(x: str, y: str) -> Column:
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
         left = F.least(nx - F.col(f"{x}i"), ny - F.col(f"{y}i"))
-        differ = F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity"))
-        own = F.coalesce(F.col(f"{x}half").bitwiseXOR(F.col(f"{y}half")), F.lit(0).cast("long"))
-        # the bits that differ in one half of the keys and those in the other; of short lines the bits of all keys
-        differ = F.bit_count(own) + F.bit_count(own.bitwiseXOR(differ))
+        # the bits that differ in the rarer half of the keys and those in the other
+        differ = F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity"))) + F.bit_count(F.col(f"{x}half").bitwiseXOR(F.col(f"{y}half")))
         # symmetric difference <= (nx + ny) (den - num) / (den + num)
         return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (left * (num + den) >= num * (nx + ny)) & (differ * (num + den) <= (den - num) * (nx + ny))
 
@@ -161,7 +169,7 @@ def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int
     near = Window.partitionBy("word").orderBy(*LINE)
     own = F.struct(*LINE, "n", "parity", "half", "i")
     few = F.array(F.first(own).over(near), *[F.lag(own, k).over(near) for k in range(1, BEFORE + 1)])
-    led = rows.filter(F.col("i") < LEADING).withColumn("few", few).withColumn("lead", F.explode(F.array_distinct("few"))).drop("few").filter("lead is not null and (doc_id <> lead.doc_id or place <> lead.place)").filter(may_match("", "lead."))
+    led = rows.filter(F.col("i") < LEADING).withColumn("few", few).withColumn("lead", F.explode("few")).drop("few").filter("lead is not null and (doc_id <> lead.doc_id or place <> lead.place)").filter(may_match("", "lead."))
     first = tx.written(led.select(*LINE, F.col("lead.doc_id").alias("o_doc_id"), F.col("lead.place").alias("o_place"), (F.col("n") + F.col("lead.n")).alias("total")).distinct(), "line-pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -176,12 +184,13 @@ def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int
         return pairs.join(a, LINE).join(b, other).filter(both * (num + den) >= num * F.col("total")).select(*LINE).distinct()
 
     settled = tx.written(verified(first), "settled")
-    rest = rows.join(_small(settled.withColumn("done", F.lit(1))), LINE, "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    marked = classes.join(_small(settled.withColumn("done", F.lit(1))), LINE, "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    rest = marked.select(*LINE, "n", "parity", "half", "done", F.posexplode("prefix").alias("i", "word"))
     x, y = rest.alias("x"), rest.alias("y")
     earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.place") < F.col("x.place")))
     # written over both sides, so that these keep one plan and share one exchange
     not_settled = F.col("x.done") * (F.col("y.done") + 1) == 0
-    meet = x.join(y, (F.col("x.word") == F.col("y.word")) & not_settled & earlier & may_match("x.", "y."))
+    meet = x.join(y, (F.col("x.word") == F.col("y.word")) & earlier & may_match("x.", "y.") & not_settled)
     second = meet.select(F.col("x.doc_id").alias("doc_id"), F.col("x.place").alias("place"), F.col("y.doc_id").alias("o_doc_id"), F.col("y.place").alias("o_place"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
     second = tx.written(second.join(first, [*LINE, *other], "left_anti"), "line-pairs")
     gone = settled.unionByName(verified(second)).distinct().withColumn("gone", F.lit(True))

@@ -396,6 +396,28 @@ def test_long_lines_meet_few_others_and_are_hashed_once(spark, monkeypatch):
     assert found["wanted"] <= 40 and "sort_array" in plans[0] and plans[0].count("sort_array") == 1
 
 
+def test_words_of_a_line_are_made_distinct_once_and_fall_on_one_map_each(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(150)]
+    lines = [rng.choices(vocabulary, weights=range(1, 151), k=rng.choice([1, 3, 4, 9, 20, 47, 90])) for _ in range(150)]
+    for x in lines[:60]:
+        lines.append([w if rng.random() < 0.9 else rng.choice(vocabulary) for w in x] + [x[0], "", f"new{rng.randrange(20)}"][: rng.randrange(4)])
+    rng.shuffle(lines)
+    sets = [set(x) - {""} for x in lines]
+    plans, write = {}, tx.written
+
+    def watched(df, name, keep=False):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name, keep)
+
+    monkeypatch.setattr(tx, "written", watched)
+    got = line_dedup.similar_lines(frame(spark, [(i, rng.choice(["  ", " \t", " "]).join(x)) for i, x in enumerate(lines)])).collect()
+    want = {i for i, a in enumerate(sets) if any(5 * len(a & b) >= 4 * len(a | b) for b in sets[:i])}
+    assert {r.doc_id for r in got} == want and len(want) > 20
+    assert "array_distinct" not in plans["lines"] and plans["lines"].count("array_except") == 1
+    assert sorted(re.findall(r"\baggregate\((\w+)#", plans["lines"])) == ["common", "rare"]
+
+
 @pytest.mark.parametrize("n", [3, 3000])
 def test_tables_of_every_size_are_aligned_alike(n):
     for wide, gap in ((60, 61), (100, 101), (5000, html_text.GAP)):
