@@ -196,6 +196,7 @@ def _units(path: str, words_apart: bool):
                     yield batch.column("doc_id").slice(first, end - first), own.documents(data, bounds)
         finally:  # a worker lives on after its task and must not hold the tables
             own.words, own.chunks = Table(WORD_BYTES), Table(CHUNK_BYTES)
+            tx.release_memory()
 
     return run
 

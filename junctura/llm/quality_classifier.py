@@ -182,6 +182,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
         for batch in batches:
             p = model.scores(_views(batch)) if model else np.full((len(batch), 3), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(3))], names=[*batch.schema.names, "p_text", "p_meta", "score"])
+        tx.release_memory()
 
     return own.mapInArrow(scored, fields).withColumn("kept", F.col("score") >= 0.5)
 

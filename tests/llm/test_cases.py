@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -418,6 +419,21 @@ def test_words_of_a_line_are_made_distinct_once_and_fall_on_one_map_each(spark,
     assert sorted(re.findall(r"\baggregate\((\w+)#", plans["lines"])) == ["common", "rare"]
 
 
+def test_tasks_of_the_pipeline_give_their_memory_back(spark, monkeypatch):
+    name, said = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    monkeypatch.setattr(tx, "release_memory", lambda: said.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b", None]})
+    assert len(list(bpe._units(bpe.tokenizer_path(), True)(iter([batch])))) == 1 and said == [1]
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(name, given)
+            pipeline.encoded(spark, frame(spark, [(1, "a")]), "")
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("n", [3, 3000])
 def test_tables_of_every_size_are_aligned_alike(n):
     for wide, gap in ((60, 61), (100, 101), (5000, html_text.GAP)):
