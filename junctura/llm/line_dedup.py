@@ -22,6 +22,7 @@ the text; repeated lines within a document count as later copies; extra columns
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators import ranks
@@ -76,11 +77,17 @@ def _slot(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 64 - BITS).cast("int")
 
 
-def _levels(docs: DataFrame) -> tuple[Column, int]:
+def _words(line: str) -> Column:
+    """The hashes of the distinct words of a line."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))
+
+
+def _levels(words: DataFrame) -> tuple[Column, int]:
     """What turns the seven upper bits of a word's hash into its rarity level, for each counter, as one literal array of 2 ** BITS numbers; and the level that halves the words."""
-    words = docs.select(F.explode(F.split(F.replace(F.lower(_plain_blanks("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    hashes = words.select(F.explode("words").alias("w"))
     # a row for 2 ** 2 counters, so that the partial counts of a task stay in Spark's small hash map
-    slots = words.select(_slot(F.xxhash64("w")).alias("slot")).select(F.shiftright("slot", 2).alias("row"), F.col("slot").bitwiseAND(F.lit(3)).alias("at"))
+    slots = hashes.select(_slot(F.col("w")).alias("slot")).select(F.shiftright("slot", 2).alias("row"), F.col("slot").bitwiseAND(F.lit(3)).alias("at"))
     counts = slots.groupBy("row").agg(*[F.count_if(F.col("at") == k).alias(f"n{k}") for k in range(4)])
     # 2 ** BITS levels at most, packed into a few strings by the JVM
     row = F.concat_ws(":", "row", *[F.when(F.col(f"n{k}") > 0, F.least(F.lit(120), 1 + F.floor(4 * F.log2(f"n{k}")))).otherwise(0).cast("int") for k in range(4)])
@@ -103,15 +110,13 @@ def _levels(docs: DataFrame) -> tuple[Column, int]:
     return F.split(F.lit(turns), ",").cast("array<bigint>"), (middle - 64) << 57
 
 
-def _marked_keys(line: str, levels: Column, mark: int) -> Column:
-    """The distinct words of a line as numbers, the rarest first, and among them ``mark``."""
+def _marked_keys(words: str, levels: Column, mark: int) -> Column:
+    """The distinct words of a line, given as hashes, as numbers, the rarest first, and among them ``mark``."""
 
     def key(h: Column) -> Column:
         turn = F.coalesce(F.get(levels, F.shiftrightunsigned(h, 64 - BITS)), F.lit(0).cast("long"))
         return h.bitwiseXOR(F.shiftleft(turn, 57))
 
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    words = F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))
     return F.sort_array(F.concat(F.transform(words, key), F.array(F.lit(mark).cast("long"))))
 
 
@@ -136,10 +141,10 @@ def _numbered(gone: DataFrame) -> DataFrame:
     return tx.written(parted, "similar-lines", keep=True)
 
 
-def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int, min_words: int) -> DataFrame:
-    docs = _with_copy(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null"), copies, "copy")
-    levels, mark = _levels(docs)
-    marked = _lines(docs).select(*LINE, _marked_keys("line", levels, mark).alias("keys"))
+def _facts(words: DataFrame, num: int, den: int) -> DataFrame:
+    """For each line its set, size, parity maps and prefix."""
+    levels, mark = _levels(words)
+    marked = words.select(*LINE, _marked_keys("words", levels, mark).alias("keys"))
     halves = marked.withColumns({"n": F.size("keys") - 1, "cut": F.array_position("keys", F.lit(mark).cast("long")).cast("int")})
     halves = halves.withColumns({"rare": F.slice("keys", 1, F.col("cut") - 1), "common": F.slice("keys", F.col("cut") + 1, F.size("keys"))})
     n = F.col("n")
@@ -149,8 +154,18 @@ def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int
     prefix = F.when(small, F.array().cast("array<bigint>")).otherwise(wanted)
     # in a prefix a word is known by 31 bits: words that fall together only add candidates
     short = F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    facts = tx.written(halves.select(*LINE, F.xxhash64("keys").alias("set"), "n", _parity("rare").alias("parity"), _parity("common").alias("half"), short.alias("prefix")), "lines")
-    # not before the table is written, or the words of a line would be hashed and ordered twice
+    return tx.written(halves.select(*LINE, F.xxhash64("keys").alias("set"), "n", _parity("rare").alias("parity"), _parity("common").alias("half"), short.alias("prefix")), "lines")
+
+
+def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int, min_words: int) -> DataFrame:
+    docs = _with_copy(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null"), copies, "copy")
+    # words are hashed once, for the counters and for the keys: Spark keeps the hashes on its disks in between
+    hashed = _lines(docs).select(*LINE, _words("line").alias("words")).persist(StorageLevel.DISK_ONLY)
+    try:
+        facts = _facts(hashed, num, den)
+    finally:
+        hashed.unpersist(blocking=True)
+    # not before the table is written, or the words of a line would be ordered twice
     facts = facts.filter(F.col("n") >= max(min_words, 1))
     same = ["set", "n", "parity"]
     folded = facts.groupBy(*same).agg(F.min(F.struct(*LINE)).alias("head"), F.count(F.lit(1)).alias("members"), F.any_value("half").alias("half"), F.any_value("prefix").alias("prefix"))

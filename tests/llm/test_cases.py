@@ -419,6 +419,25 @@ def test_words_of_a_line_are_made_distinct_once_and_fall_on_one_map_each(spark,
     assert sorted(re.findall(r"\baggregate\((\w+)#", plans["lines"])) == ["common", "rare"]
 
 
+def test_words_of_a_line_are_hashed_once_for_counters_and_keys(spark, monkeypatch):
+    plans, write, levels = {}, tx.written, line_dedup._levels
+
+    def watched(df, name, keep=False):
+        plans.setdefault(name, df._jdf.queryExecution().withCachedData().toString())
+        return write(df, name, keep)
+
+    def counted(rows):
+        plans["counters"] = rows._jdf.queryExecution().withCachedData().toString()
+        return levels(rows)
+
+    monkeypatch.setattr(tx, "written", watched)
+    monkeypatch.setattr(line_dedup, "_levels", counted)
+    docs = frame(spark, [(1, "a b c d e f g h i j\nx"), (2, "A b c d e f g h i J k"), (3, "")])
+    assert [(r.doc_id, r.place) for r in line_dedup.similar_lines(docs).collect()] == [(2, 0)]
+    assert "InMemoryRelation" in plans["counters"] and "InMemoryRelation" in plans["lines"]
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_tasks_of_the_pipeline_give_their_memory_back(spark, monkeypatch):
     name, said = "spark.sql.execution.arrow.maxRecordsPerBatch", []
     monkeypatch.setattr(tx, "release_memory", lambda: said.append(1))
