@@ -22,8 +22,11 @@ the text; repeated lines within a document count as later copies; extra columns
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators import ranks
 from . import text as tx
@@ -35,6 +38,8 @@ BITS = 18
 LEADING, BEFORE = 6, 3
 #: Rows of two or three numbers are broadcast up to this count, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: From as many partitions on a file for each is too many.
+MANY_FILES = 64
 #: ``place`` has the number of a line in its lower half, and above it the number of the text among the different texts of its doc_id.
 LINE = ["doc_id", "place"]
 
@@ -157,6 +162,18 @@ def _facts(words: DataFrame, num: int, den: int) -> DataFrame:
     return tx.written(halves.select(*LINE, F.xxhash64("keys").alias("set"), "n", _parity("rare").alias("parity"), _parity("common").alias("half"), short.alias("prefix")), "lines")
 
 
+def _dealt(classes: DataFrame, num: int, den: int, *more: str) -> DataFrame:
+    """A row for each word of a prefix, with ``most``: the words of the largest set that a class of n words can be similar to if this word, its i-th, is the first in both.
+
+    Two sets share min(nx - ix, ny - iy) words at most there and need (nx + ny) num / (num + den). Taken apart, that is a number for
+    each side, and it holds the length filter, too. No column can be null, so a join does not ask for each pair.
+    """
+    rows = classes.select(*LINE, "n", "parity", "half", *more, F.posexplode("prefix").alias("i", "word"))
+    most = F.floor(((num + den) * (F.col("n").cast("long") - F.col("i")) - num * F.col("n").cast("long")) / F.lit(float(num)) + 1e-9).cast("long")
+    sure = [F.coalesce(c, F.lit(0)).alias(c) for c in (*LINE, "n", "parity", "half", *more, "word")]
+    return rows.select(*sure, "i", F.coalesce(most, F.lit(0)).alias("most"))
+
+
 def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int, min_words: int) -> DataFrame:
     docs = _with_copy(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null"), copies, "copy")
     # words are hashed once, for the counters and for the keys: Spark keeps the hashes on its disks in between
@@ -170,19 +187,18 @@ def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int
     same = ["set", "n", "parity"]
     folded = facts.groupBy(*same).agg(F.min(F.struct(*LINE)).alias("head"), F.count(F.lit(1)).alias("members"), F.any_value("half").alias("half"), F.any_value("prefix").alias("prefix"))
     classes = tx.written(folded.select("head.*", *same, "half", "members", "prefix"), "classes")
-    rows = classes.select(*LINE, "n", "parity", "half", F.posexplode("prefix").alias("i", "word"))
+    rows = _dealt(classes, num, den)
 
     def may_match(x: str, y: str) -> Column:
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
-        left = F.least(nx - F.col(f"{x}i"), ny - F.col(f"{y}i"))
         # the bits that differ in the rarer half of the keys and those in the other
         differ = F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity"))) + F.bit_count(F.col(f"{x}half").bitwiseXOR(F.col(f"{y}half")))
         # symmetric difference <= (nx + ny) (den - num) / (den + num)
-        return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (left * (num + den) >= num * (nx + ny)) & (differ * (num + den) <= (den - num) * (nx + ny))
+        return (ny <= F.col(f"{x}most")) & (nx <= F.col(f"{y}most")) & (differ * (num + den) <= (den - num) * (nx + ny))
 
     other = ["o_doc_id", "o_place"]
     near = Window.partitionBy("word").orderBy(*LINE)
-    own = F.struct(*LINE, "n", "parity", "half", "i")
+    own = F.struct(*LINE, "n", "parity", "half", "most")
     few = F.array(F.first(own).over(near), *[F.lag(own, k).over(near) for k in range(1, BEFORE + 1)])
     led = rows.filter(F.col("i") < LEADING).withColumn("few", few).withColumn("lead", F.explode("few")).drop("few").filter("lead is not null and (doc_id <> lead.doc_id or place <> lead.place)").filter(may_match("", "lead."))
     first = tx.written(led.select(*LINE, F.col("lead.doc_id").alias("o_doc_id"), F.col("lead.place").alias("o_place"), (F.col("n") + F.col("lead.n")).alias("total")).distinct(), "line-pairs")
@@ -200,12 +216,13 @@ def _similar_lines(docs: DataFrame, copies: DataFrame | None, num: int, den: int
 
     settled = tx.written(verified(first), "settled")
     marked = classes.join(_small(settled.withColumn("done", F.lit(1))), LINE, "left").withColumn("done", F.coalesce("done", F.lit(0)))
-    rest = marked.select(*LINE, "n", "parity", "half", "done", F.posexplode("prefix").alias("i", "word"))
+    rest = _dealt(marked, num, den, "done").drop("i")
     x, y = rest.alias("x"), rest.alias("y")
     earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.place") < F.col("x.place")))
     # written over both sides, so that these keep one plan and share one exchange
     not_settled = F.col("x.done") * (F.col("y.done") + 1) == 0
-    meet = x.join(y, (F.col("x.word") == F.col("y.word")) & earlier & may_match("x.", "y.") & not_settled)
+    # nearly all pairs that a word brings together end at the first conditions
+    meet = x.join(y, (F.col("x.word") == F.col("y.word")) & may_match("x.", "y.") & earlier & not_settled)
     second = meet.select(F.col("x.doc_id").alias("doc_id"), F.col("x.place").alias("place"), F.col("y.doc_id").alias("o_doc_id"), F.col("y.place").alias("o_place"), (F.col("x.n") + F.col("y.n")).alias("total")).distinct()
     second = tx.written(second.join(first, [*LINE, *other], "left_anti"), "line-pairs")
     gone = settled.unionByName(verified(second)).distinct().withColumn("gone", F.lit(True))
@@ -235,12 +252,31 @@ def dedup_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_words: int
     return joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size(places), F.lit(0)).cast("long"), "text": F.when(F.col(places).isNotNull(), kept).otherwise(F.col("text"))}).drop(places)
 
 
+@contextlib.contextmanager
+def one_file_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, shuffles have enough partitions that a task writes one file for all of them.
+
+    Up to 200 partitions, which is also the usual number, a task without sums opens a file for each; over many tasks these cost more than the rows.
+    Sessions that have set a few partitions keep them.
+    """
+    name, most = "spark.sql.shuffle.partitions", int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    old = spark.conf.get(name)
+    if MANY_FILES <= int(old) <= most:
+        spark.conf.set(name, str(most + 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = tx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    drop, copies = _removed_places(docs, NUM, DEN, MIN_WORDS)
-    squares = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + (p + 1).cast("long") * (p + 1))
-    lines = _with_copy(docs, copies, "copy").select(F.col("doc_id").cast("long").alias("doc_id"), "copy", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    return lines.join(drop, ["doc_id", "copy"], "left").select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(squares, F.lit(0)).cast("long").alias("place_squares"))
+    with one_file_shuffles(spark):
+        drop, copies = _removed_places(docs, NUM, DEN, MIN_WORDS)
+        squares = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + (p + 1).cast("long") * (p + 1))
+        lines = _with_copy(docs, copies, "copy").select(F.col("doc_id").cast("long").alias("doc_id"), "copy", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+        counts = lines.join(drop, ["doc_id", "copy"], "left").select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(squares, F.lit(0)).cast("long").alias("place_squares"))
+        return tx.written(counts, "line-counts", keep=True)
 
 
 OP1_SQL = r"""

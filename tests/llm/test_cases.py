@@ -438,6 +438,38 @@ def test_words_of_a_line_are_hashed_once_for_counters_and_keys(spark, monkeypatc
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def test_line_query_shuffles_into_one_file_a_task_and_leaves_the_session_as_it_was(spark, tmp_path, monkeypatch):
+    frame(spark, [(1, "a b c d e f g h i j\nx"), (2, "A b c d e f g h i J k"), (3, "")]).write.parquet(str(tmp_path / "documents.parquet"))
+    name, seen, write = "spark.sql.shuffle.partitions", set(), tx.written
+
+    def watched(df, table, keep=False):
+        seen.add(spark.conf.get(name))
+        return write(df, table, keep)
+
+    monkeypatch.setattr(tx, "written", watched)
+    old = spark.conf.get(name)
+    try:
+        for own, inside in ((200, "201"), (8, "8"), (900, "900")):
+            seen.clear()
+            spark.conf.set(name, own)
+            assert sorted(tuple(r) for r in registry.QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()) == [(1, 2, 0, 0), (2, 1, 1, 1), (3, 1, 0, 0)]
+            assert seen == {inside} and spark.conf.get(name) == str(own)
+    finally:
+        spark.conf.set(name, old)
+
+
+@pytest.mark.parametrize("num, den", [(4, 5), (2, 3), (1, 2), (9, 10)])
+def test_most_words_of_a_partner_are_those_of_the_filters_by_length_and_place(spark, num, den):
+    sets = [(n, 0, n, 0, 0, list(range(n - -(-n * num // den) + 1))) for n in range(1, 41)]
+    rows = line_dedup._dealt(spark.createDataFrame(sets, "doc_id long, place long, n int, parity long, half long, prefix array<int>"), num, den)
+    assert not any(f.nullable for f in rows.schema if f.name != "i")
+    found = [(r.n, r.i, r.most) for r in rows.collect()]
+    for nx, ix, mx in found:
+        for ny, iy, my in found:
+            old = den * min(nx, ny) >= num * max(nx, ny) and min(nx - ix, ny - iy) * (num + den) >= num * (nx + ny)
+            assert (ny <= mx and nx <= my) == old
+
+
 def test_tasks_of_the_pipeline_give_their_memory_back(spark, monkeypatch):
     name, said = "spark.sql.execution.arrow.maxRecordsPerBatch", []
     monkeypatch.setattr(tx, "release_memory", lambda: said.append(1))
