@@ -57,8 +57,8 @@ def encoder_subset(cells: DataFrame, n: int = 15_000, min_delta: float = 0.1, se
 def fit(cells: DataFrame, q: int | None = None, implementation: str = "PCA", iterations: int = 15, included: DataFrame | None = None, noise: float = 0.0, n_subset: int = 15_000, min_delta: float = 0.1, seed: int = 42) -> DataFrame:
     """junction_id, sample_id, mu and rho by one of ``IMPLEMENTATIONS``; all but BB need the number of latent dimensions.
 
-    All but those of ``FULL`` find the latent values in a subset of junctions: those that ``included`` (junction_id, included) says, or ``encoder_subset`` (all junctions where that has fewer than twice
-    the latent dimensions). ``noise`` corrupts the inputs of encoders that are fitted.
+    All but those of ``FULL`` find the latent values in a subset of junctions: those that ``included`` (junction_id, included) says, or ``encoder_subset`` (all junctions where either has fewer than
+    twice the latent dimensions). ``noise`` corrupts the inputs of encoders that are fitted.
     """
     if implementation not in IMPLEMENTATIONS:
         raise ValueError(f"implementation must be one of {IMPLEMENTATIONS}")
@@ -73,8 +73,7 @@ def fit(cells: DataFrame, q: int | None = None, implementation: str = "PCA", ite
         found = fitting.fit_pca(rows, q)
     else:
         if implementation not in FULL and included is None and "psi" in cells.columns:
-            subset = shared.written(encoder_subset(cells, n_subset, min_delta, seed), "encoder-subset")
-            included = subset if subset.count() >= 2 * q else None
+            included = encoder_subset(cells, n_subset, min_delta, seed)
         weighted = implementation in ("AE-weighted", "PCA-BB-Decoder", "PCA-BB-Decoder-weighted", "PCA-BB-full")
         found = encoder.fit_encoded(
             rows, q, iterations, None if implementation in FULL else included, "AE" in implementation, not implementation.startswith("PCA-reg"), weighted, noise, seed

@@ -177,13 +177,15 @@ def _alternated(model: DataFrame, h: np.ndarray, iterations: int, pseudocount: f
 def fit_encoded(
     rows: DataFrame, q: int, iterations: int = 15, included: DataFrame | None = None, encoder: bool = True, decoder: bool = True, weighted: bool = False, noise: float = 0.0, seed: int = 42, pseudocount: float = 0.1, ridge: float = 0.0, tol: float = 1e-5
 ) -> Encoded:
-    """A fit of packed ``rows`` whose encoder sees the junctions of ``included`` (junction_id and included) only, or all.
+    """A fit of packed ``rows`` whose encoder sees the junctions of ``included`` (junction_id and included) only; or all, also where those are fewer than twice the components ``q``.
 
     Without ``encoder`` the latent values are those of the principal components of the subset; without ``decoder`` the decoder is the least-squares one. ``weighted`` by Huber weights in the last rounds, over all rows.
     """
     with shared.scratch():
         rows = shared.written(keyed(rows, seed), "packed")
         sub = rows if included is None else shared.written(rows.join(included.filter("included").select("junction_id").distinct(), "junction_id", "left_semi"), "subset")
+        if included is not None and sub.count() < 2 * q:  # deviations shrink as counts grow, so a subset of variable junctions can be empty
+            sub = rows
         gram, cross = grams(sub, pseudocount, (noise,))[noise]
         a = leading(gram, q)
         seen: list[float] = []

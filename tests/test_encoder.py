@@ -96,6 +96,15 @@ def test_a_mask_limits_the_encoder_and_all_rows_are_fitted(rows, cells):
     assert subset.count() == 10 and subset.columns == ["junction_id", "included"]
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_a_subset_too_small_for_the_components_gives_way_to_all_junctions(rows, cells, few):
+    """In large cohorts no junction may deviate by what the subset asks for."""
+    mask = cells.select("junction_id").distinct().withColumn("included", F.col("junction_id") < few)
+    done, whole = encoder.fit_encoded(rows, 2, 1, mask, weighted=True), encoder.fit_encoded(rows, 2, 1, weighted=True)
+    assert mask.filter("included").count() == few and done.weights.count() == done.fit.count() == rows.count()
+    assert np.allclose(np.abs(done.latent), np.abs(whole.latent), atol=1e-8)
+
+
 @pytest.mark.parametrize("implementation", ["PCA-reg-full", "PCA-BB-full", "PCA-BB-Decoder-no-weights", "fullAE", "AE-weighted"])
 def test_every_method_fits(cells, implementation):
     got = analysis.fit(cells, 2, implementation, 1, n_subset=30, min_delta=0.05)
