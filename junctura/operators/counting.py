@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..dataset import SpliceDataset
-from ..sources.files import alignment_introns
+from ..sources import shared
+from ..sources.files import cigar_introns
 from . import intervals
 
 UNSTRANDED, FORWARD, REVERSE = 0, 1, 2
@@ -43,12 +44,30 @@ def fragment_strand(alignments: DataFrame, strand_mode: int) -> Column:
     return F.when(turn, flipped).otherwise(F.col("strand"))
 
 
+def fragments(alignments: DataFrame, strand_mode: int = UNSTRANDED, paired: bool = True) -> DataFrame:
+    """What fragments look like on a sequence, and how many of a sample look so: sample_id, seqname, parts (strand, pos and cigar of the distinct alignments), n and named (those that have a read_id).
+
+    Unpaired reads are fragments one by one, those of one name or in repeated rows as well. CIGARs are parsed, and sites looked up, once for each look and not for each read.
+    """
+    part = F.struct(fragment_strand(alignments, strand_mode).alias("strand"), F.col("pos").cast("int").alias("pos"), "cigar")
+    rows = alignments.filter("pos is not null and cigar is not null").select("sample_id", "read_id", "seqname", part.alias("part"))
+    if not paired:
+        looks = rows.groupBy("sample_id", "seqname", "part").agg(F.count(F.lit(1)).alias("n"))
+        return looks.select("sample_id", "seqname", F.array("part").alias("parts"), "n", F.col("n").alias("named"))
+    whole = rows.groupBy("sample_id", "read_id", "seqname").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    return whole.groupBy("sample_id", "seqname", "parts").agg(F.count(F.lit(1)).alias("n"), F.count("read_id").alias("named"))
+
+
+def split_of(looks: DataFrame, paired: bool = True) -> DataFrame:
+    """The split counts of ``fragments``."""
+    introns = F.flatten(F.transform("parts", lambda p: F.transform(cigar_introns(p["pos"], p["cigar"]), lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"), p["strand"].alias("strand")))))
+    found = looks.select("sample_id", "seqname", "named", F.explode(F.array_distinct(introns) if paired else introns).alias("i"))
+    return found.select("sample_id", "seqname", "i.*", "named").groupBy("sample_id", *RANGE).agg(F.sum("named").alias("k"))
+
+
 def split_counts(alignments: DataFrame, strand_mode: int = UNSTRANDED, paired: bool = True) -> DataFrame:
     """sample_id, range and k: fragments that span each junction. Unpaired reads count one by one, mates of a pair together."""
-    stranded = alignments.withColumn("strand", fragment_strand(alignments, strand_mode))
-    found = alignment_introns(stranded)
-    how = F.count_distinct("read_id") if paired else F.count(F.lit(1))
-    return found.groupBy("sample_id", *RANGE).agg(how.alias("k"))
+    return split_of(fragments(alignments.filter(F.col("cigar").contains("N")), strand_mode, paired), paired)
 
 
 def with_motif_strand(counts: DataFrame, motifs: DataFrame) -> DataFrame:
@@ -82,22 +101,61 @@ def with_site_ids(junctions: DataFrame) -> DataFrame:
     return junctions.withColumns({"junction_id": range_id(s, e), "start_id": range_id(s - 1, s), "end_id": range_id(e, e + 1)})
 
 
-def alignment_blocks(alignments: DataFrame, *also: str) -> DataFrame:
-    """The stretches of an alignment between its introns: read_id, sample_id, seqname, strand, start, end, the stretch's number (block) and the columns ``also``."""
-    ops = F.regexp_extract_all("cigar", F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
+def cigar_blocks(pos: Column, cigar: Column) -> Column:
+    """start and end of the stretches of an alignment between its introns."""
+    ops = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
     length = lambda o: F.regexp_extract(o, r"^(\d+)", 1).cast("int")
     kind = lambda o: F.right(o, F.lit(1))
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.col("pos").alias("at"), F.col("pos").alias("since"), empty.alias("found"))
+    start = F.struct(pos.cast("int").alias("at"), pos.cast("int").alias("since"), empty.alias("found"))
     close = lambda a: F.when(a["at"] > a["since"], F.array_append(a["found"], F.struct(a["since"].alias("start"), (a["at"] - 1).alias("end")))).otherwise(a["found"])
     step = lambda a, o: (
         F.when(kind(o) == "N", F.struct((a["at"] + length(o)).alias("at"), (a["at"] + length(o)).alias("since"), close(a).alias("found")))
         .when(kind(o).isin("M", "D", "=", "X"), F.struct((a["at"] + length(o)).alias("at"), a["since"].alias("since"), a["found"].alias("found")))
         .otherwise(F.struct(a["at"].alias("at"), a["since"].alias("since"), a["found"].alias("found")))
     )
+    return F.aggregate(ops, start, step, close)
+
+
+def alignment_blocks(alignments: DataFrame, *also: str) -> DataFrame:
+    """The stretches of an alignment between its introns: read_id, sample_id, seqname, strand, start, end, the stretch's number (block) and the columns ``also``."""
     kept = ["read_id", "sample_id", "seqname", "strand", *also]
-    rows = alignments.withColumn("pos", F.col("pos").cast("int")).select(*kept, F.posexplode(F.aggregate(ops, start, step, close)).alias("block", "b"))
-    return rows.select(*kept, "b.start", "b.end", "block")
+    return alignments.select(*kept, F.posexplode(cigar_blocks(F.col("pos"), F.col("cigar"))).alias("block", "b")).select(*kept, "b.start", "b.end", "block")
+
+
+def stretches(looks: DataFrame, reach: Column) -> DataFrame:
+    """sample_id, seqname, blocks (start, end, strand), start, end and n: what fragments cover, cut where no window of ``reach`` bases meets both sides.
+
+    Bases that both mates have are there once, so fragments that cover the same have the same blocks; a window meets one stretch of a fragment at most.
+    """
+    block = "struct<start:int,end:int,strand:string>"
+    blocks = F.flatten(F.transform("parts", lambda p: F.transform(cigar_blocks(p["pos"], p["cigar"]), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), p["strand"].alias("strand")))))
+    none = F.struct(F.array().alias("done"), F.array().alias("open"), F.lit(0).alias("upto")).cast(f"struct<done:array<array<{block}>>,open:array<{block}>,upto:int>")
+    last = lambda a: F.element_at(a["open"], -1)
+    longer = lambda a, x: F.array_append(F.slice(a["open"], 1, F.size(a["open"]) - 1), F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"), x["strand"].alias("strand")))
+    step = lambda a, x: (
+        F.when((F.size(a["open"]) == 0) | (x["start"] - a["upto"] >= reach), F.struct(F.when(F.size(a["open"]) == 0, a["done"]).otherwise(F.array_append(a["done"], a["open"])).alias("done"), F.array(x).alias("open"), x["end"].alias("upto")))
+        .when(last(a)["strand"].eqNullSafe(x["strand"]) & (x["start"] <= last(a)["end"] + 1), F.struct(a["done"].alias("done"), longer(a, x).alias("open"), F.greatest(a["upto"], x["end"]).alias("upto")))
+        .otherwise(F.struct(a["done"].alias("done"), F.array_append(a["open"], x).alias("open"), F.greatest(a["upto"], x["end"]).alias("upto")))
+    )
+    cut = F.aggregate(F.sort_array(F.filter(blocks, lambda b: b["start"].isNotNull())), none, step, lambda a: F.when(F.size(a["open"]) == 0, a["done"]).otherwise(F.array_append(a["done"], a["open"])))
+    found = looks.select("sample_id", "seqname", "n", F.explode(cut).alias("blocks")).groupBy("sample_id", "seqname", "blocks").agg(F.sum("n").alias("n"))
+    return found.select("sample_id", "seqname", "blocks", F.col("blocks")[0]["start"].alias("start"), F.array_max(F.transform("blocks", lambda b: b["end"])).alias("end"), F.lit("*").alias("strand"), "n")
+
+
+def nonsplit_of(looks: DataFrame, sites: DataFrame, min_anchor: int = 5, width: int = 200) -> DataFrame:
+    """The nonsplit counts of ``fragments`` at ``sites``."""
+    places = intervals.windows_of(sites.select("site_id", *RANGE).distinct(), min_anchor + 1)  # a site may be the donor of one junction and the acceptor of another
+    widest = places.agg(F.max(F.col("end") - F.col("start") + 1).alias("_reach"))
+    found = stretches(looks.crossJoin(F.broadcast(widest)), F.col("_reach"))
+    pairs = intervals.overlap_narrow(found, places, width)
+    lo, hi = lambda x: F.greatest(x["start"].cast("long"), F.col("b.start")), lambda x: F.least(x["end"].cast("long"), F.col("b.end"))
+    fits = lambda x: (x["strand"] == F.col("b.strand")) | (x["strand"] == "*") | (F.col("b.strand") == "*")
+    # blocks of both strands may overlap at a site of none
+    zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, x: F.struct(F.greatest(a["upto"], hi(x)).alias("upto"), (a["n"] + F.greatest(F.lit(0).cast("long"), hi(x) - F.greatest(a["upto"], lo(x) - 1))).alias("n"))
+    enough = pairs.filter(F.aggregate(F.filter("a.blocks", fits), zero, step)["n"] >= 2 * min_anchor)
+    return enough.groupBy(F.col("b.site_id").alias("site_id"), F.col("a.sample_id").alias("sample_id")).agg(F.sum("a.n").alias("k"))
 
 
 def nonsplit_counts(alignments: DataFrame, sites: DataFrame, min_anchor: int = 5, strand_mode: int = UNSTRANDED, width: int = 200, paired: bool = True) -> DataFrame:
@@ -106,22 +164,7 @@ def nonsplit_counts(alignments: DataFrame, sites: DataFrame, min_anchor: int = 5
     A read that spans the junction has half of the window only; reads over several sites count at each. Mates of a pair are one fragment. Unpaired
     reads, long ones with any number of introns among them, count one by one, so alignments of one name or in repeated rows are each a read.
     """
-    stranded = alignments.withColumn("strand", fragment_strand(alignments, strand_mode))
-    if not paired:  # what tells an alignment, in 64 bits; the text of a long read's CIGAR is not carried along
-        stranded = stranded.withColumn("_alignment", F.xxhash64("read_id", "pos", "cigar", *[c for c in ("mate", "mapq") if c in alignments.columns]))
-    blocks = alignment_blocks(stranded, *([] if paired else ["_alignment"]))
-    places = sites.select("site_id", *RANGE).distinct()  # a site may be the donor of one junction and the acceptor of another
-    pairs = intervals.overlap(blocks, intervals.windows_of(places, min_anchor + 1), width)
-    part = F.struct(F.greatest("a.start", "b.start").cast("long").alias("lo"), F.least("a.end", "b.end").cast("long").alias("hi"), F.col("a.block").alias("block"))
-    read = [F.col(f"a.{c}").alias(c) for c in ("sample_id", "read_id", *([] if paired else ["strand", "_alignment"]))]
-    by_read = pairs.groupBy(F.col("b.site_id").alias("site_id"), *read).agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    # bases that both mates have count once
-    zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
-    step = lambda a, x: F.struct(F.greatest(a["upto"], x["hi"]).alias("upto"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["hi"] - F.greatest(a["upto"], x["lo"] - 1))).alias("n"))
-    enough = by_read.filter(F.aggregate("parts", zero, step)["n"] >= 2 * min_anchor)
-    # rows that repeat an unpaired read have each of its stretches
-    rows = F.lit(1) if paired else F.size(F.filter("parts", lambda x: x["block"] == F.col("parts")[0]["block"]))
-    return enough.groupBy("site_id", "sample_id").agg(F.sum(rows).cast("long").alias("k"))
+    return nonsplit_of(fragments(alignments, strand_mode, paired), sites, min_anchor, width)
 
 
 def assembled(samples: DataFrame, split: DataFrame, nonsplit: DataFrame | None = None, name: str = "dataset") -> SpliceDataset:
@@ -136,11 +179,12 @@ def assembled(samples: DataFrame, split: DataFrame, nonsplit: DataFrame | None =
 def count_dataset(alignments: DataFrame, samples: DataFrame, strand_mode: int = UNSTRANDED, paired: bool = True, min_anchor: int = 5, min_expression: int | None = 20, chromosomes: Sequence[str] | None = None, min_mapq: int | None = None) -> SpliceDataset:
     """Split reads, the junctions expressed in some sample (all with ``min_expression`` None), and nonsplit reads at their sites; single-end and long reads are not ``paired``."""
     used = restricted(alignments, chromosomes, min_mapq)
-    split = split_counts(used, strand_mode, paired)
+    looks = shared.written(fragments(used, strand_mode, paired), "fragments")
+    split = shared.written(split_of(looks, paired), "split")
     if min_expression is not None:
         split = split.join(expressed(split, min_expression), RANGE, "left_semi")
     ds = assembled(samples, split)
-    return ds.with_(ss_counts=nonsplit_counts(used, ds.sites, min_anchor, strand_mode, paired=paired))
+    return ds.with_(ss_counts=nonsplit_of(looks, ds.sites, min_anchor))
 
 
 def common_chromosome_style(names: DataFrame) -> DataFrame:
@@ -165,17 +209,17 @@ def merge_external(own: SpliceDataset, external: dict[str, DataFrame], annotatio
         raise ValueError(f"external counts are missing: {sorted(missing)}")
     text = lambda df: df.withColumn("sample_id", F.col("sample_id").cast("string"))
     k_j = external["k_j"]
-    shared = own.junctions.join(k_j.select(*RANGE).distinct(), RANGE, "left_semi")
+    both = own.junctions.join(k_j.select(*RANGE).distinct(), RANGE, "left_semi")
     given = [r.sample_id for r in text(annotation).select("sample_id").distinct().collect()]
     theirs = lambda name, rows, key: text(external[name]).filter(F.col("sample_id").isin(given)).join(rows.select(key, *RANGE), RANGE).select(key, "sample_id", F.col("k").cast("long").alias("k"))
-    j_counts = text(own.j_counts).join(shared.select("junction_id"), "junction_id", "left_semi").select("junction_id", "sample_id", "k").unionByName(theirs("k_j", shared, "junction_id"))
-    ends = shared.select(F.explode(F.array("start_id", "end_id")).alias("site_id")).distinct()
+    j_counts = text(own.j_counts).join(both.select("junction_id"), "junction_id", "left_semi").select("junction_id", "sample_id", "k").unionByName(theirs("k_j", both, "junction_id"))
+    ends = both.select(F.explode(F.array("start_id", "end_id")).alias("site_id")).distinct()
     sites = own.sites.join(external["k_theta"].select(*RANGE).distinct(), RANGE, "left_semi").join(ends, "site_id", "left_semi")
     ss_counts = text(own.ss_counts).join(sites.select("site_id"), "site_id", "left_semi").select("site_id", "sample_id", "k").unionByName(theirs("k_theta", sites, "site_id"))
     samples = text(own.samples).unionByName(text(annotation), allowMissingColumns=True)
-    out = own.with_(samples=samples, junctions=shared, sites=sites, j_counts=j_counts, ss_counts=ss_counts)
-    k = theirs("k_j", shared, "junction_id").withColumnRenamed("k", "k_own")
-    n5, n3 = (theirs(x, shared, "junction_id").withColumnRenamed("k", x) for x in ("n_psi5", "n_psi3"))
+    out = own.with_(samples=samples, junctions=both, sites=sites, j_counts=j_counts, ss_counts=ss_counts)
+    k = theirs("k_j", both, "junction_id").withColumnRenamed("k", "k_own")
+    n5, n3 = (theirs(x, both, "junction_id").withColumnRenamed("k", x) for x in ("n_psi5", "n_psi3"))
     others = k.join(n5, ["junction_id", "sample_id"]).join(n3, ["junction_id", "sample_id"]).select("junction_id", "sample_id", (F.col("n_psi5") - F.col("k_own")).alias("o_psi5"), (F.col("n_psi3") - F.col("k_own")).alias("o_psi3"))
     n_theta = theirs("n_theta" if "n_theta" in external else "k_theta", sites, "site_id").withColumnRenamed("k", "n_theta")
     site_others = theirs("k_theta", sites, "site_id").join(n_theta, ["site_id", "sample_id"]).select("site_id", "sample_id", (F.col("n_theta") - F.col("k")).alias("o_theta"))

@@ -69,6 +69,17 @@ def overlap(a: DataFrame, b: DataFrame, width: int = 1000, min_overlap: int = 1,
     return met[0].union(met[1])
 
 
+def overlap_narrow(a: DataFrame, b: DataFrame, width: int = 1000) -> DataFrame:
+    """Pairs as structs ``a`` and ``b`` for ranges of ``b`` that are few bins of ``width`` wide: these visit the bins of all levels, so both tables are read once."""
+    left = _bins(_resting(a, width), F.col("_rest"), width).alias("a")
+    right = _bins(b.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))), F.col("_level"), width).alias("b")
+    on = (F.col("a.seqname") == F.col("b.seqname")) & (F.col("a._level") == F.col("b._level")) & (F.col("a._bin") == F.col("b._bin")) & _strands("a", "b")
+    on &= (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end"))
+    on &= F.col("a._bin") == F.floor(F.greatest("a.start", "b.start") / F.col("a._size"))
+    fields = lambda df, s: F.struct(*[F.col(f"{s}.{c}") for c in df.columns]).alias(s)
+    return left.join(right, on).select(fields(a, "a"), fields(b, "b"))
+
+
 def overlaps_any(a: DataFrame, b: DataFrame, keys: list[str], width: int = 1000, anti: bool = False) -> DataFrame:
     """The rows of ``a`` that overlap some row of ``b`` (or none)."""
     hit = overlap(a, b, width).select(*[F.col(f"a.{k}").alias(k) for k in keys]).distinct()

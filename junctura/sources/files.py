@@ -6,7 +6,7 @@ import json
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..dataset import SpliceDataset
 from . import shared
@@ -67,15 +67,20 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("seqname", "feature", "start", "end", "strand", attribute("gene_id").alias("gene_id"), attribute("transcript_id").alias("transcript_id"), attribute("gene_name").alias("symbol"))
 
 
-def alignment_introns(alignments: DataFrame) -> DataFrame:
-    """(read_id, sample_id, seqname, start, end, strand) of the introns of CIGAR strings; pos is the 1-based first base."""
-    ops = F.regexp_extract_all("cigar", F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
+def cigar_introns(pos: Column, cigar: Column) -> Column:
+    """start and end of the introns of a CIGAR string whose first base stands at ``pos``."""
+    ops = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
     length = lambda o: F.regexp_extract(o, r"^(\d+)", 1).cast("int")
     uses = lambda o: F.when(F.right(o, F.lit(1)).isin("M", "D", "N", "=", "X"), length(o)).otherwise(0)
-    start = F.struct(F.col("pos").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+    start = F.struct(pos.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
     step = lambda a, o: F.struct((a["at"] + uses(o)).alias("at"), F.when(F.right(o, F.lit(1)) == "N", F.array_append(a["found"], F.struct(a["at"].alias("start"), (a["at"] + length(o) - 1).alias("end")))).otherwise(a["found"]).alias("found"))
-    found = alignments.select("read_id", "sample_id", "seqname", "strand", F.col("pos").cast("int").alias("pos"), "cigar").withColumn("introns", F.aggregate(ops, start, step)["found"])
-    return found.select("read_id", "sample_id", "seqname", "strand", F.explode("introns").alias("i")).select("read_id", "sample_id", "seqname", "i.start", "i.end", "strand")
+    return F.aggregate(ops, start, step)["found"]
+
+
+def alignment_introns(alignments: DataFrame) -> DataFrame:
+    """(read_id, sample_id, seqname, start, end, strand) of the introns of CIGAR strings; pos is the 1-based first base."""
+    found = alignments.select("read_id", "sample_id", "seqname", "strand", F.explode(cigar_introns(F.col("pos"), F.col("cigar"))).alias("i"))
+    return found.select("read_id", "sample_id", "seqname", "i.start", "i.end", "strand")
 
 
 def split_counts(alignments: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 """Counting from alignments, against counts made by hand, and external counts."""
 
+import random
+import re
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +117,69 @@ def test_a_long_read_of_many_introns(spark):
     assert ds.j_counts.count() == 2000 and ds.ss_counts.count() == 0
     inside = spark.createDataFrame([(str(i), "chr1", 100 * i + 15, 100 * i + 16, "*") for i in range(0, 2001, 400)], "site_id string, seqname string, start int, end int, strand string")
     assert as_set(counting.nonsplit_counts(reads, inside, paired=False)) == {(str(i), "s", 1) for i in range(0, 2001, 400)}
+
+
+def joined_rows(df):
+    """The rows that the joins of a plan have made, read from its metrics after it has run."""
+    df.collect()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().get("numOutputRows") if "Join" in kind else None
+        return (own.get().value() if own is not None and own.isDefined() else 0) + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("paired", [False])
+def test_reads_that_look_alike_meet_a_site_once(spark, paired):
+    """What is joined and shuffled further grows with the looks of fragments, not with their number."""
+    reads = spark.range(20_000).select(F.col("id").alias("read_id"), F.lit("s").alias("sample_id"), F.lit("chr1").alias("seqname"), (100 + F.col("id") % 4).cast("int").alias("pos"), F.lit("30M100N30M").alias("cigar"), F.lit("+").alias("strand"))
+    sites = spark.createDataFrame([("x", "chr1", 112, 113, "*"), ("y", "chr1", 250, 251, "*")], "site_id string, seqname string, start int, end int, strand string")
+    counts = counting.nonsplit_counts(reads, sites, paired=paired)
+    assert as_set(counts) == {("x", "s", 20_000), ("y", "s", 20_000)}
+    assert joined_rows(counts) < 100
+
+
+def covered(pos, cigar):
+    bases, introns = set(), []
+    for n, kind in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+        if kind in "MDN=X":
+            if kind == "N":
+                introns.append((pos, pos + int(n) - 1))
+            else:
+                bases |= set(range(pos, pos + int(n)))
+            pos += int(n)
+    return bases, introns
+
+
+@pytest.mark.parametrize(("mode", "paired"), [(counting.UNSTRANDED, True), (counting.UNSTRANDED, False), (counting.FORWARD, True), (counting.REVERSE, False)])
+def test_random_reads_against_plain_counts(spark, mode, paired):
+    rng = random.Random(7)
+    cigars = ["12M", "30M", "8M3N9M", "6M11N7M", "6M10N7M", "5M12N6M40N20M", "3S9M2I4D6M", "700M", "4M1N2M1N3M1N8M", "6=2X250N15M", "*", "10M0N10M", None]
+    rows = [(rng.choice([*(f"r{i}" for i in range(60)), None]), rng.choice("st"), rng.choice(["chr1", "chr2"]), rng.choice([None, *range(80, 200)]), rng.choice(cigars), rng.choice("+-"), rng.choice([1, 2]), 60) for _ in range(400)]
+    places = [(f"{c}{a}{s}{w}", c, a, a + w, s) for c in ("chr1", "chr2") for a in range(70, 460, 13) for s, w in (("*", 1), ("+", 1), ("-", 1), ("*", 40))]
+    split, nonsplit, groups = defaultdict(list), Counter(), defaultdict(list)
+    for i, (read, sample, seq, pos, cigar, strand, mate, _) in enumerate(rows):
+        if pos is None or cigar is None:
+            continue
+        turned = (mate == 2) != (mode == counting.REVERSE)
+        own = "*" if mode == counting.UNSTRANDED else {"+": "-", "-": "+"}[strand] if turned else strand
+        bases, introns = covered(pos, cigar)
+        groups[(sample, seq, read if paired else i)].append((own, bases))
+        for j in introns:
+            split[(sample, seq, *j, own)].append(read if paired else i)
+    for (sample, seq, _), parts in groups.items():
+        for site, c, a, b, s in places:
+            if c == seq and len(set().union(*[x for own, x in parts if "*" in (own, s) or own == s]) & set(range(a - 5, b + 6))) >= 10:
+                nonsplit[(site, sample)] += 1
+    reads = frame(spark, rows)
+    want = {(*k, len({r for r in v if r is not None})) for k, v in split.items()} if paired else {(*k, len(v)) for k, v in split.items()}
+    assert as_set(counting.split_counts(reads, mode, paired)) == want
+    sites = spark.createDataFrame(places, "site_id string, seqname string, start int, end int, strand string")
+    got = counting.nonsplit_counts(reads, sites, strand_mode=mode, paired=paired).collect()
+    assert {(r.site_id, r.sample_id): r.k for r in got} == dict(nonsplit) and len(got) == len(nonsplit)
