@@ -135,7 +135,7 @@ def joined_rows(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("paired", [False])
+@pytest.mark.parametrize("paired", [False, True])
 def test_reads_that_look_alike_meet_a_site_once(spark, paired):
     """What is joined and shuffled further grows with the looks of fragments, not with their number."""
     reads = spark.range(20_000).select(F.col("id").alias("read_id"), F.lit("s").alias("sample_id"), F.lit("chr1").alias("seqname"), (100 + F.col("id") % 4).cast("int").alias("pos"), F.lit("30M100N30M").alias("cigar"), F.lit("+").alias("strand"))
