@@ -145,6 +145,15 @@ def test_reads_that_look_alike_meet_a_site_once(spark, paired):
     assert joined_rows(counts) < 100
 
 
+def test_a_dataset_reads_its_alignments_once(spark, tmp_path):
+    path = f"{tmp_path}/reads"
+    spark.createDataFrame([(f"r{i}", "s", "chr1", 100, cigar, "+") for i in range(25) for cigar in ("20M50N20M",)] + [("n", "s", "chr1", 105, "40M", "+")], "read_id string, sample_id string, seqname string, pos int, cigar string, strand string").write.parquet(path)
+    reads = spark.read.parquet(path)
+    ds = counting.count_dataset(reads, reads.select("sample_id").distinct())
+    assert as_set(ds.j_counts) == {("chr1:120-169:*", "s", 25)} and as_set(ds.ss_counts) == {("chr1:119-120:*", "s", 1)}
+    assert not [f for t in (ds.j_counts, ds.junctions, ds.sites, ds.ss_counts) for f in t.inputFiles() if path in f]
+
+
 def covered(pos, cigar):
     bases, introns = set(), []
     for n, kind in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
