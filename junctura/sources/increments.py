@@ -34,6 +34,24 @@ def table_reader(alignments: DataFrame) -> Reader:
     return read
 
 
+def looks_once(read: Reader, strand_mode: int = counting.UNSTRANDED, paired: bool = True) -> Reader:
+    """The fragments (counting.fragments) of what ``read`` gives; those of whole samples are written, so that split and nonsplit counts of one and the same table read it once."""
+    kept: list[tuple[DataFrame, DataFrame]] = []
+
+    def looks(samples: list, regions: list[tuple[str, int, int]] | None = None) -> DataFrame:
+        rows = read(samples, regions)
+        made = counting.fragments(rows, strand_mode, paired)
+        if regions is not None:
+            return made
+        for before, written in kept:
+            if before.sameSemantics(rows):
+                return written
+        kept.append((rows, shared.written(made, "fragments")))
+        return kept[-1][1]
+
+    return looks
+
+
 def file_reader(spark: SparkSession, path: str) -> Reader:
     """A reader of a folder of BAM files; files of other samples are not opened but for their headers, other regions not decoded."""
     from . import bam
@@ -56,14 +74,14 @@ def _regions(sites: DataFrame, margin: int, most: int = 10_000) -> list[tuple[st
     return sorted((r.seqname, max(r.low - margin, 1), r.high + margin) for r in rows)
 
 
-def split_by_sample(spark: SparkSession, read: Reader, samples: Sequence, path: str, strand_mode: int = counting.UNSTRANDED, paired: bool = True, recount: Sequence = ()) -> DataFrame:
-    """sample_id, range and k of the samples, of which only absent ones and those of ``recount`` are counted; all others come from ``path``."""
+def split_by_sample(spark: SparkSession, read: Reader, samples: Sequence, path: str, strand_mode: int = counting.UNSTRANDED, paired: bool = True, recount: Sequence = (), looks: Reader | None = None) -> DataFrame:
+    """sample_id, range and k of the samples, of which only absent ones and those of ``recount`` are counted, from ``looks`` where it is given; all others come from ``path``."""
     done = {r[0] for r in _column(spark, f"{path}/split-done", "sample_id")}
     absent = [s for s in samples if s not in done or s in set(recount)]
     if absent:
         for s in absent:  # a sample without split reads leaves no partition that could replace an old one
             shared.delete(spark, f"{path}/split/sample_id={s}")
-        counts = counting.split_counts(read(absent, None), strand_mode, paired)
+        counts = counting.split_of(looks(absent, None), paired) if looks else counting.split_counts(read(absent, None), strand_mode, paired)
         kind = counts.schema["sample_id"].dataType.simpleString()
         counts.write.partitionBy("sample_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/split")
         spark.createDataFrame([(s,) for s in absent], f"sample_id {kind}").write.mode("append").parquet(f"{path}/split-done")
@@ -72,8 +90,9 @@ def split_by_sample(spark: SparkSession, read: Reader, samples: Sequence, path:
     return found.filter(F.col("sample_id").isin(list(samples))).select("sample_id", *counting.RANGE, "k")
 
 
-def nonsplit_by_sample(spark: SparkSession, read: Reader, samples: Sequence, sites: DataFrame, path: str, min_anchor: int = 5, strand_mode: int = counting.UNSTRANDED, recount: Sequence = (), paired: bool = True) -> DataFrame:
-    """site_id, sample_id and k of the samples at ``sites``; a sample is counted only at sites where it was not before."""
+def nonsplit_by_sample(spark: SparkSession, read: Reader, samples: Sequence, sites: DataFrame, path: str, min_anchor: int = 5, strand_mode: int = counting.UNSTRANDED, recount: Sequence = (), paired: bool = True, looks: Reader | None = None) -> DataFrame:
+    """site_id, sample_id and k of the samples at ``sites``; a sample is counted only at sites where it was not before, from ``looks`` where it is given."""
+    looks = looks or looks_once(read, strand_mode, paired)
     again = set(recount)
     rows = sorted(_column(spark, f"{path}/batches", "number", "fresh", "batch", "sample_id"), key=lambda r: r[0])
     batches: dict = defaultdict(set)
@@ -95,7 +114,7 @@ def nonsplit_by_sample(spark: SparkSession, read: Reader, samples: Sequence, sit
             continue
         batch = uuid.uuid4().hex
         regions = _regions(missing, min_anchor + 1) if known else None
-        counts = counting.nonsplit_counts(read(own, regions), missing, min_anchor, strand_mode, paired=paired)
+        counts = counting.nonsplit_of(looks(own, regions), missing, min_anchor)
         kind = counts.schema["sample_id"].dataType.simpleString()
         counts.write.parquet(f"{path}/nonsplit/batch={batch}")
         missing.write.parquet(f"{path}/sites/batch={batch}")
@@ -117,11 +136,13 @@ def count_samples(
 ) -> SpliceDataset:
     """The dataset of ``samples`` (sample_id and more), with what ``path`` has of them reused; equal to a count of all of them at once."""
     ids = [r.sample_id for r in samples.select("sample_id").sort("sample_id").collect()]  # one row for each sample
-    split = split_by_sample(spark, read, ids, path, strand_mode, paired, recount)
-    if min_expression is not None:
-        split = split.join(counting.expressed(split, min_expression), counting.RANGE, "left_semi")
-    ds = counting.assembled(samples, split)
-    return ds.with_(ss_counts=nonsplit_by_sample(spark, read, ids, ds.sites, path, min_anchor, strand_mode, recount, paired))
+    with shared.scratch():
+        looks = looks_once(read, strand_mode, paired)
+        split = split_by_sample(spark, read, ids, path, strand_mode, paired, recount, looks)
+        if min_expression is not None:
+            split = split.join(counting.expressed(split, min_expression), counting.RANGE, "left_semi")
+        ds = counting.assembled(samples, split)
+        return ds.with_(ss_counts=nonsplit_by_sample(spark, read, ids, ds.sites, path, min_anchor, strand_mode, recount, paired, looks))
 
 
 def forget_samples(spark: SparkSession, path: str) -> None:

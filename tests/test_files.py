@@ -150,6 +150,21 @@ def test_new_samples_are_added_to_what_is_kept(spark, small, tmp_path):
     assert asked
 
 
+def test_new_samples_are_read_once_for_both_kinds_of_counts(spark, small, tmp_path):
+    """As often as a row's name is taken from the table, so often the table is read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        reads.add(1)
+        return name
+
+    watched = small.withColumn("read_id", F.udf(seen, "string")("read_id"))
+    two = small.select("sample_id").distinct().filter("sample_id <> 'c'")
+    got = counted(increments.count_samples(spark, increments.table_reader(watched), two, str(tmp_path / "counts"), min_expression=3))
+    assert reads.value == small.filter("sample_id <> 'c'").count()
+    assert got == counted(counting.count_dataset(small.join(two, "sample_id", "left_semi"), two, min_expression=3))
+
+
 def test_increments_from_files(spark, small, tmp_path):
     bam.write_alignments(small, str(tmp_path / "bam"), REFERENCES)
     reader, path = increments.file_reader(spark, str(tmp_path / "bam")), str(tmp_path / "counts")
