@@ -119,8 +119,8 @@ def test_a_long_read_of_many_introns(spark):
     assert as_set(counting.nonsplit_counts(reads, inside, paired=False)) == {(str(i), "s", 1) for i in range(0, 2001, 400)}
 
 
-def joined_rows(df):
-    """The rows that the joins of a plan have made, read from its metrics after it has run."""
+def joined_rows(df, what="Join"):
+    """The rows that the joins of a plan (or other operators) have made, read from its metrics after it has run."""
     df.collect()
 
     def walk(node):
@@ -129,7 +129,7 @@ def joined_rows(df):
             return walk(node.executedPlan())
         if kind.endswith("QueryStageExec"):
             return walk(node.plan())
-        own = node.metrics().get("numOutputRows") if "Join" in kind else None
+        own = node.metrics().get("numOutputRows") if what in kind else None
         return (own.get().value() if own is not None and own.isDefined() else 0) + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
 
     return walk(df._jdf.queryExecution().executedPlan())
@@ -145,6 +145,14 @@ def test_reads_that_look_alike_meet_a_site_once(spark, paired):
     assert joined_rows(counts) < 100
 
 
+@pytest.mark.parametrize("paired", [False, True])
+def test_introns_of_reads_that_look_alike_are_taken_once(spark, paired):
+    reads = spark.range(20_000).select(F.col("id").alias("read_id"), F.lit("s").alias("sample_id"), F.lit("chr1").alias("seqname"), F.lit(100).alias("pos"), F.lit("30M100N30M").alias("cigar"), F.lit("+").alias("strand"))
+    counts = counting.split_counts(reads, paired=paired)
+    assert as_set(counts) == {("s", "chr1", 130, 229, "*", 20_000)}
+    assert 0 < joined_rows(counts, "Generate") < 100
+
+
 def test_a_dataset_reads_its_alignments_once(spark, tmp_path):
     path = f"{tmp_path}/reads"
     spark.createDataFrame([(f"r{i}", "s", "chr1", 100, cigar, "+") for i in range(25) for cigar in ("20M50N20M",)] + [("n", "s", "chr1", 105, "40M", "+")], "read_id string, sample_id string, seqname string, pos int, cigar string, strand string").write.parquet(path)
